@@ -119,3 +119,267 @@ FROM lb""")
 def f6_prepare_text(spark, sf_dir):
     return LB.build_dataset(A.messages(spark, sf_dir), A.spine(spark, sf_dir), A.LOOKBACK_DAYS,
                             max_tokens=A.MAX_TOKENS)
+
+
+# -- P1..P9 -----------------------------------------------------------------------------------
+from vellum.functions import text as TX  # noqa: E402
+from vellum.operators import profile as PR  # noqa: E402
+
+_TR, _TE = A.TRAIN_RANGE, A.TEST_RANGE
+
+
+def _split(spark, sf_dir):
+    return LB.split_spine(A.spine(spark, sf_dir), _TR[0], _TR[1], _TE[0], _TE[1])
+
+
+@register("p1_split_train", f"WITH spine AS ({SPINE}) SELECT * FROM spine "
+                            f"WHERE CreatedAt >= TIMESTAMP '{_TR[0]}' AND CreatedAt < TIMESTAMP '{_TR[1]}'")
+def p1_split_train(spark, sf_dir):
+    return _split(spark, sf_dir)[0]
+
+
+@register("p1_split_test", f"WITH spine AS ({SPINE}) SELECT * FROM spine "
+                           f"WHERE CreatedAt >= TIMESTAMP '{_TE[0]}' AND CreatedAt < TIMESTAMP '{_TE[1]}'")
+def p1_split_test(spark, sf_dir):
+    return _split(spark, sf_dir)[1]
+
+
+@register("p2_projection", f"WITH spine AS ({SPINE}) SELECT UserLoanId, DefaultDPD21 FROM spine")
+def p2_projection(spark, sf_dir):
+    return A.spine(spark, sf_dir).select("UserLoanId", "DefaultDPD21")
+
+
+_TRAIN_KEYS_SQL = (f"SELECT user_id FROM events WHERE event_type = 'signup' "
+                   f"AND ts >= TIMESTAMP '{_TR[0]}' AND ts < TIMESTAMP '{_TR[1]}'")
+
+
+@register("p3_key_semi_join", f"WITH msgs AS ({MSGS}) SELECT * FROM msgs WHERE UserLoanId IN ({_TRAIN_KEYS_SQL})")
+def p3_key_semi_join(spark, sf_dir):
+    return LB.fetch_keys(A.messages(spark, sf_dir), _split(spark, sf_dir)[0])
+
+
+@register("p4_raw_fetch", f"SELECT * RENAME (user_id AS UserLoanId) FROM events "
+                          f"WHERE user_id IN ({_TRAIN_KEYS_SQL})")
+def p4_raw_fetch(spark, sf_dir):
+    raw = A.table(spark, sf_dir, "events").withColumnRenamed("user_id", "UserLoanId")
+    return LB.fetch_keys(raw, _split(spark, sf_dir)[0])
+
+
+@register("p5_text_present", f"WITH m AS ({MSGS_BLANK}) SELECT * FROM m WHERE body IS NOT NULL AND TRIM(body) != ''")
+def p5_text_present(spark, sf_dir):
+    return A.messages(spark, sf_dir, blanks=True).filter(TX.text_present("body"))
+
+
+@register("p6_dedup", f"WITH m AS ({MSGS_BLANK}) SELECT DISTINCT UserLoanId, CreatedAt, body FROM m "
+                      f"WHERE body IS NOT NULL AND TRIM(body) != ''")
+def p6_dedup(spark, sf_dir):
+    return LB.clean_messages(A.messages(spark, sf_dir, blanks=True))
+
+
+@register("p7_with_column", f"WITH m AS ({MSGS}) SELECT UserLoanId, CreatedAt, "
+                            f"{truncate_sql('body', 2)} AS body FROM m")
+def p7_with_column(spark, sf_dir):
+    return A.messages(spark, sf_dir).withColumn("body", TX.word_truncate("body", 2))
+
+
+@register("p8_casts", f"WITH spine AS ({SPINE}) SELECT CAST(UserLoanId AS VARCHAR) AS UserLoanId, "
+                      f"CAST(DefaultDPD21 AS INTEGER) AS DefaultDPD21 FROM spine")
+def p8_casts(spark, sf_dir):
+    sp = A.spine(spark, sf_dir)
+    return sp.select(F.col("UserLoanId").cast("string").alias("UserLoanId"),
+                     F.col("DefaultDPD21").cast("int").alias("DefaultDPD21"))
+
+
+# -- J1 / J2 / J3 -----------------------------------------------------------------------------
+
+_ANCHORS_SQL = f"""
+WITH msgs AS ({MSGS}), spine AS ({SPINE}),
+clean AS (SELECT DISTINCT UserLoanId, CreatedAt, body FROM msgs WHERE body IS NOT NULL AND TRIM(body) != ''),
+anchors AS (SELECT DISTINCT UserLoanId, CreatedAt FROM spine
+            WHERE (UserLoanId, CreatedAt) IN (SELECT (UserLoanId, CreatedAt) FROM clean))"""
+
+
+@register("j1_band_pairs", _ANCHORS_SQL + f"""
+SELECT a.UserLoanId, a.CreatedAt, c.body FROM anchors a JOIN clean c
+  ON a.UserLoanId = c.UserLoanId AND c.CreatedAt <= a.CreatedAt
+ AND c.CreatedAt >= a.CreatedAt - INTERVAL '{A.LOOKBACK_DAYS} days'""")
+def j1_band_pairs(spark, sf_dir):
+    clean = LB.clean_messages(A.messages(spark, sf_dir))
+    anchors = LB.labelled_anchors(A.spine(spark, sf_dir), clean)
+    return LB.band_pairs(anchors, clean, A.LOOKBACK_DAYS)
+
+
+@register("j2_label_join_fanout", f"""
+WITH lb AS ({lookback_sql(MSGS, SPINE, A.LOOKBACK_DAYS)}),
+spine AS ({SPINE})
+SELECT lb.UserLoanId, lb.CreatedAt, lb.concatenated_body, s.DefaultDPD21 AS label_copy
+FROM lb JOIN (SELECT * FROM spine UNION ALL SELECT * FROM spine) s
+  ON lb.UserLoanId = s.UserLoanId AND lb.CreatedAt = s.CreatedAt""")
+def j2_label_join_fanout(spark, sf_dir):
+    sp = A.spine(spark, sf_dir)
+    texts = LB.lookback_text(A.messages(spark, sf_dir), sp, A.LOOKBACK_DAYS)
+    dup = PR.union_all(sp, sp).withColumnRenamed("DefaultDPD21", "label_copy")
+    return LB.label_join(texts, dup)
+
+
+@register("j2_long_texts", "SELECT d.doc_id, d.text, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def j2_long_texts(spark, sf_dir):
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(A.table(spark, sf_dir, "labels"), on="doc_id", how="inner")
+
+
+@register("j3_anchor_exists", _ANCHORS_SQL + "\nSELECT * FROM anchors")
+def j3_anchor_exists(spark, sf_dir):
+    clean = LB.clean_messages(A.messages(spark, sf_dir))
+    return LB.labelled_anchors(A.spine(spark, sf_dir), clean)
+
+
+# -- A1, A3..A8 -------------------------------------------------------------------------------
+
+@register("a1_distinct_concat", """
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day,
+       STRING_AGG(DISTINCT event_type, '--' ORDER BY event_type) AS types
+FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')""")
+def a1_distinct_concat(spark, sf_dir):
+    ev = A.table(spark, sf_dir, "events")
+    return (ev.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+            .agg(LB.distinct_sorted_concat("event_type", "--").alias("types")))
+
+
+@register("a3_label_distribution", f"WITH s AS ({SPINE}) SELECT DefaultDPD21, COUNT(*) AS count FROM s GROUP BY 1")
+def a3_label_distribution(spark, sf_dir):
+    return PR.label_distribution(A.spine(spark, sf_dir))
+
+
+@register("a3_label_dense", """
+WITH c AS (SELECT label, COUNT(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)
+SELECT CAST(g.label AS INTEGER) AS label, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM (SELECT unnest(range(0, (SELECT max(label) FROM c) + 1)) AS label) g LEFT JOIN c ON g.label = c.label""")
+def a3_label_dense(spark, sf_dir):
+    return PR.label_distribution_dense(A.table(spark, sf_dir, "embeddings"), "label")
+
+
+@register("a4_class_balance", f"""
+WITH s AS ({SPINE}), c AS (SELECT count_if(DefaultDPD21 = 0) AS n0, count_if(DefaultDPD21 = 1) AS n1 FROM s)
+SELECT n0, n1, round(n0 * 100.0 / (n0 + n1), 6) AS pct0, round(n1 * 100.0 / (n0 + n1), 6) AS pct1,
+       round(n0 / n1, 6) AS scale_pos_weight FROM c""")
+def a4_class_balance(spark, sf_dir):
+    cb = PR.class_balance(A.spine(spark, sf_dir))
+    return cb.select("n0", "n1", *[F.round(c, 6).alias(c) for c in ("pct0", "pct1", "scale_pos_weight")])
+
+
+_F6_SQL = f"""
+WITH lb AS ({_A2_SQL})
+SELECT UserLoanId, CreatedAt, DefaultDPD21,
+       {truncate_sql('concatenated_body', A.MAX_TOKENS)} AS concatenated_body,
+       CAST(len({words_sql(truncate_sql('concatenated_body', A.MAX_TOKENS))}) AS BIGINT) AS token_count
+FROM lb"""
+
+
+def _dataset(spark, sf_dir):
+    return LB.build_dataset(A.messages(spark, sf_dir), A.spine(spark, sf_dir), A.LOOKBACK_DAYS,
+                            max_tokens=A.MAX_TOKENS)
+
+
+@register("a5_batch_stats", f"""
+WITH msgs AS ({MSGS}), d AS ({_F6_SQL})
+SELECT (SELECT COUNT(*) FROM msgs WHERE UserLoanId IN (SELECT user_id FROM events WHERE event_type = 'signup'))
+         AS rows_before,
+       COUNT(*) AS rows_after, min(token_count) AS min_tokens, max(token_count) AS max_tokens,
+       round(avg(token_count), 6) AS mean_tokens FROM d""")
+def a5_batch_stats(spark, sf_dir):
+    before = LB.fetch_keys(A.messages(spark, sf_dir), A.spine(spark, sf_dir))
+    st = PR.batch_stats(before, _dataset(spark, sf_dir))
+    return st.withColumn("mean_tokens", F.round("mean_tokens", 6))
+
+
+@register("a6_dataset_profile", f"""
+WITH d AS ({_F6_SQL})
+SELECT 'train' AS dataset, (SELECT COUNT(*) FROM d) AS rows,
+       ['UserLoanId', 'CreatedAt', 'concatenated_body', 'DefaultDPD21', 'token_count'] AS columns,
+       DefaultDPD21 AS label, COUNT(*) AS count FROM d GROUP BY DefaultDPD21""")
+def a6_dataset_profile(spark, sf_dir):
+    return PR.dataset_profile(_dataset(spark, sf_dir), "train")
+
+
+@register("a7_distinct_labels", "SELECT DISTINCT label FROM embeddings")
+def a7_distinct_labels(spark, sf_dir):
+    return PR.distinct_labels(A.table(spark, sf_dir, "embeddings"), "label")
+
+
+@register("a8_balanced_weights", f"""
+WITH s AS ({SPINE}), c AS (SELECT DefaultDPD21, COUNT(*) AS nc FROM s GROUP BY 1)
+SELECT s.*, round((SELECT COUNT(*) FROM s) / ((SELECT COUNT(*) FROM c) * c.nc), 6) AS weight
+FROM s JOIN c ON s.DefaultDPD21 = c.DefaultDPD21""")
+def a8_balanced_weights(spark, sf_dir):
+    return PR.balanced_weights(A.spine(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+# -- O1..O3, U1 -------------------------------------------------------------------------------
+
+@register("o1_order_by_key_time", _A2_SQL + "\nORDER BY 1, 2")
+def o1_order_by_key_time(spark, sf_dir):
+    return _lookback_labelled(spark, sf_dir).orderBy("UserLoanId", "CreatedAt")
+
+
+@register("o2_seeded_order")
+def o2_seeded_order(spark, sf_dir):
+    return PR.seeded_order(A.spine(spark, sf_dir), "UserLoanId", seed=42)
+
+
+@register("o3_batches")
+def o3_batches(spark, sf_dir):
+    return PR.assign_batches(A.spine(spark, sf_dir), "UserLoanId", batch_size=64, seed=42)
+
+
+@register("u1_union_train_test", f"""
+WITH s AS ({SPINE})
+SELECT * FROM s WHERE CreatedAt >= TIMESTAMP '{_TR[0]}' AND CreatedAt < TIMESTAMP '{_TR[1]}'
+UNION ALL
+SELECT * FROM s WHERE CreatedAt >= TIMESTAMP '{_TE[0]}' AND CreatedAt < TIMESTAMP '{_TE[1]}'""")
+def u1_union_train_test(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    return PR.union_all(tr, te)
+
+
+# -- F1..F5, F7 -------------------------------------------------------------------------------
+
+@register("f1_trim", "SELECT conv_id, turn, TRIM(text) AS text FROM conversations")
+def f1_trim(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", TX.unicode_trim("text").alias("text"))
+
+
+@register("f2_interval", f"SELECT event_id, ts - INTERVAL '{A.LOOKBACK_DAYS} days' AS window_start FROM events")
+def f2_interval(spark, sf_dir):
+    ev = A.table(spark, sf_dir, "events")
+    return ev.select("event_id", (F.col("ts") - F.make_dt_interval(days=F.lit(A.LOOKBACK_DAYS))).alias("window_start"))
+
+
+@register("f3_date_parse", f"""
+SELECT event_type, COUNT(*) AS n FROM events
+WHERE ts >= TIMESTAMP '{_TE[0]}' AND ts < TIMESTAMP '{_TE[1]}' GROUP BY event_type""")
+def f3_date_parse(spark, sf_dir):
+    ev = A.table(spark, sf_dir, "events")
+    return (ev.filter((F.col("ts") >= TX.parse_date(_TE[0])) & (F.col("ts") < TX.parse_date(_TE[1])))
+            .groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("f4_token_count_words", f"SELECT doc_id, CAST(len({words_sql('text')}) AS BIGINT) AS token_count FROM documents")
+def f4_token_count_words(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.word_token_count("text").alias("token_count"))
+
+
+@register("f5_truncate_words", f"SELECT doc_id, {truncate_sql('text', 256)} AS text FROM documents")
+def f5_truncate_words(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.word_truncate("text", 256).alias("text"))
+
+
+@register("f5_truncate_bpe")
+def f5_truncate_bpe(spark, sf_dir):
+    """F4+F5 with a byte-level BPE tokenizer (Arrow UDF, one encode per text); rows-only check."""
+    d = A.table(spark, sf_dir, "documents")
+    r = TX.bpe_truncate_and_count("text", 256)
+    return d.select("doc_id", r.text.alias("text"), r.token_count.alias("token_count"))
