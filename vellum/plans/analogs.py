@@ -48,14 +48,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows for the metric operators: three deterministic 'models' (vector coordinates,
-    rounded to 2 digits so ties occur) on a train/test split by id parity."""
+    floored to 2 digits so ties occur) on a train/test split by id parity (every row is kept)."""
     em = table(spark, sf_dir, "embeddings")
     label = (F.col("label") < 3).cast("int")
     split = F.when(F.col("vec_id") % 2 == 0, F.lit("train")).otherwise(F.lit("test"))
     parts = []
     for i, name in enumerate(["m0", "m1", "m2"]):
         parts.append(em.select(F.lit(name).alias("model"), split.alias("split"), label.alias("label"),
-                               F.round(F.col("embedding")[i].cast("double"), 2).alias("score")))
+                               (F.floor(F.col("embedding")[i].cast("double") * 100) / 100).alias("score")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -383,3 +383,109 @@ def f5_truncate_bpe(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
     r = TX.bpe_truncate_and_count("text", 256)
     return d.select("doc_id", r.text.alias("text"), r.token_count.alias("token_count"))
+
+
+# -- V1..V6, O4, P9 ---------------------------------------------------------------------------
+from vellum.operators import metrics as MT  # noqa: E402
+
+SCORES = """SELECT m.model, CASE WHEN vec_id % 2 = 0 THEN 'train' ELSE 'test' END AS split,
+       CAST(label < 3 AS INTEGER) AS label,
+       floor(CAST(embedding[m.i + 1] AS DOUBLE) * 100) / 100 AS score
+FROM embeddings, (VALUES ('m0', 0), ('m1', 1), ('m2', 2)) m(model, i)"""
+SCORES_P = f"SELECT *, CAST(score > 0 AS INTEGER) AS prediction FROM ({SCORES})"
+_GROUPS = f"""
+WITH s AS ({SCORES}),
+g AS (SELECT model, split, score, SUM(label) AS pos, SUM(1 - label) AS neg FROM s GROUP BY ALL)"""
+_AUC_SQL = _GROUPS + """,
+c AS (SELECT *, coalesce(SUM(neg) OVER (PARTITION BY model, split ORDER BY score
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
+SELECT model, split, round(SUM(pos * (nb + 0.5 * neg)) / (SUM(pos) * SUM(neg)), 6) AS auc,
+       CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg
+FROM c GROUP BY model, split"""
+
+
+def _r6(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+@register("v1_roc_auc", _AUC_SQL)
+def v1_roc_auc(spark, sf_dir):
+    return _r6(MT.roc_auc(A.scores(spark, sf_dir), by=["model", "split"]), "auc")
+
+
+@register("v2_roc_curve", _GROUPS + """,
+c AS (SELECT *, SUM(pos) OVER w AS tps, SUM(neg) OVER w AS fps,
+             SUM(pos) OVER (PARTITION BY model, split) AS P, SUM(neg) OVER (PARTITION BY model, split) AS N
+      FROM g WINDOW w AS (PARTITION BY model, split ORDER BY score DESC
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT model, split, round(fps / N, 6) AS fpr, round(tps / P, 6) AS tpr, score AS threshold FROM c
+UNION ALL SELECT DISTINCT model, split, 0.0, 0.0, 'inf'::DOUBLE FROM g""")
+def v2_roc_curve(spark, sf_dir):
+    return _r6(MT.roc_curve(A.scores(spark, sf_dir), by=["model", "split"]), "fpr", "tpr")
+
+
+_GAP_SQL = f"""
+WITH a AS ({_AUC_SQL})
+SELECT model, max(auc) FILTER (WHERE split = 'train') AS train_auc, max(auc) FILTER (WHERE split = 'test') AS test_auc,
+       round(max(auc) FILTER (WHERE split = 'train') - max(auc) FILTER (WHERE split = 'test'), 6) AS gap
+FROM a GROUP BY model"""
+
+
+@register("v3_auc_gap", _GAP_SQL)
+def v3_auc_gap(spark, sf_dir):
+    return _r6(MT.auc_gap(A.scores(spark, sf_dir)), "train_auc", "test_auc", "gap")
+
+
+@register("v6_model_comparison", f"""
+WITH t AS ({_GAP_SQL})
+SELECT *, CAST(row_number() OVER (ORDER BY test_auc DESC, model) AS INTEGER) AS rank FROM t ORDER BY rank""")
+def v6_model_comparison(spark, sf_dir):
+    return _r6(MT.compare_models(A.scores(spark, sf_dir)), "train_auc", "test_auc", "gap")
+
+
+_CM_SQL = f"""
+WITH s AS ({SCORES_P}),
+cls AS (SELECT DISTINCT model, split, label AS c FROM s UNION SELECT DISTINCT model, split, prediction FROM s),
+grid AS (SELECT a.model, a.split, a.c AS label, b.c AS prediction FROM cls a JOIN cls b
+         ON a.model = b.model AND a.split = b.split),
+cnt AS (SELECT model, split, label, prediction, COUNT(*) AS n FROM s GROUP BY ALL)
+SELECT g.model, g.split, g.label, g.prediction, CAST(coalesce(cnt.n, 0) AS BIGINT) AS count
+FROM grid g LEFT JOIN cnt USING (model, split, label, prediction)"""
+
+
+@register("v4_confusion_matrix", _CM_SQL)
+def v4_confusion_matrix(spark, sf_dir):
+    return MT.confusion_matrix(A.scores(spark, sf_dir), by=["model", "split"])
+
+
+@register("v5_classification_report", f"""
+WITH cm AS ({_CM_SQL}),
+tp AS (SELECT model, split, label AS c, SUM(CASE WHEN label = prediction THEN count ELSE 0 END) AS tp,
+              SUM(count) AS support FROM cm GROUP BY ALL),
+pp AS (SELECT model, split, prediction AS c, SUM(count) AS pred FROM cm GROUP BY ALL),
+per AS (SELECT tp.*, pp.pred,
+               CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END AS precision,
+               CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall
+        FROM tp JOIN pp USING (model, split, c)),
+per2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                    ELSE 0.0 END AS f1 FROM per),
+agg AS (SELECT model, split, SUM(tp) AS tp, SUM(support) AS n, avg(precision) AS mp, avg(recall) AS mr,
+               avg(f1) AS mf, SUM(precision * support) AS wp, SUM(recall * support) AS wr,
+               SUM(f1 * support) AS wf FROM per2 GROUP BY ALL)
+SELECT model, split, CAST(c AS VARCHAR) AS class, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM per2
+UNION ALL SELECT model, split, 'accuracy', NULL, NULL, round(tp / n, 6), CAST(n AS BIGINT) FROM agg
+UNION ALL SELECT model, split, 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), CAST(n AS BIGINT) FROM agg
+UNION ALL SELECT model, split, 'weighted avg', round(wp / n, 6), round(wr / n, 6), round(wf / n, 6),
+                 CAST(n AS BIGINT) FROM agg""")
+def v5_classification_report(spark, sf_dir):
+    r = MT.classification_report(A.scores(spark, sf_dir), by=["model", "split"])
+    return _r6(r, "precision", "recall", "f1")
+
+
+@register("p9_decision", f"SELECT model, split, label, score, CAST(score > 0.05 AS INTEGER) AS decision FROM ({SCORES})")
+def p9_decision(spark, sf_dir):
+    s = A.scores(spark, sf_dir).drop("prediction")
+    return MT.decide(s, "score", 0.05, out="decision")
