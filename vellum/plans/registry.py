@@ -489,3 +489,69 @@ def v5_classification_report(spark, sf_dir):
 def p9_decision(spark, sf_dir):
     s = A.scores(spark, sf_dir).drop("prediction")
     return MT.decide(s, "score", 0.05, out="decision")
+
+
+# -- S1..S12 ----------------------------------------------------------------------------------
+from vellum.session import scratch_path  # noqa: E402
+from vellum.sources import cache as CA  # noqa: E402
+from vellum.sources import catalog as CT  # noqa: E402
+
+
+@register("s1_catalog")
+def s1_catalog(spark, sf_dir):
+    return CT.TableCatalog(spark, sf_dir).to_df()
+
+
+@register("s2_read_full", "SELECT * FROM events")
+def s2_read_full(spark, sf_dir):
+    return CT.TableCatalog(spark, sf_dir).read_table("events")
+
+
+def _daily_lake(spark, sf_dir):
+    """The events table re-laid as an incremental table (one file per date) in the shared folder."""
+    base = scratch_path(spark, "lake")
+    CT.write_incremental(A.table(spark, sf_dir, "events"), f"{base}/events_daily", "ts")
+    return CT.TableCatalog(spark, base)
+
+
+@register("s3_read_one_date", f"SELECT * FROM events WHERE ts >= TIMESTAMP '{_TE[0]}' "
+                              f"AND ts < TIMESTAMP '{_TE[0]}' + INTERVAL 1 DAY")
+def s3_read_one_date(spark, sf_dir):
+    return _daily_lake(spark, sf_dir).read_table("events_daily", _TE[0])
+
+
+@register("s4_read_incremental_all", "SELECT * FROM events")
+def s4_read_incremental_all(spark, sf_dir):
+    return _daily_lake(spark, sf_dir).read_all("events_daily")
+
+
+@register("s5_query_table", "SELECT event_type, COUNT(*) AS n, round(avg(value), 6) AS mean_value "
+                            "FROM events GROUP BY event_type")
+def s5_query_table(spark, sf_dir):
+    cat = CT.TableCatalog(spark, sf_dir)
+    return cat.query_table("events", "SELECT event_type, COUNT(*) AS n, round(avg(value), 6) AS mean_value "
+                                     "FROM <table> GROUP BY event_type")
+
+
+@register("s8_save_load", _F6_SQL)
+def s8_save_load(spark, sf_dir):
+    path = scratch_path(spark, "dataset")
+    CA.save_data(_dataset(spark, sf_dir), path)
+    return CA.load_data(spark, path)
+
+
+@register("s10_materialize_set", f"WITH spine AS ({SPINE}) SELECT * FROM spine "
+                                 f"WHERE CreatedAt >= TIMESTAMP '{_TE[0]}' AND CreatedAt < TIMESTAMP '{_TE[1]}'")
+def s10_materialize_set(spark, sf_dir):
+    folder = scratch_path(spark, "sets")
+    params = {"sf_dir": sf_dir, "train": _TR, "test": _TE}
+    got = CA.materialize(spark, {"train": lambda: _split(spark, sf_dir)[0],
+                                 "test": lambda: _split(spark, sf_dir)[1]}, folder, params)
+    return got["test"]
+
+
+@register("s11_embedding_store", "SELECT vec_id, embedding FROM embeddings")
+def s11_embedding_store(spark, sf_dir):
+    store = CA.EmbeddingStore(spark, scratch_path(spark, "vectors"))
+    store.save(A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "raw", "all")
+    return store.load("raw", "all")
