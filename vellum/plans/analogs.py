@@ -60,3 +60,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("prediction", (F.col("score") > 0).cast("int"))
+
+
+def vector_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train / test vectors by id parity (every row is in exactly one split)."""
+    v = vectors(spark, sf_dir)
+    return v.filter(F.col("vec_id") % 2 == 0), v.filter(F.col("vec_id") % 2 == 1)

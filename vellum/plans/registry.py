@@ -555,3 +555,55 @@ def s11_embedding_store(spark, sf_dir):
     store = CA.EmbeddingStore(spark, scratch_path(spark, "vectors"))
     store.save(A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "raw", "all")
     return store.load("raw", "all")
+
+
+# -- M1..M7 -----------------------------------------------------------------------------------
+from vellum.operators import models as MD  # noqa: E402
+
+
+@register("m1_standardize", """
+WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+st AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM e GROUP BY i)
+SELECT vec_id, list(round((x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) ORDER BY i) AS z
+FROM e JOIN st USING (i) GROUP BY vec_id""")
+def m1_standardize(spark, sf_dir):
+    em = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    st = MD.Standardizer(population=True).fit(em, "embedding")
+    z = st.transform(em, "embedding", "z")
+    return z.select("vec_id", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
+
+
+def _fit_score(spark, sf_dir, preset):
+    tr, te = A.vector_split(spark, sf_dir)
+    fc = MD.fit_classifier(tr, "embedding", "label", preset, seed=42)
+    return fc.score(tr, "train", ["vec_id"]).unionByName(fc.score(te, "test", ["vec_id"]))
+
+
+@register("m2_logistic_balanced")
+def m2_logistic_balanced(spark, sf_dir):
+    return _fit_score(spark, sf_dir, "lr_stage2")
+
+
+@register("m3_gbt_weighted")
+def m3_gbt_weighted(spark, sf_dir):
+    return _fit_score(spark, sf_dir, "gbt_quick")
+
+
+@register("m4_mlp")
+def m4_mlp(spark, sf_dir):
+    return _fit_score(spark, sf_dir, "mlp")
+
+
+@register("m6_gbt_early_stopping")
+def m6_gbt_early_stopping(spark, sf_dir):
+    tr, te = A.vector_split(spark, sf_dir)
+    fc = MD.fit_classifier(tr, "embedding", "label", "gbt_quick", seed=42, n_estimators=30,
+                           early_stopping_rounds=5, name="gbt_early_stop")
+    return fc.score(te, "test", ["vec_id"])
+
+
+@register("m7_compare_trained_models")
+def m7_compare_trained_models(spark, sf_dir):
+    tr, te = A.vector_split(spark, sf_dir)
+    scored = MD.train_models(tr, te, models=["lr_checkpoint", "gbt_quick", "mlp"], keep=["vec_id"])
+    return MT.compare_models(scored)
