@@ -66,3 +66,13 @@ def vector_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Train / test vectors by id parity (every row is in exactly one split)."""
     v = vectors(spark, sf_dir)
     return v.filter(F.col("vec_id") % 2 == 0), v.filter(F.col("vec_id") % 2 == 1)
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair table: each even id with the next id; label 1 when both have the same binary label."""
+    v = vectors(spark, sf_dir)
+    a = v.filter(F.col("vec_id") % 2 == 0).select("vec_id", F.col("embedding").alias("emb_a"),
+                                                  F.col("label").alias("_ya"), "batch_id")
+    b = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("emb_b"), F.col("label").alias("_yb"))
+    return a.join(b, on="vec_id").select("vec_id", "batch_id", "emb_a", "emb_b",
+                                         (F.col("_ya") == F.col("_yb")).cast("int").alias("label"))

@@ -607,3 +607,99 @@ def m7_compare_trained_models(spark, sf_dir):
     tr, te = A.vector_split(spark, sf_dir)
     scored = MD.train_models(tr, te, models=["lr_checkpoint", "gbt_quick", "mlp"], keep=["vec_id"])
     return MT.compare_models(scored)
+
+
+# -- E2, E3, E5..E9 ---------------------------------------------------------------------------
+import numpy as _np  # noqa: E402
+
+from vellum.operators import contrastive as CS  # noqa: E402
+
+_PROJ_OUT = 8
+
+
+def fixed_projection(d_in: int = 64, d_out: int = _PROJ_OUT) -> CS.ProjectionModel:
+    """A rule-made projection for checks: W[j, i] = ((7 i + 3 j) mod 11 - 5) / 10, b[j] = j / 100."""
+    W = _np.array([[((7 * i + 3 * j) % 11 - 5) / 10 for i in range(d_in)] for j in range(d_out)])
+    return CS.ProjectionModel(W, _np.arange(d_out) / 100.0, normalize=False)
+
+
+@register("e2_dense_projection", f"""
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i
+           FROM embeddings),
+o AS (SELECT unnest(range(0, {_PROJ_OUT})) AS j),
+u AS (SELECT e.vec_id, o.j, SUM(x * (((7 * i + 3 * o.j) % 11) - 5) / 10.0) + o.j / 100.0 AS u
+      FROM e, o GROUP BY e.vec_id, o.j)
+SELECT vec_id, list(round(tanh(u), 6) ORDER BY j) AS z FROM u GROUP BY vec_id""")
+def e2_dense_projection(spark, sf_dir):
+    em = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    z = fixed_projection().transform(em, "embedding", "z", out_type="double")
+    return z.select("vec_id", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
+
+
+@register("e3_l2_normalize", """
+WITH s AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * i) AS v FROM embeddings)
+SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS e
+FROM s""")
+def e3_l2_normalize(spark, sf_dir):
+    em = A.table(spark, sf_dir, "embeddings")
+    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x * (i + 1))
+    return em.select("vec_id", F.transform(CS.l2_normalize(scaled), lambda x: F.round(x, 6)).alias("e"))
+
+
+_BATCH_PAIRS_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(label < 3 AS INTEGER) AS y,
+                  vec_id // 16 AS b FROM embeddings),
+p AS (SELECT a.vec_id AS a, o.vec_id AS o, a.b, list_distance(a.e, o.e) AS d, a.y = o.y AS same
+      FROM v a JOIN v o ON a.b = o.b AND a.vec_id <> o.vec_id)"""
+
+
+@register("e5_batch_hard_soft_margin", _BATCH_PAIRS_SQL + """,
+h AS (SELECT a, max(d) FILTER (WHERE same) AS hp, min(d) FILTER (WHERE NOT same) AS hn FROM p GROUP BY a)
+SELECT round(avg(ln(1 + exp(hp - hn))), 6) AS loss, COUNT(*) AS n FROM h
+WHERE hp IS NOT NULL AND hn IS NOT NULL""")
+def e5_batch_hard_soft_margin(spark, sf_dir):
+    return _r6(CS.batch_loss(A.vectors(spark, sf_dir), "batch_hard_soft_margin"), "loss")
+
+
+@register("e6_batch_all_triplet", _BATCH_PAIRS_SQL + """,
+t AS (SELECT ap.d - an.d + 0.5 AS l FROM p ap JOIN p an ON ap.a = an.a AND ap.same AND NOT an.same)
+SELECT round(SUM(l) / COUNT(*), 6) AS loss, COUNT(*) AS n FROM t WHERE l > 1e-16""")
+def e6_batch_all_triplet(spark, sf_dir):
+    return _r6(CS.batch_loss(A.vectors(spark, sf_dir), "batch_all"), "loss")
+
+
+@register("e7_semi_hard_triplet", _BATCH_PAIRS_SQL + """,
+t AS (SELECT ap.a, ap.o, ap.d AS dap,
+             coalesce(min(an.d) FILTER (WHERE an.d > ap.d), max(an.d)) AS dn
+      FROM p ap JOIN p an ON ap.a = an.a AND ap.same AND NOT an.same GROUP BY ap.a, ap.o, ap.d)
+SELECT round(avg(greatest(dap - dn + 0.5, 0)), 6) AS loss, COUNT(*) AS n FROM t""")
+def e7_semi_hard_triplet(spark, sf_dir):
+    return _r6(CS.batch_loss(A.vectors(spark, sf_dir), "semi_hard"), "loss")
+
+
+_PAIRS_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(label < 3 AS INTEGER) AS y FROM embeddings),
+p AS (SELECT a.vec_id // 16 AS batch_id, 1 - list_cosine_similarity(a.e, b.e) AS d,
+             list_cosine_similarity(a.e, b.e) AS cs, CAST(a.y = b.y AS INTEGER) AS label
+      FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"""
+
+
+@register("e8_online_contrastive", _PAIRS_SQL + """,
+st AS (SELECT batch_id, max(d) FILTER (WHERE label = 1) AS pmax, avg(d) FILTER (WHERE label = 1) AS pavg,
+              count(*) FILTER (WHERE label = 1) AS np, min(d) FILTER (WHERE label = 0) AS nmin,
+              avg(d) FILTER (WHERE label = 0) AS navg, count(*) FILTER (WHERE label = 0) AS nn
+       FROM p GROUP BY batch_id),
+t AS (SELECT p.batch_id, SUM(CASE
+          WHEN label = 1 AND d > (CASE WHEN nn > 1 THEN nmin ELSE pavg END) THEN d * d
+          WHEN label = 0 AND d < (CASE WHEN np > 1 THEN pmax ELSE navg END) THEN pow(greatest(0.5 - d, 0), 2)
+          ELSE 0 END) AS loss
+      FROM p JOIN st USING (batch_id) GROUP BY p.batch_id)
+SELECT round(avg(loss), 6) AS loss, COUNT(*) AS n_batches FROM t""")
+def e8_online_contrastive(spark, sf_dir):
+    return _r6(CS.online_contrastive_loss(A.vector_pairs(spark, sf_dir)), "loss")
+
+
+@register("e9_cosine_similarity_loss", _PAIRS_SQL + """
+SELECT round(avg((cs - label) * (cs - label)), 6) AS loss, COUNT(*) AS n FROM p""")
+def e9_cosine_similarity_loss(spark, sf_dir):
+    return _r6(CS.cosine_similarity_loss(A.vector_pairs(spark, sf_dir)), "loss")
