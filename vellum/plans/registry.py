@@ -703,3 +703,94 @@ def e8_online_contrastive(spark, sf_dir):
 SELECT round(avg((cs - label) * (cs - label)), 6) AS loss, COUNT(*) AS n FROM p""")
 def e9_cosine_similarity_loss(spark, sf_dir):
     return _r6(CS.cosine_similarity_loss(A.vector_pairs(spark, sf_dir)), "loss")
+
+
+# -- E1, E4, E10..E13, V7, V8 ---------------------------------------------------------------
+from vellum.operators import encode as EN  # noqa: E402
+from vellum.plans import dataset as DS  # noqa: E402
+from vellum.plans import evaluate as EV  # noqa: E402
+
+_KEYS = ["UserLoanId", "CreatedAt"]
+_TEXT = "concatenated_body"
+_LABEL = "DefaultDPD21"
+
+
+def _datasets(spark, sf_dir):
+    return DS.build_train_test(A.messages(spark, sf_dir), A.spine(spark, sf_dir), _TR, _TE,
+                               A.LOOKBACK_DAYS, max_tokens=256,
+                               cache_dir=scratch_path(spark, "datasets"))
+
+
+@register("e1_text_features")
+def e1_text_features(spark, sf_dir):
+    tr, te = _datasets(spark, sf_dir)
+    enc = EN.TextEncoder.fit_featurizer(tr, _TEXT, kind="word2vec", vector_size=32, seed=42)
+    return enc.features(te.select(*_KEYS, _TEXT)).drop(_TEXT)
+
+
+def _projection_fit(**kw):
+    base = dict(embedding_dim=16, epochs=2, batch_size=16, lr=1e-2, seed=7, steps_per_epoch=4,
+                features="embedding", label="label", key="vec_id")
+    base.update(kw)
+    return CS.ContrastiveProjection(**base)
+
+
+@register("e10_fit_projection")
+def e10_fit_projection(spark, sf_dir):
+    v = A.vectors(spark, sf_dir)
+    model = _projection_fit().fit(v)
+    return model.transform(v.select("vec_id", "label", "embedding"), "embedding", "projected").drop("embedding")
+
+
+@register("e11_warm_start")
+def e11_warm_start(spark, sf_dir):
+    v = A.vectors(spark, sf_dir)
+    first = _projection_fit(epochs=1).fit(v)
+    model = _projection_fit(epochs=1).fit(v, initial=first)
+    return model.transform(v.select("vec_id", "label", "embedding"), "embedding", "projected").drop("embedding")
+
+
+@register("e12_fit_transform")
+def e12_fit_transform(spark, sf_dir):
+    v = A.vectors(spark, sf_dir).select("vec_id", "label", "embedding")
+    return _projection_fit(epochs=1).fit_transform(v, "projected").drop("embedding")
+
+
+@register("e13_checkpoint_resume")
+def e13_checkpoint_resume(spark, sf_dir):
+    v = A.vectors(spark, sf_dir)
+    folder = scratch_path(spark, "checkpoints")
+    _projection_fit(epochs=1, checkpoint_dir=folder, checkpoint_every=1).fit(v)
+    latest = CA.list_checkpoints(spark, folder)[-1]
+    model, state = CS.load_checkpoint(spark, latest)
+    resumed = _projection_fit(epochs=1).fit(v, initial=model, state=state)
+    return resumed.transform(v.select("vec_id", "label", "embedding"), "embedding", "projected").drop("embedding")
+
+
+def _text_encoder(spark, sf_dir, tr):
+    enc = EN.TextEncoder.fit_featurizer(tr, _TEXT, kind="word2vec", vector_size=32, seed=42)
+    return enc.fit_projection(tr, _LABEL, embedding_dim=16, epochs=1, batch_size=16, lr=1e-2, seed=7,
+                              steps_per_epoch=4)
+
+
+@register("e4_encode_texts")
+def e4_encode_texts(spark, sf_dir):
+    tr, te = _datasets(spark, sf_dir)
+    return _text_encoder(spark, sf_dir, tr).transform(te.select(*_KEYS, _TEXT)).drop(_TEXT)
+
+
+@register("v7_evaluate_checkpoint")
+def v7_evaluate_checkpoint(spark, sf_dir):
+    tr, te = _datasets(spark, sf_dir)
+    path = scratch_path(spark, "encoder") + "/checkpoint-00000001"
+    _text_encoder(spark, sf_dir, tr).save(path)
+    store = CA.EmbeddingStore(spark, scratch_path(spark, "vectors"))
+    return EV.evaluate_checkpoint(spark, path, tr, te, _LABEL, _KEYS, store)["report"]
+
+
+@register("v8_evaluate_encoder")
+def v8_evaluate_encoder(spark, sf_dir):
+    tr, te = _datasets(spark, sf_dir)
+    path = scratch_path(spark, "encoder")
+    _text_encoder(spark, sf_dir, tr).save(path)
+    return EV.evaluate_encoder(spark, path, tr, te, _LABEL, _KEYS)["comparison"]
