@@ -399,7 +399,7 @@ g AS (SELECT model, split, score, SUM(label) AS pos, SUM(1 - label) AS neg FROM
 _AUC_SQL = _GROUPS + """,
 c AS (SELECT *, coalesce(SUM(neg) OVER (PARTITION BY model, split ORDER BY score
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
-SELECT model, split, round(SUM(pos * (nb + 0.5 * neg)) / (SUM(pos) * SUM(neg)), 6) AS auc,
+SELECT model, split, SUM(pos * (nb + 0.5 * neg)) / (SUM(pos) * SUM(neg)) AS auc,
        CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg
 FROM c GROUP BY model, split"""
 
@@ -410,7 +410,7 @@ def _r6(df, *cols):
     return df
 
 
-@register("v1_roc_auc", _AUC_SQL)
+@register("v1_roc_auc", f"SELECT model, split, round(auc, 6) AS auc, n_pos, n_neg FROM ({_AUC_SQL})")
 def v1_roc_auc(spark, sf_dir):
     return _r6(MT.roc_auc(A.scores(spark, sf_dir), by=["model", "split"]), "auc")
 
@@ -428,7 +428,8 @@ def v2_roc_curve(spark, sf_dir):
 
 _GAP_SQL = f"""
 WITH a AS ({_AUC_SQL})
-SELECT model, max(auc) FILTER (WHERE split = 'train') AS train_auc, max(auc) FILTER (WHERE split = 'test') AS test_auc,
+SELECT model, round(max(auc) FILTER (WHERE split = 'train'), 6) AS train_auc,
+       round(max(auc) FILTER (WHERE split = 'test'), 6) AS test_auc,
        round(max(auc) FILTER (WHERE split = 'train') - max(auc) FILTER (WHERE split = 'test'), 6) AS gap
 FROM a GROUP BY model"""
 
