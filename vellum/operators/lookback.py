@@ -25,7 +25,7 @@ from vellum.functions.text import (
     word_token_count,
     word_truncate,
 )
-from vellum.session import require_columns
+from vellum.session import require_columns, small_enough_to_broadcast
 
 DEFAULT_SEPARATOR = "\n---\n"
 METHODS = ("bucketed", "rew", "frame", "full")
@@ -122,6 +122,9 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
         raise ValueError(f"method must be one of {METHODS}")
     if days < 0:
         raise ValueError("days must be >= 0")
+    require_columns(messages, key, ts, body, what="messages")
+    if method == "bucketed" and spine is not None:
+        return _lookback_bucketed(messages, spine, days, separator, key, ts, body, bucket_seconds, out)
     msgs = messages if spine is None else fetch_keys(messages, spine, key)
     clean = clean_messages(msgs, key, ts, body)
     if spine is None or method == "full":
@@ -144,11 +147,49 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
         pairs = (a.join(m, on="_k").filter((F.col("_mt") <= F.col("_at"))
                                            & (F.col("_mt") >= F.col("_at") - lookback))
                  .select(F.col("_k").alias(key), F.col("_at").alias(ts), F.col("_body").alias(body)))
-    else:  # bucketed, full
+    else:  # full, or bucketed without a spine
         pairs = band_pairs(anchors, clean, days, key, ts, body, bucket_seconds)
     return pairs.groupBy(key, ts).agg(distinct_sorted_concat(body, separator).alias(out))
 
 
+def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separator: str, key: str,
+                       ts: str, body: str, bucket_seconds: int | None, out: str) -> DataFrame:
+    """The skew-safe default plan.
+
+    * clean messages are hashed once on ``(key, bucket)``; their dedup and the band join both run
+      on that partitioning (one shuffle of the big side, no per-key hot task);
+    * spine anchors are deduplicated and sent to every bucket their window touches;
+    * messages of keys outside the spine are dropped map-side when the key set has a proven small
+      size; otherwise the (key, bucket) join drops them;
+    * the anchor-existence test (a clean message at exactly the anchor time) is a flag in the
+      final aggregate, not a separate semi-join: the anchor's own message is always in its window.
+    """
+    width = int(bucket_seconds or max(days, 1) * 86400)
+    if width <= 0:
+        raise ValueError("bucket_seconds must be > 0")
+    lookback = F.make_dt_interval(days=F.lit(days))
+    keys = spine.select(F.col(key).alias("_k")).distinct()
+    if small_enough_to_broadcast(keys):
+        # a provably small key set: drop other keys' messages before the shuffle, map-side
+        messages = messages.join(F.broadcast(keys.withColumnRenamed("_k", key)), on=key, how="left_semi")
+    m = (messages.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
+         .filter(F.col("_k").isNotNull() & F.col("_mt").isNotNull() & text_present("_body"))
+         .withColumn("_b", _bucket(F.col("_mt"), width))
+         .repartition("_k", "_b")
+         .dropDuplicates(["_k", "_b", "_mt", "_body"]))
+    a = (spine.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
+         .filter(F.col("_k").isNotNull() & F.col("_at").isNotNull())
+         .dropDuplicates(["_k", "_at"])
+         .withColumn("_b", F.explode(F.sequence(_bucket(F.col("_at") - lookback, width),
+                                                _bucket(F.col("_at"), width)))))
+    pairs = a.join(m, on=["_k", "_b"], how="inner").filter(
+        (F.col("_mt") <= F.col("_at")) & (F.col("_mt") >= F.col("_at") - lookback))
+    agg = pairs.groupBy("_k", "_at").agg(
+        distinct_sorted_concat("_body", separator).alias(out),
+        F.max((F.col("_mt") == F.col("_at")).cast("int")).alias("_self"))
+    return agg.filter(F.col("_self") == 1).select(F.col("_k").alias(key), F.col("_at").alias(ts), out)
+
+
 # -- J2 / F4 / F5 / F6 ------------------------------------------------------------------------
 
 def label_join(texts: DataFrame, labels: DataFrame, key: str = "UserLoanId",

@@ -153,7 +153,7 @@ def fit_classifier(train: DataFrame, features: str = "embedding", label: str = "
         sw = x.agg(F.sum(wcol) if wcol else F.count(F.lit(1))).first()[0]
         est = LogisticRegression(featuresCol="features", labelCol=label, maxIter=int(cfg.get("max_iter", 100)),
                                  regParam=1.0 / (float(cfg.get("C", 1.0)) * float(sw)), elasticNetParam=0.0,
-                                 standardization=False, tol=1e-8)
+                                 standardization=False, tol=1e-6)
         if wcol:
             est.setWeightCol(wcol)
         model = est.fit(x)

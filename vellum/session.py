@@ -69,3 +69,31 @@ def require_columns(df: DataFrame, *cols: str, what: str = "input") -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"{what} is missing column(s) {missing}; has {df.columns}")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (bytes)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's broadcast threshold in bytes (-1 disables broadcasting)."""
+    v = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    v = v.strip().lower()
+    mult = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for suf in sorted(mult, key=len, reverse=True):
+        if v.endswith(suf):
+            return int(float(v[: -len(suf)]) * mult[suf])
+    return int(v)
+
+
+def small_enough_to_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """True only when the estimated size is known to be under the limit (default: the session's
+    broadcast threshold)."""
+    limit = broadcast_limit(df.sparkSession) if max_bytes is None else max_bytes
+    if limit <= 0:
+        return False
+    try:
+        return estimated_bytes(df) <= limit
+    except Exception:  # noqa: BLE001 - unknown size: do not broadcast
+        return False
