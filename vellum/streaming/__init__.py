@@ -1 +1,6 @@
-"""streaming"""
+"""Streaming operators: none.
+
+The reference processes message logs and incremental (one file per date) tables as batches; it
+has no watermark, event-time window, state or late-data handling. Incremental tables are read as
+batches through ``vellum.sources.catalog.TableCatalog.read_all`` / ``read_dates``.
+"""
