@@ -8,6 +8,7 @@ inclusive), sorts them by bytes and joins them with a separator. Forms (all give
 * ``bucketed`` (default): anchors are reduced to labelled ones first; messages are hashed on
   ``(key, time bucket)`` and each anchor probes only the buckets its window touches, so one hot key
   is spread over many tasks instead of one. A finer ``bucket_seconds`` splits hot keys further.
+* ``rew`` and ``frame`` key all work by the key alone (one hot key = one task): comparison only.
 * ``rew``: the same anchor reduction with an equi-join on the key alone plus the range residual.
 * ``frame``: a RANGE window per key (one task per key: not skew-safe, kept for comparison).
 * ``full``: the unreduced shape, every clean message is an anchor; labels filter afterwards.
@@ -95,7 +96,7 @@ def band_pairs(anchors: DataFrame, clean: DataFrame, days: int, key: str = "User
     ``anchor.ts - days <= msg.ts <= anchor.ts``. Equi-join on ``(key, bucket)`` plus the exact range."""
     if days < 0:
         raise ValueError("days must be >= 0")
-    width = int(bucket_seconds or max(days, 1) * 86400)
+    width = int(bucket_seconds or default_bucket_seconds(days))
     if width <= 0:
         raise ValueError("bucket_seconds must be > 0")
     lookback = F.make_dt_interval(days=F.lit(days))
@@ -152,19 +153,26 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
     return pairs.groupBy(key, ts).agg(distinct_sorted_concat(body, separator).alias(out))
 
 
+def default_bucket_seconds(days: int) -> int:
+    """A quarter of the look-back: each anchor probes at most 5-6 buckets, candidate pairs outside
+    the exact window stay under ~25%, and a hot key is spread over 4 buckets per window length."""
+    return max(1, max(days, 1) * 86400 // 4)
+
+
 def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separator: str, key: str,
                        ts: str, body: str, bucket_seconds: int | None, out: str) -> DataFrame:
     """The skew-safe default plan.
 
-    * clean messages are hashed once on ``(key, bucket)``; their dedup and the band join both run
-      on that partitioning (one shuffle of the big side, no per-key hot task);
+    * clean messages are deduplicated on the full ``(key, time, text)`` (an even shuffle, partial
+      aggregation collapses copies map-side), then hashed on ``(key, bucket)`` for the band join;
+      a skewed ``(key, bucket)`` partition is split by AQE's skew-join handling;
     * spine anchors are deduplicated and sent to every bucket their window touches;
     * messages of keys outside the spine are dropped map-side when the key set has a proven small
       size; otherwise the (key, bucket) join drops them;
     * the anchor-existence test (a clean message at exactly the anchor time) is a flag in the
       final aggregate, not a separate semi-join: the anchor's own message is always in its window.
     """
-    width = int(bucket_seconds or max(days, 1) * 86400)
+    width = int(bucket_seconds or default_bucket_seconds(days))
     if width <= 0:
         raise ValueError("bucket_seconds must be > 0")
     lookback = F.make_dt_interval(days=F.lit(days))
@@ -174,9 +182,8 @@ def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separat
         messages = messages.join(F.broadcast(keys.withColumnRenamed("_k", key)), on=key, how="left_semi")
     m = (messages.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
          .filter(F.col("_k").isNotNull() & F.col("_mt").isNotNull() & text_present("_body"))
-         .withColumn("_b", _bucket(F.col("_mt"), width))
-         .repartition("_k", "_b")
-         .dropDuplicates(["_k", "_b", "_mt", "_body"]))
+         .dropDuplicates(["_k", "_mt", "_body"])
+         .withColumn("_b", _bucket(F.col("_mt"), width)))
     a = (spine.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
          .filter(F.col("_k").isNotNull() & F.col("_at").isNotNull())
          .dropDuplicates(["_k", "_at"])
