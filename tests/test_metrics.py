@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql.utils import CapturedException
@@ -47,6 +48,31 @@ def test_roc_curve_points(spark):
     assert dropped <= 5
 
 
+def _roc_dropped_brute(labels, scores):
+    """The library rule on plain arrays: cumulative counts per distinct score (descending), drop a
+    point whose count steps to both neighbours are equal on both axes, prepend (0, 0, inf)."""
+    order = np.argsort(-scores, kind="stable")
+    s, y = scores[order], labels[order]
+    last = np.r_[np.where(np.diff(s))[0], len(s) - 1]
+    tps, fps = np.cumsum(y)[last], np.cumsum(1 - y)[last]
+    keep = np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True]
+    pts = [(float(t), round(f / fps[-1], 6), round(p / tps[-1], 6))
+           for t, f, p in zip(s[last][keep], fps[keep], tps[keep])]
+    return sorted(pts + [(float("inf"), 0.0, 0.0)])
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 16])
+def test_roc_drop_intermediate_matches_library_rule(spark, buckets):
+    rng = np.random.default_rng(7)
+    # distinct scores in same-label runs (long equal-step stretches) plus heavily tied scores
+    scores = np.r_[np.arange(300) / 300.0, np.round(rng.random(100), 1)]
+    labels = np.r_[(np.arange(300) // 25) % 2, (rng.random(100) < 0.5)].astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(labels, scores)], "label int, score double")
+    got = sorted((r.threshold, round(r.fpr, 6), round(r.tpr, 6))
+                 for r in MT.roc_curve(df, drop_intermediate=True, num_buckets=buckets).collect())
+    assert got == _roc_dropped_brute(labels, scores)
+
+
 def test_confusion_and_report_with_unpredicted_class(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (1, 0), (1, 0)], "label int, prediction int")
     cm = {(r.label, r.prediction): r["count"] for r in MT.confusion_matrix(df).collect()}

@@ -78,33 +78,47 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: list[
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None,
               num_buckets: int | None = None, drop_intermediate: bool = False) -> DataFrame:
     """V2: ``(by..., fpr, tpr, threshold)``: one point per distinct score (descending thresholds)
-    plus the start point (0, 0, +inf). ``drop_intermediate`` removes points collinear with both
-    neighbours."""
+    plus the start point (0, 0, +inf). ``drop_intermediate`` applies the library rule: a point is
+    dropped when the count steps to its neighbours are equal on both axes (the first and the last
+    point of the curve are always kept, the start point is added afterwards)."""
     by = list(by or [])
     g = _with_below(_score_groups(df, by, label, score), by, num_buckets)
     # totals per group via a small aggregate joined back (no window over the whole group)
     tot = g.groupBy(*by).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     g = g.join(tot, on=by, how="inner") if by else _join_one(g, tot)
-    pts = g.select(*by,
-                   ((F.col("_N") - F.col("_neg_below")) / F.col("_N")).alias("fpr"),
-                   ((F.col("_P") - F.col("_pos_below")) / F.col("_P")).alias("tpr"),
+    g = g.select(*by, "_bk", "_s", "_P", "_N", (F.col("_N") - F.col("_neg_below")).alias("_fps"),
+                 (F.col("_P") - F.col("_pos_below")).alias("_tps"))
+    if drop_intermediate:
+        g = _drop_equal_steps(g, by)
+    pts = g.select(*by, (F.col("_fps") / F.col("_N")).alias("fpr"), (F.col("_tps") / F.col("_P")).alias("tpr"),
                    F.col("_s").alias("threshold"))
     start = tot.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
                        F.lit(float("inf")).alias("threshold"))
-    out = pts.unionByName(start)
-    if drop_intermediate:
-        w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.col("threshold").desc())
-        out = (out.withColumn("_pf", F.lag("fpr").over(w)).withColumn("_pt", F.lag("tpr").over(w))
-               .withColumn("_nf", F.lead("fpr").over(w)).withColumn("_nt", F.lead("tpr").over(w)))
-        collinear = ((F.col("fpr") - F.col("_pf")) * (F.col("_nt") - F.col("tpr"))
-                     == (F.col("tpr") - F.col("_pt")) * (F.col("_nf") - F.col("fpr")))
-        out = out.filter(F.col("_pf").isNull() | F.col("_nf").isNull() | ~collinear) \
-            .drop("_pf", "_pt", "_nf", "_nt")
-    return out
+    return pts.unionByName(start)
+
+
+def _drop_equal_steps(g: DataFrame, by: list[str]) -> DataFrame:
+    """Neighbours in descending score order without a window over a whole group: inside a score
+    range by lag/lead over that range; across ranges from a table of the top and bottom point of
+    each (group, range), i.e. at most ``2 * num_buckets`` rows per group."""
+    inb = Window.partitionBy(*by, "_bk").orderBy(F.col("_s").desc())
+    g = (g.withColumn("_pf", F.lag("_fps").over(inb)).withColumn("_pt", F.lag("_tps").over(inb))
+         .withColumn("_nf", F.lead("_fps").over(inb)).withColumn("_nt", F.lead("_tps").over(inb)))
+    pt = F.struct(F.col("_fps").alias("f"), F.col("_tps").alias("t"))
+    edges = g.groupBy(*by, "_bk").agg(F.max_by(pt, "_s").alias("_top"), F.min_by(pt, "_s").alias("_bot"))
+    ow = Window.partitionBy(*by).orderBy("_bk") if by else Window.orderBy("_bk")  # bounded per group
+    edges = edges.select(*by, "_bk", F.lead("_bot").over(ow).alias("_up"), F.lag("_top").over(ow).alias("_down"))
+    g = g.join(edges, on=[*by, "_bk"], how="inner")
+    pf, ptt = F.coalesce("_pf", "_up.f"), F.coalesce("_pt", "_up.t")
+    nf, nt = F.coalesce("_nf", "_down.f"), F.coalesce("_nt", "_down.t")
+    equal = ((F.col("_fps") - pf) == (nf - F.col("_fps"))) & ((F.col("_tps") - ptt) == (nt - F.col("_tps")))
+    return g.filter(pf.isNull() | nf.isNull() | ~equal).drop("_pf", "_pt", "_nf", "_nt", "_up", "_down")
 
 
 def _join_one(g: DataFrame, one: DataFrame) -> DataFrame:
-    return g.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Attach a one-row global aggregate to every row: broadcast (a global aggregate has exactly
+    one row), so the big side keeps its partitioning."""
+    return g.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def auc_gap(df: DataFrame, label: str = "label", score: str = "score", model: str = "model",

@@ -426,6 +426,20 @@ def v2_roc_curve(spark, sf_dir):
     return _r6(MT.roc_curve(A.scores(spark, sf_dir), by=["model", "split"]), "fpr", "tpr")
 
 
+@register("v2_roc_curve_dropped", _GROUPS + """,
+c AS (SELECT *, SUM(pos) OVER w AS tps, SUM(neg) OVER w AS fps,
+             SUM(pos) OVER (PARTITION BY model, split) AS P, SUM(neg) OVER (PARTITION BY model, split) AS N
+      FROM g WINDOW w AS (PARTITION BY model, split ORDER BY score DESC
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (SELECT *, LAG(fps) OVER v AS pf, LAG(tps) OVER v AS pt, LEAD(fps) OVER v AS nf, LEAD(tps) OVER v AS nt
+      FROM c WINDOW v AS (PARTITION BY model, split ORDER BY score DESC))
+SELECT model, split, round(fps / N, 6) AS fpr, round(tps / P, 6) AS tpr, score AS threshold FROM d
+WHERE pf IS NULL OR nf IS NULL OR NOT (fps - pf = nf - fps AND tps - pt = nt - tps)
+UNION ALL SELECT DISTINCT model, split, 0.0, 0.0, 'inf'::DOUBLE FROM g""")
+def v2_roc_curve_dropped(spark, sf_dir):
+    return _r6(MT.roc_curve(A.scores(spark, sf_dir), by=["model", "split"], drop_intermediate=True), "fpr", "tpr")
+
+
 _GAP_SQL = f"""
 WITH a AS ({_AUC_SQL})
 SELECT model, round(max(auc) FILTER (WHERE split = 'train'), 6) AS train_auc,
