@@ -35,7 +35,8 @@ def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
 
 
 def _with_below(g: DataFrame, by: list[str], num_buckets: int | None) -> DataFrame:
-    """Add ``_pos_below`` / ``_neg_below``: sums over strictly smaller scores in the same group."""
+    """Add ``_pos_below`` / ``_neg_below`` (sums over strictly smaller scores in the same group) and
+    the group totals ``_P`` / ``_N``, all carried by the per-(group, range) table."""
     k = _num_buckets(g, num_buckets)
     # boundaries: at most k values (a bounded driver-side list), then a JVM-side binary search
     qs = [i / k for i in range(1, k)]
@@ -50,11 +51,13 @@ def _with_below(g: DataFrame, by: list[str], num_buckets: int | None) -> DataFra
     g = (g.withColumn("_pos_in", F.coalesce(F.sum("_pos").over(inner), F.lit(0)))
          .withColumn("_neg_in", F.coalesce(F.sum("_neg").over(inner), F.lit(0))))
     tot = g.groupBy(*by, "_bk").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
-    outer = (Window.partitionBy(*by).orderBy("_bk") if by else Window.orderBy("_bk")) \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    # a window over the per-(group, range) table: at most ``k`` rows per group
+    group = Window.partitionBy(*by) if by else Window.partitionBy()
+    outer = group.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_bk",
                       F.coalesce(F.sum("_bp").over(outer), F.lit(0)).alias("_po"),
-                      F.coalesce(F.sum("_bn").over(outer), F.lit(0)).alias("_no"))
+                      F.coalesce(F.sum("_bn").over(outer), F.lit(0)).alias("_no"),
+                      F.sum("_bp").over(group).alias("_P"), F.sum("_bn").over(group).alias("_N"))
     return (g.join(offs, on=[*by, "_bk"], how="inner")
             .withColumn("_pos_below", F.col("_po") + F.col("_pos_in"))
             .withColumn("_neg_below", F.col("_no") + F.col("_neg_in"))
@@ -83,17 +86,14 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", by: lis
     point of the curve are always kept, the start point is added afterwards)."""
     by = list(by or [])
     g = _with_below(_score_groups(df, by, label, score), by, num_buckets)
-    # totals per group via a small aggregate joined back (no window over the whole group)
-    tot = g.groupBy(*by).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    g = g.join(tot, on=by, how="inner") if by else _join_one(g, tot)
     g = g.select(*by, "_bk", "_s", "_P", "_N", (F.col("_N") - F.col("_neg_below")).alias("_fps"),
                  (F.col("_P") - F.col("_pos_below")).alias("_tps"))
     if drop_intermediate:
         g = _drop_equal_steps(g, by)
     pts = g.select(*by, (F.col("_fps") / F.col("_N")).alias("fpr"), (F.col("_tps") / F.col("_P")).alias("tpr"),
                    F.col("_s").alias("threshold"))
-    start = tot.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
-                       F.lit(float("inf")).alias("threshold"))
+    start = (g.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+             .select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")))
     return pts.unionByName(start)
 
 
@@ -115,12 +115,6 @@ def _drop_equal_steps(g: DataFrame, by: list[str]) -> DataFrame:
     return g.filter(pf.isNull() | nf.isNull() | ~equal).drop("_pf", "_pt", "_nf", "_nt", "_up", "_down")
 
 
-def _join_one(g: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach a one-row global aggregate to every row: broadcast (a global aggregate has exactly
-    one row), so the big side keeps its partitioning."""
-    return g.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
 def auc_gap(df: DataFrame, label: str = "label", score: str = "score", model: str = "model",
             split: str = "split", train: str = "train", test: str = "test",
             num_buckets: int | None = None) -> DataFrame:

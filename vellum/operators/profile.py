@@ -45,12 +45,25 @@ def class_balance(df: DataFrame, label: str = "DefaultDPD21") -> DataFrame:
         .cast("double").alias("scale_pos_weight"))
 
 
+MAX_CLASSES = 10_000
+
+
 def balanced_weights(df: DataFrame, label: str = "DefaultDPD21", weight: str = "weight") -> DataFrame:
-    """``weight = n / (n_classes * n_c)`` per row (sklearn's 'balanced'). The per-class count
-    table has one row per class and is joined back by label."""
+    """``weight = n / (n_classes * n_c)`` per row (sklearn's 'balanced').
+
+    The per-class counts are a table with one row per class. When it holds at most
+    ``MAX_CLASSES`` rows (checked, not assumed) it becomes a literal map in the projection, so the
+    rows are never shuffled by label (a hot class would otherwise land in one task); beyond that
+    the counts are joined back by label and AQE splits skewed label partitions."""
     require_columns(df, label)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    whole = Window.partitionBy(F.lit(0))  # over the tiny per-class table only
+    rows = counts.limit(MAX_CLASSES + 1).collect()
+    if len(rows) <= MAX_CLASSES:
+        n, k = sum(r["_nc"] for r in rows), len(rows)
+        pairs = [x for r in rows if r[label] is not None for x in (F.lit(r[label]), F.lit(n / (k * r["_nc"])))]
+        w = F.create_map(*pairs)[F.col(label)] if pairs else F.lit(None)
+        return df.select(*df.columns, w.cast("double").alias(weight))
+    whole = Window.partitionBy(F.lit(0))  # many classes, but still one row per class
     counts = counts.select(label, (F.sum("_nc").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_nc")))
                            .alias(weight))
     return df.join(counts, on=label, how="left").select(*df.columns, weight)
@@ -72,8 +85,9 @@ def batch_stats(before: DataFrame, after: DataFrame, token_count: str = "token_c
 
 
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    # both sides are single-row global aggregates: join on a constant key
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """``a`` is a global aggregate (exactly one row, so broadcasting it is bounded); ``b`` keeps its
+    partitioning."""
+    return F.broadcast(a.withColumn("_one", F.lit(1))).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def dataset_profile(df: DataFrame, dataset: str, label: str | None = "DefaultDPD21") -> DataFrame:
