@@ -18,13 +18,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.session import require_columns, scratch_path
 from vellum.sources import fs as FS
 
 LOSSES = ("batch_hard_soft_margin", "batch_all", "semi_hard")
+MAX_BATCH_ROWS = 4096  # one batch is one task's B x B matrix
 DEFAULT_MARGIN = 0.5
 _EPS = 1e-12
 
@@ -143,6 +144,7 @@ def batch_loss(df: DataFrame, loss: str = "batch_hard_soft_margin", embedding: s
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     require_columns(df, embedding, label, batch)
+    _check_batch_sizes(df, batch)
 
     def per(pdf: pd.DataFrame) -> pd.DataFrame:
         X = _stack(pdf[embedding])
@@ -157,6 +159,13 @@ def batch_loss(df: DataFrame, loss: str = "batch_hard_soft_margin", embedding: s
     return rows.agg((F.sum("loss_sum") / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
 
 
+def _check_batch_sizes(df: DataFrame, batch: str) -> None:
+    """A batch is held whole by one task: refuse batch columns whose largest batch is unbounded."""
+    big = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if big is not None and big > MAX_BATCH_ROWS:
+        raise ValueError(f"largest batch has {big} rows (> {MAX_BATCH_ROWS}); assign smaller batches")
+
+
 def l2_normalize(c) -> "F.Column":
     """``x / ||x||`` per array, JVM-side; the zero vector stays zero."""
     a = (F.col(c) if isinstance(c, str) else c).cast("array<double>")
@@ -183,14 +192,13 @@ def online_contrastive_loss(pairs: DataFrame, a: str = "emb_a", b: str = "emb_b"
     and negatives nearer than the farthest positive; loss = sum(pos^2) + sum(relu(margin - neg)^2)
     per batch, averaged over batches."""
     d = pairs.select(batch, F.col(label).cast("int").alias("_y"), (1 - cosine_similarity(a, b)).alias("_d"))
-    st = d.groupBy(batch).agg(
-        F.max(F.when(F.col("_y") == 1, F.col("_d"))).alias("_pmax"),
-        F.avg(F.when(F.col("_y") == 1, F.col("_d"))).alias("_pavg"),
-        F.count_if(F.col("_y") == 1).alias("_np"),
-        F.min(F.when(F.col("_y") == 0, F.col("_d"))).alias("_nmin"),
-        F.avg(F.when(F.col("_y") == 0, F.col("_d"))).alias("_navg"),
-        F.count_if(F.col("_y") == 0).alias("_nn"))
-    j = d.join(st, on=batch, how="inner")
+    # batch statistics as window aggregates: one shuffle by batch, no aggregate joined back
+    w = Window.partitionBy(batch)
+    pd_, nd_ = F.when(F.col("_y") == 1, F.col("_d")), F.when(F.col("_y") == 0, F.col("_d"))
+    j = d.select(batch, "_y", "_d",
+                 F.max(pd_).over(w).alias("_pmax"), F.avg(pd_).over(w).alias("_pavg"),
+                 F.count(pd_).over(w).alias("_np"), F.min(nd_).over(w).alias("_nmin"),
+                 F.avg(nd_).over(w).alias("_navg"), F.count(nd_).over(w).alias("_nn"))
     neg_cut = F.when(F.col("_np") > 1, F.col("_pmax")).otherwise(F.col("_navg"))
     pos_cut = F.when(F.col("_nn") > 1, F.col("_nmin")).otherwise(F.col("_pavg"))
     term = (F.when((F.col("_y") == 1) & (F.col("_d") > pos_cut), F.col("_d") * F.col("_d"))
@@ -298,8 +306,8 @@ class ContrastiveProjection:
     """Fit ``e = normalize(tanh(W x + b))`` on fixed features with a contrastive loss.
 
     AdamW (betas, eps, weight decay), warm-up over ``warmup_ratio`` of the first epoch then
-    cosine decay, gradient-norm clipping. Rows get a batch by hashing (seeded, stable under
-    retries); an epoch runs ``steps_per_epoch`` steps, each summing the gradients of its share of
+    cosine decay, gradient-norm clipping. Rows get a batch by hashing (seeded, with a row id, stable
+    under retries; a batch holds ~``batch_size`` rows even when one key holds many); an epoch runs ``steps_per_epoch`` steps, each summing the gradients of its share of
     the batches (``steps_per_epoch = n_batches`` gives one batch per step).
     """
 
@@ -323,10 +331,14 @@ class ContrastiveProjection:
         n_batches = max(1, -(-n // self.batch_size))
         steps = min(n_batches, self.steps_per_epoch or n_batches)
         seed = 0 if self.seed is None else int(self.seed)
+        # The batch hash includes a row id fixed by this one write (a retried task re-reads the same
+        # split, so it gets the same ids): repeated keys or copies of one vector still scatter over
+        # all batches, so batch sizes stay ~Poisson(batch_size) however skewed the keys are.
         hkey = F.col(self.key) if self.key else F.col(self.features)
         feats = df.select(F.col(self.features).cast("array<double>").alias("x"),
                           F.col(self.label).cast("long").alias("y"),
-                          F.pmod(F.xxhash64(F.lit(seed), hkey), F.lit(n_batches)).alias("batch_id"))
+                          F.pmod(F.xxhash64(F.lit(seed), hkey, F.monotonically_increasing_id()),
+                                 F.lit(n_batches)).alias("batch_id"))
         feats = feats.withColumn("step_group", F.pmod(F.col("batch_id"), F.lit(steps)))
         path = scratch_path(spark, "contrastive-features")
         feats.write.mode("overwrite").partitionBy("step_group").parquet(path)

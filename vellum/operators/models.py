@@ -100,8 +100,8 @@ def _weights(df: DataFrame, label: str, how: str | None) -> tuple[DataFrame, str
         return balanced_weights(df, label, "_w"), "_w"
     if how == "scale_pos":
         cb = class_balance(df, label).select("scale_pos_weight")
-        # one-row table of the ratio, joined on a constant key
-        w = df.withColumn("_one", F.lit(1)).join(cb.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # a global aggregate (exactly one row): broadcast, the training rows keep their partitioning
+        w = df.withColumn("_one", F.lit(1)).join(F.broadcast(cb.withColumn("_one", F.lit(1))), "_one").drop("_one")
         return w.withColumn("_w", F.when(F.col(label) == 1, F.col("scale_pos_weight")).otherwise(1.0))\
             .drop("scale_pos_weight"), "_w"
     raise ValueError(f"unknown class weighting {how!r}")
