@@ -8,9 +8,12 @@ inclusive), sorts them by bytes and joins them with a separator. Forms (all give
 * ``bucketed`` (default): anchors are reduced to labelled ones first; messages are hashed on
   ``(key, time bucket)`` and each anchor probes only the buckets its window touches, so one hot key
   is spread over many tasks instead of one. A finer ``bucket_seconds`` splits hot keys further.
-* ``rew`` and ``frame`` key all work by the key alone (one hot key = one task): comparison only.
-* ``rew``: the same anchor reduction with an equi-join on the key alone plus the range residual.
-* ``frame``: a RANGE window per key (one task per key: not skew-safe, kept for comparison).
+* ``rew``: the same anchor reduction with an equi-join on ``(key, salt)`` plus the range
+  residual: messages get one of ``salts`` salts (a hash of time and text), anchors are copied to
+  every salt, so a hot key is split ``salts`` ways.
+* ``frame``: a RANGE window partitioned by ``(key, time bucket)`` (bucket width >= look-back);
+  each message is also copied into the next bucket as context, so a window never crosses its
+  partition and a hot key is split over its buckets.
 * ``full``: the unreduced shape, every clean message is an anchor; labels filter afterwards.
 """
 
@@ -30,6 +33,7 @@ from vellum.session import require_columns, small_enough_to_broadcast
 
 DEFAULT_SEPARATOR = "\n---\n"
 METHODS = ("bucketed", "rew", "frame", "full")
+DEFAULT_SALTS = 16
 
 
 # -- P1 ---------------------------------------------------------------------------------------
@@ -134,19 +138,28 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
         anchors = labelled_anchors(spine, clean, key, ts)
 
     if method == "frame":
-        w = (f"PARTITION BY `{key}` ORDER BY `{ts}` "
+        # width >= look-back: a window reaches back at most into the previous bucket, whose
+        # messages are copied into this one as context (only home rows are kept as results)
+        width = max(int(days), 1) * 86400
+        home = _bucket(F.col(ts), width)
+        c = (clean.withColumn("_home", home)
+             .withColumn("_pb", F.explode(F.array(F.col("_home"), F.col("_home") + 1))))
+        w = (f"PARTITION BY `{key}`, _pb ORDER BY `{ts}` "
              f"RANGE BETWEEN INTERVAL {int(days)} DAYS PRECEDING AND CURRENT ROW")
-        sets = clean.withColumn("_set", F.expr(f"collect_set(`{body}`) OVER ({w})"))
-        res = (sets.join(anchors, on=[key, ts], how="left_semi")
-               .dropDuplicates([key, ts])
-               .select(key, ts, F.array_join(F.array_sort("_set"), separator).alias(out)))
-        return res
+        sets = (c.withColumn("_set", F.expr(f"collect_set(`{body}`) OVER ({w})"))
+                .filter(F.col("_pb") == F.col("_home")))
+        return (sets.join(anchors, on=[key, ts], how="left_semi")
+                .dropDuplicates([key, ts])
+                .select(key, ts, F.array_join(F.array_sort("_set"), separator).alias(out)))
     if method == "rew":
         lookback = F.make_dt_interval(days=F.lit(days))
-        a = anchors.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
-        m = clean.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
-        pairs = (a.join(m, on="_k").filter((F.col("_mt") <= F.col("_at"))
-                                           & (F.col("_mt") >= F.col("_at") - lookback))
+        salts = DEFAULT_SALTS
+        a = (anchors.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+        m = (clean.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
+             .withColumn("_salt", F.pmod(F.xxhash64("_mt", "_body"), F.lit(salts)).cast("int")))
+        pairs = (a.join(m, on=["_k", "_salt"]).filter((F.col("_mt") <= F.col("_at"))
+                                                     & (F.col("_mt") >= F.col("_at") - lookback))
                  .select(F.col("_k").alias(key), F.col("_at").alias(ts), F.col("_body").alias(body)))
     else:  # full, or bucketed without a spine
         pairs = band_pairs(anchors, clean, days, key, ts, body, bucket_seconds)
