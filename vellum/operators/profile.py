@@ -109,8 +109,15 @@ def distinct_labels(df: DataFrame, label: str = "DefaultDPD21") -> DataFrame:
 
 
 def seeded_order(df: DataFrame, key: str, seed: int = 0, col: str = "order_key") -> DataFrame:
-    """O2: a deterministic shuffle: order by ``xxhash64(seed, key)`` (stable under task retries)."""
-    return df.withColumn(col, F.xxhash64(F.lit(seed), F.col(key))).orderBy(col, key)
+    """O2: a deterministic shuffle: order by ``xxhash64(seed, key)`` (stable under task retries).
+
+    Rows of one key are tied on that order; a hash of the whole row and then a row id break the
+    ties so the range partitioner of the sort can split a key (or a set of identical copies) that
+    holds a large share of the rows. Only the order among identical rows depends on the row id."""
+    whole = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
+    return (df.withColumn(col, F.xxhash64(F.lit(seed), F.col(key)))
+            .withColumn("_tie", whole).withColumn("_rid", F.monotonically_increasing_id())
+            .orderBy(col, key, "_tie", "_rid").drop("_tie", "_rid"))
 
 
 def assign_batches(df: DataFrame, key: str, batch_size: int, seed: int = 0, n_rows: int | None = None,
