@@ -91,3 +91,10 @@ def test_lookback_forms_agree_with_a_hot_key(spark):
     assert len(base) > 0
     for meth, rows in results.items():
         assert rows == base, meth
+
+
+def test_balanced_weights_many_classes_path(spark, monkeypatch):
+    monkeypatch.setattr(PR, "MAX_CLASSES", 2)
+    df = spark.createDataFrame([(i, i % 3 if i < 24 else 0) for i in range(30)], "id long, y int")
+    w = {r.y: r.weight for r in PR.balanced_weights(df, "y").select("y", "weight").distinct().collect()}
+    assert w == pytest.approx({0: 30 / (3 * 14), 1: 30 / (3 * 8), 2: 30 / (3 * 8)})

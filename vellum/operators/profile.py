@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.session import require_columns
@@ -63,9 +63,8 @@ def balanced_weights(df: DataFrame, label: str = "DefaultDPD21", weight: str = "
         pairs = [x for r in rows if r[label] is not None for x in (F.lit(r[label]), F.lit(n / (k * r["_nc"])))]
         w = F.create_map(*pairs)[F.col(label)] if pairs else F.lit(None)
         return df.select(*df.columns, w.cast("double").alias(weight))
-    whole = Window.partitionBy(F.lit(0))  # many classes, but still one row per class
-    counts = counts.select(label, (F.sum("_nc").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_nc")))
-                           .alias(weight))
+    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))  # one row
+    counts = _one_row_join(tot, counts).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight))
     return df.join(counts, on=label, how="left").select(*df.columns, weight)
 
 
