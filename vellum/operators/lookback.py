@@ -94,6 +94,22 @@ def distinct_sorted_concat(body: Column | str, separator: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(b)), separator)
 
 
+def concat_distinct_per_anchor(pairs: DataFrame, keys: list[str], body: str, separator: str, out: str,
+                               flags: dict[str, Column] | None = None) -> DataFrame:
+    """A1 over a pair table: one row per ``keys`` with its distinct ``body`` values in byte order.
+
+    Distinct ``(keys, body)`` first, as a code-generated hash aggregate with map-side partial
+    aggregation (copies of a text collapse before the shuffle and it spills when large); then the
+    sorted list per anchor. A single ``collect_set`` aggregate would hold a set object per anchor
+    and fall back to sorting every pair once a task sees more than a few anchors, which is the
+    hot-key case. ``flags`` are integer columns reduced by ``max`` per anchor."""
+    flags = flags or {}
+    d = pairs.groupBy(*keys, body).agg(*[F.max(c).alias(n) for n, c in flags.items()]) if flags \
+        else pairs.select(*keys, body).distinct()
+    return d.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(body)), separator).alias(out),
+                                *[F.max(n).alias(n) for n in flags])
+
+
 def band_pairs(anchors: DataFrame, clean: DataFrame, days: int, key: str = "UserLoanId",
                ts: str = "CreatedAt", body: str = "body", bucket_seconds: int | None = None) -> DataFrame:
     """``(key, ts, body)`` for every anchor and every clean message of its key with
@@ -163,7 +179,7 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
                  .select(F.col("_k").alias(key), F.col("_at").alias(ts), F.col("_body").alias(body)))
     else:  # full, or bucketed without a spine
         pairs = band_pairs(anchors, clean, days, key, ts, body, bucket_seconds)
-    return pairs.groupBy(key, ts).agg(distinct_sorted_concat(body, separator).alias(out))
+    return concat_distinct_per_anchor(pairs, [key, ts], body, separator, out)
 
 
 def default_bucket_seconds(days: int) -> int:
@@ -204,9 +220,8 @@ def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separat
                                                 _bucket(F.col("_at"), width)))))
     pairs = a.join(m, on=["_k", "_b"], how="inner").filter(
         (F.col("_mt") <= F.col("_at")) & (F.col("_mt") >= F.col("_at") - lookback))
-    agg = pairs.groupBy("_k", "_at").agg(
-        distinct_sorted_concat("_body", separator).alias(out),
-        F.max((F.col("_mt") == F.col("_at")).cast("int")).alias("_self"))
+    agg = concat_distinct_per_anchor(pairs, ["_k", "_at"], "_body", separator, out,
+                                     {"_self": (F.col("_mt") == F.col("_at")).cast("int")})
     return agg.filter(F.col("_self") == 1).select(F.col("_k").alias(key), F.col("_at").alias(ts), out)
 
 
