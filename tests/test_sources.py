@@ -135,3 +135,22 @@ def test_lake_location_and_jdbc_profiles(spark, monkeypatch):
                            num_partitions=2)
     with pytest.raises(PermissionError):
         src.write(spark.range(1), "replica", "t")
+
+
+def test_package_reaches_workers_from_any_directory(tmp_dir):
+    """A fresh driver started outside the repository runs a UDF-backed query."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('entry_mod', {repo + '/__spark_entry__.py'!r})\n"
+        "E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', E.queries()['e5_batch_hard_soft_margin'](s, '/root/testdata/sf0.001').count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    r = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, env=env, capture_output=True, text=True,
+                       timeout=600)
+    assert "ROWS 1" in r.stdout, r.stderr[-2000:]
