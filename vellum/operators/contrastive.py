@@ -321,8 +321,11 @@ class ContrastiveProjection:
             raise ValueError(f"loss must be one of {LOSSES}")
         self.__dict__.update({k: v for k, v in locals().items() if k != "self"})
 
-    # -- data: persisted once, partitioned by step group so each step reads only its part ------
+    # -- data: grouped into batches once, partitioned by step group so a step reads only its part
     def _prepare(self, df: DataFrame):
+        """Write one row per batch ``(batch_id, xs, ys)`` under the shared checkpoint folder,
+        partitioned by step group. The only shuffle of the fit happens here; every step afterwards
+        is a pruned scan, a map over batch rows and a model-sized sum."""
         require_columns(df, self.features, self.label)
         spark = df.sparkSession
         n = df.count()
@@ -335,15 +338,20 @@ class ContrastiveProjection:
         # split, so it gets the same ids): repeated keys or copies of one vector still scatter over
         # all batches, so batch sizes stay ~Poisson(batch_size) however skewed the keys are.
         hkey = F.col(self.key) if self.key else F.col(self.features)
-        feats = df.select(F.col(self.features).cast("array<double>").alias("x"),
-                          F.col(self.label).cast("long").alias("y"),
-                          F.pmod(F.xxhash64(F.lit(seed), hkey, F.monotonically_increasing_id()),
-                                 F.lit(n_batches)).alias("batch_id"))
-        feats = feats.withColumn("step_group", F.pmod(F.col("batch_id"), F.lit(steps)))
-        path = scratch_path(spark, "contrastive-features")
-        feats.write.mode("overwrite").partitionBy("step_group").parquet(path)
-        d_in = len(feats.select("x").first()[0])
-        return spark.read.parquet(path), n_batches, steps, d_in
+        rid = F.monotonically_increasing_id()
+        rows = df.select(F.col(self.features).cast("array<double>").alias("x"),
+                         F.col(self.label).cast("long").alias("y"), hkey.alias("_h"), rid.alias("_rid"))
+        rows = rows.withColumn("batch_id", F.pmod(F.xxhash64(F.lit(seed), "_h", "_rid"), F.lit(n_batches)))
+        member = F.array_sort(F.collect_list(F.struct("_rid", "x", "y")))  # a batch: ~batch_size rows
+        batches = (rows.groupBy("batch_id").agg(member.alias("_m"))
+                   .select("batch_id", F.transform("_m", lambda r: r["x"]).alias("xs"),
+                           F.transform("_m", lambda r: r["y"]).alias("ys"),
+                           F.pmod(F.col("batch_id"), F.lit(steps)).alias("step_group")))
+        path = scratch_path(spark, "contrastive-batches")
+        batches.write.mode("overwrite").partitionBy("step_group").parquet(path)
+        feats = spark.read.parquet(path)
+        d_in = len(feats.select("xs").first()[0][0])
+        return feats, n_batches, steps, d_in
 
     def _step_grads(self, feats: DataFrame, group: int, model: ProjectionModel):
         sc = feats.sparkSession.sparkContext
@@ -351,16 +359,20 @@ class ContrastiveProjection:
         loss, margin = self.loss, self.margin
         d_out, d_in = model.W.shape
 
-        def grad(pdf: pd.DataFrame) -> pd.DataFrame:
+        def grads(batches):
             W, b = bw.value
-            X = _stack(pdf["x"])
-            y = pdf["y"].to_numpy()
-            total, n, gW, gb = batch_gradient(X, y, W, b, loss, margin)
-            return pd.DataFrame({"loss_sum": [total], "n": [n],
-                                 "g": [np.concatenate([gW.ravel(), gb]).tolist()]})
-
-        rows = (feats.filter(F.col("step_group") == group)
-                .groupBy("batch_id").applyInPandas(grad, "loss_sum double, n long, g array<double>"))
+            tot, cnt, acc = 0.0, 0, np.zeros(d_out * d_in + d_out)
+            for pdf in batches:
+                for xs, ys in zip(pdf["xs"], pdf["ys"]):
+                    X = np.stack([np.asarray(v, dtype=np.float64) for v in xs])
+                    t, k, gW, gb = batch_gradient(X, np.asarray(ys), W, b, loss, margin)
+                    tot, cnt = tot + t, cnt + k
+                    acc[: d_out * d_in] += gW.ravel()
+                    acc[d_out * d_in:] += gb
+            yield pd.DataFrame({"loss_sum": [tot], "n": [cnt], "g": [acc.tolist()]})
+
+        rows = (feats.filter(F.col("step_group") == group).select("xs", "ys")
+                .mapInPandas(grads, "loss_sum double, n long, g array<double>"))
         r = rows.agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("loss_sum").alias("l"),
                      F.sum("n").alias("n")).first()
         bw.unpersist()
