@@ -141,3 +141,12 @@ def test_bpe_truncation(spark):
     assert (r[1].r.text, r[1].r.token_count) == ("", 0)
     assert (r[2].r.text, r[2].r.token_count) == ("hello world", 2)
     assert r[3].r.text == "one two three" and r[3].r.token_count == 3
+
+
+def test_word2vec_vocabulary_is_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([("a b c",), ("a b d",), ("e",)], "t string")
+    assert EN.vocabulary_size(df, "t", 1, 100) == 5 and EN.vocabulary_size(df, "t", 2, 100) == 2
+    monkeypatch.setattr(EN, "MAX_VOCAB", 3)
+    with pytest.raises(ValueError, match="vocabulary over 3"):
+        EN.TextEncoder.fit_featurizer(df, "t", vector_size=4)
+    EN.TextEncoder.fit_featurizer(df, "t", vector_size=4, min_count=2)   # 2 words: allowed

@@ -24,6 +24,9 @@ from vellum.session import require_columns
 from vellum.sources import fs as FS
 
 FEATURIZERS = ("word2vec", "hashing")
+# Spark ML's Word2Vec collects its vocabulary (and the vocabulary x vector_size model) to the
+# driver: the vocabulary is counted first and a larger one is refused.
+MAX_VOCAB = 2_000_000
 
 
 def featurizer_pipeline(text: str, kind: str = "word2vec", vector_size: int = 64, min_count: int = 1,
@@ -43,6 +46,15 @@ def featurizer_pipeline(text: str, kind: str = "word2vec", vector_size: int = 64
                             Normalizer(inputCol="_idf", outputCol="_fvec", p=2.0)])
 
 
+def vocabulary_size(df: DataFrame, text: str, min_count: int, cap: int) -> int:
+    """Distinct lower-cased word tokens seen at least ``min_count`` times, counted up to ``cap + 1``
+    (a distributed aggregate; only the count reaches the driver)."""
+    tok = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=WORD_PATTERN, gaps=False, toLowercase=True)
+    words = tok.transform(df.select(F.coalesce(F.col(text), F.lit("")).alias(text))) \
+        .select(F.explode("_tokens").alias("_w"))
+    return words.groupBy("_w").count().filter(F.col("count") >= min_count).limit(cap + 1).count()
+
+
 class TextEncoder:
     """Featurizer (+ optional learned projection). Without a projection the features are only
     L2-normalized."""
@@ -58,6 +70,11 @@ class TextEncoder:
         require_columns(df, text)
         if "num_partitions" not in kw:
             kw["num_partitions"] = max(1, min(df.sparkSession.sparkContext.defaultParallelism, 64))
+        if kw.get("kind", "word2vec") == "word2vec":
+            n = vocabulary_size(df, text, int(kw.get("min_count", 1)), MAX_VOCAB)
+            if n > MAX_VOCAB:
+                raise ValueError(f"vocabulary over {MAX_VOCAB} words at min_count={kw.get('min_count', 1)}: "
+                                 "raise min_count or use kind='hashing'")
         return cls(featurizer_pipeline(text, **kw).fit(df.select(text)), text)
 
     def features(self, df: DataFrame, out: str = "features") -> DataFrame:
