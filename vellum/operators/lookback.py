@@ -156,16 +156,23 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
     if method == "frame":
         # width >= look-back: a window reaches back at most into the previous bucket, whose
         # messages are copied into this one as context (only home rows are kept as results)
+        # Anchor rows are marked before the window (a message-sized join), so only their sets
+        # travel afterwards; a clean row at a spine time is exactly a labelled anchor.
         width = max(int(days), 1) * 86400
+        if spine is None:
+            c = clean.withColumn("_a", F.lit(True))
+        else:
+            marks = (spine.select(key, ts).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+                     .dropDuplicates([key, ts]).withColumn("_a", F.lit(True)))
+            c = clean.join(marks, on=[key, ts], how="left")
         home = _bucket(F.col(ts), width)
-        c = (clean.withColumn("_home", home)
+        c = (c.withColumn("_home", home)
              .withColumn("_pb", F.explode(F.array(F.col("_home"), F.col("_home") + 1))))
         w = (f"PARTITION BY `{key}`, _pb ORDER BY `{ts}` "
              f"RANGE BETWEEN INTERVAL {int(days)} DAYS PRECEDING AND CURRENT ROW")
         sets = (c.withColumn("_set", F.expr(f"collect_set(`{body}`) OVER ({w})"))
-                .filter(F.col("_pb") == F.col("_home")))
-        return (sets.join(anchors, on=[key, ts], how="left_semi")
-                .dropDuplicates([key, ts])
+                .filter((F.col("_pb") == F.col("_home")) & F.col("_a").isNotNull()))
+        return (sets.dropDuplicates([key, ts])
                 .select(key, ts, F.array_join(F.array_sort("_set"), separator).alias(out)))
     if method == "rew":
         lookback = F.make_dt_interval(days=F.lit(days))
