@@ -29,7 +29,7 @@ from vellum.functions.text import (
     word_token_count,
     word_truncate,
 )
-from vellum.session import require_columns, small_enough_to_broadcast
+from vellum.session import local_copy_if_small, require_columns
 
 DEFAULT_SEPARATOR = "\n---\n"
 METHODS = ("bucketed", "rew", "frame", "full")
@@ -212,10 +212,10 @@ def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separat
     if width <= 0:
         raise ValueError("bucket_seconds must be > 0")
     lookback = F.make_dt_interval(days=F.lit(days))
-    keys = spine.select(F.col(key).alias("_k")).distinct()
-    if small_enough_to_broadcast(keys):
+    keys = local_copy_if_small(spine.select(key).filter(F.col(key).isNotNull()).distinct())
+    if keys is not None:
         # a provably small key set: drop other keys' messages before the shuffle, map-side
-        messages = messages.join(F.broadcast(keys.withColumnRenamed("_k", key)), on=key, how="left_semi")
+        messages = messages.join(F.broadcast(keys), on=key, how="left_semi")
     m = (messages.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
          .filter(F.col("_k").isNotNull() & F.col("_mt").isNotNull() & text_present("_body"))
          .dropDuplicates(["_k", "_mt", "_body"])

@@ -142,6 +142,31 @@ def measured_bytes(df: DataFrame, cap_rows: int) -> int | None:
     return int(r["n"]) * ROW_OVERHEAD_BYTES + int(r["b"] or 0)
 
 
+def local_copy_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame | None:
+    """``df`` as a driver-side local table when it is proven under the limit (default: the
+    session's broadcast threshold), else None. A broadcast is built on the driver anyway; taking
+    the rows once (capped at ``limit / 32 + 1`` rows, then measured) means the table is computed
+    once instead of once to measure and again to broadcast."""
+    limit = broadcast_limit(df.sparkSession) if max_bytes is None else max_bytes
+    if limit <= 0:
+        return None
+    try:
+        if estimated_bytes(df) > limit:
+            return None
+    except Exception:  # noqa: BLE001 - unknown size: do not broadcast
+        return None
+    cap = limit // ROW_OVERHEAD_BYTES
+    rows = df.limit(cap + 1).collect()
+    if len(rows) > cap:
+        return None
+    size = len(rows) * ROW_OVERHEAD_BYTES + sum(
+        len(v.encode("utf-8")) if isinstance(v, str) else len(v) if isinstance(v, (bytes, bytearray)) else 8
+        for r in rows for v in r if v is not None)
+    if size > limit:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def small_enough_to_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
     """True only when ``df`` is proven to fit under the limit (default: the session's broadcast
     threshold): the optimizer's estimate must pass first (no job), then the size is measured by one
