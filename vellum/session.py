@@ -118,30 +118,6 @@ def broadcast_limit(spark: SparkSession) -> int:
 ROW_OVERHEAD_BYTES = 32  # per row in a broadcast hash relation, beyond the values themselves
 
 
-def measured_bytes(df: DataFrame, cap_rows: int) -> int | None:
-    """The size of ``df`` measured by one aggregate over at most ``cap_rows + 1`` rows: the row
-    count times a per-row overhead plus the bytes of every value (strings by their UTF-8 length,
-    other types by their fixed width). None when there are more than ``cap_rows`` rows."""
-    from pyspark.sql import functions as F
-
-    from pyspark.sql import types as T
-
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            cols.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
-        elif isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
-                                     T.TimestampNTZType)) and not isinstance(f.dataType, T.DecimalType):
-            cols.append(F.lit(8))
-        else:
-            return None  # nested or wide values: not measured, so not proven small
-    per_row = sum(cols[1:], cols[0]) if cols else F.lit(0)
-    r = df.limit(cap_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(per_row).alias("b")).first()
-    if r["n"] > cap_rows:
-        return None
-    return int(r["n"]) * ROW_OVERHEAD_BYTES + int(r["b"] or 0)
-
-
 def local_copy_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame | None:
     """``df`` as a driver-side local table when it is proven under the limit (default: the
     session's broadcast threshold), else None. A broadcast is built on the driver anyway; taking
@@ -165,20 +141,3 @@ def local_copy_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFram
     if size > limit:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def small_enough_to_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """True only when ``df`` is proven to fit under the limit (default: the session's broadcast
-    threshold): the optimizer's estimate must pass first (no job), then the size is measured by one
-    capped aggregate, so an estimate that is off (compressed files, stale statistics) never lets a
-    large table be broadcast."""
-    limit = broadcast_limit(df.sparkSession) if max_bytes is None else max_bytes
-    if limit <= 0:
-        return False
-    try:
-        if estimated_bytes(df) > limit:
-            return False
-    except Exception:  # noqa: BLE001 - unknown size: do not broadcast
-        return False
-    size = measured_bytes(df, limit // ROW_OVERHEAD_BYTES)
-    return size is not None and size <= limit
