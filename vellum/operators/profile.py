@@ -22,9 +22,10 @@ def label_distribution_dense(df: DataFrame, label: str = "DefaultDPD21") -> Data
     Labels must be non-negative integers; nulls are not counted."""
     require_columns(df, label)
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    grid = (counts.agg(F.max(label).alias("_m"))
-            .filter(F.col("_m").isNotNull())
-            .select(F.explode(F.sequence(F.lit(0), F.col("_m").cast("int"))).alias(label)))
+    top = counts.agg(F.max(label)).first()[0]  # one value
+    # the 0..max grid is a distributed range, not one task exploding a sequence
+    grid = df.sparkSession.range(0, (int(top) + 1) if top is not None else 0).select(
+        F.col("id").cast("int").alias(label))
     counts = counts.withColumn(label, F.col(label).cast("int"))
     return (grid.join(counts, on=label, how="left")
             .select(label, F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
