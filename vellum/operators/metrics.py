@@ -27,6 +27,11 @@ def _score_groups(df: DataFrame, by: list[str], label: str, score: str) -> DataF
                  F.sum(F.when(y == 0, 1).otherwise(0)).cast("long").alias("_neg")))
 
 
+def _raw_scores(df: DataFrame, label: str, score: str) -> DataFrame:
+    y = F.col(label).cast("int")
+    return df.filter(F.col(score).isNotNull() & y.isNotNull()).select(F.col(score).cast("double").alias("_s"))
+
+
 def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
     if num_buckets:
         return max(1, min(int(num_buckets), MAX_BUCKETS))
@@ -34,13 +39,16 @@ def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
     return max(16, min(4 * n, MAX_BUCKETS))
 
 
-def _with_below(g: DataFrame, by: list[str], num_buckets: int | None) -> DataFrame:
+def _with_below(g: DataFrame, by: list[str], num_buckets: int | None, raw: DataFrame | None = None) -> DataFrame:
     """Add ``_pos_below`` / ``_neg_below`` (sums over strictly smaller scores in the same group) and
     the group totals ``_P`` / ``_N``, all carried by the per-(group, range) table."""
     k = _num_buckets(g, num_buckets)
     # boundaries: at most k values (a bounded driver-side list), then a JVM-side binary search
     qs = [i / k for i in range(1, k)]
-    row = g.agg(F.percentile_approx("_s", qs, 10000).alias("q")).first()
+    # quantiles of the raw scores: a map-side sketch and no shuffle, instead of computing the
+    # per-score aggregate twice (once for the boundaries, once for the sums)
+    src = raw if raw is not None else g
+    row = src.agg(F.percentile_approx("_s", qs, 10000).alias("q")).first()
     bounds = sorted({float(x) for x in (row["q"] or []) if x is not None})
     splits = [float("-inf")] + bounds + [float("inf")]
     if len(splits) < 3:
@@ -68,7 +76,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: list[
             num_buckets: int | None = None) -> DataFrame:
     """V1: ``(by..., auc, n_pos, n_neg)``; ties count half; a group with one class raises."""
     by = list(by or [])
-    g = _with_below(_score_groups(df, by, label, score), by, num_buckets)
+    g = _with_below(_score_groups(df, by, label, score), by, num_buckets, _raw_scores(df, label, score))
     agg = g.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col("_neg_below") + 0.5 * F.col("_neg"))).alias("_u"),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
@@ -85,7 +93,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", by: lis
     dropped when the count steps to its neighbours are equal on both axes (the first and the last
     point of the curve are always kept, the start point is added afterwards)."""
     by = list(by or [])
-    g = _with_below(_score_groups(df, by, label, score), by, num_buckets)
+    g = _with_below(_score_groups(df, by, label, score), by, num_buckets, _raw_scores(df, label, score))
     g = g.select(*by, "_bk", "_s", "_P", "_N", (F.col("_N") - F.col("_neg_below")).alias("_fps"),
                  (F.col("_P") - F.col("_pos_below")).alias("_tps"))
     if drop_intermediate:
