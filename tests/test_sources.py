@@ -154,3 +154,19 @@ def test_package_reaches_workers_from_any_directory(tmp_dir):
     r = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, env=env, capture_output=True, text=True,
                        timeout=600)
     assert "ROWS 1" in r.stdout, r.stderr[-2000:]
+
+
+def test_train_test_datasets_one_pass_cache(spark, tmp_dir):
+    """The cached pair equals the uncached pair, also when the ranges overlap."""
+    from vellum.plans import analogs as A
+    from vellum.plans import dataset as DS
+
+    sf = "/root/testdata/sf0.001"
+    m, s = A.messages(spark, sf), A.spine(spark, sf)
+    for tr, te in [(("2024-01-01", "2024-01-16"), ("2024-01-16", "2024-01-31")),
+                   (("2024-01-01", "2024-01-20"), ("2024-01-10", "2024-01-31"))]:
+        plain = DS.build_train_test(m, s, tr, te, 7, max_tokens=32)
+        cached = DS.build_train_test(m, s, tr, te, 7, max_tokens=32, cache_dir=tmp_dir)
+        for a, b in zip(plain, cached):
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+            assert a.count() > 0

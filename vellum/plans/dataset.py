@@ -9,6 +9,8 @@ from vellum.functions.text import parse_date
 from vellum.operators import lookback as LB
 from vellum.sources.cache import materialize
 
+SPLIT = "dataset_split"
+
 
 def build_train_test(messages: DataFrame, spine: DataFrame, train_range: tuple[str, str],
                      test_range: tuple[str, str], days: int, max_tokens: int = 512,
@@ -17,7 +19,9 @@ def build_train_test(messages: DataFrame, spine: DataFrame, train_range: tuple[s
                      label: str = "DefaultDPD21", cache_dir: str | None = None,
                      use_cache: bool = True) -> tuple[DataFrame, DataFrame]:
     """One look-back pass over the spine rows of both ranges, then split by date. With
-    ``cache_dir`` both datasets are written (keyed by every parameter) and read back."""
+    ``cache_dir`` that one pass is written once, partitioned by ``dataset_split`` (a row in both
+    ranges is written to both), keyed by every parameter, and each split is read back by
+    partition pruning."""
     (a, b), (c, d) = train_range, test_range
     in_train = (F.col(ts) >= parse_date(a)) & (F.col(ts) < parse_date(b))
     in_test = (F.col(ts) >= parse_date(c)) & (F.col(ts) < parse_date(d))
@@ -33,7 +37,12 @@ def build_train_test(messages: DataFrame, spine: DataFrame, train_range: tuple[s
     spark = spine.sparkSession
     params = {"train": train_range, "test": test_range, "days": days, "max_tokens": max_tokens,
               "separator": separator, "tokenizer": tokenizer, "key": key, "ts": ts, "body": body,
-              "label": label}
-    got = materialize(spark, {"train": lambda: dataset().filter(in_train),
-                              "test": lambda: dataset().filter(in_test)}, cache_dir, params, use_cache)
-    return got["train"], got["test"]
+              "label": label, "layout": "one pass, partitioned by dataset_split"}
+
+    def tagged():
+        splits = F.array_compact(F.array(F.when(in_train, F.lit("train")), F.when(in_test, F.lit("test"))))
+        return dataset().withColumn(SPLIT, F.explode(splits))
+
+    got = materialize(spark, {"datasets": tagged}, cache_dir, params, use_cache, partition_by=[SPLIT])["datasets"]
+    return (got.filter(F.col(SPLIT) == "train").drop(SPLIT),
+            got.filter(F.col(SPLIT) == "test").drop(SPLIT))

@@ -47,7 +47,8 @@ def params_key(params: dict) -> str:
 
 
 def materialize(spark: SparkSession, builders: dict[str, Callable[[], DataFrame]], folder: str,
-                params: dict | None = None, use_cache: bool = True) -> dict[str, DataFrame]:
+                params: dict | None = None, use_cache: bool = True,
+                partition_by: list[str] | None = None) -> dict[str, DataFrame]:
     """Read-through cache over a *set* of datasets: if every member of the set was written under
     this parameter key, read them all; otherwise build and write them all, then read back (so the
     returned frames have a short lineage that survives executor loss)."""
@@ -56,7 +57,7 @@ def materialize(spark: SparkSession, builders: dict[str, Callable[[], DataFrame]
     complete = use_cache and all(FS.exists(spark, f"{p}/_SUCCESS") for p in paths.values())
     if not complete:
         for n, build in builders.items():
-            save_data(build(), paths[n])
+            save_data(build(), paths[n], partition_by)
         FS.write_text(spark, f"{base}/_PARAMS.json", json.dumps(params or {}, sort_keys=True, default=str))
     return {n: spark.read.parquet(p) for n, p in paths.items()}
 
