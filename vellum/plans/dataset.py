@@ -18,7 +18,8 @@ def build_train_test(messages: DataFrame, spine: DataFrame, train_range: tuple[s
                      key: str = "UserLoanId", ts: str = "CreatedAt", body: str = "body",
                      label: str = "DefaultDPD21", cache_dir: str | None = None,
                      use_cache: bool = True) -> tuple[DataFrame, DataFrame]:
-    """One look-back pass over the spine rows of both ranges, then split by date. With
+    """One look-back plan over the spine rows of both ranges, then split by date. Without
+    ``cache_dir`` the two frames are lazy and each evaluation runs the plan. With
     ``cache_dir`` that one pass is written once, partitioned by ``dataset_split`` (a row in both
     ranges is written to both), keyed by every parameter, and each split is read back by
     partition pruning."""
