@@ -133,12 +133,15 @@ def band_pairs(anchors: DataFrame, clean: DataFrame, days: int, key: str = "User
 def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
                   separator: str = DEFAULT_SEPARATOR, key: str = "UserLoanId", ts: str = "CreatedAt",
                   body: str = "body", method: str = "bucketed", bucket_seconds: int | None = None,
-                  out: str = "concatenated_body") -> DataFrame:
+                  out: str = "concatenated_body", salts: int = DEFAULT_SALTS) -> DataFrame:
     """A2: one row per labelled anchor ``(key, ts, concatenated_body)``.
 
     ``spine`` limits the keys and, except for ``method='full'``, the anchors. With ``spine=None``
-    every clean message time is an anchor.
+    every clean message time is an anchor. ``salts`` (``rew`` only) is how many ways a key's
+    messages are split; each anchor is copied that many times.
     """
+    if salts < 1:
+        raise ValueError("salts must be >= 1")
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if days < 0:
@@ -176,7 +179,6 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
                 .select(key, ts, F.array_join(F.array_sort("_set"), separator).alias(out)))
     if method == "rew":
         lookback = F.make_dt_interval(days=F.lit(days))
-        salts = DEFAULT_SALTS
         a = (anchors.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
         m = (clean.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
