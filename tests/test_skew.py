@@ -98,3 +98,21 @@ def test_balanced_weights_many_classes_path(spark, monkeypatch):
     df = spark.createDataFrame([(i, i % 3 if i < 24 else 0) for i in range(30)], "id long, y int")
     w = {r.y: r.weight for r in PR.balanced_weights(df, "y").select("y", "weight").distinct().collect()}
     assert w == pytest.approx({0: 30 / (3 * 14), 1: 30 / (3 * 8), 2: 30 / (3 * 8)})
+
+
+def test_large_scale_plan_joins_on_key_and_bucket(spark):
+    """With broadcasts off (the shape at scale), the band join is a shuffle join on (key, bucket)
+    and the rew join on (key, salt): no join is keyed by the key alone."""
+    m = spark.createDataFrame([(1, dt.datetime(2024, 1, 9), "x")], "UserLoanId long, CreatedAt timestamp_ntz, body string")
+    s = spark.createDataFrame([(1, dt.datetime(2024, 1, 9), 1)], "UserLoanId long, CreatedAt timestamp_ntz, DefaultDPD21 int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for meth, extra in (("bucketed", "_b"), ("rew", "_salt")):
+            plan = LB.lookback_text(m, s, 7, method=meth)._jdf.queryExecution().executedPlan().toString()
+            joins = [ln for ln in plan.splitlines() if "SortMergeJoin" in ln]
+            assert any(extra in ln for ln in joins), (meth, joins)
+            left_keys = [ln.split("SortMergeJoin [", 1)[1].split("]", 1)[0] for ln in joins]
+            assert all("," in k for k in left_keys), (meth, joins)   # never the key alone
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -149,7 +149,16 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
     require_columns(messages, key, ts, body, what="messages")
     if method == "bucketed" and spine is not None:
         return _lookback_bucketed(messages, spine, days, separator, key, ts, body, bucket_seconds, out)
-    msgs = messages if spine is None else fetch_keys(messages, spine, key)
+    if spine is None:
+        msgs = messages
+    else:
+        keys = local_copy_if_small(spine.select(key).filter(F.col(key).isNotNull()).distinct())
+        if keys is not None:            # proven small: drop other keys' messages map-side
+            msgs = messages.join(F.broadcast(keys), on=key, how="left_semi")
+        elif method == "rew":           # the (key, salt) join drops other keys' messages
+            msgs = messages
+        else:                           # shuffle semi-join; AQE splits a skewed key's partition
+            msgs = fetch_keys(messages, spine, key)
     clean = clean_messages(msgs, key, ts, body)
     if spine is None or method == "full":
         anchors = clean.select(key, ts).dropDuplicates([key, ts])
