@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontam, packing, quality, secret_scan, simple8b, token_counts
+from vellum.llm import decontam, packing, partenum, quality, secret_scan, simple8b, token_counts
 from vellum.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.overlap(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = partenum.similar(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
