@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontam, packing, partenum, quality, secret_scan, simple8b, suffix_dedup, token_counts
+from vellum.llm import (
+    decontam,
+    fingerprints,
+    packing,
+    partenum,
+    pii_surrogates,
+    quality,
+    secret_scan,
+    simple8b,
+    suffix_dedup,
+    token_counts,
+)
 from vellum.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +71,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = partenum.similar(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.surrogates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(read_table(spark, sf_dir, "documents"))
