@@ -42,7 +42,8 @@ from vellum.session import scratch_path
 LENGTH = 100
 GRAM = 16
 HOT = 20_000  # differing contexts of one anchor that one task may sort
-PART_BYTES = 24 << 20
+PART_BYTES = 6 << 20
+HELD = 1 << 18  # contexts packed together by a task
 U = np.uint64
 _VALUES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -131,21 +132,27 @@ def _parts(docs: DataFrame, size: int) -> int:
 
 def _anchor_rows(docs: DataFrame, parts: int, length: int) -> DataFrame:
     """Packed rows (part, docs, entries): anchor, digest, place and document number of each context."""
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        anchor, digest, place, doc = map(np.concatenate, zip(*held))
+        order = np.argsort(anchor)  # a part is the leading digits of the anchor
+        anchor, digest, place, doc = anchor[order], digest[order], place[order], doc[order]
+        some, at = np.unique(((anchor >> U(32)) * U(parts) >> U(32)).astype(np.int64), return_index=True)
+        made = [(anchor[a:b].tobytes() + digest[a:b].tobytes() + place[a:b].tobytes() + doc[a:b].tobytes())
+                for a, b in zip(at, np.append(at[1:], len(anchor)))]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(made, pa.binary())],
+                                          names=["part", "entries"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for rows in blocks(batch, TEXT, 1 << 19):
                 own, anchor, digest, first, rel, windows = anchors(as_bytes(rows.column(TEXT)), length)
-                order = np.argsort(anchor)  # a part is the leading digits of the anchor
-                anchor = anchor[order]
-                part = ((anchor >> U(32)) * U(parts) >> U(32)).astype(np.int64)
-                some, at = np.unique(part, return_index=True)
-                cut = np.concatenate([at, [len(part)]])
-                digest, place = digest[order], pack_place(first, rel, windows)[order]
-                doc = np.asarray(rows.column("d"))[own[order]]
-                made = [(anchor[a:b].tobytes() + digest[a:b].tobytes() + place[a:b].tobytes() + doc[a:b].tobytes())
-                        for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(made, pa.binary())],
-                                                 names=["part", "entries"])
+                held.append((anchor, digest, pack_place(first, rel, windows), np.asarray(rows.column("d"))[own]))
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
 
     return docs.mapInArrow(run, "part int, entries binary")
 
@@ -256,8 +263,9 @@ def _radix(contexts: DataFrame, parts: int, length: int, hot: int) -> DataFrame:
         own = np.repeat(np.arange(len(held)), windows)
         j = at - begin[own]
         # equal windows have their anchor at the same place: (anchor, place) is the first digit
-        _, group = np.unique(np.stack([anchor[own], rel[own] - j], axis=1), axis=0, return_inverse=True)
-        left, group = repeated_windows(group.reshape(-1), at, data, length)
+        # (mixed into one number: a clash could only join groups, which the bytes then tell apart)
+        group = mix64(anchor[own].astype(np.uint64) + (rel[own] - j + 4096).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        left, group = repeated_windows(group.view(np.int64), at, data, length)
         d, s = doc[own[left]], first[own[left]] + j[left]
         order = np.lexsort((s, d, group))
         later = np.ones(len(order), bool)
