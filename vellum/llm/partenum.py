@@ -20,8 +20,9 @@ sets are one node; two nodes link when ``100 * |A & B| >= 75 * |A | B|``.
    sketch (one bit per hashed shingle class; its differing bits never exceed the sets' difference)
    and verified on the whole sets.
 4. *Large buckets* whose sets the first links left in several components propose, block against
-   block, the pairs of different components that the sketch cannot exclude. Together with 3 this
-   covers every pair that shares a bucket, so no link between components is lost. A set that meets
+   block, pairs of different components that the sketch cannot exclude: in the first ``FORESTS``
+   rounds only such as would join the components of a group, in the last round all that are left
+   (most copies are one component by then). Together with 3 the last round covers every pair that shares a bucket, so no link between components is lost. A set that meets
    fewer than ``n - k`` large or empty parts needs no large bucket (it agrees on a small one too).
 5. *Components* by repeated minimum labels over the links, cut with tables in the shared folder.
 
@@ -49,6 +50,7 @@ SHINGLE = 5
 NUM, DEN = 75, 100  # linked: DEN * intersection >= NUM * union
 DOMAIN = 0.33  # share of the shingle domain counted by the support filter
 SMALL = 8  # members of a bucket whose pairs are all proposed at once
+FORESTS = 1  # rounds in which large buckets propose only joining pairs
 BLOCK = 1024  # members of a large bucket compared at a time
 PART_BYTES = 24 << 20  # bytes of one hash part of the packed exchanges
 
@@ -173,8 +175,8 @@ def least_large(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch_words(size: np.ndarray) -> np.ndarray:
-    """64-bit words of a set's parity sketch: a power of two of at least four bits per shingle."""
-    bits = np.maximum(4 * size, 64).astype(np.int64)
+    """64-bit words of a set's parity sketch: a power of two of at least eight bits per shingle."""
+    bits = np.maximum(8 * size, 64).astype(np.int64)
     return (1 << np.ceil(np.log2(bits / 64)).astype(np.int64)).astype(np.int64)
 
 
@@ -431,8 +433,9 @@ def components(links: DataFrame, work: str) -> DataFrame:
             return spark.read.parquet(f"{work}/label-{step}").select("node", "label")
 
 
-def _large_buckets(big: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components within large buckets that the sketch cannot exclude."""
+def _large_buckets(big: DataFrame, labels: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
+    """Pairs of different components within large buckets that the sketch cannot exclude: all of
+    them, or (``forest``) of each group only such as join its components, each pair of them once."""
     # a set matters in large buckets only where it is in at least ``need`` of them (see 4 above)
     counts = big.groupBy("b").agg(F.count("*").alias("large"))
     heavy = counts.join(sets.select(F.col("node").alias("b"), "need"), "b").where("large >= need").select("b")
@@ -447,7 +450,7 @@ def _large_buckets(big: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
     full = dealt.join(sets.select(F.col("node").alias("b"), "size", "sketch"), "b")
 
     def run(table: pa.Table) -> pa.Table:
-        node, label = np.asarray(table.column("b")), np.asarray(table.column("label"))
+        node, label = np.asarray(table.column("b")), table.column("label").to_numpy().copy()
         size, mine = np.asarray(table.column("size")), np.asarray(table.column("mine"))
         stored = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
         least = min(map(len, stored))
@@ -459,6 +462,11 @@ def _large_buckets(big: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
             ok &= np.minimum(size, size[i]) * DEN >= np.maximum(size, size[i]) * NUM
             j = np.flatnonzero(ok)
             j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= most_different(size[j], size[i])]
+            if forest and len(j):
+                _, at = np.unique(label[j], return_index=True)
+                j = j[at]
+                # the joined components count as one from here on in this group
+                label[np.isin(label, label[j])] = label[i]
             out.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
         out = np.concatenate(out)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
@@ -509,10 +517,17 @@ def similar(docs: DataFrame) -> DataFrame:
     links = spark.read.parquet(f"{work}/links-1")
     labels = components(links, f"{work}/components-1")
     big = found.where("kind = 1").select("a", "b")
-    _verified(_large_buckets(big, labels, sets), sets).write.parquet(f"{work}/links-2")
-    more = spark.read.parquet(f"{work}/links-2")
-    if more.limit(1).count():
-        labels = components(links.union(more), f"{work}/components-2")
+    for step in range(FORESTS + 1):  # pairs that join components first; at last every pair left
+        proposed = _large_buckets(big, labels, sets, step < FORESTS)
+        proposed.write.parquet(f"{work}/pairs-{step + 2}")
+        proposed = spark.read.parquet(f"{work}/pairs-{step + 2}")
+        if proposed.limit(1).count() == 0:
+            break  # no pair of different components is left that the sketch allows
+        _verified(proposed, sets).write.parquet(f"{work}/links-{step + 2}")
+        more = spark.read.parquet(f"{work}/links-{step + 2}")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = components(links, f"{work}/components-{step + 2}")
     return _labelled(nodes, labels)
 
 
