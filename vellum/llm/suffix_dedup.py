@@ -43,7 +43,7 @@ LENGTH = 100
 GRAM = 16
 HOT = 20_000  # differing contexts of one anchor that one task may sort
 PART_BYTES = 6 << 20
-HELD = 1 << 18  # contexts packed together by a task
+HELD = 1 << 16  # contexts packed together by a task
 U = np.uint64
 _VALUES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -145,7 +145,7 @@ def _anchor_rows(docs: DataFrame, parts: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for rows in blocks(batch, TEXT, 1 << 19):
+            for rows in blocks(batch, TEXT, 1 << 18):
                 own, anchor, digest, first, rel, windows = anchors(as_bytes(rows.column(TEXT)), length)
                 held.append((anchor, digest, pack_place(first, rel, windows), np.asarray(rows.column("d"))[own]))
                 if sum(len(h[0]) for h in held) >= HELD:
