@@ -94,3 +94,28 @@ def test_compare_models_ranks_by_test_auc(spark):
     df = spark.createDataFrame(rows, "model string, split string, label int, score double")
     out = MT.compare_models(df).collect()
     assert [r.model for r in out] == ["a", "b"] and out[0].test_auc == 1.0 and out[1].gap == 0.0
+
+
+@pytest.mark.parametrize("rows", [[(0, None), (1, 0.5)], [(2, 0.1), (1, 0.5)], [(None, 0.1), (1, 0.5)], [(0, float("nan")), (1, 0.5)]])
+def test_auc_refuses_what_it_cannot_rank(spark, rows):
+    from vellum.operators import metrics as MT
+
+    df = spark.createDataFrame(rows, "label int, score double")
+    with pytest.raises(Exception, match="must"):
+        MT.roc_auc(df, label="label", score="score").collect()
+
+
+def test_auc_takes_infinite_scores(spark):
+    from vellum.operators import metrics as MT
+
+    rows = [(0, float("-inf")), (0, 0.2), (1, 0.3), (1, float("inf")), (0, 0.4)]
+    out = MT.roc_auc(spark.createDataFrame(rows, "label int, score double"), label="label", score="score").collect()
+    assert any(abs(v - 5 / 6) < 1e-9 for v in out[0] if isinstance(v, float))
+
+
+def test_confusion_matrix_refuses_nulls(spark):
+    from vellum.operators import metrics as MT
+
+    df = spark.createDataFrame([(0, None), (1, 1)], "label int, prediction int")
+    with pytest.raises(Exception, match="must not be null"):
+        MT.confusion_matrix(df).collect()

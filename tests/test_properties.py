@@ -77,10 +77,10 @@ def test_l2_normalize_unit_norms(spark):
 def test_operator_code_collects_no_data():
     """Driver-side reads in library code are limited to bounded results, each listed here."""
     allowed = {
-        "metrics.py": 1,       # percentile boundaries: at most MAX_BUCKETS values
+        "metrics.py": 1,       # percentile boundaries, a few per shuffle partition
         "models.py": 3,        # d means / deviations, one weight sum, one vector width
         "contrastive.py": 5,   # largest batch size, width, per-step gradient, model/optimizer rows
-        "profile.py": 2,       # class counts after a checked bound (limit MAX_CLASSES + 1), max label
+        "profile.py": 1,       # max label
     }
     root = pathlib.Path(__file__).resolve().parents[1] / "vellum"
     pat = re.compile(r"(?<!\bF)\.(collect|first|take|toPandas|toLocalIterator|head)\(")  # not F.first

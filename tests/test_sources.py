@@ -170,3 +170,16 @@ def test_train_test_datasets_one_pass_cache(spark, tmp_dir):
         for a, b in zip(plain, cached):
             assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
             assert a.count() > 0
+
+
+def test_incremental_write_keeps_rows_without_a_time(spark, tmp_dir):
+    import datetime as dt
+
+    from vellum.sources.catalog import TableCatalog, write_incremental
+
+    rows = [(1, dt.datetime(2024, 1, 1, 5)), (2, None), (3, dt.datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+    assert write_incremental(df, f"{tmp_dir}/lake/log", "ts") == ["2024-01-01", "2024-01-02", "undated"]
+    lake = TableCatalog(spark, f"{tmp_dir}/lake")
+    assert sorted(r.id for r in lake.read_all("log").collect()) == [1, 2, 3]
+    assert sorted(r.id for r in lake.read_dates("log", "2024-01-01", "2024-01-31").collect()) == [1, 3]

@@ -260,7 +260,7 @@ class ProjectionModel:
     # -- persistence: one parquet row, never pickle
     def save(self, spark, path: str) -> None:
         meta = json.dumps({"in": self.dims[0], "out": self.dims[1], "normalize": self.normalize,
-                           "history": self.history[-1000:]})
+                           "history": self.history})
         row = [(self.W.tolist(), self.b.tolist(), meta)]
         spark.createDataFrame(row, "W array<array<double>>, b array<double>, meta string") \
             .coalesce(1).write.mode("overwrite").parquet(path)

@@ -9,34 +9,44 @@ one row per (group, range).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.session import require_columns
 
-MAX_BUCKETS = 4096
+
+def _checked(df: DataFrame, label: str, score: str) -> tuple[F.Column, F.Column]:
+    """Label and score of a row; a null or NaN score, or a label other than 0 and 1, is an error
+    (dropping such rows would change the result without notice)."""
+    y, s = F.col(label).cast("double"), F.col(score).cast("double")
+    y = F.when(y.isin(0.0, 1.0), y.cast("int")).otherwise(
+        F.raise_error(F.lit(f"scored table: '{label}' must be 0 or 1")).cast("int"))
+    s = F.when(s.isNotNull() & ~F.isnan(s), s).otherwise(
+        F.raise_error(F.lit(f"scored table: '{score}' must not be null or NaN")).cast("double"))
+    return y, s
 
 
 def _score_groups(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     require_columns(df, *by, label, score, what="scored table")
-    y = F.col(label).cast("int")
-    return (df.filter(F.col(score).isNotNull() & y.isNotNull())
-            .groupBy(*by, F.col(score).cast("double").alias("_s"))
+    y, s = F.col("_y"), F.col("_s")
+    y_checked, s_checked = _checked(df, label, score)
+    return (df.select(*by, y_checked.alias("_y"), s_checked.alias("_s")).groupBy(*by, s)
             .agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("_pos"),
                  F.sum(F.when(y == 0, 1).otherwise(0)).cast("long").alias("_neg")))
 
 
 def _raw_scores(df: DataFrame, label: str, score: str) -> DataFrame:
-    y = F.col(label).cast("int")
-    return df.filter(F.col(score).isNotNull() & y.isNotNull()).select(F.col(score).cast("double").alias("_s"))
+    return df.select(_checked(df, label, score)[1].alias("_s"))
 
 
 def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
     if num_buckets:
-        return max(1, min(int(num_buckets), MAX_BUCKETS))
+        return max(1, int(num_buckets))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(4 * n, MAX_BUCKETS))
+    return max(16, 4 * n)
 
 
 def _with_below(g: DataFrame, by: list[str], num_buckets: int | None, raw: DataFrame | None = None) -> DataFrame:
@@ -49,7 +59,7 @@ def _with_below(g: DataFrame, by: list[str], num_buckets: int | None, raw: DataF
     # per-score aggregate twice (once for the boundaries, once for the sums)
     src = raw if raw is not None else g
     row = src.agg(F.percentile_approx("_s", qs, 10000).alias("q")).first()
-    bounds = sorted({float(x) for x in (row["q"] or []) if x is not None})
+    bounds = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
     splits = [float("-inf")] + bounds + [float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
@@ -153,8 +163,10 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     """V4: ``(by..., label, prediction, count)`` for every pair of classes, zeros kept."""
     by = list(by or [])
     require_columns(df, *by, label, prediction)
-    counts = (df.groupBy(*by, F.col(label).cast("int").alias(label),
-                         F.col(prediction).cast("int").alias(prediction))
+    df = df.select(*by, *[F.when(F.col(c).isNotNull(), F.col(c).cast("int")).otherwise(
+        F.raise_error(F.lit(f"confusion matrix: '{c}' must not be null")).cast("int")).alias(c)
+        for c in (label, prediction)])
+    counts = (df.groupBy(*by, label, prediction)
               .agg(F.count(F.lit(1)).alias("count")))
     grid = (_classes(df, by, label, prediction)
             .select(*by, F.explode("_cs").alias(label), "_cs")

@@ -46,24 +46,13 @@ def class_balance(df: DataFrame, label: str = "DefaultDPD21") -> DataFrame:
         .cast("double").alias("scale_pos_weight"))
 
 
-MAX_CLASSES = 10_000
-
-
 def balanced_weights(df: DataFrame, label: str = "DefaultDPD21", weight: str = "weight") -> DataFrame:
     """``weight = n / (n_classes * n_c)`` per row (sklearn's 'balanced').
 
-    The per-class counts are a table with one row per class. When it holds at most
-    ``MAX_CLASSES`` rows (checked, not assumed) it becomes a literal map in the projection, so the
-    rows are never shuffled by label (a hot class would otherwise land in one task); beyond that
-    the counts are joined back by label and AQE splits skewed label partitions."""
+    The per-class counts (one row per class) are joined back by label; whether that table is
+    broadcast or shuffled is left to its measured size at run time, and AQE splits skewed labels."""
     require_columns(df, label)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    rows = counts.limit(MAX_CLASSES + 1).collect()
-    if len(rows) <= MAX_CLASSES:
-        n, k = sum(r["_nc"] for r in rows), len(rows)
-        pairs = [x for r in rows if r[label] is not None for x in (F.lit(r[label]), F.lit(n / (k * r["_nc"])))]
-        w = F.create_map(*pairs)[F.col(label)] if pairs else F.lit(None)
-        return df.select(*df.columns, w.cast("double").alias(weight))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))  # one row
     counts = _one_row_join(tot, counts).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight))
     return df.join(counts, on=label, how="left").select(*df.columns, weight)
@@ -71,7 +60,7 @@ def balanced_weights(df: DataFrame, label: str = "DefaultDPD21", weight: str = "
 
 def batch_stats(before: DataFrame, after: DataFrame, token_count: str = "token_count",
                 by: str | None = None) -> DataFrame:
-    """A5: rows before the label join, rows after, min/max/mean token count (optionally per ``by``)."""
+    """A5: look-back rows before the label join, rows after, min/max/mean token count (optionally per ``by``)."""
     require_columns(after, token_count)
     keys = [by] if by else []
     b = before.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_before"))

@@ -19,6 +19,7 @@ def get_spark(app: str = "vellum", master: str | None = None, shuffle_partitions
     """
     active = SparkSession.getActiveSession()
     if active is not None:
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app)
     if master or not os.environ.get("SPARK_MASTER"):

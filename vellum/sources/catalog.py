@@ -80,7 +80,7 @@ class TableCatalog:
 
     def _info(self, name: str) -> tuple[str, str]:
         if name not in self.tables:
-            raise ValueError(f"Table '{name}' not found. Available tables: {list(self.tables)}")
+            raise ValueError(f"no table named '{name}' in the catalog; it has {sorted(self.tables)}")
         return self.tables[name]
 
     # -- S2 / S3 / S4 -------------------------------------------------------------------------
@@ -98,7 +98,7 @@ class TableCatalog:
             return [p]
         found = parquet_children(self.spark, path)
         if not found:
-            raise FileNotFoundError(f"No parquet files found in {path}")
+            raise FileNotFoundError(f"the folder of incremental table '{name}' holds no parquet file: {path}")
         return found
 
     def read_table(self, name: str, date: str | None = None) -> DataFrame:
@@ -113,12 +113,15 @@ class TableCatalog:
         return self._read(self.files(name))
 
     def read_dates(self, name: str, start: str, end: str) -> DataFrame:
-        """Files whose date is in ``[start, end]``: only valid when file date = row date."""
+        """Files whose date is in ``[start, end]``: only valid when file date = row date. Rows without
+        a time (the ``undated`` file) are in no range; any other file without a date is an error."""
         lo = _dt.datetime.strptime(start, "%Y-%m-%d").date()
         hi = _dt.datetime.strptime(end, "%Y-%m-%d").date()
         keep = []
         for f in self.files(name):
             m = re.search(r"(\d{4}-\d{2}-\d{2})\.parquet$", f)
+            if m is None and not f.endswith(f"/{UNDATED}{_SUFFIX}"):
+                raise ValueError(f"file of '{name}' has no date in its name: {f}")
             if m and lo <= _dt.date.fromisoformat(m.group(1)) <= hi:
                 keep.append(f)
         if not keep:
@@ -143,16 +146,19 @@ class TableCatalog:
         return self.spark.sql(query.replace(TABLE_PLACEHOLDER, view))
 
 
+UNDATED = "undated"  # file of the rows whose time is null
+
+
 def write_incremental(df: DataFrame, folder: str, ts_col: str) -> list[str]:
     """Write ``df`` as an incremental table: one ``<folder>/<YYYY-MM-DD>.parquet`` per date of
-    ``ts_col``. One Spark job writes all dates (partitioned), then each partition folder is renamed
+    ``ts_col``, and ``undated.parquet`` for rows without one. One Spark job writes all dates (partitioned), then each partition folder is renamed
     into place (metadata only). Returns the dates written."""
     from pyspark.sql import functions as F
 
     spark = df.sparkSession
     folder = folder.rstrip("/")
     staging = f"{folder}/_staging_{uuid.uuid4().hex[:8]}"
-    (df.withColumn("_vellum_date", F.date_format(F.col(ts_col), "yyyy-MM-dd"))
+    (df.withColumn("_vellum_date", F.coalesce(F.date_format(F.col(ts_col), "yyyy-MM-dd"), F.lit(UNDATED)))
      .write.mode("overwrite").partitionBy("_vellum_date").parquet(staging))
     fs, _ = FS._fs_path(spark, folder)
     jvm = spark._jvm
