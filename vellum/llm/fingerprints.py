@@ -109,8 +109,13 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     return [(key[b: min(e, b + KEEP)] & U(0xFFFFFFFF)).astype(np.uint32) for b, e in zip(begin[:-1], begin[1:])]
 
 
+def packed(names: np.ndarray) -> bytes:
+    return names.astype(">u4").tobytes()
+
+
 def as_string(names: np.ndarray) -> str:
-    return names.astype(">u4").tobytes().hex()
+    """The form in the result."""
+    return packed(names).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -129,8 +134,8 @@ def edited(text: bytes, after: bytes) -> tuple[int, bytes]:
 
 
 OUT = [T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()),
-       T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
-       T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()),
+       T.StructField("edited_sha256", T.BinaryType()), T.StructField("fingerprint", T.BinaryType()),
+       T.StructField("edited_fingerprint", T.BinaryType()), T.StructField("near_edited", T.DoubleType()),
        T.StructField("near_next", T.DoubleType())]
 
 
@@ -140,7 +145,7 @@ def _described(ids: list, texts: list[bytes], nexts: list[bytes]) -> list[tuple]
     prints = fingerprints(texts + [e for _, e in made] + nexts[-1:])
     own, changed, last = prints[: len(texts)], prints[len(texts): 2 * len(texts)], prints[2 * len(texts):]
     follow = own[1:] + last  # the successor of each but the last is the next of the block
-    return [(i, n, hashlib.sha256(e).hexdigest(), as_string(a), as_string(b), likeness(a, b), likeness(a, c))
+    return [(i, n, hashlib.sha256(e).digest(), packed(a), packed(b), likeness(a, b), likeness(a, c))
             for i, (n, e), a, b, c in zip(ids, made, own, changed, follow)]
 
 
@@ -196,4 +201,6 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), final)], schema=final)
 
     last = open_.select("doc_id", "text", "next_text").mapInArrow(finish, T.StructType(OUT))
-    return written.where("edge = 0").select(*[f.name for f in OUT]).union(last)
+    # digests and names are written as bytes, half the size of their hexadecimal form
+    return written.where("edge = 0").select(*[f.name for f in OUT]).union(last).select(
+        *[F.lower(F.hex(f.name)).alias(f.name) if f.dataType == T.BinaryType() else F.col(f.name) for f in OUT])
