@@ -76,6 +76,28 @@ def test_checkpoints_keep_newest_three(spark, tmp_dir):
     assert st.step == 5 and model.W.shape == (4, 64)
 
 
+def test_fit_does_not_depend_on_partitioning_and_resumes(spark):
+    v = A.vectors(spark, SF).select("embedding", "label")
+    v = v.unionByName(v.limit(40))                       # identical rows too
+
+    def fit(df, epochs, initial=None, state=None):
+        est = CS.ContrastiveProjection(embedding_dim=4, epochs=epochs, batch_size=64, lr=1e-2, seed=1,
+                                       features="embedding", label="label", steps_per_epoch=4, schedule_epochs=2)
+        return est.fit(df, initial, state)
+
+    state = CS.OptimizerState()
+    once = fit(v.repartition(2), 1, state=state)
+    resumed = fit(v.repartition(5), 1, once, state)
+    both = fit(v.repartition(3), 2)
+    assert np.abs(resumed.W - both.W).max() < 1e-9 and state.step == 8
+
+
+def test_learning_rate_schedule():
+    rates = [CS.lr_at(s, 20, 5, 1.0) for s in range(21)]
+    assert rates[:5] == pytest.approx([0.2, 0.4, 0.6, 0.8, 1.0]) and rates[5] == 1.0
+    assert all(a > b for a, b in zip(rates[5:], rates[6:])) and rates[20] == pytest.approx(0.0)
+
+
 def test_lr_matches_newton_solution(spark):
     tr, _ = A.vector_split(spark, SF)
     fc = MD.fit_classifier(tr, "embedding", "label", "lr_checkpoint")

@@ -117,6 +117,21 @@ def test_plan_has_no_cartesian_product(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_scale_plan_pushes_the_time_range(spark, tmp_path):
+    spark.createDataFrame([(1, T0, "x")], SCHEMA).write.parquet(f"{tmp_path}/m")
+    spark.createDataFrame([(1, T0, 1)], SPINE).write.parquet(f"{tmp_path}/s")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = LB.lookback_text(spark.read.parquet(f"{tmp_path}/m"), spark.read.parquet(f"{tmp_path}/s"), 7,
+                              anchor_range=("2024-01-01", "2024-03-01"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "GreaterThanOrEqual(CreatedAt,2023-12-25" in plan and "LessThan(CreatedAt,2024-03-01" in plan
+    assert plan.count("Exchange hashpartitioning") <= 5  # 3 with texts, 2 of anchors
+
+
 def test_truncation_cases(spark):
     from vellum.functions.text import word_token_count, word_truncate
 

@@ -57,12 +57,15 @@ def test_contrastive_batches_scatter_a_hot_key(spark):
     assert total == 1200
 
 
-def test_batch_loss_refuses_unbounded_batches(spark):
-    df = spark.range(CS.MAX_BATCH_ROWS + 1).select(
-        F.lit(0).cast("long").alias("batch_id"), F.array(F.col("id").cast("double")).alias("embedding"),
-        (F.col("id") % 2).cast("int").alias("label"))
-    with pytest.raises(ValueError, match="largest batch"):
-        CS.batch_loss(df).collect()
+def test_batch_losses_in_blocks_equal_one_block(monkeypatch):
+    rng = np.random.default_rng(4)
+    e, y = rng.normal(size=(30, 3)), rng.integers(0, 3, 30)
+    e[5] = e[6] + 1e-9                                     # near-equal vectors: one formula at any size
+    whole = {loss: CS.loss_terms(CS.pairwise_distances(e), y, loss, want_grad=True) for loss in CS.LOSSES}
+    monkeypatch.setattr(CS, "BLOCK_VALUES", 200)
+    for loss, (total, n, grad) in whole.items():
+        got = CS.loss_terms(CS.pairwise_distances(e), y, loss, want_grad=True)
+        assert got[0] == pytest.approx(total, rel=1e-12) and got[1] == n and np.array_equal(got[2], grad)
 
 
 def test_balanced_weights_of_a_hot_label(spark):

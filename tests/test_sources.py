@@ -1,5 +1,6 @@
 """Catalog rules, incremental reads and their errors, SQL over a table, caches and stores."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -109,7 +110,33 @@ def test_embedding_store(spark, tmp_dir):
     st.save(df.limit(1), "enc1", "test")
     assert st.load("enc1", "train").count() == 2 and st.load("enc1", "test").count() == 1
     assert st.load("enc2", "train") is None
-    assert CA.EmbeddingStore.key("/x/checkpoint-10/", "test") == ("checkpoint-10", "test")
+    for odd in ("/runA/checkpoint-1", "/runB/checkpoint-1", "a b=c:d"):
+        assert st.load(odd, "train") is None           # the whole path counts, not its last part
+        st.save(df, odd, "train")
+        assert st.load(odd, "train").count() == 2
+
+
+def test_failed_rebuild_keeps_the_published_set(spark, tmp_dir):
+    def broken():
+        raise RuntimeError("no")
+
+    CA.materialize(spark, {"a": lambda: spark.range(5), "b": lambda: spark.range(1)}, tmp_dir, {"p": 1})
+    with pytest.raises(RuntimeError):
+        CA.materialize(spark, {"a": lambda: spark.range(9), "b": broken}, tmp_dir, {"p": 1}, use_cache=False)
+    got = CA.materialize(spark, {"a": broken, "b": broken}, tmp_dir, {"p": 1})
+    assert got["a"].count() == 5 and got["b"].count() == 1
+
+
+def test_dataset_cache_is_keyed_by_its_inputs(spark, tmp_dir):
+    from vellum.plans.dataset import build_train_test
+
+    t = dt.datetime(2024, 1, 2)
+    msgs = spark.createDataFrame([(k, t, "x") for k in range(6)], "UserLoanId long, CreatedAt timestamp_ntz, body string")
+    spine = spark.createDataFrame([(k, t, 1) for k in range(6)], "UserLoanId long, CreatedAt timestamp_ntz, DefaultDPD21 int")
+    args = (("2024-01-01", "2024-01-16"), ("2024-01-16", "2024-01-31"), 7)
+    assert build_train_test(msgs, spine, *args, cache_dir=tmp_dir)[0].count() == 6
+    few = spine.filter("UserLoanId < 2")
+    assert build_train_test(msgs, few, *args, cache_dir=tmp_dir)[0].count() == 2
 
 
 def test_lake_location_and_jdbc_profiles(spark, monkeypatch):

@@ -1,7 +1,7 @@
 """Contrastive losses as table operators (E5-E9) and the distributed fit of a projection head
 trained with them (E10-E13).
 
-Batches are fixed-size groups (``batch_id``) of at most a few hundred rows. Pairwise distances of
+Batches are groups (``batch_id``) of bounded size. Pairwise distances of
 one batch are computed inside one task with numpy (``applyInPandas``); no pair rows are emitted.
 The fit keeps only the projection weights and the optimizer moments on the driver: each step
 sums per-batch gradients on the executors (``Summarizer.sum``) and brings back one model-sized
@@ -18,14 +18,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.session import require_columns, scratch_path
 from vellum.sources import fs as FS
 
 LOSSES = ("batch_hard_soft_margin", "batch_all", "semi_hard")
-MAX_BATCH_ROWS = 4096  # one batch is one task's B x B matrix
+BLOCK_VALUES = 4_000_000  # doubles in one block of differences or triplets
+FOLDERS = 64  # folders of the written batches
 DEFAULT_MARGIN = 0.5
 _EPS = 1e-12
 
@@ -34,15 +35,19 @@ _EPS = 1e-12
 # per-batch math (numpy, inside tasks)
 
 def pairwise_distances(e: np.ndarray) -> np.ndarray:
-    """Euclidean distances between the rows of ``e`` (B x d)."""
+    """Euclidean distances between the rows of ``e`` (B x d), in blocks of rows."""
     b, d = e.shape
-    if b * b * d <= 4_000_000:
-        diff = e[:, None, :] - e[None, :, :]
-        return np.sqrt((diff * diff).sum(-1))
-    sq = (e * e).sum(1)
-    d2 = np.maximum(sq[:, None] + sq[None, :] - 2.0 * (e @ e.T), 0.0)
-    np.fill_diagonal(d2, 0.0)
-    return np.sqrt(d2)
+    out = np.empty((b, b))
+    for s in _slices(b, b * d):
+        diff = e[s, None, :] - e[None, :, :]
+        out[s] = np.sqrt((diff * diff).sum(-1))
+    return out
+
+
+def _slices(n: int, width: int):
+    """Slices of ``range(n)`` whose items, of ``width`` values each, fill about one block."""
+    step = max(1, BLOCK_VALUES // max(1, width))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
 
 
 def _masks(y: np.ndarray):
@@ -72,14 +77,15 @@ def loss_terms(D: np.ndarray, y: np.ndarray, loss: str, margin: float = DEFAULT_
             np.add.at(dD, (idx, hn_k), -s)
         return total, int(len(idx)), dD
     if loss == "batch_all":
-        t = D[:, :, None] - D[:, None, :] + margin
-        valid = pos[:, :, None] & neg[:, None, :]
-        active = valid & (t > 1e-16)
-        total = float(t[active].sum())
-        n = int(active.sum())
-        if want_grad:
-            dD += active.sum(2)
-            dD -= active.sum(1)
+        total, n = 0.0, 0
+        for s in _slices(len(D), len(D) ** 2):  # anchors in blocks: memory stays at B x B
+            t = D[s, :, None] - D[s, None, :] + margin
+            active = pos[s, :, None] & neg[s, None, :] & (t > 1e-16)
+            total += float(t[active].sum())
+            n += int(active.sum())
+            if want_grad:
+                dD[s] += active.sum(2)
+                dD[s] -= active.sum(1)
         return total, n, dD
     if loss == "semi_hard":
         has_neg = neg.any(1)
@@ -87,12 +93,13 @@ def loss_terms(D: np.ndarray, y: np.ndarray, loss: str, margin: float = DEFAULT_
         if len(a_idx) == 0:
             return 0.0, 0, dD
         dap = D[a_idx, p_idx]
-        dan = D[a_idx]  # rows: (a,p) pairs, cols: candidates
-        nm = neg[a_idx]
-        outside = nm & (dan > dap[:, None])
-        k_out = np.where(outside, dan, np.inf).argmin(1)
-        k_in = np.where(nm, dan, -np.inf).argmax(1)
-        k = np.where(outside.any(1), k_out, k_in)
+        k = np.empty(len(a_idx), np.int64)
+        for s in _slices(len(a_idx), len(D)):
+            dan, nm = D[a_idx[s]], neg[a_idx[s]]  # rows: (a,p) pairs, cols: candidates
+            outside = nm & (dan > dap[s, None])
+            k_out = np.where(outside, dan, np.inf).argmin(1)
+            k_in = np.where(nm, dan, -np.inf).argmax(1)
+            k[s] = np.where(outside.any(1), k_out, k_in)
         l = dap - D[a_idx, k] + margin
         act = l > 0
         total = float(l[act].sum())
@@ -140,11 +147,11 @@ def batch_loss(df: DataFrame, loss: str = "batch_hard_soft_margin", embedding: s
     """E5 (batch-hard soft-margin), E6 (batch-all) or E7 (semi-hard) over the given vectors.
 
     Returns one row ``(loss, n)`` (the mean and the count it averages over), or one row per batch
-    with ``per_batch=True`` (``loss_sum, n``)."""
+    with ``per_batch=True`` (``loss_sum, n``). A batch is defined by its pairwise distances, so one
+    task holds its B x B matrix; give ``batch`` a column of bounded batches (``assign_batches``)."""
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     require_columns(df, embedding, label, batch)
-    _check_batch_sizes(df, batch)
 
     def per(pdf: pd.DataFrame) -> pd.DataFrame:
         X = _stack(pdf[embedding])
@@ -159,13 +166,6 @@ def batch_loss(df: DataFrame, loss: str = "batch_hard_soft_margin", embedding: s
     return rows.agg((F.sum("loss_sum") / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
 
 
-def _check_batch_sizes(df: DataFrame, batch: str) -> None:
-    """A batch is held whole by one task: refuse batch columns whose largest batch is unbounded."""
-    big = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if big is not None and big > MAX_BATCH_ROWS:
-        raise ValueError(f"largest batch has {big} rows (> {MAX_BATCH_ROWS}); assign smaller batches")
-
-
 def l2_normalize(c) -> "F.Column":
     """``x / ||x||`` per array, JVM-side; the zero vector stays zero."""
     a = (F.col(c) if isinstance(c, str) else c).cast("array<double>")
@@ -192,13 +192,13 @@ def online_contrastive_loss(pairs: DataFrame, a: str = "emb_a", b: str = "emb_b"
     and negatives nearer than the farthest positive; loss = sum(pos^2) + sum(relu(margin - neg)^2)
     per batch, averaged over batches."""
     d = pairs.select(batch, F.col(label).cast("int").alias("_y"), (1 - cosine_similarity(a, b)).alias("_d"))
-    # batch statistics as window aggregates: one shuffle by batch, no aggregate joined back
-    w = Window.partitionBy(batch)
+    # batch statistics by map-side partial aggregation, one row per batch joined back: no task holds
+    # a batch, and AQE can split a batch with very many pairs
     pd_, nd_ = F.when(F.col("_y") == 1, F.col("_d")), F.when(F.col("_y") == 0, F.col("_d"))
-    j = d.select(batch, "_y", "_d",
-                 F.max(pd_).over(w).alias("_pmax"), F.avg(pd_).over(w).alias("_pavg"),
-                 F.count(pd_).over(w).alias("_np"), F.min(nd_).over(w).alias("_nmin"),
-                 F.avg(nd_).over(w).alias("_navg"), F.count(nd_).over(w).alias("_nn"))
+    stats = d.groupBy(F.col(batch).alias("_batch")).agg(
+        F.max(pd_).alias("_pmax"), F.avg(pd_).alias("_pavg"), F.count(pd_).alias("_np"),
+        F.min(nd_).alias("_nmin"), F.avg(nd_).alias("_navg"), F.count(nd_).alias("_nn"))
+    j = d.join(stats, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
     neg_cut = F.when(F.col("_np") > 1, F.col("_pmax")).otherwise(F.col("_navg"))
     pos_cut = F.when(F.col("_nn") > 1, F.col("_nmin")).otherwise(F.col("_pavg"))
     term = (F.when((F.col("_y") == 1) & (F.col("_d") > pos_cut), F.col("_d") * F.col("_d"))
@@ -306,26 +306,32 @@ class ContrastiveProjection:
     """Fit ``e = normalize(tanh(W x + b))`` on fixed features with a contrastive loss.
 
     AdamW (betas, eps, weight decay), warm-up over ``warmup_ratio`` of the first epoch then
-    cosine decay, gradient-norm clipping. Rows get a batch by hashing (seeded, with a row id, stable
-    under retries; a batch holds ~``batch_size`` rows even when one key holds many); an epoch runs ``steps_per_epoch`` steps, each summing the gradients of its share of
-    the batches (``steps_per_epoch = n_batches`` gives one batch per step).
+    cosine decay, gradient-norm clipping. Rows get a batch by a seeded hash of their content and of
+    their number among identical rows, so batches do not depend on partitioning or retries and a
+    batch holds ~``batch_size`` rows even when one key or vector holds many. A step takes one batch;
+    with ``steps_per_epoch`` an epoch runs that many steps, each summing its share of the batches.
+
+    The learning rate follows the optimizer step over ``schedule_epochs`` (default: the epochs done
+    and to do), and the order of steps follows (seed, epoch): with one ``schedule_epochs``, a fit of
+    one epoch resumed for another equals a fit of two.
     """
 
     def __init__(self, embedding_dim: int = 128, epochs: int = 3, batch_size: int = 16, lr: float = 2e-5,
                  weight_decay: float = 0.02, betas: tuple = (0.9, 0.999), eps: float = 1e-8,
                  warmup_ratio: float = 0.1, max_grad_norm: float = 0.5, loss: str = "batch_hard_soft_margin",
-                 margin: float = DEFAULT_MARGIN, seed: int | None = None, steps_per_epoch: int | None = 10,
+                 margin: float = DEFAULT_MARGIN, seed: int | None = None, steps_per_epoch: int | None = None,
                  features: str = "features", label: str = "label", key: str | None = None,
-                 checkpoint_dir: str | None = None, checkpoint_every: int | None = None, keep_checkpoints: int = 3):
+                 checkpoint_dir: str | None = None, checkpoint_every: int | None = None, keep_checkpoints: int = 3,
+                 schedule_epochs: int | None = None):
         if loss not in LOSSES:
             raise ValueError(f"loss must be one of {LOSSES}")
         self.__dict__.update({k: v for k, v in locals().items() if k != "self"})
 
     # -- data: grouped into batches once, partitioned by step group so a step reads only its part
     def _prepare(self, df: DataFrame):
-        """Write one row per batch ``(batch_id, xs, ys)`` under the shared checkpoint folder,
-        partitioned by step group. The only shuffle of the fit happens here; every step afterwards
-        is a pruned scan, a map over batch rows and a model-sized sum."""
+        """Write one row per batch ``(batch_id, xs, ys)`` under the shared checkpoint folder, in at
+        most ``FOLDERS`` folders sorted by step group. The rows are shuffled only here; every step
+        afterwards is a pruned scan, a map over batch rows and a model-sized sum."""
         require_columns(df, self.features, self.label)
         spark = df.sparkSession
         n = df.count()
@@ -334,21 +340,25 @@ class ContrastiveProjection:
         n_batches = max(1, -(-n // self.batch_size))
         steps = min(n_batches, self.steps_per_epoch or n_batches)
         seed = 0 if self.seed is None else int(self.seed)
-        # The batch hash includes a row id fixed by this one write (a retried task re-reads the same
-        # split, so it gets the same ids): repeated keys or copies of one vector still scatter over
-        # all batches, so batch sizes stay ~Poisson(batch_size) however skewed the keys are.
-        hkey = F.col(self.key) if self.key else F.col(self.features)
-        rid = F.monotonically_increasing_id()
-        rows = df.select(F.col(self.features).cast("array<double>").alias("x"),
-                         F.col(self.label).cast("long").alias("y"), hkey.alias("_h"), rid.alias("_rid"))
-        rows = rows.withColumn("batch_id", F.pmod(F.xxhash64(F.lit(seed), "_h", "_rid"), F.lit(n_batches)))
-        member = F.array_sort(F.collect_list(F.struct("_rid", "x", "y")))  # a batch: ~batch_size rows
+        hkey = F.col(self.key) if self.key else F.lit(0)
+        rows = df.select(F.xxhash64(F.lit(seed), hkey).alias("_h"),
+                         F.col(self.features).cast("array<double>").alias("x"), F.col(self.label).cast("long").alias("y"))
+        # identical rows are counted (map-side) and numbered again in chunks, so that copies of one
+        # vector scatter over all batches and no task makes all of them
+        same = rows.groupBy("_h", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+        chunks = same.select("*", F.explode(F.sequence(F.lit(0), F.expr("(_n - 1) div 1024"))).alias("_c"))
+        rows = chunks.repartition("_h", "x", "y", "_c").select("_h", "x", "y", F.explode(
+            F.expr("sequence(_c * 1024, least(_n, (_c + 1) * 1024) - 1)")).alias("_i"))
+        rows = rows.withColumn("batch_id", F.pmod(F.xxhash64(F.lit(seed), "_h", "x", "y", "_i"), F.lit(n_batches)))
+        member = F.array_sort(F.collect_list(F.struct("_h", "x", "y", "_i")))  # a batch: ~batch_size rows
+        group = F.pmod(F.col("batch_id"), F.lit(steps))
         batches = (rows.groupBy("batch_id").agg(member.alias("_m"))
                    .select("batch_id", F.transform("_m", lambda r: r["x"]).alias("xs"),
                            F.transform("_m", lambda r: r["y"]).alias("ys"),
-                           F.pmod(F.col("batch_id"), F.lit(steps)).alias("step_group")))
+                           group.alias("step_group"), F.pmod(group, F.lit(FOLDERS)).alias("folder"))
+                   .repartitionByRange("folder", "step_group", "batch_id").sortWithinPartitions("folder", "step_group"))
         path = scratch_path(spark, "contrastive-batches")
-        batches.write.mode("overwrite").partitionBy("step_group").parquet(path)
+        batches.write.mode("overwrite").partitionBy("folder").parquet(path)
         feats = spark.read.parquet(path)
         d_in = len(feats.select("xs").first()[0][0])
         return feats, n_batches, steps, d_in
@@ -371,7 +381,7 @@ class ContrastiveProjection:
                     acc[d_out * d_in:] += gb
             yield pd.DataFrame({"loss_sum": [tot], "n": [cnt], "g": [acc.tolist()]})
 
-        rows = (feats.filter(F.col("step_group") == group).select("xs", "ys")
+        rows = (feats.filter((F.col("folder") == group % FOLDERS) & (F.col("step_group") == group)).select("xs", "ys")
                 .mapInPandas(grads, "loss_sum double, n long, g array<double>"))
         r = rows.agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("loss_sum").alias("l"),
                      F.sum("n").alias("n")).first()
@@ -395,21 +405,21 @@ class ContrastiveProjection:
         if st.mW is None:
             st.mW, st.vW = np.zeros_like(model.W), np.zeros_like(model.W)
             st.mb, st.vb = np.zeros_like(model.b), np.zeros_like(model.b)
-        total = self.epochs * steps
+        start, todo = st.step, self.epochs * steps
+        total = self.schedule_epochs * steps if self.schedule_epochs else start + todo
         warmup = int(self.warmup_ratio * steps)
-        rng = np.random.default_rng(None if self.seed is None else self.seed + 1)
         b1, b2 = self.betas
-        start = st.step
         every = self.checkpoint_every or max(1, steps // 10)
-        for s in range(start, start + total):
-            local = s - start
-            if local % steps == 0:
+        order = None
+        for s in range(start, start + todo):
+            if order is None or s % steps == 0:
+                rng = np.random.default_rng(None if self.seed is None else (self.seed + 1, s // steps))
                 order = rng.permutation(steps)
-            loss, n, gW, gb = self._step_grads(feats, int(order[local % steps]), model)
+            loss, n, gW, gb = self._step_grads(feats, int(order[s % steps]), model)
             norm = math.sqrt(float((gW * gW).sum() + (gb * gb).sum()))
             if self.max_grad_norm and norm > self.max_grad_norm:
                 gW, gb = gW * (self.max_grad_norm / norm), gb * (self.max_grad_norm / norm)
-            lr = lr_at(local, total, warmup, self.lr)
+            lr = lr_at(s, total, warmup, self.lr)
             st.step += 1
             t = st.step
             for p, g, m, v in ((model.W, gW, st.mW, st.vW), (model.b, gb, st.mb, st.vb)):

@@ -29,7 +29,7 @@ from vellum.functions.text import (
     word_token_count,
     word_truncate,
 )
-from vellum.session import local_copy_if_small, require_columns
+from vellum.session import require_columns
 
 DEFAULT_SEPARATOR = "\n---\n"
 METHODS = ("bucketed", "rew", "frame", "full")
@@ -133,12 +133,14 @@ def band_pairs(anchors: DataFrame, clean: DataFrame, days: int, key: str = "User
 def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
                   separator: str = DEFAULT_SEPARATOR, key: str = "UserLoanId", ts: str = "CreatedAt",
                   body: str = "body", method: str = "bucketed", bucket_seconds: int | None = None,
-                  out: str = "concatenated_body", salts: int = DEFAULT_SALTS) -> DataFrame:
+                  out: str = "concatenated_body", salts: int = DEFAULT_SALTS,
+                  anchor_range: tuple[str, str] | None = None) -> DataFrame:
     """A2: one row per labelled anchor ``(key, ts, concatenated_body)``.
 
     ``spine`` limits the keys and, except for ``method='full'``, the anchors. With ``spine=None``
     every clean message time is an anchor. ``salts`` (``rew`` only) is how many ways a key's
-    messages are split; each anchor is copied that many times.
+    messages are split; each anchor is copied that many times. ``anchor_range`` (half-open dates)
+    limits the anchors, and so the messages to ``[start - days, end)``, a filter the scan can use.
     """
     if salts < 1:
         raise ValueError("salts must be >= 1")
@@ -147,18 +149,18 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
     if days < 0:
         raise ValueError("days must be >= 0")
     require_columns(messages, key, ts, body, what="messages")
+    if anchor_range is not None:
+        lo, hi = (parse_date(x) for x in anchor_range)
+        messages = messages.filter((F.col(ts) >= lo - F.make_dt_interval(days=F.lit(days))) & (F.col(ts) < hi))
+        spine = spine if spine is None else date_range(spine, *anchor_range, ts)
     if method == "bucketed" and spine is not None:
         return _lookback_bucketed(messages, spine, days, separator, key, ts, body, bucket_seconds, out)
     if spine is None:
         msgs = messages
-    else:
-        keys = local_copy_if_small(spine.select(key).filter(F.col(key).isNotNull()).distinct())
-        if keys is not None:            # proven small: drop other keys' messages map-side
-            msgs = messages.join(F.broadcast(keys), on=key, how="left_semi")
-        elif method == "rew":           # the (key, salt) join drops other keys' messages
-            msgs = messages
-        else:                           # shuffle semi-join; AQE splits a skewed key's partition
-            msgs = fetch_keys(messages, spine, key)
+    elif method == "rew":  # the (key, salt) join drops other keys' messages
+        msgs = messages
+    else:  # broadcast or shuffled as Spark's own sizes say; AQE splits a skewed key's partition
+        msgs = fetch_keys(messages, spine, key)
     clean = clean_messages(msgs, key, ts, body)
     if spine is None or method == "full":
         anchors = clean.select(key, ts).dropDuplicates([key, ts])
@@ -210,12 +212,10 @@ def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separat
                        ts: str, body: str, bucket_seconds: int | None, out: str) -> DataFrame:
     """The skew-safe default plan.
 
-    * clean messages are deduplicated on the full ``(key, time, text)`` (an even shuffle, partial
-      aggregation collapses copies map-side), then hashed on ``(key, bucket)`` for the band join;
-      a skewed ``(key, bucket)`` partition is split by AQE's skew-join handling;
+    * clean messages are hashed on ``(key, bucket)`` for the band join, which also drops the keys
+      outside the spine; a skewed ``(key, bucket)`` partition is split by AQE's skew-join handling;
     * spine anchors are deduplicated and sent to every bucket their window touches;
-    * messages of keys outside the spine are dropped map-side when the key set has a proven small
-      size; otherwise the (key, bucket) join drops them;
+    * copies of a message collapse map-side in the distinct ``(anchor, text)`` of the aggregate;
     * the anchor-existence test (a clean message at exactly the anchor time) is a flag in the
       final aggregate, not a separate semi-join: the anchor's own message is always in its window.
     """
@@ -223,13 +223,8 @@ def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separat
     if width <= 0:
         raise ValueError("bucket_seconds must be > 0")
     lookback = F.make_dt_interval(days=F.lit(days))
-    keys = local_copy_if_small(spine.select(key).filter(F.col(key).isNotNull()).distinct())
-    if keys is not None:
-        # a provably small key set: drop other keys' messages before the shuffle, map-side
-        messages = messages.join(F.broadcast(keys), on=key, how="left_semi")
     m = (messages.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
          .filter(F.col("_k").isNotNull() & F.col("_mt").isNotNull() & text_present("_body"))
-         .dropDuplicates(["_k", "_mt", "_body"])
          .withColumn("_b", _bucket(F.col("_mt"), width)))
     a = (spine.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
          .filter(F.col("_k").isNotNull() & F.col("_at").isNotNull())
@@ -277,8 +272,10 @@ def prepare_text(texts: DataFrame, labels: DataFrame, max_tokens: int = 512, key
 def build_dataset(messages: DataFrame, spine: DataFrame, days: int, max_tokens: int = 512,
                   separator: str = DEFAULT_SEPARATOR, key: str = "UserLoanId", ts: str = "CreatedAt",
                   body: str = "body", label: str = "DefaultDPD21", method: str = "bucketed",
-                  tokenizer: str = "words", bucket_seconds: int | None = None) -> DataFrame:
+                  tokenizer: str = "words", bucket_seconds: int | None = None,
+                  anchor_range: tuple[str, str] | None = None) -> DataFrame:
     """The stage-1 dataset: look-back text per labelled anchor, label, truncated text, token count."""
     require_columns(spine, key, ts, label, what="spine")
-    texts = lookback_text(messages, spine, days, separator, key, ts, body, method, bucket_seconds)
+    texts = lookback_text(messages, spine, days, separator, key, ts, body, method, bucket_seconds,
+                          anchor_range=anchor_range)
     return prepare_text(texts, spine.select(key, ts, label), max_tokens, key, ts, tokenizer=tokenizer)

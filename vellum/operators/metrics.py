@@ -105,14 +105,22 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", by: lis
     by = list(by or [])
     g = _with_below(_score_groups(df, by, label, score), by, num_buckets, _raw_scores(df, label, score))
     g = g.select(*by, "_bk", "_s", "_P", "_N", (F.col("_N") - F.col("_neg_below")).alias("_fps"),
-                 (F.col("_P") - F.col("_pos_below")).alias("_tps"))
+                 (F.col("_P") - F.col("_pos_below")).alias("_tps"),
+                 ((F.col("_pos_below") + F.col("_pos") == F.col("_P"))
+                  & (F.col("_neg_below") + F.col("_neg") == F.col("_N"))).alias("_highest"))
     if drop_intermediate:
         g = _drop_equal_steps(g, by)
-    pts = g.select(*by, (F.col("_fps") / F.col("_N")).alias("fpr"), (F.col("_tps") / F.col("_P")).alias("tpr"),
-                   F.col("_s").alias("threshold"))
-    start = (g.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-             .select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")))
-    return pts.unionByName(start)
+    both = (F.col("_P") > 0) & (F.col("_N") > 0)
+
+    def rate(count: str, total: str) -> F.Column:
+        return F.when(both, F.col(count) / F.col(total)).otherwise(
+            F.raise_error(F.lit("roc_curve: only one class present")).cast("double"))
+
+    point = F.struct(rate("_fps", "_N").alias("fpr"), rate("_tps", "_P").alias("tpr"), F.col("_s").alias("threshold"))
+    start = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
+    # the row of the group's highest score also gives the start point
+    points = F.when(F.col("_highest"), F.array(start, point)).otherwise(F.array(point))
+    return g.select(*by, F.explode(points).alias("_p")).select(*by, "_p.fpr", "_p.tpr", "_p.threshold")
 
 
 def _drop_equal_steps(g: DataFrame, by: list[str]) -> DataFrame:
@@ -151,28 +159,27 @@ def compare_models(df: DataFrame, label: str = "label", score: str = "score", mo
     return t.withColumn("rank", F.row_number().over(w)).orderBy("rank")
 
 
-def _classes(df: DataFrame, by: list[str], label: str, prediction: str) -> DataFrame:
-    """Per group, every class seen as a label or a prediction (a short array per group)."""
-    vals = df.select(*by, F.col(label).cast("int").alias("_c")).unionByName(
-        df.select(*by, F.col(prediction).cast("int").alias("_c")))
-    return vals.filter(F.col("_c").isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_set("_c")).alias("_cs"))
+def _pair_counts(df: DataFrame, by: list[str], label: str, prediction: str) -> DataFrame:
+    """(by..., label, prediction, count), one row per pair that occurs; a null in either is an error."""
+    require_columns(df, *by, label, prediction)
+    df = df.select(*by, *[F.when(F.col(c).isNotNull(), F.col(c).cast("int")).otherwise(
+        F.raise_error(F.lit(f"confusion matrix: '{c}' must not be null")).cast("int")).alias(c)
+        for c in (label, prediction)])
+    return df.groupBy(*by, label, prediction).agg(F.count(F.lit(1)).alias("count"))
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
                      by: list[str] | None = None) -> DataFrame:
     """V4: ``(by..., label, prediction, count)`` for every pair of classes, zeros kept."""
     by = list(by or [])
-    require_columns(df, *by, label, prediction)
-    df = df.select(*by, *[F.when(F.col(c).isNotNull(), F.col(c).cast("int")).otherwise(
-        F.raise_error(F.lit(f"confusion matrix: '{c}' must not be null")).cast("int")).alias(c)
-        for c in (label, prediction)])
-    counts = (df.groupBy(*by, label, prediction)
-              .agg(F.count(F.lit(1)).alias("count")))
-    grid = (_classes(df, by, label, prediction)
-            .select(*by, F.explode("_cs").alias(label), "_cs")
-            .select(*by, label, F.explode("_cs").alias(prediction)))
-    return (grid.join(counts, on=[*by, label, prediction], how="left")
-            .select(*by, label, prediction, F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+    counts = _pair_counts(df, by, label, prediction)
+    # per group, every class seen as a label or a prediction; the grid is the result's own size
+    classes = (counts.select(*by, F.explode(F.array(label, prediction)).alias("_c"))
+               .groupBy(*by).agg(F.array_sort(F.collect_set("_c")).alias("_cs")))
+    grid = (classes.select(*by, F.explode("_cs").alias(label), "_cs")
+            .select(*by, label, F.explode("_cs").alias(prediction), F.lit(0).cast("long").alias("count")))
+    return (counts.unionByName(grid).groupBy(*by, label, prediction)
+            .agg(F.sum("count").cast("long").alias("count")))
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -180,12 +187,13 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     """V5: per class precision, recall, f1, support, then 'accuracy', 'macro avg' and
     'weighted avg' rows. 0/0 gives 0."""
     by = list(by or [])
-    cm = confusion_matrix(df, label, prediction, by)
-    tp = cm.groupBy(*by, F.col(label).alias("_c")).agg(
-        F.sum(F.when(F.col(label) == F.col(prediction), F.col("count")).otherwise(0)).alias("tp"),
-        F.sum("count").alias("support"))
-    pp = cm.groupBy(*by, F.col(prediction).alias("_c")).agg(F.sum("count").alias("pred"))
-    per = tp.join(pp, on=[*by, "_c"], how="inner")
+    counts = _pair_counts(df, by, label, prediction)
+    n, none = F.col("count"), F.lit(0).cast("long")
+    hit = F.when(F.col(label) == F.col(prediction), n).otherwise(none)
+    sides = F.array(F.struct(F.col(label).alias("_c"), hit.alias("tp"), n.alias("support"), none.alias("pred")),
+                    F.struct(F.col(prediction).alias("_c"), none.alias("tp"), none.alias("support"), n.alias("pred")))
+    per = (counts.select(*by, F.explode(sides).alias("_x")).select(*by, "_x.*").groupBy(*by, "_c")
+           .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "pred")]))
 
     def safe(a, b):
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -197,22 +205,23 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     if class_names:
         m = F.create_map(*[x for k, v in class_names.items() for x in (F.lit(int(k)), F.lit(str(v)))])
         name = F.coalesce(m[F.col("_c")], name)
-    rows = per.select(*by, name.alias("class"), "precision", "recall", "f1", F.col("support").cast("long"))
+
+    def row(cls, precision, recall, f1, support):
+        return F.struct(cls.alias("class"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
+                        support.cast("long").alias("support"))
+
+    scores = ("precision", "recall", "f1")
+    # one row per group holds its classes' rows, so the summary rows need no second read
     agg = per.groupBy(*by).agg(
+        F.collect_list(row(name, *[F.col(c) for c in scores], F.col("support"))).alias("_rows"),
         F.sum("tp").alias("_tp"), F.sum("support").alias("_n"),
-        F.avg("precision").alias("_mp"), F.avg("recall").alias("_mr"), F.avg("f1").alias("_mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("_wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("_wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("_wf"))
-    acc = agg.select(*by, F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), (F.col("_tp") / F.col("_n")).alias("f1"),
-                     F.col("_n").cast("long").alias("support"))
-    mac = agg.select(*by, F.lit("macro avg").alias("class"), F.col("_mp").alias("precision"),
-                     F.col("_mr").alias("recall"), F.col("_mf").alias("f1"), F.col("_n").cast("long").alias("support"))
-    wei = agg.select(*by, F.lit("weighted avg").alias("class"), (F.col("_wp") / F.col("_n")).alias("precision"),
-                     (F.col("_wr") / F.col("_n")).alias("recall"), (F.col("_wf") / F.col("_n")).alias("f1"),
-                     F.col("_n").cast("long").alias("support"))
-    return rows.unionByName(acc).unionByName(mac).unionByName(wei)
+        *[F.avg(c).alias(f"_m_{c}") for c in scores],
+        *[F.sum(F.col(c) * F.col("support")).alias(f"_w_{c}") for c in scores])
+    total, null = F.col("_n"), F.lit(None).cast("double")
+    summary = F.array(row(F.lit("accuracy"), null, null, F.col("_tp") / total, total),
+                      row(F.lit("macro avg"), *[F.col(f"_m_{c}") for c in scores], total),
+                      row(F.lit("weighted avg"), *[F.col(f"_w_{c}") / total for c in scores], total))
+    return agg.select(*by, F.explode(F.concat("_rows", summary)).alias("_r")).select(*by, "_r.*")
 
 
 def decide(df: DataFrame, score: str = "score", threshold: float = 0.5, out: str = "prediction") -> DataFrame:

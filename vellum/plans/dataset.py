@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import parse_date
 from vellum.operators import lookback as LB
-from vellum.sources.cache import materialize
+from vellum.sources.cache import content_hash, materialize
 
 SPLIT = "dataset_split"
 
@@ -17,20 +17,22 @@ def build_train_test(messages: DataFrame, spine: DataFrame, train_range: tuple[s
                      separator: str = LB.DEFAULT_SEPARATOR, tokenizer: str = "words", method: str = "bucketed",
                      key: str = "UserLoanId", ts: str = "CreatedAt", body: str = "body",
                      label: str = "DefaultDPD21", cache_dir: str | None = None,
-                     use_cache: bool = True) -> tuple[DataFrame, DataFrame]:
+                     use_cache: bool = True, inputs: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One look-back plan over the spine rows of both ranges, then split by date. Without
     ``cache_dir`` the two frames are lazy and each evaluation runs the plan. With
     ``cache_dir`` that one pass is written once, partitioned by ``dataset_split`` (a row in both
-    ranges is written to both), keyed by every parameter, and each split is read back by
-    partition pruning."""
+    ranges is written to both), keyed by every parameter and by the contents of both tables, and each
+    split is read back by partition pruning. ``inputs`` names the contents (a version, a snapshot id)
+    and saves the pass that hashes them. The message scan gets the time range of all windows."""
     (a, b), (c, d) = train_range, test_range
     in_train = (F.col(ts) >= parse_date(a)) & (F.col(ts) < parse_date(b))
     in_test = (F.col(ts) >= parse_date(c)) & (F.col(ts) < parse_date(d))
     both = spine.filter(in_train | in_test)
+    span = min(a, c), max(b, d)
 
     def dataset():
         return LB.build_dataset(messages, both, days, max_tokens, separator, key, ts, body, label,
-                                method, tokenizer)
+                                method, tokenizer, anchor_range=span)
 
     if not cache_dir:
         ds = dataset()
@@ -38,7 +40,9 @@ def build_train_test(messages: DataFrame, spine: DataFrame, train_range: tuple[s
     spark = spine.sparkSession
     params = {"train": train_range, "test": test_range, "days": days, "max_tokens": max_tokens,
               "separator": separator, "tokenizer": tokenizer, "key": key, "ts": ts, "body": body,
-              "label": label, "layout": "one pass, partitioned by dataset_split"}
+              "label": label, "method": method,
+              "inputs": inputs or [content_hash(messages, key, ts, body), content_hash(both, key, ts, label)],
+              "layout": "one pass, partitioned by dataset_split"}
 
     def tagged():
         splits = F.array_compact(F.array(F.when(in_train, F.lit("train")), F.when(in_test, F.lit("test"))))

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 
 from vellum.operators import metrics as MT
 from vellum.operators import models as MD
 from vellum.operators.encode import TextEncoder
 from vellum.session import scratch_path
-from vellum.sources.cache import EmbeddingStore
+from vellum.sources.cache import EmbeddingStore, content_hash
 
 
 def embed_split(encoder: TextEncoder, df: DataFrame, keep: list[str], label: str,
                 store: EmbeddingStore | None = None, encoder_id: str | None = None,
                 split: str = "all") -> DataFrame:
     """Embed once and persist (store, or a scratch table): every later model fit re-reads the
-    vectors instead of re-running the encoder."""
+    vectors instead of re-running the encoder. Stored vectors answer only for the same encoder id,
+    projection weights and rows."""
     if store is not None and encoder_id:
+        p = encoder.projection
+        weights = hashlib.sha1(p.W.tobytes() + p.b.tobytes()).hexdigest() if p is not None else ""
+        encoder_id = f"{encoder_id}|{weights}|{content_hash(df, *keep, label, encoder.text)}"
         cached = store.load(encoder_id, split)
         if cached is not None:
             return cached
@@ -54,7 +60,7 @@ def evaluate_checkpoint(spark, checkpoint_path: str, train: DataFrame, test: Dat
                         keep: list[str], store: EmbeddingStore | None = None) -> dict[str, DataFrame]:
     """V7: encoder from a checkpoint folder -> cached vectors -> LR (balanced) and GBT (quick)."""
     enc = TextEncoder.load(spark, checkpoint_path)
-    eid = checkpoint_path.rstrip("/").rsplit("/", 1)[-1]
+    eid = checkpoint_path.rstrip("/")
     tr = embed_split(enc, train, keep, label, store, eid, "train")
     te = embed_split(enc, test, keep, label, store, eid, "test")
     return train_and_evaluate(tr, te, label, keep, ["lr_checkpoint", "gbt_quick"])
@@ -64,7 +70,7 @@ def evaluate_encoder(spark, encoder_path: str, train: DataFrame, test: DataFrame
                      keep: list[str], store: EmbeddingStore | None = None) -> dict[str, DataFrame]:
     """V8: the saved encoder on train and test with three classifiers."""
     enc = TextEncoder.load(spark, encoder_path)
-    eid = encoder_path.rstrip("/").rsplit("/", 1)[-1]
+    eid = encoder_path.rstrip("/")
     tr = embed_split(enc, train, keep, label, store, eid, "train")
     te = embed_split(enc, test, keep, label, store, eid, "test")
     return train_and_evaluate(tr, te, label, keep, ["lr_encoder", "gbt_quick", "mlp"])

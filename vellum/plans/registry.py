@@ -560,14 +560,16 @@ def s8_save_load(spark, sf_dir):
     return CA.load_data(spark, path)
 
 
-@register("s10_materialize_set", f"WITH spine AS ({SPINE}) SELECT * FROM spine "
-                                 f"WHERE CreatedAt >= TIMESTAMP '{_TE[0]}' AND CreatedAt < TIMESTAMP '{_TE[1]}'")
+@register("s10_materialize_set", f"WITH spine AS ({SPINE}) " + " UNION ALL ".join(
+    f"SELECT *, '{n}' AS member FROM spine WHERE CreatedAt >= TIMESTAMP '{r[0]}' AND CreatedAt < TIMESTAMP '{r[1]}'"
+    for n, r in (("train", _TR), ("test", _TE))))
 def s10_materialize_set(spark, sf_dir):
     folder = scratch_path(spark, "sets")
     params = {"sf_dir": sf_dir, "train": _TR, "test": _TE}
     got = CA.materialize(spark, {"train": lambda: _split(spark, sf_dir)[0],
                                  "test": lambda: _split(spark, sf_dir)[1]}, folder, params)
-    return got["test"]
+    return got["train"].withColumn("member", F.lit("train")).unionByName(
+        got["test"].withColumn("member", F.lit("test")))
 
 
 @register("s11_embedding_store", "SELECT vec_id, embedding FROM embeddings")

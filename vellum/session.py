@@ -98,47 +98,3 @@ def require_columns(df: DataFrame, *cols: str, what: str = "input") -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"{what} is missing column(s) {missing}; has {df.columns}")
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (bytes)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """The session's broadcast threshold in bytes (-1 disables broadcasting)."""
-    v = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    v = v.strip().lower()
-    mult = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for suf in sorted(mult, key=len, reverse=True):
-        if v.endswith(suf):
-            return int(float(v[: -len(suf)]) * mult[suf])
-    return int(v)
-
-
-ROW_OVERHEAD_BYTES = 32  # per row in a broadcast hash relation, beyond the values themselves
-
-
-def local_copy_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame | None:
-    """``df`` as a driver-side local table when it is proven under the limit (default: the
-    session's broadcast threshold), else None. A broadcast is built on the driver anyway; taking
-    the rows once (capped at ``limit / 32 + 1`` rows, then measured) means the table is computed
-    once instead of once to measure and again to broadcast."""
-    limit = broadcast_limit(df.sparkSession) if max_bytes is None else max_bytes
-    if limit <= 0:
-        return None
-    try:
-        if estimated_bytes(df) > limit:
-            return None
-    except Exception:  # noqa: BLE001 - unknown size: do not broadcast
-        return None
-    cap = limit // ROW_OVERHEAD_BYTES
-    rows = df.limit(cap + 1).collect()
-    if len(rows) > cap:
-        return None
-    size = len(rows) * ROW_OVERHEAD_BYTES + sum(
-        len(v.encode("utf-8")) if isinstance(v, str) else len(v) if isinstance(v, (bytes, bytearray)) else 8
-        for r in rows for v in r if v is not None)
-    if size > limit:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)

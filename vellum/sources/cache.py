@@ -1,14 +1,15 @@
 """Materialized datasets, embeddings and models.
 
 Everything is parquet (or Spark ML's own writer) under a shared folder; a ``_SUCCESS`` marker
-means a write completed. A set of datasets is valid only as a whole, and its folder is keyed by a
-hash of the parameters that built it, so changed parameters never read stale data.
+means a write completed. A set of datasets is valid only as a whole, its folder is keyed by a hash of
+the parameters that built it, and each build is a generation of its own that one marker publishes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -49,44 +50,52 @@ def params_key(params: dict) -> str:
 def materialize(spark: SparkSession, builders: dict[str, Callable[[], DataFrame]], folder: str,
                 params: dict | None = None, use_cache: bool = True,
                 partition_by: list[str] | None = None) -> dict[str, DataFrame]:
-    """Read-through cache over a *set* of datasets: if every member of the set was written under
-    this parameter key, read them all; otherwise build and write them all, then read back (so the
-    returned frames have a short lineage that survives executor loss)."""
+    """Read-through cache over a *set* of datasets: if every member was published under this
+    parameter key, read them all; otherwise build and write them all into a new generation folder,
+    publish it by one marker, then read it back (so the returned frames have a short lineage that
+    survives executor loss). A build that fails leaves the published generation as it was. Older
+    generations are kept: frames handed out before may still read them."""
     base = f"{folder.rstrip('/')}/{params_key(params or {})}"
-    paths = {n: f"{base}/{n}" for n in builders}
-    complete = use_cache and all(FS.exists(spark, f"{p}/_SUCCESS") for p in paths.values())
-    if not complete:
+    marker = f"{base}/_CURRENT.json"
+    text = FS.read_text(spark, marker) if use_cache else None
+    current = json.loads(text) if text else None
+    if current is None or not set(builders) <= set(current["members"]):
+        current = {"generation": uuid.uuid4().hex[:12], "members": sorted(builders)}
         for n, build in builders.items():
-            save_data(build(), paths[n], partition_by)
+            save_data(build(), f"{base}/{current['generation']}/{n}", partition_by)
         FS.write_text(spark, f"{base}/_PARAMS.json", json.dumps(params or {}, sort_keys=True, default=str))
-    return {n: spark.read.parquet(p) for n, p in paths.items()}
+        FS.write_text(spark, marker, json.dumps(current))
+    return {n: spark.read.parquet(f"{base}/{current['generation']}/{n}") for n in builders}
+
+
+def content_hash(df: DataFrame, *cols: str) -> str:
+    """Identity of a table's rows (of ``cols``, or of all), whatever their order: the row count and the
+    sum of row hashes, by one aggregate with map-side combination."""
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in cols or df.columns]).cast("decimal(38,0)")).alias("h")).first()
+    return f"{row['n']}:{row['h']}"
 
 
 # -- S11 --------------------------------------------------------------------------------------
 
 class EmbeddingStore:
-    """Vectors with their keys, partitioned by ``encoder_id`` and ``split``."""
+    """Vectors with their keys, one folder per encoder id and split. Ids are any text: folders are
+    named by their hashes."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    @staticmethod
-    def key(encoder_path: str, split: str) -> tuple[str, str]:
-        return encoder_path.rstrip("/").rsplit("/", 1)[-1], split
+    def _folder(self, encoder_id: str, split: str) -> str:
+        a, b = (hashlib.sha1(x.encode()).hexdigest() for x in (encoder_id, split))
+        return f"{self.folder}/{a}/{b}"
 
     def save(self, df: DataFrame, encoder_id: str, split: str) -> None:
-        out = df.withColumn("encoder_id", F.lit(encoder_id)).withColumn("split", F.lit(split))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("encoder_id", "split").parquet(self.folder))
+        save_data(df, self._folder(encoder_id, split))
 
     def load(self, encoder_id: str, split: str) -> DataFrame | None:
-        part = f"{self.folder}/encoder_id={encoder_id}/split={split}"
-        if not FS.exists(self.spark, part):
-            return None
-        df = self.spark.read.parquet(self.folder)
-        return df.filter((F.col("encoder_id") == encoder_id) & (F.col("split") == split)) \
-            .drop("encoder_id", "split")
+        part = self._folder(encoder_id, split)
+        return self.spark.read.parquet(part) if FS.exists(self.spark, f"{part}/_SUCCESS") else None
 
 
 # -- S12 --------------------------------------------------------------------------------------
