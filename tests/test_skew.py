@@ -116,3 +116,15 @@ def test_large_scale_plan_joins_on_key_and_bucket(spark):
             assert all("," in k for k in left_keys), (meth, joins)   # never the key alone
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_batches_are_bounded_under_a_hot_key_and_copies(spark):
+    rows = [(1, i) for i in range(600)] + [(2, 7)] * 2500 + [(k, k) for k in range(3, 200)] + [(None, None)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    a = PR.assign_batches(df.repartition(3), 64, seed=1)
+    sizes = {r.batch_id: r["count"] for r in a.groupBy("batch_id").count().collect()}
+    assert sum(sizes.values()) == len(rows) and sorted(sizes) == list(range(len(sizes)))
+    assert set(sizes.values()) <= {64, len(rows) % 64 or 64}
+    got = [sorted(map(str, PR.assign_batches(df.repartition(n), 64, seed=1).collect())) for n in (2, 5)]
+    assert got[0] == got[1]
+    assert PR.assign_batches(df.limit(0), 64).count() == 0

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.session import require_columns
 
@@ -97,27 +98,51 @@ def distinct_labels(df: DataFrame, label: str = "DefaultDPD21") -> DataFrame:
     return df.select(label).distinct().orderBy(label)
 
 
+def _row_hash(df: DataFrame, columns: list[str], seed: int) -> Column:
+    """md5 (hexadecimal) of the seed and the columns' texts; a timestamp's text has six decimals."""
+    def text(c: str) -> Column:
+        if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)):
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return F.col(c).cast("string")
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(text(c), F.lit("")) for c in columns]))
+
+
 def seeded_order(df: DataFrame, key: str, seed: int = 0, col: str = "order_key") -> DataFrame:
-    """O2: a deterministic shuffle: order by ``xxhash64(seed, key)`` (stable under task retries).
+    """O2: a deterministic shuffle: order by ``md5(seed|key)`` (stable under task retries).
 
     Rows of one key are tied on that order; a hash of the whole row and then a row id break the
     ties so the range partitioner of the sort can split a key (or a set of identical copies) that
     holds a large share of the rows. Only the order among identical rows depends on the row id."""
     whole = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
-    return (df.withColumn(col, F.xxhash64(F.lit(seed), F.col(key)))
+    return (df.withColumn(col, _row_hash(df, [key], seed))
             .withColumn("_tie", whole).withColumn("_rid", F.monotonically_increasing_id())
             .orderBy(col, key, "_tie", "_rid").drop("_tie", "_rid"))
 
 
-def assign_batches(df: DataFrame, key: str, batch_size: int, seed: int = 0, n_rows: int | None = None,
+def assign_batches(df: DataFrame, batch_size: int, by: list[str] | None = None, seed: int = 0,
                    col: str = "batch_id") -> DataFrame:
-    """O3: batches of about ``batch_size`` rows by hashing the key into ``ceil(n / batch_size)``
-    buckets: no global sort, same batch for a key under retries."""
+    """O3: batches of exactly ``batch_size`` rows (the last may hold fewer): a row's place in the
+    order of ``md5(seed|by...)`` (all columns by default), divided by the batch size.
+
+    Identical rows are counted map-side and take consecutive places, so a hot key or a run of copies
+    spreads over as many batches as it needs. Places are running sums inside 65,536 hash ranges plus
+    each range's offset (a table of at most that many rows): no global sort."""
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")
-    n = df.count() if n_rows is None else n_rows
-    nb = max(1, -(-n // batch_size))
-    return df.withColumn(col, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(nb)))
+    cols = df.columns
+    same = (df.withColumn("_h", _row_hash(df, list(by or cols), seed)).groupBy("_h", *cols)
+            .agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.substring("_h", 1, 4)))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = same.groupBy("_range").agg(F.sum("_n").alias("_size"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before.orderBy("_range")), F.lit(0)).alias("_off"))
+    inside = before.partitionBy("_range").orderBy("_h", *cols)
+    placed = (same.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+              .join(F.broadcast(offsets), "_range").withColumn("_at", F.col("_at") + F.col("_off")))
+    # copies are numbered in chunks of 1,024 that are dealt anew, so no task makes all of a hot row's
+    chunk = placed.select("*", F.explode(F.expr("sequence(0, (_n - 1) div 1024)")).alias("_c"))
+    row = chunk.repartition("_h", "_c").select(
+        *cols, "_at", F.explode(F.expr("sequence(_c * 1024, least(_n, (_c + 1) * 1024) - 1)")).alias("_i"))
+    return row.select(*cols, F.expr(f"(_at + _i) div {int(batch_size)}").alias(col))
 
 
 def rank_by(df: DataFrame, metric: str, ascending: bool = False) -> DataFrame:

@@ -327,14 +327,19 @@ def o1_order_by_key_time(spark, sf_dir):
     return _lookback_labelled(spark, sf_dir).orderBy("UserLoanId", "CreatedAt")
 
 
-@register("o2_seeded_order")
+@register("o2_seeded_order", f"""
+SELECT *, md5('42|' || CAST(UserLoanId AS VARCHAR)) AS order_key FROM ({SPINE}) ORDER BY order_key""")
 def o2_seeded_order(spark, sf_dir):
     return PR.seeded_order(A.spine(spark, sf_dir), "UserLoanId", seed=42)
 
 
-@register("o3_batches")
+@register("o3_batches", f"""
+WITH s AS ({SPINE}),
+h AS (SELECT *, md5(concat_ws('|', '42', UserLoanId, strftime(CreatedAt, '%Y-%m-%d %H:%M:%S.%f'), DefaultDPD21)) AS h
+      FROM s)
+SELECT UserLoanId, CreatedAt, DefaultDPD21, (row_number() OVER (ORDER BY h) - 1) // 64 AS batch_id FROM h""")
 def o3_batches(spark, sf_dir):
-    return PR.assign_batches(A.spine(spark, sf_dir), "UserLoanId", batch_size=64, seed=42)
+    return PR.assign_batches(A.spine(spark, sf_dir), batch_size=64, seed=42)
 
 
 @register("u1_union_train_test", f"""
