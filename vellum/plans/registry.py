@@ -636,6 +636,48 @@ def m7_compare_trained_models(spark, sf_dir):
     return MT.compare_models(scored)
 
 
+# -- facts of fitted classifiers: counts recomputed by the twin, probabilities and AUC held to bounds
+
+def _classifier_facts(spark, sf_dir, preset, auc_floor, **settings):
+    tr, te = A.vector_split(spark, sf_dir)
+    fc = MD.fit_classifier(tr, "embedding", "label", preset, seed=42, **settings)
+    scored = fc.score(tr, "train", ["vec_id"]).unionByName(fc.score(te, "test", ["vec_id"]))
+    path = scratch_path(spark, "scored")
+    scored.write.parquet(path)  # the trees' scores are read twice
+    scored = spark.read.parquet(path)
+    by = ["model", "split"]
+    seen = scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"), F.sum("label").alias("positives"),
+        F.min(F.col("score").between(0, 1)).alias("in_range"), (F.stddev("score") > 0).alias("varied"),
+        F.min((F.col("score") > 0.5) == (F.col("prediction") == 1)).alias("decided"))
+    auc = MT.roc_auc(scored, by=by).select(*by, (F.col("auc") > F.when(
+        F.col("split") == "train", auc_floor).otherwise(0.0)).alias("over_floor"))
+    return seen.join(auc, by)
+
+
+def _classifier_facts_sql(name):
+    return f"""
+SELECT '{name}' AS model, CASE WHEN vec_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, COUNT(*) AS rows,
+       COUNT(DISTINCT vec_id) AS ids, CAST(SUM(CAST(label < 3 AS INTEGER)) AS BIGINT) AS positives,
+       TRUE AS in_range, TRUE AS varied, TRUE AS decided, TRUE AS over_floor
+FROM embeddings GROUP BY 2"""
+
+
+@register("m2_logistic_facts", _classifier_facts_sql("lr_stage2"))
+def m2_logistic_facts(spark, sf_dir):
+    return _classifier_facts(spark, sf_dir, "lr_stage2", 0.6)
+
+
+@register("m3_gbt_facts", _classifier_facts_sql("gbt_quick"))
+def m3_gbt_facts(spark, sf_dir):
+    return _classifier_facts(spark, sf_dir, "gbt_quick", 0.6, n_estimators=10)
+
+
+@register("m4_mlp_facts", _classifier_facts_sql("mlp"))
+def m4_mlp_facts(spark, sf_dir):
+    return _classifier_facts(spark, sf_dir, "mlp", 0.6, max_iter=50)
+
+
 # -- E2, E3, E5..E9 ---------------------------------------------------------------------------
 import numpy as _np  # noqa: E402
 
@@ -794,6 +836,61 @@ def e13_checkpoint_resume(spark, sf_dir):
     return resumed.transform(v.select("vec_id", "label", "embedding"), "embedding", "projected").drop("embedding")
 
 
+def _unit_rows(projected, col="projected"):
+    """Rows, distinct ids, and whether all vectors have ``embedding_dim`` coordinates and norm 1."""
+    norm = F.sqrt(F.aggregate(F.transform(col, lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x))
+    return projected.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"),
+                         F.min(F.size(col)).alias("least_dim"), F.max(F.size(col)).alias("most_dim"),
+                         (F.max(F.abs(norm - 1)) < 1e-5).alias("unit"))
+
+
+_UNIT_SQL = """
+SELECT COUNT(*) AS rows, COUNT(DISTINCT vec_id) AS ids, 16 AS least_dim, 16 AS most_dim, TRUE AS unit{more}
+FROM embeddings"""
+
+
+def _mean_loss(history):
+    return sum(h["loss"] for h in history) / len(history)
+
+
+@register("e10_fit_facts", _UNIT_SQL.format(more=", TRUE AS loss_fell, 24 AS steps"))
+def e10_fit_facts(spark, sf_dir):
+    v = A.vectors(spark, sf_dir)
+    model = _projection_fit(epochs=6).fit(v)
+    fell = _mean_loss(model.history[-4:]) < _mean_loss(model.history[:4])
+    return _unit_rows(model.transform(v, "embedding", "projected")).select(
+        "*", F.lit(fell).alias("loss_fell"), F.lit(len(model.history)).alias("steps"))
+
+
+@register("e11_warm_start_facts", _UNIT_SQL.format(more=", TRUE AS starts_lower"))
+def e11_warm_start_facts(spark, sf_dir):
+    v = A.vectors(spark, sf_dir)
+    first = _projection_fit(epochs=6).fit(v)
+    second = _projection_fit(epochs=1).fit(v, initial=first)
+    lower = _mean_loss(second.history[-4:]) < _mean_loss(first.history[:4])
+    return _unit_rows(second.transform(v, "embedding", "projected")).select("*", F.lit(lower).alias("starts_lower"))
+
+
+@register("e12_fit_transform_facts", _UNIT_SQL.format(more=""))
+def e12_fit_transform_facts(spark, sf_dir):
+    v = A.vectors(spark, sf_dir).select("vec_id", "label", "embedding")
+    return _unit_rows(_projection_fit(epochs=1).fit_transform(v, "projected"))
+
+
+@register("e13_resume_facts", _UNIT_SQL.format(more=", TRUE AS equals_one_run, 8 AS last_step"))
+def e13_resume_facts(spark, sf_dir):
+    """One epoch, checkpoint, reload, one epoch more: equal to two epochs in one run (1e-9)."""
+    v = A.vectors(spark, sf_dir)
+    folder = scratch_path(spark, "checkpoints")
+    whole = _projection_fit(epochs=2, schedule_epochs=2).fit(v)
+    _projection_fit(epochs=1, schedule_epochs=2, checkpoint_dir=folder, checkpoint_every=1).fit(v)
+    model, state = CS.load_checkpoint(spark, CA.list_checkpoints(spark, folder)[-1])
+    resumed = _projection_fit(epochs=1, schedule_epochs=2).fit(v, initial=model, state=state)
+    equal = bool(abs(resumed.W - whole.W).max() < 1e-9 and abs(resumed.b - whole.b).max() < 1e-9)
+    return _unit_rows(resumed.transform(v, "embedding", "projected")).select(
+        "*", F.lit(equal).alias("equals_one_run"), F.lit(int(resumed.history[-1]["step"])).alias("last_step"))
+
+
 def _text_encoder(spark, sf_dir, tr):
     enc = EN.TextEncoder.fit_featurizer(tr, _TEXT, kind="word2vec", vector_size=32, seed=42)
     return enc.fit_projection(tr, _LABEL, embedding_dim=16, epochs=1, batch_size=16, lr=1e-2, seed=7,
@@ -806,6 +903,14 @@ def e4_encode_texts(spark, sf_dir):
     return _text_encoder(spark, sf_dir, tr).transform(te.select(*_KEYS, _TEXT)).drop(_TEXT)
 
 
+@register("e4_encode_facts", f"""
+SELECT COUNT(*) AS rows, 16 AS least_dim, 16 AS most_dim, TRUE AS unit FROM ({SPINE})
+WHERE CreatedAt >= TIMESTAMP '{_TE[0]}' AND CreatedAt < TIMESTAMP '{_TE[1]}'""")
+def e4_encode_facts(spark, sf_dir):
+    made = e4_encode_texts(spark, sf_dir).withColumn("vec_id", F.lit(0))
+    return _unit_rows(made, "embedding").drop("ids")
+
+
 @register("v7_evaluate_checkpoint")
 def v7_evaluate_checkpoint(spark, sf_dir):
     tr, te = _datasets(spark, sf_dir)
