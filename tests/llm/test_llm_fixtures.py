@@ -297,6 +297,19 @@ def test_partenum_components(spark, seed, families, copies, size, edits):
     assert kept == {d for d in texts if label[d] == d}
 
 
+def test_partenum_links_short_near_copies(spark):
+    rng = random.Random(9)
+    texts = {}
+    for i in range(400):
+        words = [f"s{i}_{rng.randint(0, 9999)}_{j}" for j in range(7 + i % 6)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join([*words, f"last{i}"])
+    sets, label = _components(texts)
+    assert all(label[2 * i + 1] == 2 * i for i in range(400))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.similar(frame).collect()}
+    assert got == {d: (len(sets[d]), label[d]) for d in texts}
+
+
 def test_partenum_nulls_and_repeated_rows(spark):
     text = " ".join(f"v{i}" for i in range(20))
     frame = spark.createDataFrame([(1, text, 9), (1, text, 9), (2, text, 8), (None, text, 7), (3, None, 6)],

@@ -289,7 +289,9 @@ def _survivors(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     one = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
                                                            F.first("counted").alias("counted"))
     quarter = F.floor(F.col("n") * (DEN - NUM) / DEN)
-    return (one.join(support, "node").where(F.col("counted") - F.col("shared") <= quarter)
+    # a set without a row there shares no counted shingle; it may still link by the others
+    shared = F.coalesce("shared", F.lit(0))
+    return (one.join(support, "node", "left").where(F.col("counted") - shared <= quarter)
             .select("doc_id", "node"))
 
 
