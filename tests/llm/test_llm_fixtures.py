@@ -319,6 +319,22 @@ def test_partenum_nulls_and_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in partenum.keep_one(frame).collect()) == ["1", "3", "None"]
 
 
+def test_partenum_links_over_texts_without_an_id(spark):
+    w = [f"b{i}" for i in range(30)]
+    one, bridge, two = " ".join(w), " ".join([*w[3:], *"xyz"]), " ".join([*w[6:], *"xyzuvt"])
+    alone, near = " ".join(f"c{i}" for i in range(30)), " ".join(f"c{i}" for i in range(31))
+    texts = {0: one, 1: bridge, 2: two}
+    sets, label = _components(texts)
+    assert label[2] == 0 and _components({0: one, 2: two})[1][2] == 2  # linked over the bridge only
+    rows = [(10, one), (None, bridge), (None, bridge), (None, bridge.upper()), (20, two), (None, alone), (None, near)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((str(r.doc_id), r.n_shingles, r.component_id) for r in partenum.similar(frame).collect()), key=str)
+    n = len(sets[1])
+    assert got[:2] == [("10", 26, 10), ("20", 26, 10)]
+    assert sorted(g[1:] for g in got[2:] if g[2]) == [(n, 10)] * 3
+    assert sorted(g[1:] for g in got[2:] if not g[2]) == [(26, None), (27, None)]
+
+
 def test_parity_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(4)
     for n in (3, 40, 400):

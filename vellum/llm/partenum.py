@@ -28,7 +28,9 @@ sets are one node; two nodes link when ``100 * |A & B| >= 75 * |A | B|``.
 
 Defined cases: null, empty and blank texts have the empty set, link with nothing and are their own
 component; repeated rows and equal texts are one node; rows of one id stand for themselves but carry
-that id; an empty table gives no rows; other columns pass through in ``keep_one``.
+that id; texts that stand only on rows with a null id link like others (also as a bridge), and a
+component without any id has a null ``component_id``; an empty table gives no rows; other columns pass
+through in ``keep_one``.
 """
 
 from __future__ import annotations
@@ -284,7 +286,8 @@ def _support(sets: DataFrame, parts: int) -> DataFrame:
 
 
 def _survivors(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-    """doc_id, node of one document for each set that passes the support filter."""
+    """doc_id (null where all rows of the set have none), node of one document for each set that
+    passes the support filter."""
     support = _support(docs.select(F.col("text").cast("string").alias(TEXT)), parts)
     one = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
                                                            F.first("counted").alias("counted"))
@@ -305,9 +308,19 @@ def shingles_of(stored: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def _nodes_of(texts: list[bytes]) -> list[np.ndarray]:
+    return [node_ids(*shingle_sets(texts))]
+
+
 def _write_sets(docs: DataFrame, survivors: DataFrame, path: str) -> None:
     """The shingle sets (48 bits of each hash) of the survivors."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias(TEXT)).join(survivors, "doc_id")
+    rows = (docs.select("doc_id", F.col("text").cast("string").alias(TEXT))
+            .join(small_side(survivors.where("doc_id IS NOT NULL")), "doc_id").select(TEXT, "node"))
+    unnamed = survivors.where("doc_id IS NULL").select("node")
+    if unnamed.limit(1).count():  # texts that stand on no row with an id are found by their node
+        spare = map_texts(docs.where("doc_id IS NULL").select("text").distinct(), lambda: _nodes_of, [NODE], keep=["text"])
+        rows = rows.union(spare.join(small_side(unnamed), "node").groupBy("node").agg(F.min("text").alias(TEXT))
+                          .select(TEXT, "node"))
     schema = to_arrow_schema(T.StructType([NODE, T.StructField("size", T.LongType()), T.StructField("need", T.LongType()),
                                           T.StructField("sketch", T.BinaryType()), T.StructField("shingles", T.BinaryType())]))
 
@@ -506,7 +519,7 @@ def similar(docs: DataFrame) -> DataFrame:
     nodes = spark.read.parquet(f"{work}/nodes")
     shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     _survivors(docs, nodes, _hash_parts(spark, int(shingles * 7 * DOMAIN))).write.parquet(f"{work}/survivors")
-    _write_sets(docs, small_side(spark.read.parquet(f"{work}/survivors")), f"{work}/sets")
+    _write_sets(docs, spark.read.parquet(f"{work}/survivors"), f"{work}/sets")
     sets = spark.read.parquet(f"{work}/sets")
     if repeated_ids(nodes):  # rows that repeat an id and a text have repeated their set
         sets.dropDuplicates(["node"]).write.parquet(f"{work}/distinct-sets")
