@@ -335,6 +335,15 @@ def test_partenum_links_over_texts_without_an_id(spark):
     assert sorted(g[1:] for g in got[2:] if not g[2]) == [(26, None), (27, None)]
 
 
+def test_keep_one_removes_rows_not_ids(spark):
+    copy, clean = " ".join(f"d{i}" for i in range(30)), " ".join(f"k{i}" for i in range(30))
+    rows = [(1, copy, "a"), (5, copy + " end", "b"), (5, clean, "c"), (5, "", "d"), (6, copy + " tail", "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(2)
+    kept = partenum.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], (5, "", "d"), (5, clean, "c")]
+
+
 def test_parity_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(4)
     for n in (3, 40, 400):

@@ -558,10 +558,17 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns. Documents
-    without shingles or without an id stay; of rows that repeat an id and a text one stays."""
+    without shingles or without an id stay; of rows that repeat an id and a text one stays. An id on
+    different texts loses only the rows whose text is in a component of a smaller id."""
     found = scratch_path(docs.sparkSession, "partenum-kept")
     similar(docs).write.parquet(found)
     rows = docs.sparkSession.read.parquet(found)
-    gone = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small_side(gone), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = rows.where("doc_id <> component_id").select("doc_id", F.col("node").alias("__node")).distinct()
+    columns = [f"`{c}`" for c in docs.columns]
+    kept = docs.join(small_side(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*columns)
+    mixed = gone.join(rows.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    if mixed.limit(1).count():  # ids that also stand on a text that stays
+        some = docs.join(small_side(mixed.select("doc_id").distinct()), "doc_id", "left_semi")
+        keyed = map_texts(some, lambda: _nodes_of, [T.StructField("__node", T.LongType())], keep=docs.columns)
+        kept = kept.union(keyed.join(small_side(mixed), ["doc_id", "__node"], "left_anti").select(*columns))
     return kept.dropDuplicates(["doc_id", "text"]) if repeated_ids(rows) else kept
