@@ -250,6 +250,14 @@ def test_decontamination(spark, docs, block_bytes):
     assert kept.columns == frame.columns
 
 
+def test_item_blocks_are_bounded_under_repeated_items(spark):
+    rows = [(1, "copied item " * 5)] * 300 + [(i, f"item number {i} " * 4) for i in range(40)] + [(None, "copied item")] * 9
+    found = list(decontam._item_blocks(spark.createDataFrame(rows, "item_id long, text string").repartition(3), 500))
+    assert max(sum(map(len, texts)) for texts, _ in found) < 2000
+    listed = [x for texts, ids in found for x in zip(ids, texts)]
+    assert len(listed) == 42 and set(listed) == {(None if i is None else str(i), t.encode()) for i, t in rows}
+
+
 def _shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return frozenset(tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()

@@ -8,12 +8,12 @@ under its rarest word with that word's place. A document word that is a prefix w
 windows; the place gives the only possible start, windows that would leave the document are cut off
 (length and position bounds), and the rest are verified word by word.
 
-The item side is cut into blocks of at most ``block_bytes`` of text (by a hash, counted beforehand);
+The distinct items are cut into blocks of about ``block_bytes`` of text (by a hash, counted beforehand);
 each block's index is a broadcast of bounded size, and the blocks are applied one after the other in
 one narrow pass, so an item table of any size needs no shuffle of the documents.
 
 Defined cases: null or empty text has no words and is never contaminated; an item without words has
-no windows; repeated items count each; items with a null id mark words but are not listed; an empty
+no windows; repeated items (equal id and text) count once; items with a null id mark words but are not listed; an empty
 benchmark or document table gives no hits / no rows; other columns pass through untouched in
 ``decontaminate`` and are ignored in ``overlap``.
 """
@@ -114,9 +114,9 @@ class WindowIndex:
 
 
 def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[bytes], list[str | None]]]:
-    """Items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
+    """Distinct items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")
-                             ).where(F.length("text") > 0)
+                             ).where(F.length("text") > 0).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for b in range(n):
