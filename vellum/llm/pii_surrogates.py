@@ -13,6 +13,10 @@ entities or equal to a canonical form that really occurs, and gives those a new
 left, so distinct entities stay distinct. Texts with entities are put together again from the
 mentions; the others are passed on untouched.
 
+Limits: telephone numbers are found only with separators and an ending of three and four digits, so
+"+14155550123", "4155550123", "+44 20 7946 0958" and "06 12 34 56 78" stay in the text; a name is
+found only after a title, so a later mention without one stays too.
+
 Defined cases: null and empty texts have no entities and stay as they are; of overlapping mentions the
 one that starts first (then the longer) is replaced; repeated rows are changed alike; an empty table
 gives no rows; other columns pass through; the key is a parameter and not written anywhere.
