@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.operators.boosting import DEFAULTS, BoostedTrees, HistogramBooster
 from vellum.operators.profile import balanced_weights, class_balance
 from vellum.session import require_columns
 
@@ -81,15 +82,16 @@ PRESETS = {
     "lr_stage2": {"kind": "logistic", "scale": True, "class_weight": "balanced", "C": 1.0, "max_iter": 1000},
     "lr_checkpoint": {"kind": "logistic", "scale": False, "class_weight": "balanced", "C": 1.0, "max_iter": 1000},
     "lr_encoder": {"kind": "logistic", "scale": False, "class_weight": None, "C": 1.0, "max_iter": 1000},
-    "gbt_stage2": {"kind": "gbt", "scale": False, "class_weight": "scale_pos", "n_estimators": 1000,
+    "gbt_stage2": {"kind": "boost", "scale": False, "class_weight": "scale_pos", "n_estimators": 1000,
                    "max_depth": 3, "learning_rate": 0.01, "subsample": 0.5, "colsample_bytree": 0.5,
-                   "min_child_weight": 10, "gamma": 1.0, "early_stopping_rounds": 100},
+                   "min_child_weight": 10, "gamma": 1.0, "reg_alpha": 1.0, "reg_lambda": 10.0,
+                   "early_stopping_rounds": 100},
     "gbt_quick": {"kind": "gbt", "scale": False, "class_weight": "scale_pos", "n_estimators": 100,
                   "max_depth": 6, "learning_rate": 0.1},
     "mlp": {"kind": "mlp", "scale": True, "class_weight": None, "hidden": [64, 32], "batch_size": 256,
             "max_iter": 200},
 }
-# Settings of the boosted-tree library that Spark's GBT cannot express.
+# Settings that Spark's GBT (kind "gbt") cannot express; kind "boost" has them all.
 UNSUPPORTED_GBT = ("reg_alpha", "reg_lambda")
 
 
@@ -140,14 +142,18 @@ def fit_classifier(train: DataFrame, features: str = "embedding", label: str = "
     cfg = dict(PRESETS[preset]) if isinstance(preset, str) else dict(preset)
     cfg.update(overrides)
     require_columns(train, features, label, what="training table")
-    bad = [k for k in UNSUPPORTED_GBT if cfg.get(k)]
+    bad = [k for k in UNSUPPORTED_GBT if cfg.get(k) and cfg["kind"] == "gbt"]
     if bad:
-        raise ValueError(f"settings {bad} have no Spark equivalent; remove them explicitly")
+        raise ValueError(f"settings {bad} have no Spark equivalent; use kind='boost' or remove them")
     scaler = Standardizer(population=True).fit(train, features) if cfg.get("scale") else None
     x = scaler.transform(train, features, "_z") if scaler else train.withColumn("_z", F.col(features))
+    kind = cfg["kind"]
+    if kind == "boost":
+        model = _fit_boost(x, label, cfg, seed, validation, features, scaler)
+        return FittedClassifier(name or (preset if isinstance(preset, str) else kind), model, scaler, features,
+                                label, model.info)
     x = as_vector(x, "_z", "features").withColumn(label, F.col(label).cast("double"))
     x, wcol = _weights(x, label, cfg.get("class_weight"))
-    kind = cfg["kind"]
     info: dict = {}
     if kind == "logistic":
         sw = x.agg(F.sum(wcol) if wcol else F.count(F.lit(1))).first()[0]
@@ -172,6 +178,18 @@ def fit_classifier(train: DataFrame, features: str = "embedding", label: str = "
                             label, info)
 
 
+def _fit_boost(x: DataFrame, label: str, cfg: dict, seed: int, validation: DataFrame | None, features: str,
+               scaler: Standardizer | None) -> BoostedTrees:
+    """M3/M6: the histogram booster with every setting of the configuration; positives weigh n0 / n1 under
+    ``class_weight='scale_pos'``. Early stopping watches ``validation`` or a part of the training rows."""
+    settings = {k: cfg[k] for k in DEFAULTS if k in cfg}
+    if cfg.get("class_weight") == "scale_pos":
+        settings["scale_pos_weight"] = class_balance(x, label).first()["scale_pos_weight"]
+    if validation is not None:
+        validation = scaler.transform(validation, features, "_z") if scaler else validation.withColumn("_z", F.col(features))
+    return HistogramBooster(seed=seed, **settings).fit(x, "_z", label, validation)
+
+
 def _gbt(cfg: dict, label: str, wcol: str | None, seed: int, n_trees: int) -> GBTClassifier:
     est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=n_trees,
                         maxDepth=int(cfg.get("max_depth", 6)), stepSize=float(cfg.get("learning_rate", 0.1)),
