@@ -21,10 +21,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.rounds import one_round, write_shards
 from vellum.session import require_columns, scratch_path
 from vellum.sources import fs as FS
 
 LOSSES = ("batch_hard_soft_margin", "batch_all", "semi_hard")
+PAIR_LOSSES = ("online_contrastive", "cosine_similarity")
+PAIRS_PER_ROW = 2  # positives, and negatives, that a row of a batch is paired with
 BLOCK_VALUES = 4_000_000  # doubles in one block of differences or triplets
 FOLDERS = 64  # folders of the written batches
 DEFAULT_MARGIN = 0.5
@@ -117,18 +120,66 @@ def projection_forward(X: np.ndarray, W: np.ndarray, b: np.ndarray):
     return z, nz, e
 
 
+def sample_pairs(y: np.ndarray, per_row: int = PAIRS_PER_ROW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, same label) of the pairs of one batch: each row with the next ``per_row`` rows of
+    its label and the next ``per_row`` of other labels, in circular order, no pair twice. At most
+    ``2 per_row`` pairs per row, so a label or key that fills a batch does not square it."""
+    n = len(y)
+    ahead = (np.arange(n)[None, :] - np.arange(n)[:, None]) % max(1, n)
+    pos, neg = _masks(y)
+    pairs = set()
+    for mask in (pos, neg):
+        order = np.argsort(np.where(mask, ahead, n), axis=1, kind="stable")[:, :per_row]
+        for i, k in zip(*np.nonzero(np.take_along_axis(mask, order, 1))):
+            j = int(order[i, k])
+            pairs.add((min(int(i), j), max(int(i), j)))
+    first, second = (np.array(c, np.int64) for c in (zip(*sorted(pairs)) if pairs else ((), ())))
+    return first, second, y[first] == y[second]
+
+
+def pair_terms(cos: np.ndarray, same: np.ndarray, loss: str, margin: float = DEFAULT_MARGIN):
+    """(loss_sum, count, d loss_sum / d cos) of one batch's pairs, as E8 and E9 define the losses."""
+    if not len(cos):
+        return 0.0, 0, cos
+    if loss == "cosine_similarity":
+        r = cos - same
+        return float((r * r).sum()), len(cos), 2 * r
+    d, grad = 1 - cos, np.zeros(len(cos))
+    pos, neg = d[same], d[~same]
+    far = same & (d > (neg.min() if len(neg) > 1 else pos.mean())) if len(pos) else same
+    near = ~same & (d < (pos.max() if len(pos) > 1 else neg.mean())) if len(neg) else ~same
+    short = np.maximum(margin - d, 0.0)
+    grad[far] = -2 * d[far]
+    grad[near] = 2 * short[near]
+    return float((d[far] ** 2).sum() + (short[near] ** 2).sum()), 1, grad
+
+
+def embedding_gradient(e: np.ndarray, y: np.ndarray, loss: str, margin: float = DEFAULT_MARGIN):
+    """(loss_sum, count, d loss_sum / d e) of one batch of unit vectors, for every loss."""
+    if loss in PAIR_LOSSES:
+        i, j, same = sample_pairs(y)
+        total, n, dcos = pair_terms((e[i] * e[j]).sum(1), same, loss, margin)
+        Ge = np.zeros_like(e)
+        np.add.at(Ge, i, dcos[:, None] * e[j])  # both branches share the weights
+        np.add.at(Ge, j, dcos[:, None] * e[i])
+        return total, n, Ge
+    D = pairwise_distances(e)
+    total, n, dD = loss_terms(D, y, loss, margin, want_grad=True)
+    if n == 0:
+        return 0.0, 0, np.zeros_like(e)
+    M = np.where(D > _EPS, dD / np.maximum(D, _EPS), 0.0)
+    S = M + M.T
+    return total, n, S.sum(1)[:, None] * e - S @ e
+
+
 def batch_gradient(X: np.ndarray, y: np.ndarray, W: np.ndarray, b: np.ndarray, loss: str,
                    margin: float = DEFAULT_MARGIN):
     """Summed loss, count and gradients (dW, db) of one batch through tanh -> L2-normalize ->
     Euclidean distances -> loss."""
     z, nz, e = projection_forward(X, W, b)
-    D = pairwise_distances(e)
-    total, n, dD = loss_terms(D, y, loss, margin, want_grad=True)
+    total, n, Ge = embedding_gradient(e, y, loss, margin)
     if n == 0:
         return 0.0, 0, np.zeros_like(W), np.zeros_like(b)
-    M = np.where(D > _EPS, dD / np.maximum(D, _EPS), 0.0)
-    S = M + M.T
-    Ge = S.sum(1)[:, None] * e - S @ e
     Gz = np.where(nz > 0, (Ge - e * (e * Ge).sum(1, keepdims=True)) / np.maximum(nz, _EPS), 0.0)
     Gu = Gz * (1.0 - z * z)
     return total, n, Gu.T @ X, Gu.sum(0)
@@ -302,6 +353,58 @@ def lr_at(step: int, total: int, warmup: int, base: float) -> float:
     return base * 0.5 * (1.0 + math.cos(math.pi * min(1.0, (step - warmup) / rest)))
 
 
+def adamw_step(parts, t: int, lr: float, betas: tuple, eps: float, weight_decay: float, max_norm: float | None) -> None:
+    """One AdamW step in place on ``(parameter, gradient, first, second moment)`` parts; the gradients'
+    common norm is clipped to ``max_norm``."""
+    b1, b2 = betas
+    norm = math.sqrt(sum(float((g * g).sum()) for _, g, _, _ in parts))
+    scale = max_norm / norm if max_norm and norm > max_norm else 1.0
+    for p, g, m, v in parts:
+        g = g * scale
+        p *= 1.0 - lr * weight_decay
+        m *= b1
+        m += (1 - b1) * g
+        v *= b2
+        v += (1 - b2) * g * g
+        p -= lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
+
+
+def _parts(flat: np.ndarray, shape: tuple[int, int]) -> list[np.ndarray]:
+    """Views W, b, mW, mb, vW, vb of one flat state."""
+    out, at = [], 0
+    for _ in range(3):
+        out += [flat[at: at + shape[0] * shape[1]].reshape(shape), flat[at + shape[0] * shape[1]:][: shape[0]]]
+        at += shape[0] * shape[1] + shape[0]
+    return out
+
+
+def _local_epoch(cfg: dict, done: int):
+    """One shard's epoch from the step ``done``: a step for each of its batches, in seeded order."""
+    def local(state: np.ndarray, row: dict) -> tuple[np.ndarray, float, np.ndarray]:
+        W, b, mW, mb, vW, vb = _parts(state, cfg["shape"])
+        held = {r["number"]: r["rows"] for r in row["batches"]}
+        numbers = range(row["shard"], cfg["n_batches"], cfg["n_shards"])
+        name = (cfg["seed"] + 1, done // cfg["steps"]) if cfg["seed"] is not None else None
+        if name is not None and cfg["n_shards"] > 1:
+            name = (*name, row["shard"])
+        order = np.random.default_rng(name).permutation(len(numbers))
+        loss_sum, count, seen = 0.0, 0, 0
+        for k, at in enumerate(order):
+            rows = held.get(numbers[int(at)], [])
+            gW, gb = np.zeros_like(W), np.zeros_like(b)
+            if rows:
+                X, y = np.array([r["x"] for r in rows], np.float64), np.array([r["y"] for r in rows])
+                loss, n, gW, gb = batch_gradient(X, y, W, b, cfg["loss"], cfg["margin"])
+                loss_sum, count, seen = loss_sum + loss, count + n, seen + len(rows)
+                if n:
+                    gW, gb = gW / n, gb / n
+            adamw_step(((W, gW, mW, vW), (b, gb, mb, vb)), done + k + 1, lr_at(done + k, cfg["total"], cfg["warmup"], cfg["lr"]),
+                       cfg["betas"], cfg["eps"], cfg["weight_decay"], cfg["max_grad_norm"])
+        return state, float(seen), np.array([loss_sum, float(count)])
+
+    return local
+
+
 class ContrastiveProjection:
     """Fit ``e = normalize(tanh(W x + b))`` on fixed features with a contrastive loss.
 
@@ -311,6 +414,10 @@ class ContrastiveProjection:
     batch holds ~``batch_size`` rows even when one key or vector holds many. A step takes one batch;
     with ``steps_per_epoch`` an epoch runs that many steps, each summing its share of the batches.
 
+    With ``shard_batches`` an epoch is one job: batches are dealt into shards of at most that many, every
+    shard takes a step per batch from the epoch's weights, and weights and moments are averaged (see
+    ``rounds``). One shard is the schedule of one step per batch.
+
     The learning rate follows the optimizer step over ``schedule_epochs`` (default: the epochs done
     and to do), and the order of steps follows (seed, epoch): with one ``schedule_epochs``, a fit of
     one epoch resumed for another equals a fit of two.
@@ -322,9 +429,9 @@ class ContrastiveProjection:
                  margin: float = DEFAULT_MARGIN, seed: int | None = None, steps_per_epoch: int | None = None,
                  features: str = "features", label: str = "label", key: str | None = None,
                  checkpoint_dir: str | None = None, checkpoint_every: int | None = None, keep_checkpoints: int = 3,
-                 schedule_epochs: int | None = None):
-        if loss not in LOSSES:
-            raise ValueError(f"loss must be one of {LOSSES}")
+                 schedule_epochs: int | None = None, shard_batches: int | None = None):
+        if loss not in LOSSES + PAIR_LOSSES:
+            raise ValueError(f"loss must be one of {LOSSES + PAIR_LOSSES}")
         self.__dict__.update({k: v for k, v in locals().items() if k != "self"})
 
     # -- data: grouped into batches once, partitioned by step group so a step reads only its part
@@ -396,6 +503,8 @@ class ContrastiveProjection:
             state: OptimizerState | None = None) -> ProjectionModel:
         """Train; ``initial`` continues from fitted weights (warm start, E11), ``state`` resumes
         the optimizer (E13)."""
+        if self.shard_batches:
+            return self._fit_rounds(df, initial, state)
         feats, n_batches, steps, d_in = self._prepare(df)
         model = initial or init_projection(d_in, self.embedding_dim, self.seed)
         model = ProjectionModel(model.W.copy(), model.b.copy(), list(model.history), model.normalize)
@@ -408,7 +517,6 @@ class ContrastiveProjection:
         start, todo = st.step, self.epochs * steps
         total = self.schedule_epochs * steps if self.schedule_epochs else start + todo
         warmup = int(self.warmup_ratio * steps)
-        b1, b2 = self.betas
         every = self.checkpoint_every or max(1, steps // 10)
         order = None
         for s in range(start, start + todo):
@@ -416,24 +524,58 @@ class ContrastiveProjection:
                 rng = np.random.default_rng(None if self.seed is None else (self.seed + 1, s // steps))
                 order = rng.permutation(steps)
             loss, n, gW, gb = self._step_grads(feats, int(order[s % steps]), model)
-            norm = math.sqrt(float((gW * gW).sum() + (gb * gb).sum()))
-            if self.max_grad_norm and norm > self.max_grad_norm:
-                gW, gb = gW * (self.max_grad_norm / norm), gb * (self.max_grad_norm / norm)
             lr = lr_at(s, total, warmup, self.lr)
             st.step += 1
             t = st.step
-            for p, g, m, v in ((model.W, gW, st.mW, st.vW), (model.b, gb, st.mb, st.vb)):
-                p *= 1.0 - lr * self.weight_decay
-                m *= b1
-                m += (1 - b1) * g
-                v *= b2
-                v += (1 - b2) * g * g
-                p -= lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + self.eps)
+            adamw_step(((model.W, gW, st.mW, st.vW), (model.b, gb, st.mb, st.vb)), t, lr, self.betas, self.eps,
+                       self.weight_decay, self.max_grad_norm)
             model.history.append({"step": t, "loss": loss, "n": n, "lr": lr})
             if self.checkpoint_dir and t % every == 0:
                 save_checkpoint(df.sparkSession, self.checkpoint_dir, model, st, self.keep_checkpoints)
         return model
 
+    def _fit_rounds(self, df: DataFrame, initial: ProjectionModel | None, state: OptimizerState | None) -> ProjectionModel:
+        require_columns(df, self.features, self.label)
+        spark = df.sparkSession
+        seed = 0 if self.seed is None else int(self.seed)
+        hkey = F.col(self.key) if self.key else F.lit(0)
+        rows = df.select(F.xxhash64(F.lit(seed), hkey).alias("_h"),
+                         F.col(self.features).cast("array<double>").alias("x"), F.col(self.label).cast("long").alias("y"))
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
+        if not size["n"]:
+            raise ValueError("empty training table")
+        n_batches = max(1, -(-size["n"] // self.batch_size))
+        n_shards = -(-n_batches // int(self.shard_batches))
+        steps = -(-n_batches // n_shards)  # of a shard and epoch
+        model = initial or init_projection(int(size["d"]), self.embedding_dim, self.seed)
+        if model.W.shape[1] != int(size["d"]):
+            raise ValueError(f"initial model expects {model.W.shape[1]} inputs, features have {size['d']}")
+        model = ProjectionModel(model.W.copy(), model.b.copy(), list(model.history), model.normalize)
+        st = state or OptimizerState()
+        if st.mW is None:
+            st.mW, st.vW = np.zeros_like(model.W), np.zeros_like(model.W)
+            st.mb, st.vb = np.zeros_like(model.b), np.zeros_like(model.b)
+        total = (self.schedule_epochs or st.step // steps + self.epochs) * steps
+        cfg = {k: getattr(self, k) for k in ("lr", "weight_decay", "betas", "eps", "max_grad_norm", "loss", "margin")}
+        cfg |= {"seed": self.seed, "total": total, "warmup": int(self.warmup_ratio * steps), "shape": model.W.shape,
+                "n_batches": n_batches, "n_shards": n_shards, "steps": steps}
+        shards, path = write_shards(rows, n_batches, int(self.shard_batches), seed)
+        every = self.checkpoint_every or steps
+        try:
+            for _ in range(self.epochs):
+                flat = np.concatenate([a.ravel() for a in (model.W, model.b, st.mW, st.mb, st.vW, st.vb)])
+                flat, (loss, n) = one_round(shards, flat, _local_epoch(cfg, st.step))
+                parts = _parts(flat, model.W.shape)
+                model.W, model.b, st.mW, st.mb, st.vW, st.vb = (a.copy() for a in parts)
+                before, st.step = st.step, st.step + steps
+                model.history.append({"step": st.step, "loss": loss / n if n else 0.0, "n": int(n),
+                                      "lr": lr_at(st.step - 1, total, cfg["warmup"], self.lr)})
+                if self.checkpoint_dir and st.step // every > before // every:
+                    save_checkpoint(spark, self.checkpoint_dir, model, st, self.keep_checkpoints)
+        finally:
+            FS.delete(spark, path)
+        return model
+
     def fit_transform(self, df: DataFrame, out: str = "embedding") -> DataFrame:
         """E12."""
         return self.fit(df).transform(df, self.features, out)

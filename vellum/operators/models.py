@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators.boosting import DEFAULTS, BoostedTrees, HistogramBooster
+from vellum.operators.network import PerceptronClassifier
 from vellum.operators.profile import balanced_weights, class_balance
 from vellum.session import require_columns
 
@@ -88,8 +89,9 @@ PRESETS = {
                    "early_stopping_rounds": 100},
     "gbt_quick": {"kind": "gbt", "scale": False, "class_weight": "scale_pos", "n_estimators": 100,
                   "max_depth": 6, "learning_rate": 0.1},
-    "mlp": {"kind": "mlp", "scale": True, "class_weight": None, "hidden": [64, 32], "batch_size": 256,
-            "max_iter": 200},
+    "mlp": {"kind": "network", "scale": True, "class_weight": None, "hidden": [64, 32], "alpha": 0.01,
+            "batch_size": 256, "learning_rate": 0.001, "max_iter": 200, "early_stopping": True,
+            "validation_fraction": 0.1, "n_iter_no_change": 20},
 }
 # Settings that Spark's GBT (kind "gbt") cannot express; kind "boost" has them all.
 UNSUPPORTED_GBT = ("reg_alpha", "reg_lambda")
@@ -152,6 +154,11 @@ def fit_classifier(train: DataFrame, features: str = "embedding", label: str = "
         model = _fit_boost(x, label, cfg, seed, validation, features, scaler)
         return FittedClassifier(name or (preset if isinstance(preset, str) else kind), model, scaler, features,
                                 label, model.info)
+    if kind == "network":
+        settings = {k: v for k, v in cfg.items() if k not in ("kind", "scale", "class_weight")}
+        model = PerceptronClassifier(seed=seed, **settings).fit(x, "_z", label)
+        return FittedClassifier(name or (preset if isinstance(preset, str) else kind), model, scaler, features,
+                                label, model.info)
     x = as_vector(x, "_z", "features").withColumn(label, F.col(label).cast("double"))
     x, wcol = _weights(x, label, cfg.get("class_weight"))
     info: dict = {}
