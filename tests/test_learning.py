@@ -139,10 +139,29 @@ def test_class_balance_without_positives_raises(spark):
         class_balance(df).collect()
 
 
-def test_encoder_save_load_identity(spark, tmp_dir):
+def _hashing_predict_fn(dim: int):
+    """A user's own model: signed hashed bag of words, L2-normalized."""
+    def make():
+        import zlib
+
+        import numpy as np
+
+        def predict(texts):
+            out = np.zeros((len(texts), dim), dtype=np.float32)
+            for r, t in enumerate(texts):
+                for w in str(t).lower().split():
+                    h = zlib.crc32(w.encode("utf-8"))
+                    out[r, h % dim] += 1.0 if (h >> 31) & 1 else -1.0
+            return out
+        return predict
+    return make
+
+
+@pytest.mark.parametrize("kind", EN.FEATURIZERS)
+def test_encoder_save_load_identity(spark, tmp_dir, kind):
     df = spark.createDataFrame([(i, f"text number {i} about {'cats' if i % 2 else 'dogs'}", i % 2)
                                 for i in range(40)], "k long, t string, y int")
-    enc = EN.TextEncoder.fit_featurizer(df, "t", vector_size=8, seed=1)
+    enc = EN.TextEncoder.fit_featurizer(df, "t", kind=kind, vector_size=8, seed=1)
     enc = enc.fit_projection(df, "y", embedding_dim=4, epochs=1, batch_size=8, lr=1e-2, seed=1, steps_per_epoch=2)
     enc.save(tmp_dir + "/enc")
     back = EN.TextEncoder.load(spark, tmp_dir + "/enc")
@@ -150,7 +169,7 @@ def test_encoder_save_load_identity(spark, tmp_dir):
     b = sorted((r.k, tuple(r.embedding)) for r in back.transform(df).collect())
     assert a == b
     assert EN.load_encoder(spark, tmp_dir + "/missing") is None
-    h = EN.embed_with_model(df, "t", EN.hashing_predict_fn(16), 16, batch_size=8)
+    h = EN.embed_with_model(df, "t", _hashing_predict_fn(16), 16, batch_size=8)
     assert len(h.first().embedding) == 16
 
 
@@ -170,5 +189,5 @@ def test_word2vec_vocabulary_is_bounded(spark, monkeypatch):
     assert EN.vocabulary_size(df, "t", 1, 100) == 5 and EN.vocabulary_size(df, "t", 2, 100) == 2
     monkeypatch.setattr(EN, "MAX_VOCAB", 3)
     with pytest.raises(ValueError, match="vocabulary over 3"):
-        EN.TextEncoder.fit_featurizer(df, "t", vector_size=4)
-    EN.TextEncoder.fit_featurizer(df, "t", vector_size=4, min_count=2)   # 2 words: allowed
+        EN.TextEncoder.fit_featurizer(df, "t", kind="word2vec", vector_size=4)
+    EN.TextEncoder.fit_featurizer(df, "t", kind="word2vec", vector_size=4, min_count=2)   # 2 words: allowed

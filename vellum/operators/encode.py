@@ -1,6 +1,7 @@
 """Text -> vector.
 
-E1: word tokens -> Word2Vec, whose ``transform`` averages the token vectors (mean pooling), or
+E1: hashed subword vectors, averaged per text and trained jointly with the projection (``subwords``, the
+default: no vocabulary); or word tokens -> Word2Vec, whose ``transform`` averages the token vectors; or
 hashed term frequencies with IDF and L2 norm. E2/E3: the learned projection head
 (``ContrastiveProjection``). E4: ``TextEncoder.transform`` embeds a whole table; a user's own
 model can be plugged in through ``embed_with_model`` (Arrow batches via ``predict_batch_udf``).
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, Word2Vec
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
@@ -20,13 +20,15 @@ from pyspark.sql import types as T
 
 from vellum.functions.text import WORD_PATTERN
 from vellum.operators.contrastive import ContrastiveProjection, ProjectionModel, l2_normalize
+from vellum.operators.subwords import JointEncoderFit, SubwordTable
 from vellum.session import require_columns
 from vellum.sources import fs as FS
 
-FEATURIZERS = ("word2vec", "hashing")
+FEATURIZERS = ("subwords", "word2vec", "hashing")
 # Spark ML's Word2Vec collects its vocabulary (and the vocabulary x vector_size model) to the
-# driver: the vocabulary is counted first and a larger one is refused.
+# driver: for that kind the vocabulary is counted first and a larger one is refused.
 MAX_VOCAB = 2_000_000
+W2V_PARTITIONS = 8  # a fixed number: vectors must not depend on the cores
 
 
 def featurizer_pipeline(text: str, kind: str = "word2vec", vector_size: int = 64, min_count: int = 1,
@@ -59,27 +61,41 @@ class TextEncoder:
     """Featurizer (+ optional learned projection). Without a projection the features are only
     L2-normalized."""
 
-    def __init__(self, featurizer: PipelineModel, text: str, projection: ProjectionModel | None = None):
+    def __init__(self, featurizer: PipelineModel | SubwordTable, text: str, projection: ProjectionModel | None = None):
         self.featurizer = featurizer
         self.text = text
         self.projection = projection
 
     @classmethod
     def fit_featurizer(cls, df: DataFrame, text: str, **kw) -> "TextEncoder":
-        """E1 fit on the texts of ``df``."""
+        """E1 fit on the texts of ``df``. The default kind ``subwords`` needs no pass here (its vectors are
+        trained by ``fit_joint``; ``buckets``, ``vector_size`` and ``seed`` size it)."""
         require_columns(df, text)
-        if "num_partitions" not in kw:
-            kw["num_partitions"] = max(1, min(df.sparkSession.sparkContext.defaultParallelism, 64))
-        if kw.get("kind", "word2vec") == "word2vec":
+        kind = kw.pop("kind", "subwords")
+        if kind == "subwords":
+            return cls(SubwordTable(None, int(kw.get("buckets", 1 << 16)), int(kw.get("vector_size", 32)),
+                                    int(kw.get("seed", 42))), text)
+        if kind == "word2vec":
+            kw.setdefault("num_partitions", W2V_PARTITIONS)
             n = vocabulary_size(df, text, int(kw.get("min_count", 1)), MAX_VOCAB)
             if n > MAX_VOCAB:
                 raise ValueError(f"vocabulary over {MAX_VOCAB} words at min_count={kw.get('min_count', 1)}: "
-                                 "raise min_count or use kind='hashing'")
-        return cls(featurizer_pipeline(text, **kw).fit(df.select(text)), text)
+                                 "raise min_count or use kind='subwords'")
+        return cls(featurizer_pipeline(text, kind=kind, **kw).fit(df.select(text)), text)
+
+    @classmethod
+    def fit_joint(cls, df: DataFrame, text: str, label: str, initial: "TextEncoder | None" = None, **kw) -> "TextEncoder":
+        """E1 + E10: token vectors and projection trained together (``JointEncoderFit`` settings in ``kw``);
+        ``initial`` continues a fitted encoder of the same sizes (E11)."""
+        before = (initial.featurizer, initial.projection) if initial is not None else None
+        table, head = JointEncoderFit(**kw).fit(df, text, label, before)
+        return cls(table, text, head)
 
     def features(self, df: DataFrame, out: str = "features") -> DataFrame:
         if self.text not in df.columns:
             raise ValueError(f"input has no text column {self.text!r}")
+        if isinstance(self.featurizer, SubwordTable):
+            return self.featurizer.transform(df, self.text, out)
         f = self.featurizer.transform(df.withColumn(self.text, F.coalesce(F.col(self.text), F.lit(""))))
         return f.withColumn(out, vector_to_array("_fvec")).drop("_tokens", "_fvec", "_tf", "_idf")
 
@@ -104,7 +120,10 @@ class TextEncoder:
         from pyspark.sql import SparkSession
 
         sp = SparkSession.getActiveSession()
-        self.featurizer.write().overwrite().save(f"{path}/featurizer")
+        if isinstance(self.featurizer, SubwordTable):
+            self.featurizer.save(sp, f"{path}/featurizer")
+        else:
+            self.featurizer.write().overwrite().save(f"{path}/featurizer")
         if self.projection is not None:
             self.projection.save(sp, f"{path}/projection")
         FS.write_text(sp, f"{path}/encoder.json", json.dumps({"text": self.text,
@@ -118,7 +137,8 @@ class TextEncoder:
             raise FileNotFoundError(f"no encoder at {path}")
         meta = json.loads(meta)
         proj = ProjectionModel.load(spark, f"{path}/projection") if meta["projection"] else None
-        return cls(PipelineModel.load(f"{path}/featurizer"), meta["text"], proj)
+        table = SubwordTable.load(spark, f"{path}/featurizer")
+        return cls(table or PipelineModel.load(f"{path}/featurizer"), meta["text"], proj)
 
 
 def load_encoder(spark, path: str) -> TextEncoder | None:
@@ -136,20 +156,3 @@ def embed_with_model(df: DataFrame, col: str, make_predict_fn, dim: int, batch_s
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
                             input_tensor_shapes=None)
     return df.withColumn(out, udf(F.coalesce(F.col(col), F.lit(""))))
-
-
-def hashing_predict_fn(dim: int = 64, seed: int = 0):
-    """A dependency-free ``make_predict_fn`` example: signed hashed bag of words, L2-normalized."""
-    import zlib
-
-    def make():
-        def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for r, t in enumerate(texts):
-                for w in str(t).lower().split():
-                    h = zlib.crc32(w.encode("utf-8"), seed)
-                    out[r, h % dim] += 1.0 if (h >> 31) & 1 else -1.0
-            n = np.linalg.norm(out, axis=1, keepdims=True)
-            return np.where(n > 0, out / np.maximum(n, 1e-12), 0.0).astype(np.float32)
-        return predict
-    return make
