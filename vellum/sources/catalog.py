@@ -1,7 +1,8 @@
 """Table catalog over a lake folder.
 
 A folder's immediate children are tables: a ``<name>.parquet`` file is a *full* table, a
-directory is an *incremental* table holding one ``YYYY-MM-DD.parquet`` per date. A Spark output
+directory is an *incremental* table holding one ``YYYY-MM-DD.parquet`` per date, or the versions of a
+``VersionedTable`` (then the latest version's folders are its files). A Spark output
 directory named ``<name>.parquet`` (it holds ``_SUCCESS``) also counts as a full table, and as one
 date inside an incremental table. When a file and a directory share a name, the file wins.
 """
@@ -14,9 +15,11 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.sources import fs as FS
+from vellum.sources.versions import UNDATED, VersionedTable, is_versioned
 
 FULL, INCREMENTAL = "full", "incremental"
 # Fixed value: the placeholder replaced by the table in query_table SQL.
@@ -90,6 +93,13 @@ class TableCatalog:
             if not FS.exists(self.spark, path):
                 raise FileNotFoundError(f"Table file not found: {path}")
             return [path]
+        if is_versioned(self.spark, path):
+            if date is not None:
+                _dt.datetime.strptime(date, "%Y-%m-%d")
+            found = VersionedTable(self.spark, path).folders(date=date)
+            if not found:
+                raise FileNotFoundError(f"no rows of '{name}' for date {date}")
+            return found
         if date is not None:
             _dt.datetime.strptime(date, "%Y-%m-%d")
             p = f"{path}/{date}{_SUFFIX}"
@@ -128,6 +138,60 @@ class TableCatalog:
             raise FileNotFoundError(f"No files of '{name}' between {start} and {end}")
         return self._read(keep)
 
+    def update_statistics(self, name: str, ts: str) -> DataFrame:
+        """The statistics of a table's files, ``(file, size, modified, low, high, rows, nulls)``: least and
+        greatest time per data file, by one distributed scan of the time column of those files that are new or
+        changed since the last call. Published as a version of ``<base>/_statistics/<name>-<ts>``."""
+        paths = self.files(name)
+        stats = VersionedTable(self.spark, f"{self.base}/_statistics/{name}-{ts}")
+        found = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file")
+        size, modified = F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified")
+        data = self._read(paths).select(F.col(ts).alias("t"), found, size, modified)
+        if stats.manifest() is not None:
+            known = stats.read()
+            here = {f: self._file_state(f) for p in paths for f in self._data_files(p)}
+            now = self.spark.createDataFrame([(f, *s) for f, s in here.items()], "file string, size long, ms long")
+            same = known.join(now, ["file", "size"]).filter(F.unix_millis("modified") == F.col("ms")).select(known.columns)
+            old = {r["file"] for r in same.select("file").collect()}  # file names: metadata, as the listing is
+            fresh = [f for f in here if f not in old]
+            if not fresh and known.count() == len(old):
+                return known
+            data = self._read(fresh).select(F.col(ts).alias("t"), found, size, modified) if fresh else data.limit(0)
+        made = data.groupBy("file", "size", "modified").agg(
+            F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col("t").isNull()).alias("nulls"))
+        if stats.manifest() is not None:
+            made = made.unionByName(same)
+        stats.overwrite(made.coalesce(1))
+        return stats.read()
+
+    def _data_files(self, path: str) -> list[str]:
+        """The data files of a listed path, named as Spark's file metadata names them."""
+        return FS.data_files(self.spark, path)
+
+    def _file_state(self, file: str) -> tuple[int, int]:
+        return FS.state(self.spark, file)
+
+    def read_between(self, name: str, ts: str, low, high) -> DataFrame:
+        """Rows with ``low <= ts < high``, reading only the files whose statistics meet that range, whatever
+        their names say. A file that changed or came after ``update_statistics`` is always read."""
+        stats = VersionedTable(self.spark, f"{self.base}/_statistics/{name}-{ts}")
+        files = [f for p in self.files(name) for f in self._data_files(p)]
+        inside = (F.col(ts) >= F.lit(low)) & (F.col(ts) < F.lit(high))
+        if stats.manifest() is not None:
+            known = {r["file"]: r for r in stats.read().select(
+                "file", "size", F.unix_millis("modified").alias("ms"),
+                ((F.col("high") >= F.lit(low)) & (F.col("low") < F.lit(high))).alias("meets")).collect()}
+
+            def needed(f: str) -> bool:
+                r = known.get(f)
+                return r is None or (r["size"], r["ms"]) != self._file_state(f) or bool(r["meets"])
+            kept = [f for f in files if needed(f)]
+        else:
+            kept = files
+        # with no file left, one file and a false filter keep the schema
+        return self._read(kept).filter(inside) if kept else self._read(files[:1]).filter(F.lit(False))
+
     def _read(self, paths: list[str]) -> DataFrame:
         try:
             return self.spark.read.parquet(*paths)
@@ -146,15 +210,11 @@ class TableCatalog:
         return self.spark.sql(query.replace(TABLE_PLACEHOLDER, view))
 
 
-UNDATED = "undated"  # file of the rows whose time is null
-
-
 def write_incremental(df: DataFrame, folder: str, ts_col: str) -> list[str]:
     """Write ``df`` as an incremental table: one ``<folder>/<YYYY-MM-DD>.parquet`` per date of
     ``ts_col``, and ``undated.parquet`` for rows without one. One Spark job writes all dates (partitioned), then each partition folder is renamed
-    into place (metadata only). Returns the dates written."""
-    from pyspark.sql import functions as F
-
+    into place (metadata only). A writer that dies leaves every replaced date either in place or beside it as
+    ``_replaced_*``; ``VersionedTable.replace_dates`` replaces dates atomically. Returns the dates written."""
     spark = df.sparkSession
     folder = folder.rstrip("/")
     staging = f"{folder}/_staging_{uuid.uuid4().hex[:8]}"
@@ -167,10 +227,14 @@ def write_incremental(df: DataFrame, folder: str, ts_col: str) -> list[str]:
         if e.is_dir and e.name.startswith("_vellum_date="):
             d = e.name.split("=", 1)[1]
             target = f"{folder}/{d}{_SUFFIX}"
-            if FS.exists(spark, target):
-                FS.delete(spark, target)
-            fs.rename(jvm.org.apache.hadoop.fs.Path(e.path), jvm.org.apache.hadoop.fs.Path(target))
-            FS.write_text(spark, f"{target}/_SUCCESS", "")
+            FS.write_text(spark, f"{e.path}/_SUCCESS", "")
+            if FS.exists(spark, target):  # the old date is moved aside, never deleted before the new one is in place
+                aside = f"{folder}/_replaced_{uuid.uuid4().hex[:8]}_{d}"
+                fs.rename(jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(aside))
+                fs.rename(jvm.org.apache.hadoop.fs.Path(e.path), jvm.org.apache.hadoop.fs.Path(target))
+                FS.delete(spark, aside)
+            else:
+                fs.rename(jvm.org.apache.hadoop.fs.Path(e.path), jvm.org.apache.hadoop.fs.Path(target))
             dates.append(d)
     FS.delete(spark, staging)
     return sorted(dates)
