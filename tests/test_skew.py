@@ -128,3 +128,59 @@ def test_batches_are_bounded_under_a_hot_key_and_copies(spark):
     got = [sorted(map(str, PR.assign_batches(df.repartition(n), 64, seed=1).collect())) for n in (2, 5)]
     assert got[0] == got[1]
     assert PR.assign_batches(df.limit(0), 64).count() == 0
+
+
+def _skewed_log(spark, n=6000):
+    """A third of the messages on key 0, spread over time; few anchors."""
+    t0 = dt.datetime(2024, 1, 20)
+    rows = [(0 if i % 3 == 0 else 1 + i % 1500, t0 - dt.timedelta(minutes=7 * i), f"text {i}") for i in range(n)]
+    spine = [(k, t, 1) for i, (k, t, _) in enumerate(rows) if i % 10 == 0]
+    m = spark.createDataFrame(rows, "UserLoanId long, CreatedAt timestamp_ntz, body string")
+    return m, spark.createDataFrame(spine, "UserLoanId int, CreatedAt timestamp_ntz, DefaultDPD21 int")
+
+
+def test_only_hot_keys_are_salted(no_coalesce):
+    spark = no_coalesce
+    m, s = _skewed_log(spark)
+    hot = LB.hot_groups(m, "UserLoanId")
+    assert [r["_hot"] for r in hot.collect()] == [m.filter("UserLoanId = 0").select(
+        F.xxhash64("UserLoanId")).first()[0]]
+    a = s.select(F.col("UserLoanId").alias("_k"), F.col("CreatedAt").alias("_at"))
+    b = m.select(F.col("UserLoanId").alias("_k"), F.col("CreatedAt").alias("_mt"), F.col("body").alias("_body"))
+    sa, sm = LB._salted(a, b, hot, 16, "_k")
+    assert sa.filter("_k <> 0").count() == a.filter("_k <> 0").count()          # no copies for other keys
+    assert sa.filter("_k = 0").count() == 16 * a.filter("_k = 0").count()
+    groups = [r["count"] for r in sm.groupBy("_k", "_salt").count().collect()]
+    assert max(groups) < 6000 / 3 / 16 * 1.6
+    # dealt over partitions, the largest task has at most three times the median
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    sizes = sorted(r["count"] for r in sm.repartition(8, "_k", "_salt").groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    unsalted = sorted(r["count"] for r in b.repartition(8, "_k").groupBy(F.spark_partition_id()).count().collect())
+    assert unsalted[-1] > 3 * unsalted[len(unsalted) // 2]
+
+
+@pytest.mark.parametrize("kw", [{"method": "rew"}, {"split_hot": True}, {"prefilter": True}, {"prefilter": True, "method": "rew"},
+                                {"split_hot": True, "bucket_seconds": 3600}])
+def test_hot_and_filtered_forms_equal_the_plain_one(spark, kw):
+    m, s = _skewed_log(spark, 3000)
+    s = s.filter("UserLoanId < 300")
+    want = sorted(map(tuple, LB.lookback_text(m, s, 2, "|").collect()))
+    assert want and sorted(map(tuple, LB.lookback_text(m, s, 2, "|", **kw).collect())) == want
+
+
+def test_key_filter_drops_before_the_shuffle(spark):
+    m, s = _skewed_log(spark)
+    keys = s.filter("UserLoanId BETWEEN 1 AND 100")
+    got = LB.key_filter(m, keys)
+    exact = LB.fetch_keys(m, keys)
+    assert exact.count() <= got.count() < 1.1 * exact.count() < m.count() / 2   # few pass wrongly, none is lost
+    assert exact.exceptAll(got).count() == 0
+    plan = LB.lookback_text(m, keys, 2, prefilter=True)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    semi = next(i for i, ln in enumerate(lines) if "BroadcastHashJoin" in ln and "LeftSemi" in ln and "getbit" in ln)
+    deeper = [ln for ln in lines[semi + 1:] if "Exchange hashpartitioning(_k" in ln]
+    assert not deeper                                                            # tested below the band join's shuffle
+    assert LB.key_filter(m, keys.limit(0)).count() == 0
+    doubles = keys.select(F.col("UserLoanId").cast("double").alias("UserLoanId"))
+    assert LB.key_filter(m, doubles).count() == m.count()                        # other types: no filter, no loss

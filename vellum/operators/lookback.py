@@ -9,8 +9,9 @@ inclusive), sorts them by bytes and joins them with a separator. Forms (all give
   ``(key, time bucket)`` and each anchor probes only the buckets its window touches, so one hot key
   is spread over many tasks instead of one. A finer ``bucket_seconds`` splits hot keys further.
 * ``rew``: the same anchor reduction with an equi-join on ``(key, salt)`` plus the range
-  residual: messages get one of ``salts`` salts (a hash of time and text), anchors are copied to
-  every salt, so a hot key is split ``salts`` ways.
+  residual: messages of hot keys get one of ``salts`` salts (a hash of time and text) and the anchors of
+  those keys are copied to every salt; all other keys have one salt and no copies. Hot keys are named by
+  a mergeable frequency sketch of the messages (``hot_groups``).
 * ``frame``: a RANGE window partitioned by ``(key, time bucket)`` (bucket width >= look-back);
   each message is also copied into the next bucket as context, so a window never crosses its
   partition and a hot key is split over its buckets.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.functions.text import (
     bpe_truncate_and_count,
@@ -34,6 +36,9 @@ from vellum.session import require_columns
 DEFAULT_SEPARATOR = "\n---\n"
 METHODS = ("bucketed", "rew", "frame", "full")
 DEFAULT_SALTS = 16
+# heavy hitters: at most HOT_TOP groups that hold over one in HOT_SHARE rows, by a sketch of HOT_TRACKED counters
+HOT_TOP, HOT_SHARE, HOT_TRACKED = 512, 1024, 1 << 14
+FILTER_WORDS = 1 << 17  # 64-bit words of the key filter: 1 MB
 
 
 # -- P1 ---------------------------------------------------------------------------------------
@@ -60,6 +65,63 @@ def fetch_keys(messages: DataFrame, keys: DataFrame, key: str = "UserLoanId") ->
     return messages.join(keys.select(key), on=key, how="left_semi")
 
 
+_HASHED = (T.IntegralType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _same_hashes(a: DataFrame, b: DataFrame, *cols: str) -> bool:
+    """Whether equal values of ``cols`` have equal ``_hash``es in both tables (whole numbers of any width
+    do); where not, hot groups and key filters are left out, which changes no result."""
+    def kind(df: DataFrame, c: str):
+        t = df.schema[c].dataType
+        return "whole" if isinstance(t, T.IntegralType) else type(t) if isinstance(t, _HASHED) else None
+    return all(kind(a, c) is not None and kind(a, c) == kind(b, c) for c in cols)
+
+
+def _hash(df: DataFrame, *cols: str) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`").cast("long") if isinstance(df.schema[c].dataType, T.IntegralType)
+                        else F.col(f"`{c}`") for c in cols])
+
+
+def hot_groups(rows: DataFrame, *cols: str) -> DataFrame:
+    """``(_hot)``: hashes of the groups (values of ``cols``) that hold more than one in ``HOT_SHARE`` rows, at
+    most ``HOT_TOP`` of them, by a mergeable sketch (one narrow scan, map-side, no shuffle of rows). It may
+    name a group too many, which costs copies and changes no result."""
+    top = (rows.select(_hash(rows, *cols).alias("h"))
+           .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HOT_TOP}, {HOT_TRACKED})").alias("top")))
+    return (top.select("n", F.explode("top").alias("t")).filter(F.col("t.count") * HOT_SHARE > F.col("n"))
+            .select(F.col("t.item").alias("_hot")))
+
+
+def _salted(a: DataFrame, m: DataFrame, hot: DataFrame, salts: int, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with ``_salt``: rows ``m`` of a hot group get one of ``salts`` by a hash of time
+    and text, rows ``a`` of it are copied to every salt; rows of other groups have salt 0."""
+    if not _same_hashes(a, m, *cols):
+        return a.withColumn("_salt", F.lit(0)), m.withColumn("_salt", F.lit(0))
+    hot = F.broadcast(hot)  # at most HOT_TOP rows
+    m = m.join(hot, _hash(m, *cols) == F.col("_hot"), "left").withColumn("_salt", F.when(
+        F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_mt", "_body"), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    last = F.when(F.col("_hot").isNotNull(), F.lit(salts - 1)).otherwise(0)
+    a = a.join(hot, _hash(a, *cols) == F.col("_hot"), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    return a, m
+
+
+def key_filter(messages: DataFrame, keys: DataFrame, key: str = "UserLoanId") -> DataFrame:
+    """P3 before any shuffle: ``messages`` whose key may be one of ``keys``. A Bloom filter of fixed size
+    (``FILTER_WORDS`` words of 64 bits) is built by a distributed aggregate and joined by word; keys that
+    pass wrongly vanish in the exact join that follows."""
+    if not _same_hashes(messages, keys, key):
+        return messages
+    words = keys.select(_hash(keys, key).alias("_h")).select(
+        F.pmod(F.col("_h"), F.lit(FILTER_WORDS)).alias("_word"),
+        F.expr(f"shiftleft(1L, CAST(pmod(_h DIV {FILTER_WORDS}, 64) AS INT))").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))  # at most FILTER_WORDS rows
+    h = _hash(messages, key)
+    bit = F.pmod(F.call_function("div", h, F.lit(FILTER_WORDS)), F.lit(64)).cast("int")
+    return messages.join(F.broadcast(words), (F.pmod(h, F.lit(FILTER_WORDS)) == F.col("_word"))
+                         & (F.getbit(F.col("_bits"), bit) == 1), "left_semi")
+
+
 def clean_messages(messages: DataFrame, key: str = "UserLoanId", ts: str = "CreatedAt",
                    body: str = "body") -> DataFrame:
     """Distinct ``(key, ts, body)`` with non-null, non-blank text."""
@@ -134,13 +196,16 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
                   separator: str = DEFAULT_SEPARATOR, key: str = "UserLoanId", ts: str = "CreatedAt",
                   body: str = "body", method: str = "bucketed", bucket_seconds: int | None = None,
                   out: str = "concatenated_body", salts: int = DEFAULT_SALTS,
-                  anchor_range: tuple[str, str] | None = None) -> DataFrame:
+                  anchor_range: tuple[str, str] | None = None, prefilter: bool = False,
+                  split_hot: bool = False) -> DataFrame:
     """A2: one row per labelled anchor ``(key, ts, concatenated_body)``.
 
     ``spine`` limits the keys and, except for ``method='full'``, the anchors. With ``spine=None``
-    every clean message time is an anchor. ``salts`` (``rew`` only) is how many ways a key's
-    messages are split; each anchor is copied that many times. ``anchor_range`` (half-open dates)
-    limits the anchors, and so the messages to ``[start - days, end)``, a filter the scan can use.
+    every clean message time is an anchor. ``salts`` is how many ways a hot key's messages are split (``rew``;
+    ``bucketed`` with ``split_hot``, there per key and bucket); the anchors of hot keys alone are copied that
+    many times. ``anchor_range`` (half-open dates) limits the anchors, and so the messages to
+    ``[start - days, end)``, a filter the scan can use. ``prefilter`` tests messages against a Bloom filter
+    of the spine's keys before anything is shuffled; it pays where the spine has few of the messages' keys.
     """
     if salts < 1:
         raise ValueError("salts must be >= 1")
@@ -153,8 +218,11 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
         lo, hi = (parse_date(x) for x in anchor_range)
         messages = messages.filter((F.col(ts) >= lo - F.make_dt_interval(days=F.lit(days))) & (F.col(ts) < hi))
         spine = spine if spine is None else date_range(spine, *anchor_range, ts)
+    if prefilter and spine is not None:
+        messages = key_filter(messages, spine, key)
     if method == "bucketed" and spine is not None:
-        return _lookback_bucketed(messages, spine, days, separator, key, ts, body, bucket_seconds, out)
+        return _lookback_bucketed(messages, spine, days, separator, key, ts, body, bucket_seconds, out,
+                                  salts if split_hot else 1)
     if spine is None:
         msgs = messages
     elif method == "rew":  # the (key, salt) join drops other keys' messages
@@ -190,10 +258,9 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
                 .select(key, ts, F.array_join(F.array_sort("_set"), separator).alias(out)))
     if method == "rew":
         lookback = F.make_dt_interval(days=F.lit(days))
-        a = (anchors.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-        m = (clean.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
-             .withColumn("_salt", F.pmod(F.xxhash64("_mt", "_body"), F.lit(salts)).cast("int")))
+        a, m = _salted(anchors.select(F.col(key).alias("_k"), F.col(ts).alias("_at")),
+                       clean.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body")),
+                       hot_groups(messages, key), salts, "_k")
         pairs = (a.join(m, on=["_k", "_salt"]).filter((F.col("_mt") <= F.col("_at"))
                                                      & (F.col("_mt") >= F.col("_at") - lookback))
                  .select(F.col("_k").alias(key), F.col("_at").alias(ts), F.col("_body").alias(body)))
@@ -209,7 +276,7 @@ def default_bucket_seconds(days: int) -> int:
 
 
 def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separator: str, key: str,
-                       ts: str, body: str, bucket_seconds: int | None, out: str) -> DataFrame:
+                       ts: str, body: str, bucket_seconds: int | None, out: str, salts: int = 1) -> DataFrame:
     """The skew-safe default plan.
 
     * clean messages are hashed on ``(key, bucket)`` for the band join, which also drops the keys
@@ -231,7 +298,12 @@ def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separat
          .dropDuplicates(["_k", "_at"])
          .withColumn("_b", F.explode(F.sequence(_bucket(F.col("_at") - lookback, width),
                                                 _bucket(F.col("_at"), width)))))
-    pairs = a.join(m, on=["_k", "_b"], how="inner").filter(
+    on = ["_k", "_b"]
+    if salts > 1:
+        buckets = messages.select(F.col(key).alias("_k"), _bucket(F.col(ts), width).alias("_b"))
+        a, m = _salted(a, m, hot_groups(buckets, "_k", "_b"), salts, "_k", "_b")
+        on = [*on, "_salt"]
+    pairs = a.join(m, on=on, how="inner").filter(
         (F.col("_mt") <= F.col("_at")) & (F.col("_mt") >= F.col("_at") - lookback))
     agg = concat_distinct_per_anchor(pairs, ["_k", "_at"], "_body", separator, out,
                                      {"_self": (F.col("_mt") == F.col("_at")).cast("int")})
@@ -247,12 +319,13 @@ def label_join(texts: DataFrame, labels: DataFrame, key: str = "UserLoanId",
     return texts.join(labels, on=[key, ts], how="inner")
 
 
-def truncate_tokens(df: DataFrame, max_tokens: int, text: str = "concatenated_body",
+def truncate_tokens(df: DataFrame, max_tokens: int | None, text: str = "concatenated_body",
                     tokenizer: str = "words") -> DataFrame:
     """F5 then F4: replace ``text`` by its first ``max_tokens`` tokens and add ``token_count``
-    of the replaced text. ``tokenizer='words'`` runs natively; otherwise a tokenizer file path for
-    an Arrow UDF that tokenizes once per text."""
+    of the replaced text; ``max_tokens`` None keeps whole texts. ``tokenizer='words'`` runs natively;
+    otherwise a tokenizer file path for an Arrow UDF that tokenizes once per text."""
     require_columns(df, text, what="dataset")
+    max_tokens = (1 << 31) - 1 if max_tokens is None else max_tokens
     if tokenizer == "words":
         return (df.withColumn(text, word_truncate(text, max_tokens))
                 .withColumn("token_count", word_token_count(text)))
@@ -263,19 +336,20 @@ def truncate_tokens(df: DataFrame, max_tokens: int, text: str = "concatenated_bo
             .drop("_tc"))
 
 
-def prepare_text(texts: DataFrame, labels: DataFrame, max_tokens: int = 512, key: str = "UserLoanId",
+def prepare_text(texts: DataFrame, labels: DataFrame, max_tokens: int | None = 512, key: str = "UserLoanId",
                  ts: str = "CreatedAt", text: str = "concatenated_body", tokenizer: str = "words") -> DataFrame:
     """F6 = J2 -> F5 -> F4."""
     return truncate_tokens(label_join(texts, labels, key, ts), max_tokens, text, tokenizer)
 
 
-def build_dataset(messages: DataFrame, spine: DataFrame, days: int, max_tokens: int = 512,
+def build_dataset(messages: DataFrame, spine: DataFrame, days: int, max_tokens: int | None = 512,
                   separator: str = DEFAULT_SEPARATOR, key: str = "UserLoanId", ts: str = "CreatedAt",
                   body: str = "body", label: str = "DefaultDPD21", method: str = "bucketed",
                   tokenizer: str = "words", bucket_seconds: int | None = None,
-                  anchor_range: tuple[str, str] | None = None) -> DataFrame:
-    """The stage-1 dataset: look-back text per labelled anchor, label, truncated text, token count."""
+                  anchor_range: tuple[str, str] | None = None, prefilter: bool = False) -> DataFrame:
+    """The stage-1 dataset: look-back text per labelled anchor, label, truncated text (whole with
+    ``max_tokens`` None), token count."""
     require_columns(spine, key, ts, label, what="spine")
     texts = lookback_text(messages, spine, days, separator, key, ts, body, method, bucket_seconds,
-                          anchor_range=anchor_range)
+                          anchor_range=anchor_range, prefilter=prefilter)
     return prepare_text(texts, spine.select(key, ts, label), max_tokens, key, ts, tokenizer=tokenizer)

@@ -13,11 +13,12 @@ SPLIT = "dataset_split"
 
 
 def build_train_test(messages: DataFrame, spine: DataFrame, train_range: tuple[str, str],
-                     test_range: tuple[str, str], days: int, max_tokens: int = 512,
+                     test_range: tuple[str, str], days: int, max_tokens: int | None = 512,
                      separator: str = LB.DEFAULT_SEPARATOR, tokenizer: str = "words", method: str = "bucketed",
                      key: str = "UserLoanId", ts: str = "CreatedAt", body: str = "body",
                      label: str = "DefaultDPD21", cache_dir: str | None = None,
-                     use_cache: bool = True, inputs: str | None = None) -> tuple[DataFrame, DataFrame]:
+                     use_cache: bool = True, inputs: str | None = None,
+                     prefilter: bool = False) -> tuple[DataFrame, DataFrame]:
     """One look-back plan over the spine rows of both ranges, then split by date. Without
     ``cache_dir`` the two frames are lazy and each evaluation runs the plan. With
     ``cache_dir`` that one pass is written once, partitioned by ``dataset_split`` (a row in both
@@ -32,7 +33,7 @@ def build_train_test(messages: DataFrame, spine: DataFrame, train_range: tuple[s
 
     def dataset():
         return LB.build_dataset(messages, both, days, max_tokens, separator, key, ts, body, label,
-                                method, tokenizer, anchor_range=span)
+                                method, tokenizer, anchor_range=span, prefilter=prefilter)
 
     if not cache_dir:
         ds = dataset()
