@@ -2,8 +2,8 @@
 
 Input rows: ``(by..., label 0/1, score[, prediction])``. AUC and ROC are exact (ties count half)
 and never sort the whole table in one task: rows are first reduced to one row per distinct score
-and group, scores are cut into ~``num_buckets`` ranges by approximate quantiles (a bounded list of
-boundaries), prefix sums run per range in parallel and the per-range offsets come from a table with
+and group, scores are cut into ~``num_buckets`` ranges by approximate quantiles of the distinct scores (a
+bounded list of boundaries), prefix sums run per range in parallel and the per-range offsets come from a table with
 one row per (group, range).
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from vellum.session import require_columns
 
+SAMPLED_SCORES = 1 << 17
+
 
 def _checked(df: DataFrame, label: str, score: str) -> tuple[F.Column, F.Column]:
     """Label and score of a row; a null or NaN score, or a label other than 0 and 1, is an error
@@ -55,10 +57,13 @@ def _with_below(g: DataFrame, by: list[str], num_buckets: int | None, raw: DataF
     k = _num_buckets(g, num_buckets)
     # boundaries: at most k values (a bounded driver-side list), then a JVM-side binary search
     qs = [i / k for i in range(1, k)]
-    # quantiles of the raw scores: a map-side sketch and no shuffle, instead of computing the
-    # per-score aggregate twice (once for the boundaries, once for the sums)
-    src = raw if raw is not None else g
-    row = src.agg(F.percentile_approx("_s", qs, 10000).alias("q")).first()
+    # quantiles of the distinct scores, so that a score with many rows does not use up the ranges. Beyond
+    # SAMPLED_SCORES distinct ones (a map-side sketch counts them) those with a thin part of the hash values
+    # stand for all; the ranges only deal out work
+    src = (raw if raw is not None else g).select("_s")
+    thin = 1 + int(src.agg(F.approx_count_distinct("_s").alias("d")).first()["d"]) // SAMPLED_SCORES
+    some = src.filter(F.pmod(F.xxhash64("_s"), F.lit(thin)) == 0) if thin > 1 else src
+    row = some.distinct().agg(F.percentile_approx("_s", qs, 10000).alias("q")).first()
     bounds = sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
     splits = [float("-inf")] + bounds + [float("inf")]
     if len(splits) < 3:

@@ -82,13 +82,14 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def dataset_profile(df: DataFrame, dataset: str, label: str | None = "DefaultDPD21") -> DataFrame:
     """``(dataset, rows, columns, label, count)``: one row per label value when the label
-    column exists, else one row with null label/count."""
+    column exists, else one row with null label/count. ``df`` is evaluated once: the rows are the sum of the
+    label counts (a window over the one-row-per-label table)."""
     cols = F.array(*[F.lit(c) for c in df.columns])
-    total = df.agg(F.count(F.lit(1)).alias("rows"))
     if label and label in df.columns:
         dist = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"))
-        out = _one_row_join(total, dist)
+        out = dist.withColumn("rows", F.sum("count").over(Window.partitionBy()))
     else:
+        total = df.agg(F.count(F.lit(1)).alias("rows"))
         out = total.select("rows", F.lit(None).cast("int").alias("label"), F.lit(None).cast("long").alias("count"))
     return out.select(F.lit(dataset).alias("dataset"), "rows", cols.alias("columns"), "label", "count")
 

@@ -7,7 +7,7 @@ vectors  : embeddings with a binary label (label < 3) and fixed-size batches of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the analog definitions.
@@ -50,18 +50,28 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows for the metric operators: three deterministic 'models' (vector coordinates,
     floored to 2 digits so ties occur) on a train/test split by id parity (every row is kept)."""
     em = table(spark, sf_dir, "embeddings")
-    label = (F.col("label") < 3).cast("int")
     split = F.when(F.col("vec_id") % 2 == 0, F.lit("train")).otherwise(F.lit("test"))
-    parts = []
-    for i, name in enumerate(["m0", "m1", "m2"]):
-        parts.append(em.select(F.lit(name).alias("model"), split.alias("split"), label.alias("label"),
-                               (F.floor(F.col("embedding")[i].cast("double") * 100) / 100).alias("score")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.col("embedding")[i].cast("double").alias("x"))
+                               for i, name in enumerate(["m0", "m1", "m2"])])).alias("s")  # one scan
+    out = em.select(split.alias("split"), (F.col("label") < 3).cast("int").alias("label"), each)
+    out = out.select("s.model", "split", "label", (F.floor(F.col("s.x") * 100) / 100).alias("score"))
     return out.withColumn("prediction", (F.col("score") > 0).cast("int"))
 
 
+def ruled_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train / test vectors by id parity with a label that the vectors do tell: 1 where the first four
+    coordinates sum to over 0.1 (the table's own labels are random)."""
+    em = table(spark, sf_dir, "embeddings")
+    total = sum(F.col("embedding")[i].cast("double") for i in range(4))
+    v = em.select("vec_id", "embedding", (total > 0.1).cast("int").alias("label"))
+    return v.filter(F.col("vec_id") % 2 == 0), v.filter(F.col("vec_id") % 2 == 1)
+
+
+def padded(c: Column, n: Column) -> Column:
+    """The text with outer blanks: spaces, a no-break and an ideographic space, ``n`` times each."""
+    return F.concat(F.repeat(F.lit(" \u00a0"), n.cast("int")), c, F.repeat(F.lit("\u3000 "), n.cast("int")))
+
+
 def vector_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Train / test vectors by id parity (every row is in exactly one split)."""
     v = vectors(spark, sf_dir)

@@ -6,6 +6,7 @@ Doubles are rounded to 6 digits on both sides; column names match exactly.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,6 +105,12 @@ def a2_lookback_text_hourly_buckets(spark, sf_dir):
     return _lookback_labelled(spark, sf_dir, "bucketed", bucket_seconds=3600)
 
 
+@register("a2_lookback_text_hot_split", _A2_SQL)
+def a2_lookback_text_hot_split(spark, sf_dir):
+    msgs, spine = A.messages(spark, sf_dir), A.spine(spark, sf_dir)
+    return LB.label_join(LB.lookback_text(msgs, spine, A.LOOKBACK_DAYS, split_hot=True, prefilter=True), spine)
+
+
 @register("a2_lookback_blank_anchors", lookback_sql(MSGS_BLANK, SPINE_BLANK, A.LOOKBACK_DAYS))
 def a2_lookback_blank_anchors(spark, sf_dir):
     return _lookback_labelled(spark, sf_dir, "bucketed", blanks=True)
@@ -150,20 +157,33 @@ def p2_projection(spark, sf_dir):
     return A.spine(spark, sf_dir).select("UserLoanId", "DefaultDPD21")
 
 
-_TRAIN_KEYS_SQL = (f"SELECT user_id FROM events WHERE event_type = 'signup' "
+# keys of the spine rows with a high value: not every key of the messages
+_TRAIN_KEYS_SQL = (f"SELECT user_id FROM events WHERE event_type = 'signup' AND value > 200 "
                    f"AND ts >= TIMESTAMP '{_TR[0]}' AND ts < TIMESTAMP '{_TR[1]}'")
 
 
+def _some_keys(spark, sf_dir):
+    ev = A.table(spark, sf_dir, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 200))
+    return LB.date_range(ev.select(F.col("user_id").alias("UserLoanId"), F.col("ts").alias("CreatedAt")), *_TR)
+
+
 @register("p3_key_semi_join", f"WITH msgs AS ({MSGS}) SELECT * FROM msgs WHERE UserLoanId IN ({_TRAIN_KEYS_SQL})")
 def p3_key_semi_join(spark, sf_dir):
-    return LB.fetch_keys(A.messages(spark, sf_dir), _split(spark, sf_dir)[0])
+    return LB.fetch_keys(A.messages(spark, sf_dir), _some_keys(spark, sf_dir))
+
+
+@register("p3_key_filter", f"WITH msgs AS ({MSGS}) SELECT * FROM msgs WHERE UserLoanId IN ({_TRAIN_KEYS_SQL})")
+def p3_key_filter(spark, sf_dir):
+    """The Bloom filter before the exact semi-join."""
+    keys = _some_keys(spark, sf_dir)
+    return LB.fetch_keys(LB.key_filter(A.messages(spark, sf_dir), keys), keys)
 
 
 @register("p4_raw_fetch", f"SELECT * RENAME (user_id AS UserLoanId) FROM events "
                           f"WHERE user_id IN ({_TRAIN_KEYS_SQL})")
 def p4_raw_fetch(spark, sf_dir):
     raw = A.table(spark, sf_dir, "events").withColumnRenamed("user_id", "UserLoanId")
-    return LB.fetch_keys(raw, _split(spark, sf_dir)[0])
+    return LB.fetch_keys(raw, _some_keys(spark, sf_dir))
 
 
 @register("p5_text_present", f"WITH m AS ({MSGS_BLANK}) SELECT * FROM m WHERE body IS NOT NULL AND TRIM(body) != ''")
@@ -171,16 +191,22 @@ def p5_text_present(spark, sf_dir):
     return A.messages(spark, sf_dir, blanks=True).filter(TX.text_present("body"))
 
 
-@register("p6_dedup", f"WITH m AS ({MSGS_BLANK}) SELECT DISTINCT UserLoanId, CreatedAt, body FROM m "
+@register("p6_dedup", f"WITH m AS ({MSGS_BLANK} UNION ALL {MSGS}) SELECT DISTINCT UserLoanId, CreatedAt, body FROM m "
                       f"WHERE body IS NOT NULL AND TRIM(body) != ''")
 def p6_dedup(spark, sf_dir):
-    return LB.clean_messages(A.messages(spark, sf_dir, blanks=True))
+    # all but the blanked messages come twice
+    return LB.clean_messages(PR.union_all(A.messages(spark, sf_dir, blanks=True), A.messages(spark, sf_dir)))
+
 
+_PADDED_SQL = "repeat(' ' || chr(160), {n}) || {x} || repeat(chr(12288) || ' ', {n})"
 
-@register("p7_with_column", f"WITH m AS ({MSGS}) SELECT UserLoanId, CreatedAt, "
-                            f"{truncate_sql('body', 2)} AS body FROM m")
+
+@register("p7_with_column", f"WITH m AS ({MSGS}), p AS (SELECT UserLoanId, CreatedAt, "
+                            f"{_PADDED_SQL.format(n='(UserLoanId % 3)', x='body')} AS body FROM m) "
+                            f"SELECT UserLoanId, CreatedAt, TRIM(body) AS body FROM p")
 def p7_with_column(spark, sf_dir):
-    return A.messages(spark, sf_dir).withColumn("body", TX.word_truncate("body", 2))
+    m = A.messages(spark, sf_dir).withColumn("body", A.padded(F.col("body"), F.col("UserLoanId") % 3))
+    return m.withColumn("body", TX.unicode_trim("body"))
 
 
 @register("p8_casts", f"WITH spine AS ({SPINE}) SELECT CAST(UserLoanId AS VARCHAR) AS UserLoanId, "
@@ -229,10 +255,14 @@ def j2_long_texts(spark, sf_dir):
     return docs.join(A.table(spark, sf_dir, "labels"), on="doc_id", how="inner")
 
 
-@register("j3_anchor_exists", _ANCHORS_SQL + "\nSELECT * FROM anchors")
+@register("j3_anchor_exists", f"""
+WITH msgs AS ({MSGS_BLANK}), spine AS ({SPINE_BLANK})
+SELECT DISTINCT UserLoanId, CreatedAt FROM spine
+SEMI JOIN (SELECT * FROM msgs WHERE TRIM(body) != '') c USING (UserLoanId, CreatedAt)""")
 def j3_anchor_exists(spark, sf_dir):
-    clean = LB.clean_messages(A.messages(spark, sf_dir))
-    return LB.labelled_anchors(A.spine(spark, sf_dir), clean)
+    # half of the spine's times hold only blank messages
+    clean = LB.clean_messages(A.messages(spark, sf_dir, blanks=True))
+    return LB.labelled_anchors(A.spine(spark, sf_dir, blank_anchors=True), clean)
 
 
 # -- A1, A3..A8 -------------------------------------------------------------------------------
@@ -242,9 +272,8 @@ SELECT user_id, strftime(ts, '%Y-%m-%d') AS day,
        STRING_AGG(DISTINCT event_type, '--' ORDER BY event_type) AS types
 FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')""")
 def a1_distinct_concat(spark, sf_dir):
-    ev = A.table(spark, sf_dir, "events")
-    return (ev.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-            .agg(LB.distinct_sorted_concat("event_type", "--").alias("types")))
+    ev = A.table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return LB.concat_distinct_per_anchor(ev, ["user_id", "day"], "event_type", "--", "types")
 
 
 @register("a3_label_distribution", f"WITH s AS ({SPINE}) SELECT DefaultDPD21, COUNT(*) AS count FROM s GROUP BY 1")
@@ -253,11 +282,12 @@ def a3_label_distribution(spark, sf_dir):
 
 
 @register("a3_label_dense", """
-WITH c AS (SELECT label, COUNT(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)
+WITH c AS (SELECT label * label AS label, COUNT(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY ALL)
 SELECT CAST(g.label AS INTEGER) AS label, CAST(coalesce(c.n, 0) AS BIGINT) AS count
 FROM (SELECT unnest(range(0, (SELECT max(label) FROM c) + 1)) AS label) g LEFT JOIN c ON g.label = c.label""")
 def a3_label_dense(spark, sf_dir):
-    return PR.label_distribution_dense(A.table(spark, sf_dir, "embeddings"), "label")
+    squares = A.table(spark, sf_dir, "embeddings").select((F.col("label") * F.col("label")).alias("label"))
+    return PR.label_distribution_dense(squares, "label")  # most of 0..81 do not occur
 
 
 @register("a4_class_balance", f"""
@@ -271,15 +301,14 @@ def a4_class_balance(spark, sf_dir):
 
 _F6_SQL = f"""
 WITH lb AS ({_A2_SQL})
-SELECT UserLoanId, CreatedAt, DefaultDPD21,
-       {truncate_sql('concatenated_body', A.MAX_TOKENS)} AS concatenated_body,
-       CAST(len({words_sql(truncate_sql('concatenated_body', A.MAX_TOKENS))}) AS BIGINT) AS token_count
+SELECT UserLoanId, CreatedAt, DefaultDPD21, concatenated_body,
+       CAST(len({words_sql('concatenated_body')}) AS BIGINT) AS token_count
 FROM lb"""
 
 
 def _dataset(spark, sf_dir):
-    return LB.build_dataset(A.messages(spark, sf_dir), A.spine(spark, sf_dir), A.LOOKBACK_DAYS,
-                            max_tokens=A.MAX_TOKENS)
+    """The labelled look-back texts, whole."""
+    return LB.build_dataset(A.messages(spark, sf_dir), A.spine(spark, sf_dir), A.LOOKBACK_DAYS, max_tokens=None)
 
 
 @register("a5_batch_stats", f"""
@@ -354,9 +383,10 @@ def u1_union_train_test(spark, sf_dir):
 
 # -- F1..F5, F7 -------------------------------------------------------------------------------
 
-@register("f1_trim", "SELECT conv_id, turn, TRIM(text) AS text FROM conversations")
+@register("f1_trim", f"WITH p AS (SELECT conv_id, turn, {_PADDED_SQL.format(n='(turn % 3)', x='text')} AS text "
+                     f"FROM conversations) SELECT conv_id, turn, TRIM(text) AS text FROM p")
 def f1_trim(spark, sf_dir):
-    c = A.table(spark, sf_dir, "conversations")
+    c = A.table(spark, sf_dir, "conversations").withColumn("text", A.padded(F.col("text"), F.col("turn") % 3))
     return c.select("conv_id", "turn", TX.unicode_trim("text").alias("text"))
 
 
@@ -520,6 +550,7 @@ def p9_decision(spark, sf_dir):
 from vellum.session import scratch_path  # noqa: E402
 from vellum.sources import cache as CA  # noqa: E402
 from vellum.sources import catalog as CT  # noqa: E402
+from vellum.sources.versions import VersionedTable  # noqa: E402
 
 
 @register("s1_catalog")
@@ -550,6 +581,28 @@ def s4_read_incremental_all(spark, sf_dir):
     return _daily_lake(spark, sf_dir).read_all("events_daily")
 
 
+@register("s4_versioned_replace", """
+SELECT event_id, ts, user_id, event_type, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN value + 1 ELSE value END AS value,
+       props FROM events""")
+def s4_versioned_replace(spark, sf_dir):
+    """Events as a versioned table whose first ten days are then replaced in one commit."""
+    ev = A.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    base = scratch_path(spark, "lake")
+    table = VersionedTable(spark, f"{base}/log")
+    table.replace_dates(ev, "ts")
+    early = ev.filter(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"))
+    table.replace_dates(early.withColumn("value", F.col("value") + 1), "ts")
+    return CT.TableCatalog(spark, base).read_all("log")
+
+
+@register("s4_read_between", f"SELECT * FROM events WHERE ts >= TIMESTAMP '{_TE[0]}' AND ts < TIMESTAMP '{_TE[1]}'")
+def s4_read_between(spark, sf_dir):
+    """Reads only the files whose statistics meet the range."""
+    lake = _daily_lake(spark, sf_dir)
+    lake.update_statistics("events_daily", "ts")
+    return lake.read_between("events_daily", "ts", *[_dt.datetime.fromisoformat(x) for x in _TE])
+
+
 @register("s5_query_table", "SELECT event_type, COUNT(*) AS n, round(avg(value), 6) AS mean_value "
                             "FROM events GROUP BY event_type")
 def s5_query_table(spark, sf_dir):
