@@ -239,14 +239,28 @@ def _fit_gbt(x, label, wcol, cfg, seed, validation, features, scaler):
     return model, {"best_iteration": m, "best_score": best}
 
 
+# The stage-2 switch: its three configurations by name.
+SWITCH = {"trees": "gbt_stage2", "logistic": "lr_stage2", "network": "mlp"}
+
+
+def switch(models: list[str] | str = "all") -> list[str]:
+    """Presets for ``all`` (the three of the switch), a name of the switch, a preset, or a list of both."""
+    names = list(SWITCH) if models == "all" else [models] if isinstance(models, str) else list(models)
+    presets = [SWITCH.get(n, n) for n in names]
+    unknown = [n for n in presets if n not in PRESETS]
+    if unknown or not presets:
+        raise ValueError(f"unknown models {unknown}; choose 'all', {sorted(SWITCH)} or presets {sorted(PRESETS)}")
+    return presets
+
+
 def train_models(train: DataFrame, test: DataFrame, features: str = "embedding", label: str = "label",
-                 models: list[str] | str = "all", seed: int = 42, keep: list[str] | None = None) -> DataFrame:
-    """M7: fit each selected preset on ``train`` and score both tables into one long table
-    ``(keep..., model, split, label, score, prediction)``."""
-    names = list(PRESETS) if models == "all" else ([models] if isinstance(models, str) else list(models))
+                 models: list[str] | str = "all", seed: int = 42, keep: list[str] | None = None,
+                 settings: dict[str, dict] | None = None) -> DataFrame:
+    """M7: fit each selected configuration (see ``switch``) on ``train`` and score both tables into one long
+    table ``(keep..., model, split, label, score, prediction)``. ``settings`` overrides by preset name."""
     out = None
-    for n in names:
-        fc = fit_classifier(train, features, label, n, seed=seed)
+    for n in switch(models):
+        fc = fit_classifier(train, features, label, n, seed=seed, **(settings or {}).get(n, {}))
         part = fc.score(train, "train", keep).unionByName(fc.score(test, "test", keep))
         out = part if out is None else out.unionByName(part)
     return out
