@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import text_present
@@ -674,12 +674,15 @@ def m4_mlp(spark, sf_dir):
     return _fit_score(spark, sf_dir, "mlp")
 
 
+#: Fewer trees and less patience than the configuration, for a query that ends soon; all else is as configured.
+_STOPPING = {"n_estimators": 32, "early_stopping_rounds": 8, "learning_rate": 0.1}
+
+
 @register("m6_gbt_early_stopping")
 def m6_gbt_early_stopping(spark, sf_dir):
-    tr, te = A.vector_split(spark, sf_dir)
-    fc = MD.fit_classifier(tr, "embedding", "label", "gbt_quick", seed=42, n_estimators=30,
-                           early_stopping_rounds=5, name="gbt_early_stop")
-    return fc.score(te, "test", ["vec_id"])
+    tr, te = A.ruled_split(spark, sf_dir)
+    fc = MD.fit_classifier(tr, "embedding", "label", "gbt_stage2", name="gbt_early_stop", **_STOPPING)
+    return fc.score(tr, "train", ["vec_id"]).unionByName(fc.score(te, "test", ["vec_id"]))
 
 
 @register("m7_compare_trained_models")
@@ -689,46 +692,109 @@ def m7_compare_trained_models(spark, sf_dir):
     return MT.compare_models(scored)
 
 
-# -- facts of fitted classifiers: counts recomputed by the twin, probabilities and AUC held to bounds
+# -- facts of fitted classifiers: counts recomputed by the twin, probabilities and AUC of both splits held to
+# bounds; the label is one that the vectors tell (``ruled_split``)
 
-def _classifier_facts(spark, sf_dir, preset, auc_floor, **settings):
-    tr, te = A.vector_split(spark, sf_dir)
-    fc = MD.fit_classifier(tr, "embedding", "label", preset, seed=42, **settings)
-    scored = fc.score(tr, "train", ["vec_id"]).unionByName(fc.score(te, "test", ["vec_id"]))
-    path = scratch_path(spark, "scored")
-    scored.write.parquet(path)  # the trees' scores are read twice
-    scored = spark.read.parquet(path)
+def _scored_facts(scored, floor):
     by = ["model", "split"]
     seen = scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"), F.sum("label").alias("positives"),
         F.min(F.col("score").between(0, 1)).alias("in_range"), (F.stddev("score") > 0).alias("varied"),
         F.min((F.col("score") > 0.5) == (F.col("prediction") == 1)).alias("decided"))
-    auc = MT.roc_auc(scored, by=by).select(*by, (F.col("auc") > F.when(
-        F.col("split") == "train", auc_floor).otherwise(0.0)).alias("over_floor"))
-    return seen.join(auc, by)
+    return seen.join(MT.roc_auc(scored, by=by).select(*by, (F.col("auc") > floor).alias("over_floor")), by)
+
+
+def _stored_scores(spark, scored):
+    path = scratch_path(spark, "scored")
+    scored.write.parquet(path)  # scores are read twice
+    return spark.read.parquet(path)
+
+
+def _classifier_facts(spark, sf_dir, preset, floor, **settings):
+    tr, te = A.ruled_split(spark, sf_dir)
+    fc = MD.fit_classifier(tr, "embedding", "label", preset, seed=42, **settings)
+    scored = fc.score(tr, "train", ["vec_id"]).unionByName(fc.score(te, "test", ["vec_id"]))
+    return _scored_facts(_stored_scores(spark, scored), floor)
 
 
-def _classifier_facts_sql(name):
+#: With batches of 256 a table of 250 training rows has one step per epoch, and 20 epochs of patience are 20
+#: steps; all else is as configured.
+_SMALL_STEPS = {"batch_size": 16, "learning_rate": 0.005}
+_RULE_SQL = " + ".join(f"CAST(embedding[{i}] AS DOUBLE)" for i in range(1, 5)) + " > 0.1"
+
+
+def _classifier_facts_sql(*names):
     return f"""
-SELECT '{name}' AS model, CASE WHEN vec_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, COUNT(*) AS rows,
-       COUNT(DISTINCT vec_id) AS ids, CAST(SUM(CAST(label < 3 AS INTEGER)) AS BIGINT) AS positives,
+SELECT m.model, CASE WHEN vec_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, COUNT(*) AS rows,
+       COUNT(DISTINCT vec_id) AS ids, CAST(SUM(CAST({_RULE_SQL} AS INTEGER)) AS BIGINT) AS positives,
        TRUE AS in_range, TRUE AS varied, TRUE AS decided, TRUE AS over_floor
-FROM embeddings GROUP BY 2"""
+FROM embeddings, (VALUES {", ".join(f"('{n}')" for n in names)}) m(model) GROUP BY 1, 2"""
 
 
 @register("m2_logistic_facts", _classifier_facts_sql("lr_stage2"))
 def m2_logistic_facts(spark, sf_dir):
-    return _classifier_facts(spark, sf_dir, "lr_stage2", 0.6)
+    return _classifier_facts(spark, sf_dir, "lr_stage2", 0.8)
 
 
 @register("m3_gbt_facts", _classifier_facts_sql("gbt_quick"))
 def m3_gbt_facts(spark, sf_dir):
-    return _classifier_facts(spark, sf_dir, "gbt_quick", 0.6, n_estimators=10)
+    return _classifier_facts(spark, sf_dir, "gbt_quick", 0.6, n_estimators=30)
+
+
+@register("m3_boosted_facts", _classifier_facts_sql("gbt_stage2"))
+def m3_boosted_facts(spark, sf_dir):
+    """The stage-2 configuration with L1, L2, gamma and minimum Hessian, without its stop."""
+    return _classifier_facts(spark, sf_dir, "gbt_stage2", 0.6, n_estimators=24, learning_rate=0.1, early_stopping_rounds=0)
 
 
 @register("m4_mlp_facts", _classifier_facts_sql("mlp"))
 def m4_mlp_facts(spark, sf_dir):
-    return _classifier_facts(spark, sf_dir, "mlp", 0.6, max_iter=50)
+    return _classifier_facts(spark, sf_dir, "mlp", 0.6, **_SMALL_STEPS)
+
+
+@register("m6_stopping_facts", f"""
+SELECT COUNT(*) FILTER (WHERE vec_id % 2 = 0) AS train_rows, COUNT(*) FILTER (WHERE vec_id % 2 = 1) AS watched_rows,
+       TRUE AS best_is_the_first_maximum, TRUE AS best_auc_of_scores, TRUE AS stopped_in_time, TRUE AS over_floor
+FROM embeddings""")
+def m6_stopping_facts(spark, sf_dir):
+    """The stop watches the test split here, as a given validation table."""
+    tr, te = A.ruled_split(spark, sf_dir)
+    fc = MD.fit_classifier(tr, "embedding", "label", "gbt_stage2", validation=te, **_STOPPING)
+    h, best = fc.info["history"], fc.info["best_iteration"]
+    scored = _stored_scores(spark, fc.score(te, "test", ["vec_id"]))
+    auc = MT.roc_auc(scored).first()["auc"]
+    rows = tr.agg(F.count(F.lit(1)).alias("train_rows")).crossJoin(scored.agg(F.count(F.lit(1)).alias("watched_rows")))
+    return rows.select("*", F.lit(h.index(max(h)) + 1 == best).alias("best_is_the_first_maximum"),
+                       F.lit(abs(auc - fc.info["best_score"]) < 1e-9).alias("best_auc_of_scores"),
+                       F.lit(len(h) <= min(32, best + 8)).alias("stopped_in_time"), F.lit(auc > 0.6).alias("over_floor"))
+
+
+_FEWER_TREES = {"gbt_stage2": _STOPPING | {"n_estimators": 16}, "gbt_quick": {"n_estimators": 10}, "mlp": _SMALL_STEPS}
+
+
+@register("m7_switch_facts", _classifier_facts_sql("gbt_stage2", "lr_stage2", "mlp"))
+def m7_switch_facts(spark, sf_dir):
+    """``all`` trains exactly the three stage-2 configurations."""
+    tr, te = A.ruled_split(spark, sf_dir)
+    return _scored_facts(_stored_scores(spark, MD.train_models(tr, te, models="all", keep=["vec_id"], settings=_FEWER_TREES)), 0.6)
+
+
+@register("v2_trained_roc_facts", """
+SELECT model, TRUE AS from_zero, TRUE AS to_one, TRUE AS rising, TRUE AS area_is_auc
+FROM (VALUES ('lr_stage2'), ('gbt_quick')) m(model)""")
+def v2_trained_roc_facts(spark, sf_dir):
+    """ROC points of trained models on the test split: ends, order, and the area under them."""
+    tr, te = A.ruled_split(spark, sf_dir)
+    got = EV.train_and_evaluate(tr.drop("batch_id"), te, "label", ["vec_id"], ["lr_stage2", "gbt_quick"], settings=_FEWER_TREES)
+    w = Window.partitionBy("model").orderBy(F.col("threshold").desc())
+    steps = got["roc"].withColumn("x0", F.lag("fpr").over(w)).withColumn("y0", F.lag("tpr").over(w))
+    area = steps.groupBy("model").agg(
+        (F.min("fpr") + F.min("tpr") == 0).alias("from_zero"), (F.max("fpr") + F.max("tpr") == 2).alias("to_one"),
+        F.min(F.coalesce((F.col("fpr") >= F.col("x0")) & (F.col("tpr") >= F.col("y0")), F.lit(True))).alias("rising"),
+        F.sum((F.col("fpr") - F.col("x0")) * (F.col("tpr") + F.col("y0")) / 2).alias("area"))
+    auc = got["auc"].filter("split = 'test'").select("model", "auc")
+    return area.join(auc, "model").select("model", "from_zero", "to_one", "rising",
+                                          (F.abs(F.col("area") - F.col("auc")) < 1e-9).alias("area_is_auc"))
 
 
 # -- E2, E3, E5..E9 ---------------------------------------------------------------------------
@@ -831,6 +897,7 @@ def e9_cosine_similarity_loss(spark, sf_dir):
 from vellum.operators import encode as EN  # noqa: E402
 from vellum.plans import dataset as DS  # noqa: E402
 from vellum.plans import evaluate as EV  # noqa: E402
+from vellum.plans import stages as ST  # noqa: E402
 
 _KEYS = ["UserLoanId", "CreatedAt"]
 _TEXT = "concatenated_body"
@@ -843,11 +910,40 @@ def _datasets(spark, sf_dir):
                                cache_dir=scratch_path(spark, "datasets"))
 
 
+def _text_encoder(spark, sf_dir, tr):
+    """Token vectors and projection trained together on the train split."""
+    return EN.TextEncoder.fit_joint(tr, _TEXT, _LABEL, buckets=1 << 12, dim=32, embedding_dim=16, epochs=1, batch_size=16,
+                                    lr=1e-2, seed=7)
+
+
+def _both(tr, te):
+    return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
+
+
 @register("e1_text_features")
 def e1_text_features(spark, sf_dir):
     tr, te = _datasets(spark, sf_dir)
-    enc = EN.TextEncoder.fit_featurizer(tr, _TEXT, kind="word2vec", vector_size=32, seed=42)
-    return enc.features(te.select(*_KEYS, _TEXT)).drop(_TEXT)
+    return _text_encoder(spark, sf_dir, tr).features(_both(tr, te).select(*_KEYS, "split", _TEXT)).drop(_TEXT)
+
+
+_SPLIT_SQL = f"""
+SELECT split, COUNT(*) AS rows, {{columns}} FROM (
+  SELECT 'train' AS split, * FROM ({SPINE}) WHERE CreatedAt >= TIMESTAMP '{_TR[0]}' AND CreatedAt < TIMESTAMP '{_TR[1]}'
+  UNION ALL
+  SELECT 'test' AS split, * FROM ({SPINE}) WHERE CreatedAt >= TIMESTAMP '{_TE[0]}' AND CreatedAt < TIMESTAMP '{_TE[1]}')
+GROUP BY split"""
+
+
+@register("e1_feature_facts", _SPLIT_SQL.format(columns="32 AS least_dim, 32 AS most_dim, TRUE AS equal_texts_equal_vectors"))
+def e1_feature_facts(spark, sf_dir):
+    made = e1_text_features(spark, sf_dir)
+    tr, te = _datasets(spark, sf_dir)
+    texts = _both(tr, te).select(*_KEYS, "split", _TEXT)
+    both = made.join(texts, [*_KEYS, "split"])
+    same = both.groupBy(_TEXT).agg(F.countDistinct("features").alias("n")).agg((F.max("n") == 1).alias("equal_texts_equal_vectors"))
+    sizes = made.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("features")).alias("least_dim"),
+                                      F.max(F.size("features")).alias("most_dim"))
+    return sizes.join(F.broadcast(same))  # one row
 
 
 def _projection_fit(**kw):
@@ -944,24 +1040,44 @@ def e13_resume_facts(spark, sf_dir):
         "*", F.lit(equal).alias("equals_one_run"), F.lit(int(resumed.history[-1]["step"])).alias("last_step"))
 
 
-def _text_encoder(spark, sf_dir, tr):
-    enc = EN.TextEncoder.fit_featurizer(tr, _TEXT, kind="word2vec", vector_size=32, seed=42)
-    return enc.fit_projection(tr, _LABEL, embedding_dim=16, epochs=1, batch_size=16, lr=1e-2, seed=7,
-                              steps_per_epoch=4)
-
-
 @register("e4_encode_texts")
 def e4_encode_texts(spark, sf_dir):
     tr, te = _datasets(spark, sf_dir)
-    return _text_encoder(spark, sf_dir, tr).transform(te.select(*_KEYS, _TEXT)).drop(_TEXT)
+    return _text_encoder(spark, sf_dir, tr).transform(_both(tr, te).select(*_KEYS, "split", _TEXT)).drop(_TEXT)
 
 
-@register("e4_encode_facts", f"""
-SELECT COUNT(*) AS rows, 16 AS least_dim, 16 AS most_dim, TRUE AS unit FROM ({SPINE})
-WHERE CreatedAt >= TIMESTAMP '{_TE[0]}' AND CreatedAt < TIMESTAMP '{_TE[1]}'""")
+@register("e4_encode_facts", _SPLIT_SQL.format(columns="16 AS least_dim, 16 AS most_dim, TRUE AS unit"))
 def e4_encode_facts(spark, sf_dir):
-    made = e4_encode_texts(spark, sf_dir).withColumn("vec_id", F.lit(0))
-    return _unit_rows(made, "embedding").drop("ids")
+    made = e4_encode_texts(spark, sf_dir)
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x))
+    return made.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("embedding")).alias("least_dim"),
+                                     F.max(F.size("embedding")).alias("most_dim"), (F.max(F.abs(norm - 1)) < 1e-5).alias("unit"))
+
+
+@register("e4_incremental_vectors", f"""
+SELECT UserLoanId, CreatedAt, TRUE AS unit FROM ({SPINE})""")
+def e4_incremental_vectors(spark, sf_dir):
+    """Vectors of the train split, then of both splits from the same store: the second call encodes the
+    texts that are new."""
+    tr, te = _datasets(spark, sf_dir)
+    enc = _text_encoder(spark, sf_dir, tr)
+    store = scratch_path(spark, "vector-store")
+    ST.update_vectors(enc, tr, store, _KEYS, ranges=2)
+    got = ST.update_vectors(enc, _both(tr, te), store, _KEYS, ranges=2)
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x))
+    return got.select(*_KEYS, (F.abs(norm - 1) < 1e-5).alias("unit"))
+
+
+@register("e10_rounds_facts", _UNIT_SQL.format(more=", TRUE AS losses_fell, 5 AS losses, 20 AS jobs"))
+def e10_rounds_facts(spark, sf_dir):
+    """All five losses in rounds: one job per epoch; the loss of the last epoch is below the first's."""
+    v = A.vectors(spark, sf_dir)
+    losses = CS.LOSSES + CS.PAIR_LOSSES
+    models = [_projection_fit(epochs=4, steps_per_epoch=None, loss=loss, shard_batches=16).fit(v) for loss in losses]
+    fell = all(m.history[-1]["loss"] < m.history[0]["loss"] for m in models)
+    return _unit_rows(models[-1].transform(v, "embedding", "projected")).select(
+        "*", F.lit(fell).alias("losses_fell"), F.lit(len(models)).alias("losses"),
+        F.lit(sum(len(m.history) for m in models)).alias("jobs"))
 
 
 @register("v7_evaluate_checkpoint")
@@ -979,3 +1095,58 @@ def v8_evaluate_encoder(spark, sf_dir):
     path = scratch_path(spark, "encoder")
     _text_encoder(spark, sf_dir, tr).save(path)
     return EV.evaluate_encoder(spark, path, tr, te, _LABEL, _KEYS)["comparison"]
+
+
+# -- facts of the evaluators and of stage 1 ---------------------------------------------------
+
+def _evaluation_facts(got):
+    """Per model and split: rows, and the report's accuracy against the scores and the confusion matrix."""
+    by = ["model", "split"]
+    seen = got["scores"].groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"),
+                                          F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("a"))
+    cm = got["confusion"].groupBy(*by).agg(F.sum("count").alias("n"))
+    report = got["report"].filter("class = 'accuracy'").select(*by, F.col("f1").alias("r"))
+    auc = got["auc"].select(*by, "auc")
+    return seen.join(cm, by).join(report, by).join(auc, by).select(
+        *by, "rows", "positives", (F.col("n") == F.col("rows")).alias("all_in_matrix"),
+        (F.abs(F.col("a") - F.col("r")) < 1e-9).alias("accuracy_of_scores"), F.col("auc").between(0, 1).alias("auc_in_range"))
+
+
+def _evaluation_sql(*names):
+    counts = _SPLIT_SQL.format(columns="CAST(SUM(DefaultDPD21) AS BIGINT) AS positives")
+    return (f"SELECT m.model, s.*, TRUE AS all_in_matrix, TRUE AS accuracy_of_scores, TRUE AS auc_in_range "
+            f"FROM ({counts}) s, (VALUES {', '.join(f'({n!r})' for n in names)}) m(model)")
+
+
+@register("v7_checkpoint_facts", _evaluation_sql("lr_checkpoint", "gbt_quick"))
+def v7_checkpoint_facts(spark, sf_dir):
+    tr, te = _datasets(spark, sf_dir)
+    path = scratch_path(spark, "encoder") + "/checkpoint-00000001"
+    _text_encoder(spark, sf_dir, tr).save(path)
+    return _evaluation_facts(EV.evaluate_checkpoint(spark, path, tr, te, _LABEL, _KEYS, settings=_FEWER_TREES))
+
+
+@register("v8_encoder_facts", _evaluation_sql("lr_encoder", "gbt_quick", "mlp"))
+def v8_encoder_facts(spark, sf_dir):
+    tr, te = _datasets(spark, sf_dir)
+    path = scratch_path(spark, "encoder")
+    _text_encoder(spark, sf_dir, tr).save(path)
+    return _evaluation_facts(EV.evaluate_encoder(spark, path, tr, te, _LABEL, _KEYS, settings=_FEWER_TREES))
+
+
+@register("stage1_from_catalog", f"""
+WITH lb AS ({_A2_SQL.replace("chr(10) || '---' || chr(10)", "'---'")})
+SELECT UserLoanId, CreatedAt, DefaultDPD21, {truncate_sql('concatenated_body', 256)} AS concatenated_body,
+       CASE WHEN CreatedAt < TIMESTAMP '{_TE[0]}' THEN 'train' ELSE 'test' END AS split, TRUE AS second_run_cached
+FROM lb WHERE CreatedAt >= TIMESTAMP '{_TR[0]}' AND CreatedAt < TIMESTAMP '{_TE[1]}'""")
+def stage1_from_catalog(spark, sf_dir):
+    """Messages (one file per date) and spine by name -> datasets and encoder, twice; the rows of the second,
+    cached run."""
+    base = scratch_path(spark, "lake")
+    CT.write_incremental(A.messages(spark, sf_dir), f"{base}/android_sms", "CreatedAt")
+    A.spine(spark, sf_dir).write.parquet(f"{base}/label_spine.parquet")
+    lake, cache = CT.TableCatalog(spark, base), scratch_path(spark, "stage1")
+    settings = dict(buckets=1 << 12, dim=16, embedding_dim=8, epochs=1, batch_size=64)
+    ST.fit_stage1(lake, cache, _TR, _TE, days=A.LOOKBACK_DAYS, encoder=settings)
+    s = ST.fit_stage1(lake, cache, _TR, _TE, days=A.LOOKBACK_DAYS, encoder=settings)
+    return _both(s.train, s.test).drop("token_count").withColumn("second_run_cached", F.lit(s.from_cache))
