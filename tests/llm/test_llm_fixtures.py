@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellum.llm import (
@@ -86,14 +87,44 @@ def _repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(docs, hot):
+@pytest.mark.parametrize("least", [256, 3])
+def test_suffix_dedup(docs, monkeypatch, least):
+    monkeypatch.setattr(suffix_dedup, "LEAST_FREQUENT", least)  # 3: most grams of the copies rank last
     frame, texts = docs
     want = _repeats(texts, 100)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame, 100, hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame, 100).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("size", [60, 90, 260])
+def test_suffix_dedup_of_a_passage_in_a_third_of_the_documents(spark, size):
+    """One passage under different surroundings: equal to brute force, and its grams rank last, so no
+    anchor gathers the surroundings."""
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz ,."
+    passage = "".join(rng.choices(letters, k=size))
+    texts = {}
+    for i in range(600):
+        own = "".join(rng.choices(letters, k=rng.randrange(0, 300)))
+        cut = rng.randrange(len(own) + 1)
+        texts[i] = own[:cut] + passage + own[cut:] if i % 3 == 0 else own
+    texts[700], texts[701] = "x" * 5000, texts[3] * 2
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    ship_package(spark)
+    old = suffix_dedup.LEAST_FREQUENT
+    suffix_dedup.LEAST_FREQUENT = 50
+    try:
+        bits = suffix_dedup.frequent_grams(frame.select(F.col("text").alias("__text")))
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame).collect()}
+    finally:
+        suffix_dedup.LEAST_FREQUENT = old
+    assert got == _repeats(texts, 100)
+    made = suffix_dedup.anchors([t.encode() for t in texts.values()], 100, suffix_dedup.GRAM, bits)
+    plain = suffix_dedup.anchors([t.encode() for t in texts.values()], 100, suffix_dedup.GRAM)
+    differing = [max(len(set(x[2][x[1] == a].tolist())) for a in set(x[1].tolist())) for x in (made, plain)]
+    assert differing[0] < 40 and differing[1] > 3 * differing[0]
+
+
 def test_suffix_dedup_repeated_ids(spark):
     text = "".join(random.Random(1).choices("abcdef ", k=300))
     frame = spark.createDataFrame([(None, text), (1, text), (1, text), (2, None)], "doc_id long, text string")

@@ -8,14 +8,17 @@ repeated are sorted, and only to ``length`` bytes:
    smallest hash (the leftmost of equals). Equal windows have equal anchors at equal places, and one
    anchor stands for a run of about forty neighbouring windows, its context, so one row per context
    (some 2 % of the bytes) is shuffled: anchor, digest of the context, document and place.
-2. *First digit.* Rows meet by anchor in packed byte blocks. An anchor met once has no repeated
+   Frequent grams rank behind all others: a sketch of ``2 ** SKETCH_BITS`` counters, summed over all
+   texts, marks those beyond one in ``SHARE`` places. So a common line in differing surroundings is put
+   under its surroundings, and a frequent gram is the anchor only of windows without any rarer one,
+   whose contexts are equal. The ranks place work; any ranking gives the same result.
+2. *First digit.* Of equal contexts that a task meets, all but the first are covered whole and go no
+   further. The others meet by anchor in packed byte blocks. An anchor met once has no repeated
    window. Of equal contexts the first stays, every other one is covered whole.
 3. *Radix passes.* The contexts of an anchor that differ are fetched as bytes, and their windows, by
    place of the anchor, are ordered by most-significant-digit passes over eight bytes at a time;
    groups of one leave after each pass, and what is still together after ``length`` bytes are exactly
    the repeated windows. All but the first of each group are covered.
-   Anchors with more than ``HOT`` differing contexts do not go to one task: their windows are spread
-   by a 128-bit hash, reduced to the first of each with map-side combination, and joined back.
 4. The covered runs of each document are united with its text.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; an empty table gives no
@@ -35,13 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vellum.llm.chunks import hash_runs, join_texts
+from vellum.llm.chunks import join_texts
 from vellum.llm.common import TEXT, as_bytes, blocks, mix64, spans_to_positions
 from vellum.session import scratch_path
 
 LENGTH = 100
 GRAM = 16
-HOT = 20_000  # differing contexts of one anchor that one task may sort
+SKETCH_BITS = 20
+SHARE = 1 << 17  # a gram is frequent beyond one in so many places (eight times a counter's mean)
+LEAST_FREQUENT = 256  # occurrences that a frequent gram has at least
 PART_BYTES = 6 << 20
 HELD = 1 << 16  # contexts packed together by a task
 U = np.uint64
@@ -67,8 +72,51 @@ def rolling(data: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
         h, size = longer, 2 * size
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """(text, anchor, context digest, first window, anchor's place in it, windows) of all contexts."""
+def _counter(h: np.ndarray) -> np.ndarray:
+    """The sketch's counter of each gram hash."""
+    return (mix64(h) >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def frequent_grams(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
+    """A bitmap of the sketch's counters that stand for frequent grams, ``2 ** SKETCH_BITS`` bits. Counters
+    are summed by piece on the executors; the driver gets the bitmap's bytes."""
+    pieces = 16
+    size = (1 << SKETCH_BITS) // pieces
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for rows in blocks(batch, TEXT, 1 << 20):
+                data, bounds = join_texts(as_bytes(rows.column(TEXT)))
+                if len(data) > gram:
+                    at = _counter(rolling(data, (gram,))[gram][: len(data) - gram])
+                    total += np.bincount(at, minlength=1 << SKETCH_BITS)
+        for k in range(pieces):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array(
+                [total[k * size: (k + 1) * size].tobytes()], pa.binary())], names=["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        piece = None
+        for batch in batches:  # streamed: one task's counters at a time
+            piece = batch.column("piece")[0]
+            for raw in batch.column("counts").to_pylist():
+                total += np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([piece.as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                                         names=["piece", "counts"])
+
+    add.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    made = (docs.select(TEXT).mapInArrow(count, "piece int, counts binary").groupBy("piece")
+            .applyInArrow(add, "piece int, counts binary").collect())  # 8 MB, whatever the texts
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    for row in made:
+        counts[row["piece"] * size: (row["piece"] + 1) * size] = np.frombuffer(row["counts"], np.int64)
+    return np.packbits(counts > max(LEAST_FREQUENT, int(counts.sum()) // SHARE), bitorder="little")
+
+
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None):
+    """(text, anchor, context digest, first window, anchor's place in it, windows) of all contexts.
+    ``frequent`` is the bitmap of ``frequent_grams``."""
     data, bounds = join_texts(texts)
     n = len(data)
     none = np.zeros(0, np.int64)
@@ -78,6 +126,10 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     h = rolling(data, (4, gram, 32, 64))
     position = np.arange(n, dtype=np.uint64)
     low = (mix64(h[gram]) & ~U((1 << 31) - 1)) | position
+    if frequent is not None:  # the first bit of the rank
+        at = _counter(h[gram])
+        last_bit = (frequent[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        low = (low >> U(1) & ~U((1 << 31) - 1)) | position | (last_bit.astype(np.uint64) << U(63))
     best, size = low, 1
     while 2 * size <= span:  # sliding minimum over a power of two of places, then over all
         nxt = best.copy()
@@ -130,23 +182,28 @@ def _parts(docs: DataFrame, size: int) -> int:
     return int(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
 
 
-def _anchor_rows(docs: DataFrame, parts: int, length: int) -> DataFrame:
-    """Packed rows (part, docs, entries): anchor, digest, place and document number of each context."""
+def _anchor_rows(docs: DataFrame, parts: int, length: int, frequent) -> DataFrame:
+    """Packed rows (part, entries): anchor, digest, place and document number of each context; entries of
+    part -1 are places and document numbers of contexts that equal an earlier one of the same task."""
     def packed(held: list[tuple]) -> pa.RecordBatch:
         anchor, digest, place, doc = map(np.concatenate, zip(*held))
-        order = np.argsort(anchor)  # a part is the leading digits of the anchor
+        order = np.lexsort((place, doc, digest, anchor))  # a part is the leading digits of the anchor
         anchor, digest, place, doc = anchor[order], digest[order], place[order], doc[order]
+        later = np.zeros(len(anchor), bool)
+        later[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])
+        covered = place[later].tobytes() + doc[later].tobytes()
+        anchor, digest, place, doc = (c[~later] for c in (anchor, digest, place, doc))
         some, at = np.unique(((anchor >> U(32)) * U(parts) >> U(32)).astype(np.int64), return_index=True)
         made = [(anchor[a:b].tobytes() + digest[a:b].tobytes() + place[a:b].tobytes() + doc[a:b].tobytes())
                 for a, b in zip(at, np.append(at[1:], len(anchor)))]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(made, pa.binary())],
+        return pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int32()), pa.array([*made, covered], pa.binary())],
                                           names=["part", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for rows in blocks(batch, TEXT, 1 << 18):
-                own, anchor, digest, first, rel, windows = anchors(as_bytes(rows.column(TEXT)), length)
+                own, anchor, digest, first, rel, windows = anchors(as_bytes(rows.column(TEXT)), length, GRAM, frequent.value)
                 held.append((anchor, digest, pack_place(first, rel, windows), np.asarray(rows.column("d"))[own]))
                 if sum(len(h[0]) for h in held) >= HELD:
                     yield packed(held)
@@ -159,8 +216,13 @@ def _anchor_rows(docs: DataFrame, parts: int, length: int) -> DataFrame:
 
 def _first_digit(packed: DataFrame) -> DataFrame:
     """kind 0: contexts (d, x) covered whole; kind 1: the first of each of several differing contexts
-    of an anchor, with the anchor and the number of differing contexts."""
+    of an anchor, with the anchor. Entries of the parts below 0 are covered already."""
     def run(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() < 0:
+            both = [np.frombuffer(e, np.int64).reshape(2, -1) for e in table.column("entries").to_pylist()]
+            place, doc = np.concatenate(both, axis=1)
+            none = np.zeros(len(doc), np.int64)
+            return pa.table({"kind": none.astype(np.int8), "d": doc, "x": place, "a": none})
         cols = [[], [], [], []]
         for entries in table.column("entries").to_pylist():
             n = len(entries) // 32
@@ -185,10 +247,12 @@ def _first_digit(packed: DataFrame) -> DataFrame:
         covered, open_ = np.flatnonzero(~first), np.flatnonzero(first & (differing > 1))
         at = np.concatenate([covered, open_])
         kind = np.concatenate([np.zeros(len(covered), np.int8), np.ones(len(open_), np.int8)])
-        return pa.table({"kind": kind, "d": doc[at], "x": place[at], "a": anchor[at].astype(np.int64),
-                         "differing": differing[at]})
+        return pa.table({"kind": kind, "d": doc[at], "x": place[at], "a": anchor[at].astype(np.int64)})
 
-    return packed.groupBy("part").applyInArrow(run, "kind byte, d long, x long, a long, differing long")
+    # the covered ones are dealt evenly, by row
+    part = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("entries"), F.lit(64)).cast("int")).otherwise(F.col("part"))
+    return (packed.select(part.alias("part"), "entries").groupBy("part")
+            .applyInArrow(run, "kind byte, d long, x long, a long"))
 
 
 def repeated_windows(group: np.ndarray, at: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +290,9 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """(a, d, x, differing, context bytes) of the open contexts."""
-    wanted = open_.groupBy("d").agg(F.collect_list(F.struct("a", "x", "differing")).alias("wanted"))
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "d", "x", "differing")]
+    """(a, d, x, context bytes) of the open contexts."""
+    wanted = open_.groupBy("d").agg(F.collect_list(F.struct("a", "x")).alias("wanted"))
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "d", "x")]
                           + [T.StructField("context", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -245,13 +309,13 @@ def _contexts(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
                 context = [texts[o][f: f + w + length - 1] for o, f, w in zip(own.tolist(), first.tolist(), windows.tolist())]
                 yield pa.RecordBatch.from_arrays([
                     flat.field("a"), pa.array(np.asarray(rows.column("d"))[own]), flat.field("x"),
-                    flat.field("differing"), pa.array(context, pa.binary())], schema=arrow)
+                    pa.array(context, pa.binary())], schema=arrow)
 
     # the same columns as in the last join, so that both read one shuffle of the texts
     return texts.join(wanted, "d").select("doc_id", "d", TEXT, "wanted").mapInArrow(run, schema)
 
 
-def _radix(contexts: DataFrame, parts: int, length: int, hot: int) -> DataFrame:
+def _radix(contexts: DataFrame, parts: int, length: int) -> DataFrame:
     """(d, x) of the repeated windows of all contexts but the first of each group."""
     def run(table: pa.Table) -> pa.Table:
         place, doc, anchor = (np.asarray(table.column(c)) for c in ("x", "d", "a"))
@@ -275,29 +339,7 @@ def _radix(contexts: DataFrame, parts: int, length: int, hot: int) -> DataFrame:
         return pa.table({"d": d, "x": x})
 
     part = F.pmod(F.xxhash64("a"), F.lit(parts)).alias("part")
-    return (contexts.where(F.col("differing") <= hot).select(part, "a", "d", "x", "context")
-            .groupBy("part").applyInArrow(run, "d long, x long"))
-
-
-def _spread(contexts: DataFrame, length: int, hot: int) -> DataFrame:
-    """As ``_radix`` for anchors with more than ``hot`` contexts: windows meet by hash, not by anchor."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("context")[i].as_py(), np.uint8)
-                first, _, windows = unpack_place(np.array([batch.column("x")[i].as_py()]))
-                n = int(windows[0])
-                both = [np.concatenate([hash_runs(data, np.array([j]), np.array([j + length]))[k] for j in range(n)])
-                        for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(both[0].astype(np.int64)), pa.array(both[1].astype(np.int64)),
-                    pa.array(np.full(n, batch.column("d")[i].as_py())), pa.array(first[0] + np.arange(n))],
-                    names=["h", "g", "d", "s"])
-
-    rows = contexts.where(F.col("differing") > hot).mapInArrow(run, "h long, g long, d long, s long")
-    least = rows.groupBy("h", "g").agg(F.min(F.struct("d", "s")).alias("least"))
-    later = rows.join(least, ["h", "g"]).where(F.struct("d", "s") != F.col("least"))
-    return later.select("d", F.expr("shiftleft(s, 20) + 1").alias("x"))
+    return contexts.select(part, "a", "d", "x", "context").groupBy("part").applyInArrow(run, "d long, x long")
 
 
 def _keyed(docs: DataFrame, work: str) -> DataFrame:
@@ -314,23 +356,21 @@ def _keyed(docs: DataFrame, work: str) -> DataFrame:
     return docs.sparkSession.read.parquet(f"{work}/keyed").select("doc_id", "d", TEXT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary): what is left of each text."""
     spark, work = docs.sparkSession, scratch_path(docs.sparkSession, "suffix")
     keyed = _keyed(docs, work)
     size = keyed.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
-    packed = _anchor_rows(keyed.select("d", TEXT), _parts(docs, int(size * 0.024 * 32)), length)
+    frequent = spark.sparkContext.broadcast(frequent_grams(keyed))  # a fixed number of bits
+    packed = _anchor_rows(keyed.select("d", TEXT), _parts(docs, int(size * 0.024 * 32)), length, frequent)
     _first_digit(packed).write.partitionBy("kind").parquet(f"{work}/matches")
-    matches = spark.read.schema("d long, x long, a long, differing long, kind int").parquet(f"{work}/matches")
-    open_ = matches.where("kind = 1").select("d", "a", "x", "differing")
-    counts = open_.agg(F.count("*"), F.max("differing")).first()
+    matches = spark.read.schema("d long, x long, a long, kind int").parquet(f"{work}/matches")
+    open_ = matches.where("kind = 1").select("d", "a", "x")
+    n_open = open_.count()
     texts = keyed.select("doc_id", "d", TEXT)
     spans = matches.where("kind = 0").select("d", "x")
-    if counts[0]:
-        contexts = _contexts(texts, open_, length)
-        spans = spans.union(_radix(contexts, _parts(docs, counts[0] * 256), length, hot))
-        if counts[1] > hot:
-            spans = spans.union(_spread(contexts, length, hot))
+    if n_open:
+        spans = spans.union(_radix(_contexts(texts, open_, length), _parts(docs, n_open * 256), length))
     covered = spans.groupBy("d").agg(F.collect_list("x").alias("covered"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
