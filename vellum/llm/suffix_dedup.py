@@ -155,7 +155,8 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, frequent
     whole = _string_hash(h, first, length), _string_hash(h, first + windows - 1, length)
     shape = ((anchor - first) * 1024 + windows).astype(np.uint64)
     digest = mix64(mix64(whole[0]) * U(0xD6E8FEB86659FD93) + mix64(whole[1] + shape) + shape)
-    return own, mix64(h[gram][anchor]), digest, first - bounds[own], anchor - first, windows
+    # anchors have small ranks; mixed anew their leading digits are spread evenly
+    return own, mix64(mix64(h[gram][anchor]) + U(_BASE)), digest, first - bounds[own], anchor - first, windows
 
 
 def _string_hash(h: dict[int, np.ndarray], at: np.ndarray, length: int) -> np.ndarray:
