@@ -466,3 +466,36 @@ def test_parsing_is_locally_consistent():
         names.append(set(name.tolist()))
     for other in names[1:]:  # all but a few phrases at the borders are the same
         assert len(names[0] & other) >= 0.9 * len(names[0])
+
+
+def test_quality_terms_are_the_texts_own():
+    texts = [t.encode() for t in _texts() if t] + [b"", b"ab", b"abc", b"the quick brown fox jumps", b"Xyz", b"123"]
+    whole = quality.term_weights(texts)
+    for i, t in enumerate(texts):  # alone, after and before other texts
+        assert np.array_equal(quality.term_weights([t])[0], whole[i])
+        assert np.array_equal(quality.term_weights([b"zz 9", t, b"QQQ"])[1], whole[i])
+
+
+def test_quality_vote_equals_brute_force(spark):
+    """Scores under any order of the rows, and the vote recomputed neighbour by neighbour."""
+    rng = random.Random(3)
+    words = ["storm", "Harbor", "lamp", "42", "$$$", "click", "HERE", "win"]
+    rows = [(i, " ".join(rng.choices(words[: 4] if i % 2 else words[4:], k=rng.randrange(1, 40)))) for i in range(300)]
+    rows += [(900 + i, rows[i][1]) for i in range(20)] + [(950, None), (951, "")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.doc_id: r.score for r in quality.quality(docs.repartition(n).orderBy(F.rand(n)), labels).collect()} for n in (2, 5)]
+    assert got[0] == pytest.approx(got[1], abs=1e-6)
+    assert all(got[0][900 + i] == pytest.approx(got[0][i], abs=1e-6) for i in range(20))
+    vote = quality.fit(docs, labels)
+    text = dict(rows)
+    for i in (1, 2, 10, 77, 901):
+        v = vote._unit((quality.term_weights([text[i].encode()]) * vote.idf) @ vote.axes)[0]
+        near = sorted(((float(v @ k), y) for k, y in zip(vote.known, vote.labels)), key=lambda p: -p[0])[: quality.NEIGHBOURS]
+        share = {1: 0.5 / max(min(vote.prior, 0.99), 0.01), 0: 0.5 / (1 - max(min(vote.prior, 0.99), 0.01))}
+        power = [(max(c, 0.0) ** quality.SHARPNESS * share[int(y)], y) for c, y in near]
+        cut = near[-1][0]
+        tied = [c for c, _ in near if abs(c - cut) < 1e-6]
+        want = sum(p * y for p, y in power) / sum(p for p, _ in power)
+        assert got[0][i] == pytest.approx(want, abs=1e-4 if len(tied) == 1 else 0.2)
+    assert got[0][950] == got[0][951] == pytest.approx(vote.prior)

@@ -53,10 +53,9 @@ def term_weights(texts: list[bytes]) -> np.ndarray:
     shape = _CLASS[data]
     gram = (shape[:-2] * 65536 + shape[1:-1] * 256 + shape[2:]).astype(np.uint64)
     bucket = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64) % BUCKETS
-    doc = np.repeat(np.arange(n), sizes + 1)
-    counts = np.bincount(doc[: len(bucket)] * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
-    empty = sizes == 0
-    counts[empty] = 0
+    doc = np.repeat(np.arange(n), sizes + 1)[: len(bucket)]
+    inside = np.arange(len(bucket)) + 2 < bounds[doc + 1] - 1  # a text's own trigrams: none reaches the separator
+    counts = np.bincount(doc[inside] * BUCKETS + bucket[inside], minlength=n * BUCKETS).reshape(n, BUCKETS)
     out[:, :BUCKETS] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
     # shares of words equal to the word one, two or three places before, and of distinct words
     starts, ends = runs(_WORD[data])
