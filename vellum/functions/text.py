@@ -12,7 +12,7 @@ import functools
 import os
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,10 +76,10 @@ def word_truncate(c, max_tokens: int) -> Column:
 # Subword (BPE) tokens: the only Python on this path, one Arrow batch at a time.
 
 @functools.lru_cache(maxsize=4)
-def _load_tokenizer(path: str):
+def _load_tokenizer(data: bytes):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+    tok = Tokenizer.from_buffer(data)
     try:
         tok.encode_special_tokens = True  # special-token strings inside a text are plain text
     except AttributeError:
@@ -91,8 +91,8 @@ def default_tokenizer_path() -> str:
     return os.environ.get("VELLUM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
-def _truncate_count_series(texts: pd.Series, path: str, max_tokens: int) -> pd.DataFrame:
-    tok = _load_tokenizer(path)
+def _truncate_count_series(texts: pd.Series, tokenizer: bytes, max_tokens: int) -> pd.DataFrame:
+    tok = _load_tokenizer(tokenizer)
     vals = texts.where(texts.notna(), "").astype(str).tolist()
     out_text = [""] * len(vals)
     out_n = [0] * len(vals)
@@ -115,11 +115,13 @@ def _truncate_count_series(texts: pd.Series, path: str, max_tokens: int) -> pd.D
 def bpe_truncate_and_count(c, max_tokens: int, tokenizer_path: str | None = None) -> Column:
     """struct<text string, token_count bigint>: the text cut to ``max_tokens`` subword tokens
     (unchanged when within the limit, decode of the first ids otherwise) and the token count of the
-    result. Null or '' -> ('', 0)."""
-    path = tokenizer_path or default_tokenizer_path()
+    result. Null or '' -> ('', 0). The tokenizer file (a few MB) is read on the driver and broadcast, so
+    executors need no copy of it."""
+    with open(tokenizer_path or default_tokenizer_path(), "rb") as f:
+        shared = SparkSession.active().sparkContext.broadcast(f.read())
 
     @F.pandas_udf("text string, token_count long")
     def _udf(s: pd.Series) -> pd.DataFrame:
-        return _truncate_count_series(s, path, max_tokens)
+        return _truncate_count_series(s, shared.value, max_tokens)
 
     return _udf(_col(c))

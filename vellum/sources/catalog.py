@@ -207,7 +207,10 @@ class TableCatalog:
         df = self.read_all(name)
         view = f"vellum_{re.sub(r'[^0-9A-Za-z_]', '_', name)}_{uuid.uuid4().hex[:10]}"
         df.createOrReplaceTempView(view)
-        return self.spark.sql(query.replace(TABLE_PLACEHOLDER, view))
+        try:  # the plan is resolved here and needs the name no longer
+            return self.spark.sql(query.replace(TABLE_PLACEHOLDER, view))
+        finally:
+            self.spark.catalog.dropTempView(view)
 
 
 def write_incremental(df: DataFrame, folder: str, ts_col: str) -> list[str]:
