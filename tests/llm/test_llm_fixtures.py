@@ -168,6 +168,20 @@ def test_token_counts_of_odd_texts():
         assert counter.count([t.encode() for t in part]).tolist() == [len(tok.encode(t).ids) for t in part]
 
 
+def test_token_counts_of_long_runs():
+    with open(P.path("byte_bpe_50k.json"), "rb") as f:
+        data = f.read()
+    tok, counter = Tokenizer.from_buffer(data), token_counts.TokenCounter(data)
+    rng = random.Random(8)
+    words = sorted(w.lower() for w in tok.get_vocab() if w.isascii() and w.isalpha())
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=500_000))
+    texts = [letters, "".join(rng.choices(words, k=20_000)), "a" * 100_000, "".join(rng.choices("漢字かな", k=30_000)),
+             *["".join(rng.choices(words, k=rng.randint(20, 120))) for _ in range(100)]]
+    assert counter.count([t.encode() for t in texts]).tolist() == [len(tok.encode(t).ids) for t in texts]
+    cut = counter.merger.parts(texts[1].encode())
+    assert b"".join(cut).decode() == texts[1] and len(cut) > 1000
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 1023, 1024, 1025, 4000):

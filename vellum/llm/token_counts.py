@@ -11,8 +11,9 @@ across one, so each chunk (with the space before it) is counted by itself and me
 128-bit hash. Texts with other blanks, or with a special token's string, are split as a whole.
 
 Defined cases: null and empty text have 0 bytes and 0 tokens; repeated rows are counted each; an
-empty table gives no rows; other columns are not read. Long runs of letters or blanks are one long
-sequence, whose rounds are bounded by the number of distinct pair ranks in it.
+empty table gives no rows; other columns are not read. A long run of letters or signs is one pre-token;
+it is first cut where no token of the vocabulary lies across (no merge can join the two sides, so the
+parts merge by themselves), and the parts are sequences of the same ragged array.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LIMIT = 1024
 MEMO_ENTRIES = 1_000_000
 NO_RANK = np.int64(1 << 40)
+LONG = 256  # bytes from which a pre-token is cut at places no token lies across
+_STEP = np.uint64(0x9E3779B97F4A7C15)  # base of the prefix hashes
 
 
 def byte_alphabet() -> list[str]:
@@ -50,6 +53,7 @@ class RankMerger:
     def __init__(self, vocab: dict[str, int], merges: list) -> None:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         alphabet = byte_alphabet()
+        self.alphabet, self.pairs, self.prefixes = alphabet, pairs, None
         self.first = np.array([vocab[c] for c in alphabet], np.int64)  # symbol of each byte
         self.base = np.int64(max(vocab.values()) + 1)
         keys = np.array([vocab[a] * int(self.base) + vocab[b] for a, b in pairs], np.int64)
@@ -80,8 +84,65 @@ class RankMerger:
             open_ = open_[~hit & (found != -1)]
         return out
 
+    def _prefix_tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 2 on: sorted hashes of the merged tokens' prefixes, and which are tokens."""
+        if self.prefixes is None:
+            byte_of = {c: i for i, c in enumerate(self.alphabet)}
+            tokens = [bytes(map(byte_of.__getitem__, a + b)) for a, b in self.pairs]
+            data = np.frombuffer(b"".join(tokens), np.uint8).astype(np.uint64)
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            first = np.cumsum(size) - size
+            code = data[first] if len(first) else np.zeros(0, np.uint64)
+            self.prefixes = []
+            for n in range(2, int(size.max(initial=1)) + 1):
+                live = size >= n
+                first, size, code = first[live], size[live], code[live]
+                code = code * _STEP + data[first + n - 1] + np.uint64(1)
+                held, place = np.unique(code, return_inverse=True)
+                whole = np.zeros(len(held), bool)
+                whole[place[size == n]] = True
+                self.prefixes.append((held, whole))
+        return self.prefixes
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """``word`` cut at every place that no occurrence of a merged token lies across."""
+        data = np.frombuffer(word, np.uint8).astype(np.uint64)
+        at = np.arange(len(data))
+        code, reach = data.copy(), np.zeros(len(data), np.int64)
+        for n, (held, whole) in enumerate(self._prefix_tables(), 2):
+            room = at + n <= len(data)
+            at, code = at[room], code[room] * _STEP + data[at[room] + n - 1] + np.uint64(1)
+            place = np.minimum(np.searchsorted(held, code), len(held) - 1)
+            found = held[place] == code  # equal hashes of other strings only leave a cut out
+            at, code, place = at[found], code[found], place[found]
+            reach[at[whole[place]]] = n
+            if not len(at):
+                break
+        inner = np.zeros(len(data) + 1, np.int64)
+        from_ = np.flatnonzero(reach)
+        np.add.at(inner, from_ + 1, 1)
+        np.add.at(inner, from_ + reach[from_], -1)
+        cuts = np.flatnonzero(np.cumsum(inner)[1: len(data)] == 0) + 1
+        edges = [0, *cuts.tolist(), len(word)]
+        return [word[a:b] for a, b in zip(edges, edges[1:])]
+
     def count(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each byte string."""
+        long = [i for i, w in enumerate(words) if len(w) >= LONG]
+        if not long:
+            return self._merged(words)
+        counts = self._merged([b"" if len(w) >= LONG else w for w in words])
+        for i in long:
+            counts[i] = self._merged_parts(self.parts(words[i]))
+        return counts
+
+    def _merged_parts(self, parts: list[bytes]) -> int:
+        different: dict[bytes, int] = {}
+        for p in parts:
+            different[p] = different.get(p, 0) + 1
+        return int(self._merged(list(different)) @ np.fromiter(different.values(), np.int64))
+
+    def _merged(self, words: list[bytes]) -> np.ndarray:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         counts = lengths.copy()
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
