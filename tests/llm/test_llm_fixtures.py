@@ -258,6 +258,46 @@ def test_secret_scan(spark):
     assert left[3].text == ODD_SECRETS[3] and left[3].n_chars == 3
 
 
+def test_secret_scan_of_many_matches_in_one_text(spark):
+    rng = random.Random(4)
+    runs = [f"{rng.getrandbits(64):016x}" for _ in range(30_000)]
+    frame = spark.createDataFrame([(1, " é ".join(runs)), (2, "clean"), (3, None), (3, None)], "doc_id long, text string")
+    row = {r.doc_id: r for r in secret_scan.scan(frame).collect()}
+    want = ",".join(f"hex:{19 * i}:{19 * i + 16}" for i in range(len(runs)))
+    assert (row[1].n_hex, row[1].spans) == (len(runs), want) and row[2].spans == row[3].spans == ""
+    red = {r.doc_id: r.text for r in secret_scan.redact(frame).collect()}
+    assert red[1] == " é ".join(["[hex]"] * len(runs)) and red[2] == "clean" and red[3] is None
+
+
+def test_redaction_joins_overlapping_spans(spark):
+    rows = [(i, f"x token = {'0123456789abcdef' * n} y AKIA{'Z' * 20} z" * k)
+            for i, (n, k) in enumerate([(1, 1), (2, 300), (1, 600)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secret_scan.redact(frame).collect():
+        assert r.text == "x [assign] y [access] z" * rows[r.doc_id][1].count("AKIA")
+
+
+def test_secret_candidates_come_from_the_postings(spark):
+    texts = ["my PassWord: x", "passwd", "pass word", "AKIA", "AKI KIA", "api_key and apikey", "secre cret", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = {r.kind: secret_scan.trigram_query(r.pattern, r.any_case) for r in secret_scan.BASE}
+    vocab = {low: sorted({g for r in secret_scan.BASE if r.any_case == low for s in queries[r.kind] or () for g in s})
+             for low in (False, True)}
+    rows = frame.select(F.col("doc_id").alias("__doc"), F.coalesce("text", F.lit("")).alias("__searched"))
+    index = secret_scan.postings(rows, vocab[False], vocab[True])
+    lower = {g for g in vocab[True]}
+    want = {(g, low, i) for i, t in enumerate(texts) for low, gs in ((False, vocab[False]), (True, lower))
+            for g in gs if g in ((t or "").lower() if low else t or "")}
+    assert {tuple(r) for r in index.collect()} == want
+    found = {r["__doc"]: r["__rules"] for r in secret_scan.candidates(index, secret_scan.BASE, queries).collect()}
+    held = lambda q, t: any(all(g in t for g in s) for s in q)
+    assert found == {i: m for i, t in enumerate(texts) if (m := sum(
+        1 << k for k, r in enumerate(secret_scan.BASE) if queries[r.kind]
+        and held(queries[r.kind], (t or "").lower() if r.any_case else t or "")))}
+    plan = secret_scan.scan(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_trigram_queries_hold_for_matches():
     for rule in secret_scan.BASE + secret_scan.ADDED:
         query = secret_scan.trigram_query(rule.pattern, rule.any_case)

@@ -1,23 +1,27 @@
-"""Secret scanning with a trigram index, in Spark SQL expressions only.
+"""Secret scanning with a trigram inverted index, in Spark SQL expressions only.
 
 A rule is a regular expression. From its syntax tree a Boolean query over trigrams is derived: every
-match must contain one of some strings, and a string all of its trigrams. The index holds, for each
-document, its posting for every trigram the rules ask for (the postings are kept with the document,
-so an intersection needs no shuffle); a rule's candidates are the documents whose postings satisfy
-its query, and only those are verified by the expression. A rule without mandatory trigrams (a run
-of hexadecimal digits) scans every document. All texts are scanned whole.
+match must contain one of some strings, and a string all of its trigrams. The index is a table of
+postings, one row per (trigram, document) for the trigrams the rules ask for; a document is named by
+a 64-bit hash of its id and text (an equal hash of another row only adds a candidate). A conjunction
+of a query intersects its trigrams' postings: they are grouped by (document, conjunction), and the
+documents that hold all its trigrams remain. The rules with a satisfied conjunction are one bitmap
+per candidate document, joined back to the documents, and only those rules' expressions are run. A
+rule without mandatory trigrams (a run of hexadecimal digits) scans every document. All texts are
+scanned whole. No group holds more rows than the rules have trigrams.
 
 Spans come from built-in functions: matches are wrapped in two control characters, the text is split
 at the first, and the lengths of the pieces (in code points) give the places. The two characters are
 first replaced by a third of the same length in the searched copy; no rule can match any of them.
+Pieces are folded in blocks of ``BLOCK``, so the growing arrays are copied once per block.
 
 Defined cases: null text counts as empty and has no spans; overlapping spans of different kinds are
-all listed; repeated rows are scanned each; an empty table gives no rows; other columns pass through.
+all listed; repeated rows are scanned each; an empty table gives no rows; other columns pass through
+(``doc_id`` may be missing or null).
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass
 from re import _constants as C
@@ -27,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_STRINGS = 64  # alternatives followed through the syntax tree
+BLOCK = 256  # matches of one text folded at a time
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 
 
@@ -133,22 +138,43 @@ def trigram_query(pattern: str, any_case: bool = False) -> Query:
     return of(parser.parse(pattern.lower() if any_case else pattern))
 
 
-def _posting(text: Column, grams: list[str]) -> Column:
-    """The trigrams of the vocabulary that occur in ``text``."""
-    if not grams:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(text, g))
+def postings(texts: DataFrame, as_is: list[str], lowered: list[str]) -> DataFrame:
+    """The inverted index of ``texts`` (``__doc``, ``__searched``): distinct (gram, low, __doc) rows,
+    for grams of the text as it is (``low`` false) and with letters lowered (``low`` true)."""
+    def held(text: Column, grams: list[str], low: bool) -> Column:
+        listed = F.array(*map(F.lit, grams)).cast("array<string>")
+        return F.transform(F.filter(listed, lambda g: F.contains(text, g)),
+                           lambda g: F.struct(g.alias("gram"), F.lit(low).alias("low")))
 
+    text = F.col("__searched")
+    each = texts.select("__doc", F.explode(F.concat(held(text, as_is, False), held(F.lower(text), lowered, True))).alias("p"))
+    return each.select("p.gram", "p.low", "__doc").distinct()
 
-def _satisfies(posting: Column, query: Query) -> Column:
-    if query is None:
-        return F.lit(True)
-    each = [functools.reduce(lambda a, b: a & b, [F.array_contains(posting, g) for g in sorted(s)]) for s in query]
-    return functools.reduce(lambda a, b: a | b, each)
 
+def candidates(index: DataFrame, rules: tuple[Rule, ...], queries: dict[str, Query]) -> DataFrame:
+    """(__doc, __rules): a bit per rule of which some conjunction has all its trigrams in the document."""
+    needs = [F.struct(F.lit(i).alias("rule"), F.lit(j).alias("part"), F.lit(g).alias("gram"),
+                      F.lit(r.any_case).alias("low"), F.lit(len(s)).alias("size"))
+             for i, r in enumerate(rules) for j, s in enumerate(queries[r.kind] or ()) for g in sorted(s)]
+    wanted = index.sparkSession.range(1).select(F.inline(F.array(*needs)))
+    met = (index.join(F.broadcast(wanted), ["gram", "low"])  # one row per trigram of the rules
+           .groupBy("__doc", "rule", "part", "size").agg(F.count("*").alias("n")).where("n = size"))
+    return met.groupBy("__doc").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("__rules"))
 
-def _found(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end, kind, hit>> of the rule's matches in ``text`` that are long enough."""
+
+def _blocks(array: Column, first: int) -> Column:
+    """``array`` from its place ``first`` (1-based) on, as an array of arrays of ``BLOCK``."""
+    rest = F.size(array) - (first - 1)
+    starts = F.when(rest > 0, F.sequence(F.lit(0), F.floor((rest - 1) / BLOCK).cast("int"))).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda b: F.slice(array, b * BLOCK + first, F.lit(BLOCK)))
+
+
+_SPANS = "array<struct<start:bigint,end:bigint,kind:string,hit:string>>"
+
+
+def _marked(text: Column, rule: Rule) -> tuple[Column, str]:
+    """The pieces of ``text`` cut before each match, matches closed by a mark; and the expression used."""
     pattern = rule.pattern
     if rule.group == 0 and pattern.endswith("]+") and pattern.count("[") == 1:
         # a literal and a run of one class: matching only long enough runs finds the same spans
@@ -156,24 +182,36 @@ def _found(text: Column, rule: Rule) -> Column:
         pattern = f"{pattern[:-1]}{{{max(rule.least - lead, 1)},}}"
     if rule.any_case:
         pattern = "(?i)" + pattern
-    parts = F.split(F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE), OPEN)
-    kind = F.lit(rule.kind)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,hit:string>>")
-    start = F.struct(F.char_length(parts[0]).cast("bigint").alias("at"), empty.alias("spans"))
+    return F.split(F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE), OPEN), pattern
 
-    def step(acc, part):
-        size = (F.instr(part, CLOSE) - 1).cast("bigint")
+
+def _found(pieces: Column, rule: Rule, pattern: str) -> Column:
+    """array<struct<start, end, kind, hit>> of the rule's matches that are long enough."""
+    kind, empty = F.lit(rule.kind), F.array().cast(_SPANS)
+
+    def step(acc, piece):
+        size = (F.instr(piece, CLOSE) - 1).cast("bigint")
         span = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("end"), kind.alias("kind"),
-                        F.substring_index(part, CLOSE, 1).alias("hit"))
-        return F.struct((acc["at"] + F.char_length(part) - 1).cast("bigint").alias("at"),
+                        F.substring_index(piece, CLOSE, 1).alias("hit"))
+        return F.struct((acc["at"] + F.char_length(piece) - 1).cast("bigint").alias("at"),
                         F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    spans = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["spans"]
+    def block(part):  # places from the start of the block
+        return F.aggregate(part, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")), step)
+
+    def joined(acc, part):
+        moved = F.transform(part["spans"], lambda s: F.struct(
+            (acc["at"] + s["start"]).alias("start"), (acc["at"] + s["end"]).alias("end"), s["kind"].alias("kind"),
+            s["hit"].alias("hit")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    start = F.struct(F.char_length(pieces[0]).cast("bigint").alias("at"), empty.alias("spans"))
+    spans = F.aggregate(F.transform(_blocks(pieces, 2), block), start, joined)["spans"]
     if rule.group:
         tested = lambda s: F.char_length(F.regexp_extract(s["hit"], pattern, rule.group))
     else:
         tested = lambda s: s["end"] - s["start"]
-    return F.when(F.size(parts) > 1, F.filter(spans, lambda s: tested(s) >= rule.least)).otherwise(empty)
+    return F.when(F.size(pieces) > 1, F.filter(spans, lambda s: tested(s) >= rule.least)).otherwise(empty)
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, column: str = "__spans") -> DataFrame:
@@ -182,18 +220,25 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, column:
     vocab = {low: sorted({g for r in rules if r.any_case == low for s in queries[r.kind] or () for g in s})
              for low in (False, True)}
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), OPEN + CLOSE, OTHER + OTHER)
-    rows = docs.withColumn("__searched", text)
-    rows = rows.withColumn("__postings", F.struct(_posting(F.col("__searched"), vocab[False]).alias("as_is"),
-                                                  _posting(F.lower("__searched"), vocab[True]).alias("lower")))
+    named = [F.col("doc_id").cast("string")] if "doc_id" in docs.columns else []
+    rows = docs.withColumn("__searched", text).withColumn("__doc", F.xxhash64(*named, "__searched"))
+    if any(queries.values()):
+        index = postings(rows.select("__doc", "__searched"), vocab[False], vocab[True])
+        rows = rows.join(candidates(index, rules, queries), "__doc", "left")
+    else:
+        rows = rows.withColumn("__rules", F.lit(None).cast("long"))
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    parts = []
-    for r in rules:
-        hit = _satisfies(F.col("__postings")["lower" if r.any_case else "as_is"], queries[r.kind])
+    pieces, parts = {}, []
+    for i, r in enumerate(rules):
+        hit = F.lit(True) if queries[r.kind] is None else F.coalesce(
+            F.col("__rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
         # a rule without candidates searches the empty string
-        parts.append(_found(F.when(hit, F.col("__searched")).otherwise(F.lit("")), r))
+        pieces[f"__pieces_{i}"], pattern = _marked(F.when(hit, F.col("__searched")).otherwise(F.lit("")), r)
+        parts.append(_found(F.col(f"__pieces_{i}"), r, pattern))
     ranked = F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"),
                                                               s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.withColumn(column, F.array_sort(ranked)).drop("__searched", "__postings")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.withColumns(pieces).select(*kept, F.sort_array(ranked).alias(column))
 
 
 def span_list(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
@@ -217,18 +262,30 @@ def redact(docs: DataFrame) -> DataFrame:
     ``n_chars``, where present, follows the changed text. Texts without spans stay as they are."""
     rows = with_spans(docs)
     text = F.col("text")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        lead = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], lead, F.lit("["), s["kind"], F.lit("]")))
-                        .otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("__spans", start, step)
-    changed = F.when(F.size("__spans") > 0, F.concat(done["out"], F.substring(
-        text, (done["at"] + 1).cast("int"), F.char_length(text)))).otherwise(text)
+    empty = F.array().cast("array<string>")
+
+    def block(acc, spans):
+        # the text up to the block's last span is taken once; its pieces are cut from that
+        taken = F.struct(F.substring(text, (acc["at"] + 1).cast("int"), (F.element_at(spans, -1)["start"] - acc["at"]).cast(
+            "int")).alias("text"), acc["at"].alias("from"))
+
+        def step(lead):
+            def one(a, s):
+                before = F.substring(lead["text"], (a["at"] - lead["from"] + 1).cast("int"),
+                                     (s["start"] - a["at"]).cast("int"))
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(
+                    s["start"] >= a["at"], F.concat(a["out"], F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]"))))
+                ).otherwise(a["out"]).alias("out"))
+            return F.aggregate(spans, F.struct(lead["from"].alias("at"), empty.alias("out")), one)
+
+        # transform over a single element names a value that is used more than once
+        part = F.transform(F.array(taken), step)
+        return F.transform(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], p["out"]).alias("out")))[0]
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    rows = rows.withColumn("__done", F.aggregate(_blocks(F.col("__spans"), 1), start, block))
+    changed = F.when(F.size("__spans") > 0, F.concat(F.array_join("__done.out", ""), F.substring(
+        text, (F.col("__done.at") + 1).cast("int"), F.char_length(text)))).otherwise(text)
     out = rows.withColumn("__changed", changed)
     cols = {"text": F.col("__changed")}
     if "n_chars" in docs.columns:
