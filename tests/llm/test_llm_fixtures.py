@@ -67,7 +67,7 @@ def test_empty_tables(spark, nothing):
     items = spark.createDataFrame([], "item_id long, text string")
     for out in (suffix_dedup.digests(nothing), token_counts.token_counts(nothing), quality.quality(nothing, labels),
                 simple8b.token_files(nothing), packing.pack(nothing), secret_scan.scan(nothing),
-                decontam.overlap(nothing, items), partenum.similar(nothing), pii_surrogates.surrogates(nothing),
+                decontam.overlap(nothing, items), partenum.similar(nothing), pii_surrogates.surrogates(nothing, "k"),
                 fingerprints.neighbours(nothing), secret_scan.redact(nothing), partenum.keep_one(nothing)):
         assert out.count() == 0
 
@@ -471,7 +471,7 @@ def test_pii_surrogates(spark):
             "4111 1111 1111 1111 4111111111111111 4111111111111112 (212) 555-1234 / 212-555-1234 1.2.3.4 9.9.9.9.9")
     frame = spark.createDataFrame([(1, text, "k"), (2, "plain words 3.0", "k"), (None, None, "k"), (3, text, "k")],
                                   "doc_id long, text string, kind string")
-    out = {r.doc_id: r for r in pii_surrogates.replace(frame).collect()}
+    out = {r.doc_id: r for r in pii_surrogates.replace(frame, "k").collect()}
     assert out[2].text == "plain words 3.0" and out[None].text is None
     new = out[1].text
     assert new == out[3].text  # one surrogate for an entity wherever it stands
@@ -486,11 +486,46 @@ def test_pii_surrogates(spark):
     assert phones[0] == phones[2] and phones[1] == phones[3]
 
 
+def test_pii_coreference_over_titles_layouts_and_scripts(spark):
+    ship_package(spark)
+    texts = ["Dr Ana Ruiz and Ms Ana Ruiz. Later Ruiz said Ana left; Anatolia and Ruizes stay.",
+             "+1 (743) 555-3824 or (743) 555-3824 or +17435553824 end",
+             "Mr 田中 太郎, Mr محمد علي, Mr O'Neil and Mrs Anne-Marie Smith-Jones. O'Neil!",
+             "+44 20 7946 0958 and 06 12 34 56 78 and +33 6 12 34 56 78 ok",
+             "Ruiz without a title, 7435553824, 12 34 56 78, 2024-01-02 03:04:05, 1.25.3", "Mr Ana Ruiz"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii_surrogates.replace(frame, "k").collect()}
+    m = re.fullmatch(r"Dr (\w+) (\w+) and Ms (\w+) (\w+)\. Later (\w+) said (\w+) left; Anatolia and Ruizes stay\.", out[0])
+    assert m[1] == m[3] == m[6] != "Ana" and m[2] == m[4] == m[5] != "Ruiz"
+    assert out[5] == f"Mr {m[1]} {m[2]}"
+    m = re.fullmatch(r"\+44 \d\d \d{4} \d{4} and 0([\d ]+) and \+33 ([\d ]+) ok", out[3])
+    assert m[1] == m[2]
+    m = re.fullmatch(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or \((\d{3})\) (\d{3})-(\d{4}) or \+1(\d{10}) end", out[1])
+    assert m[1] + m[2] + m[3] == m[4] + m[5] + m[6] == m[7] != "7435553824"
+    for gone in ("田中", "太郎", "محمد", "علي", "Neil", "Anne", "Marie", "Smith", "Jones"):
+        assert gone not in out[2]
+    assert re.match(r"Mr [\u4e00-\u9fff]+ [\u4e00-\u9fff]+, Mr [\u0600-\u06ff]+ [\u0600-\u06ff]+, Mr (\w+) and", out[2])
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4} and 0\d( \d\d){4} and \+33 \d( \d\d){4} ok", out[3])
+    assert "7946 0958" not in out[3] and "12 34 56" not in out[3]
+    assert out[4] == texts[4]
+    other = {r.doc_id: r.text for r in pii_surrogates.replace(frame, "another").collect()}
+    assert other[0] != out[0] and other[4] == texts[4]
+
+
+def test_first_names_take_the_gender_of_their_titles(spark):
+    rows = [("first_latin", "ana", "f"), ("first_latin", "ana", None), ("first_latin", "kim", "m"), ("first_latin", "kim", "f"),
+            ("first_greek", "x", None), ("first_latin", "tom", "m"), ("last_latin", "ana", None), ("ip", "1.2.3.4", None)]
+    frame = spark.createDataFrame(rows, "kind string, canon string, gender string")
+    assert {tuple(r) for r in pii_surrogates.entities(frame).collect()} == {
+        ("first_f_latin", "ana"), ("first_n_latin", "kim"), ("first_n_greek", "x"), ("first_m_latin", "tom"),
+        ("last_latin", "ana"), ("ip", "1.2.3.4")}
+
+
 def test_surrogate_collisions_are_resolved(spark, tmp_dir):
     names = [("last_latin", "".join(p)) for p in {random.Random(i).choice("ab") * 2 + str(i) for i in range(300)}]
     ips = [("ip", f"{i % 250 + 1}.{i // 250 + 1}.1.1") for i in range(500)]
     entities = spark.createDataFrame(names + ips, "kind string, canon string")
-    made = pii_surrogates.assign(entities, f"{tmp_dir}/work").collect()
+    made = pii_surrogates.assign(entities, f"{tmp_dir}/work", "k").collect()
     assert len(made) == len(names + ips) == len({(r.kind, r.made) for r in made})
     assert not {(r.kind, r.made) for r in made} & set(names + ips)
 
