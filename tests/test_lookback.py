@@ -147,3 +147,18 @@ def test_build_dataset_entry_rows(spark):
     assert df.count() == 199
     assert df.columns == ["UserLoanId", "CreatedAt", "concatenated_body", "DefaultDPD21", "token_count"]
     assert df.filter(F.col("token_count") > 24).count() == 0
+
+
+def test_fine_buckets_probe_only_filled_ones(spark):
+    """A window of 10,081 minutes gives an anchor as many rows as it has minutes with a message."""
+    msgs = [(1, T0 + dt.timedelta(hours=7 * h), f"b{h % 5}") for h in range(40)] + [(2, T0, "x"), (3, T0, "y")]
+    spine = [(1, T0 + dt.timedelta(hours=7 * 30), 1), (1, T0, 0), (2, T0, 1), (4, T0, 1)]
+    m = spark.createDataFrame(msgs, SCHEMA)
+    rows = m.selectExpr("UserLoanId AS _k", "CreatedAt AS _mt").withColumn("_b", LB._bucket(F.col("_mt"), 60))
+    a = spark.createDataFrame(spine, SPINE).selectExpr("UserLoanId AS _k", "CreatedAt AS _at")
+    probed = LB._probes(a, rows, 7, 60)
+    assert sorted(r["count"] for r in probed.groupBy("_k", "_at").count().collect()) == [1, 1, 25]
+    plan = probed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    want = run(spark, msgs, spine, days=7)
+    assert len(want) == 3 and run(spark, msgs, spine, days=7, method="bucketed", bucket_seconds=60) == want

@@ -20,6 +20,8 @@ inclusive), sorts them by bytes and joins them with a separator. Forms (all give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,7 @@ DEFAULT_SALTS = 16
 # heavy hitters: at most HOT_TOP groups that hold over one in HOT_SHARE rows, by a sketch of HOT_TRACKED counters
 HOT_TOP, HOT_SHARE, HOT_TRACKED = 512, 1024, 1 << 14
 FILTER_WORDS = 1 << 17  # 64-bit words of the key filter: 1 MB
+PROBES = 16  # buckets of a window that an anchor is copied to outright
 
 
 # -- P1 ---------------------------------------------------------------------------------------
@@ -150,6 +153,26 @@ def _bucket(c: Column, width_seconds: int) -> Column:
     return F.floor(secs / F.lit(width_seconds)).cast("long")
 
 
+def _probes(anchors: DataFrame, clean: DataFrame, days: int, width: int) -> DataFrame:
+    """Anchors ``(_k, _at)`` once per bucket ``_b`` that their window touches. Where a window has over
+    ``PROBES`` buckets, anchors meet the filled buckets of ``clean`` ``(_k, _b, ...)`` first, in blocks of about
+    the root of a window's buckets, and only get those. Spark's sizes do not count the copies that ``explode``
+    makes, so that join is named a merge join: the copies never become one broadcast table."""
+    last = _bucket(F.col("_at"), width)
+    first = _bucket(F.col("_at") - F.make_dt_interval(days=F.lit(days)), width)
+    touched = days * 86400 // width + 2
+    if touched <= PROBES:
+        return anchors.withColumn("_b", F.explode(F.sequence(first, last)))
+
+    def block(b: Column) -> Column:
+        return F.floor(b / F.lit(math.isqrt(touched))).cast("long")
+    filled = (clean.select("_k", "_b").distinct().groupBy("_k", block(F.col("_b")).alias("_block"))
+              .agg(F.collect_list("_b").alias("_bs")))
+    blocks = anchors.withColumn("_block", F.explode(F.sequence(block(first), block(last))))
+    met = blocks.hint("merge").join(filled, on=["_k", "_block"])
+    return met.select("_k", "_at", F.explode(F.filter("_bs", lambda b: (b >= first) & (b <= last))).alias("_b"))
+
+
 def distinct_sorted_concat(body: Column | str, separator: str) -> Column:
     """``STRING_AGG(DISTINCT body, sep ORDER BY body)``: distinct texts in byte order."""
     b = F.col(body) if isinstance(body, str) else body
@@ -182,11 +205,9 @@ def band_pairs(anchors: DataFrame, clean: DataFrame, days: int, key: str = "User
     if width <= 0:
         raise ValueError("bucket_seconds must be > 0")
     lookback = F.make_dt_interval(days=F.lit(days))
-    a = (anchors.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
-         .withColumn("_b", F.explode(F.sequence(_bucket(F.col("_at") - lookback, width),
-                                                _bucket(F.col("_at"), width)))))
     m = (clean.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
          .withColumn("_b", _bucket(F.col("_mt"), width)))
+    a = _probes(anchors.select(F.col(key).alias("_k"), F.col(ts).alias("_at")), m, days, width)
     j = a.join(m, on=["_k", "_b"], how="inner").filter(
         (F.col("_mt") <= F.col("_at")) & (F.col("_mt") >= F.col("_at") - lookback))
     return j.select(F.col("_k").alias(key), F.col("_at").alias(ts), F.col("_body").alias(body))
@@ -281,7 +302,8 @@ def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separat
 
     * clean messages are hashed on ``(key, bucket)`` for the band join, which also drops the keys
       outside the spine; a skewed ``(key, bucket)`` partition is split by AQE's skew-join handling;
-    * spine anchors are deduplicated and sent to every bucket their window touches;
+    * spine anchors are deduplicated and sent to every bucket their window touches (with fine buckets: to
+      every one that holds a message of their key);
     * copies of a message collapse map-side in the distinct ``(anchor, text)`` of the aggregate;
     * the anchor-existence test (a clean message at exactly the anchor time) is a flag in the
       final aggregate, not a separate semi-join: the anchor's own message is always in its window.
@@ -293,11 +315,9 @@ def _lookback_bucketed(messages: DataFrame, spine: DataFrame, days: int, separat
     m = (messages.select(F.col(key).alias("_k"), F.col(ts).alias("_mt"), F.col(body).alias("_body"))
          .filter(F.col("_k").isNotNull() & F.col("_mt").isNotNull() & text_present("_body"))
          .withColumn("_b", _bucket(F.col("_mt"), width)))
-    a = (spine.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
-         .filter(F.col("_k").isNotNull() & F.col("_at").isNotNull())
-         .dropDuplicates(["_k", "_at"])
-         .withColumn("_b", F.explode(F.sequence(_bucket(F.col("_at") - lookback, width),
-                                                _bucket(F.col("_at"), width)))))
+    a = _probes(spine.select(F.col(key).alias("_k"), F.col(ts).alias("_at"))
+                .filter(F.col("_k").isNotNull() & F.col("_at").isNotNull())
+                .dropDuplicates(["_k", "_at"]), m, days, width)
     on = ["_k", "_b"]
     if salts > 1:
         buckets = messages.select(F.col(key).alias("_k"), _bucket(F.col(ts), width).alias("_b"))
