@@ -162,3 +162,14 @@ def test_fine_buckets_probe_only_filled_ones(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     want = run(spark, msgs, spine, days=7)
     assert len(want) == 3 and run(spark, msgs, spine, days=7, method="bucketed", bucket_seconds=60) == want
+
+
+def test_full_form_shuffles_messages_not_pairs(spark):
+    """Every message an anchor: the windows are made where the messages lie, no table of (anchor, text) pairs."""
+    m = spark.createDataFrame([(1, T0 + dt.timedelta(hours=h), f"b{h}") for h in range(50)], SCHEMA)
+    s = spark.createDataFrame([(1, T0 + dt.timedelta(hours=49), 1)], SPINE)
+    df = LB.lookback_text(m, s, 7, method="full")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "_at" not in plan  # pairs would carry the anchor's time beside the message's
+    assert df.count() == 50
+    assert run(spark, [(1, T0, "x"), (1, T0, "x")], [(1, T0, 1)], method="full") == [(1, T0, "x", 1)]

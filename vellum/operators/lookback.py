@@ -15,7 +15,8 @@ inclusive), sorts them by bytes and joins them with a separator. Forms (all give
 * ``frame``: a RANGE window partitioned by ``(key, time bucket)`` (bucket width >= look-back);
   each message is also copied into the next bucket as context, so a window never crosses its
   partition and a hot key is split over its buckets.
-* ``full``: the unreduced shape, every clean message is an anchor; labels filter afterwards.
+* ``full``: the unreduced shape, every clean message is an anchor; labels filter afterwards. The windows are
+  those of ``frame``: each message is shuffled twice, not once per window that holds it.
 """
 
 from __future__ import annotations
@@ -251,18 +252,14 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
     else:  # broadcast or shuffled as Spark's own sizes say; AQE splits a skewed key's partition
         msgs = fetch_keys(messages, spine, key)
     clean = clean_messages(msgs, key, ts, body)
-    if spine is None or method == "full":
-        anchors = clean.select(key, ts).dropDuplicates([key, ts])
-    else:
-        anchors = labelled_anchors(spine, clean, key, ts)
-
-    if method == "frame":
+    every = spine is None or method == "full"  # every message is an anchor
+    if method in ("frame", "full"):
         # width >= look-back: a window reaches back at most into the previous bucket, whose
         # messages are copied into this one as context (only home rows are kept as results)
         # Anchor rows are marked before the window (a message-sized join), so only their sets
         # travel afterwards; a clean row at a spine time is exactly a labelled anchor.
         width = max(int(days), 1) * 86400
-        if spine is None:
+        if every:
             c = clean.withColumn("_a", F.lit(True))
         else:
             marks = (spine.select(key, ts).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
@@ -277,6 +274,7 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
                 .filter((F.col("_pb") == F.col("_home")) & F.col("_a").isNotNull()))
         return (sets.dropDuplicates([key, ts])
                 .select(key, ts, F.array_join(F.array_sort("_set"), separator).alias(out)))
+    anchors = clean.select(key, ts).dropDuplicates([key, ts]) if every else labelled_anchors(spine, clean, key, ts)
     if method == "rew":
         lookback = F.make_dt_interval(days=F.lit(days))
         a, m = _salted(anchors.select(F.col(key).alias("_k"), F.col(ts).alias("_at")),
@@ -285,7 +283,7 @@ def lookback_text(messages: DataFrame, spine: DataFrame | None, days: int,
         pairs = (a.join(m, on=["_k", "_salt"]).filter((F.col("_mt") <= F.col("_at"))
                                                      & (F.col("_mt") >= F.col("_at") - lookback))
                  .select(F.col("_k").alias(key), F.col("_at").alias(ts), F.col("_body").alias(body)))
-    else:  # full, or bucketed without a spine
+    else:  # bucketed without a spine
         pairs = band_pairs(anchors, clean, days, key, ts, body, bucket_seconds)
     return concat_distinct_per_anchor(pairs, [key, ts], body, separator, out)
 
