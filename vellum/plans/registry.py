@@ -157,9 +157,11 @@ def p2_projection(spark, sf_dir):
     return A.spine(spark, sf_dir).select("UserLoanId", "DefaultDPD21")
 
 
-# keys of the spine rows with a high value: not every key of the messages
-_TRAIN_KEYS_SQL = (f"SELECT user_id FROM events WHERE event_type = 'signup' AND value > 200 "
+_TRAIN_KEYS_SQL = (f"SELECT user_id FROM events WHERE event_type = 'signup' "
                    f"AND ts >= TIMESTAMP '{_TR[0]}' AND ts < TIMESTAMP '{_TR[1]}'")
+# keys of the spine rows with a high value: not every key of the messages
+_HIGH_KEYS_SQL = (f"SELECT user_id FROM events WHERE event_type = 'signup' AND value > 200 "
+                  f"AND ts >= TIMESTAMP '{_TR[0]}' AND ts < TIMESTAMP '{_TR[1]}'")
 
 
 def _some_keys(spark, sf_dir):
@@ -169,10 +171,10 @@ def _some_keys(spark, sf_dir):
 
 @register("p3_key_semi_join", f"WITH msgs AS ({MSGS}) SELECT * FROM msgs WHERE UserLoanId IN ({_TRAIN_KEYS_SQL})")
 def p3_key_semi_join(spark, sf_dir):
-    return LB.fetch_keys(A.messages(spark, sf_dir), _some_keys(spark, sf_dir))
+    return LB.fetch_keys(A.messages(spark, sf_dir), _split(spark, sf_dir)[0])
 
 
-@register("p3_key_filter", f"WITH msgs AS ({MSGS}) SELECT * FROM msgs WHERE UserLoanId IN ({_TRAIN_KEYS_SQL})")
+@register("p3_key_filter", f"WITH msgs AS ({MSGS}) SELECT * FROM msgs WHERE UserLoanId IN ({_HIGH_KEYS_SQL})")
 def p3_key_filter(spark, sf_dir):
     """The Bloom filter before the exact semi-join."""
     keys = _some_keys(spark, sf_dir)
@@ -180,7 +182,7 @@ def p3_key_filter(spark, sf_dir):
 
 
 @register("p4_raw_fetch", f"SELECT * RENAME (user_id AS UserLoanId) FROM events "
-                          f"WHERE user_id IN ({_TRAIN_KEYS_SQL})")
+                          f"WHERE user_id IN ({_HIGH_KEYS_SQL})")
 def p4_raw_fetch(spark, sf_dir):
     raw = A.table(spark, sf_dir, "events").withColumnRenamed("user_id", "UserLoanId")
     return LB.fetch_keys(raw, _some_keys(spark, sf_dir))
