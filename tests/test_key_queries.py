@@ -20,7 +20,7 @@ def _events(spark, folder):
     spark.createDataFrame(rows, EVENTS).write.parquet(f"{folder}/events.parquet")
 
 
-@pytest.mark.parametrize("name", ["p3_key_semi_join"])
+@pytest.mark.parametrize("name", ["p3_key_semi_join", "p4_raw_fetch"])
 def test_every_train_key_is_fetched(spark, tmp_path, name):
     _events(spark, tmp_path)
     got = E.queries()[name](spark, str(tmp_path)).toPandas()
