@@ -1,8 +1,8 @@
 """Text column functions.
 
 All of these are built-in Spark expressions (whole-stage codegen, no Python) except
-``bpe_truncate_and_count``, an Arrow-batched pandas UDF that loads its tokenizer once per worker
-and tokenizes each text once for both the truncation and the count.
+``bpe_truncate_and_count``, an Arrow UDF that loads its tokenizer once per worker and tokenizes each
+text once for both the truncation and the count, a bounded number of characters at a time.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 import datetime as _dt
 import functools
 import os
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,9 @@ LEADING_SPACE = r"\A\p{Zs}+"
 TRAILING_SPACE = r"\p{Zs}+\z"
 # Fixed value: a word token is a run of characters other than space, tab, newline, carriage return.
 WORD_PATTERN = r"[^ \t\n\r]+"
+# Texts that a subword task holds as Python strings, and the characters that it tokenizes at once
+# (a token's object takes some hundred bytes).
+ROWS, PIECE = 512, 1 << 20
 
 
 def _col(c) -> Column:
@@ -91,25 +95,49 @@ def default_tokenizer_path() -> str:
     return os.environ.get("VELLUM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
-def _truncate_count_series(texts: pd.Series, tokenizer: bytes, max_tokens: int) -> pd.DataFrame:
-    tok = _load_tokenizer(tokenizer)
-    vals = texts.where(texts.notna(), "").astype(str).tolist()
-    out_text = [""] * len(vals)
-    out_n = [0] * len(vals)
-    idx = [i for i, v in enumerate(vals) if v != ""]
-    enc = tok.encode_batch([vals[i] for i in idx], add_special_tokens=False) if idx else []
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of together at most ``PIECE`` characters (one longer text is a range)."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > PIECE:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _encode_piece(tok, texts: list[str], max_tokens: int) -> tuple[list[str], list[int]]:
+    """The cut texts and their token counts; the tokens' objects live no longer than this call."""
+    out = list(texts)
+    counts = [0] * len(texts)
     recount = []
-    for i, e in zip(idx, enc):
-        ids = e.ids
-        if len(ids) <= max_tokens:
-            out_text[i], out_n[i] = vals[i], len(ids)
-        else:
-            out_text[i] = tok.decode(ids[:max_tokens], skip_special_tokens=True)
+    for i, e in enumerate(tok.encode_batch(texts, add_special_tokens=False)):
+        counts[i] = len(e)
+        if counts[i] > max_tokens:
+            out[i] = tok.decode(e.ids[:max_tokens], skip_special_tokens=True)
             recount.append(i)
     if recount:  # the count is taken on the cut text, as a verification column
-        for i, e in zip(recount, tok.encode_batch([out_text[i] for i in recount], add_special_tokens=False)):
-            out_n[i] = len(e.ids)
-    return pd.DataFrame({"text": out_text, "token_count": pd.Series(out_n, dtype="int64")})
+        for i, e in zip(recount, tok.encode_batch([out[i] for i in recount], add_special_tokens=False)):
+            counts[i] = len(e)
+    return out, counts
+
+
+def _truncate_count(col: pa.Array, tokenizer: bytes, max_tokens: int) -> pa.StructArray:
+    tok = _load_tokenizer(tokenizer)
+    texts, counts = [], []
+    for at in range(0, len(col), ROWS):
+        values = [t or "" for t in col.slice(at, ROWS).to_pylist()]
+        cut, n = [], []
+        for a, b in _pieces(values):
+            made, sizes = _encode_piece(tok, values[a:b], max_tokens)
+            cut += made
+            n += sizes
+        texts.append(pa.array(cut, pa.string()))
+        counts.append(pa.array(n, pa.int64()))
+    text = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+    count = pa.concat_arrays(counts) if counts else pa.array([], pa.int64())
+    return pa.StructArray.from_arrays([text, count], names=["text", "token_count"])
 
 
 def bpe_truncate_and_count(c, max_tokens: int, tokenizer_path: str | None = None) -> Column:
@@ -120,8 +148,8 @@ def bpe_truncate_and_count(c, max_tokens: int, tokenizer_path: str | None = None
     with open(tokenizer_path or default_tokenizer_path(), "rb") as f:
         shared = SparkSession.active().sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("text string, token_count long")
-    def _udf(s: pd.Series) -> pd.DataFrame:
-        return _truncate_count_series(s, shared.value, max_tokens)
+    @F.arrow_udf("struct<text:string,token_count:bigint>")
+    def _udf(col: pa.Array) -> pa.Array:
+        return _truncate_count(col, shared.value, max_tokens)
 
-    return _udf(_col(c))
+    return _udf(_col(c).cast("string"))
