@@ -34,3 +34,32 @@ def test_tokens_of_a_batch_are_made_in_pieces(monkeypatch):
         assert r["text"] == ((t or "") if len(ids) <= 16 else tok.decode(ids[:16]))
         assert r["token_count"] == len(tok.encode(r["text"], add_special_tokens=False).ids)
     assert TX._truncate_count(col.slice(0, 0), data, 16).to_pylist() == []
+
+
+def test_shards_travel_as_arrays(spark):
+    """A round gives its function arrays, and a task gives one vector for all its shards."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vellum.operators import rounds as RD
+
+    rows = spark.range(300).select(F.array(F.col("id") / 7, F.lit(1.5)).alias("x"), (F.col("id") % 2).alias("y"))
+    dealt, _ = RD.write_shards(rows, 20, 3, 5)
+    packed, _ = RD.pack_shards(dealt)
+    want = {r["shard"]: r["batches"] for r in dealt.collect()}
+    assert len(want) == 7
+    for batch in packed.toArrow().to_batches():
+        for s in RD.packed_shards(batch):
+            held = s.batches()
+            for b in want.pop(s.shard):
+                assert s.x[held[b["number"]]].tolist() == [r["x"] for r in b["rows"]]
+                assert s.y[held[b["number"]]].tolist() == [r["y"] for r in b["rows"]]
+            assert s.x.shape == (len(s.y), 2) and s.bounds[-1] == len(s.y)
+    assert not want
+
+    def local(state, shard):
+        assert isinstance(shard.x, np.ndarray) and (shard.x[:, 1] == 1.5).all()
+        return state + 1, float(len(shard.y)), np.array([shard.x[:, 0].sum(), float(shard.y.sum())])
+
+    state, extras = RD.one_round(packed.coalesce(1), np.array([1.0, 2.0]), local)
+    assert state.tolist() == [2.0, 3.0] and extras[1] == 150 and abs(extras[0] - sum(range(300)) / 7) < 1e-9

@@ -21,7 +21,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators.rounds import one_round, write_shards
+from vellum.operators.rounds import Shard, one_round, pack_shards, write_shards
 from vellum.session import require_columns, scratch_path
 from vellum.sources import fs as FS
 
@@ -380,22 +380,22 @@ def _parts(flat: np.ndarray, shape: tuple[int, int]) -> list[np.ndarray]:
 
 def _local_epoch(cfg: dict, done: int):
     """One shard's epoch from the step ``done``: a step for each of its batches, in seeded order."""
-    def local(state: np.ndarray, row: dict) -> tuple[np.ndarray, float, np.ndarray]:
+    def local(state: np.ndarray, shard: Shard) -> tuple[np.ndarray, float, np.ndarray]:
         W, b, mW, mb, vW, vb = _parts(state, cfg["shape"])
-        held = {r["number"]: r["rows"] for r in row["batches"]}
-        numbers = range(row["shard"], cfg["n_batches"], cfg["n_shards"])
+        held = shard.batches()
+        numbers = range(shard.shard, cfg["n_batches"], cfg["n_shards"])
         name = (cfg["seed"] + 1, done // cfg["steps"]) if cfg["seed"] is not None else None
         if name is not None and cfg["n_shards"] > 1:
-            name = (*name, row["shard"])
+            name = (*name, shard.shard)
         order = np.random.default_rng(name).permutation(len(numbers))
         loss_sum, count, seen = 0.0, 0, 0
         for k, at in enumerate(order):
-            rows = held.get(numbers[int(at)], [])
+            rows = held.get(numbers[int(at)])
             gW, gb = np.zeros_like(W), np.zeros_like(b)
-            if rows:
-                X, y = np.array([r["x"] for r in rows], np.float64), np.array([r["y"] for r in rows])
+            if rows is not None:
+                X, y = shard.x[rows], shard.y[rows]
                 loss, n, gW, gb = batch_gradient(X, y, W, b, cfg["loss"], cfg["margin"])
-                loss_sum, count, seen = loss_sum + loss, count + n, seen + len(rows)
+                loss_sum, count, seen = loss_sum + loss, count + n, seen + len(X)
                 if n:
                     gW, gb = gW / n, gb / n
             adamw_step(((W, gW, mW, vW), (b, gb, mb, vb)), done + k + 1, lr_at(done + k, cfg["total"], cfg["warmup"], cfg["lr"]),
@@ -559,7 +559,9 @@ class ContrastiveProjection:
         cfg = {k: getattr(self, k) for k in ("lr", "weight_decay", "betas", "eps", "max_grad_norm", "loss", "margin")}
         cfg |= {"seed": self.seed, "total": total, "warmup": int(self.warmup_ratio * steps), "shape": model.W.shape,
                 "n_batches": n_batches, "n_shards": n_shards, "steps": steps}
-        shards, path = write_shards(rows, n_batches, int(self.shard_batches), seed)
+        dealt, dealt_path = write_shards(rows, n_batches, int(self.shard_batches), seed)
+        shards, path = pack_shards(dealt)
+        FS.delete(spark, dealt_path)
         every = self.checkpoint_every or steps
         try:
             for _ in range(self.epochs):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators.boosting import _matrix
-from vellum.operators.rounds import one_round, write_shards
+from vellum.operators.rounds import Shard, one_round, pack_shards, write_shards
 from vellum.session import require_columns
 from vellum.sources import fs as FS
 
@@ -140,10 +140,12 @@ class PerceptronClassifier:
         if rows.filter("y NOT IN (0, 1) OR y IS NULL").limit(1).count():
             raise ValueError(f"'{label}' must be 0 or 1")
         shards, path = write_shards(rows, n_batches, int(self.shard_batches), int(self.seed))
+        packed, packed_path = pack_shards(shards)
+        FS.delete(df.sparkSession, path)
         try:
-            return self._train(shards, n_batches <= int(self.shard_batches), d, initial)
+            return self._train(packed, n_batches <= int(self.shard_batches), d, initial)
         finally:
-            FS.delete(df.sparkSession, path)
+            FS.delete(df.sparkSession, packed_path)
 
     def _train(self, shards: DataFrame, single: bool, d: int, initial: Network | None) -> Network:
         shapes = layer_shapes(d, self.hidden)
@@ -176,13 +178,11 @@ def _epoch(cfg: dict, shapes: list, epoch: int, done: int, single: bool):
     b1, b2 = cfg["betas"]
     size = sum(i * o + o for i, o in shapes)
 
-    def local(state: np.ndarray, row: dict) -> tuple[np.ndarray, float, np.ndarray]:
-        rows = [r for batch in row["batches"] for r in batch["rows"]]
-        x = np.array([r["x"] for r in rows], np.float64)
-        y = np.array([r["y"] for r in rows], np.float64)
+    def local(state: np.ndarray, shard: Shard) -> tuple[np.ndarray, float, np.ndarray]:
+        x, y = shard.x, shard.y.astype(np.float64)
         aside = np.zeros(len(y), bool)
         if cfg["early_stopping"]:  # the same share of each class, the same rows in every epoch
-            draw = np.random.default_rng((cfg["seed"], row["shard"]))
+            draw = np.random.default_rng((cfg["seed"], shard.shard))
             for c in (0, 1):
                 at = draw.permutation(np.flatnonzero(y == c))
                 aside[at[: int(round(cfg["validation_fraction"] * len(at)))]] = True
@@ -191,7 +191,7 @@ def _epoch(cfg: dict, shapes: list, epoch: int, done: int, single: bool):
         if aside.any():
             right = float(((forward(x[aside], theta, shapes)[-1][:, 0] > 0) == (y[aside] == 1)).sum())
         x, y = x[~aside], y[~aside]
-        order = np.random.default_rng((cfg["seed"], epoch) + (() if single else (row["shard"],))).permutation(len(y))
+        order = np.random.default_rng((cfg["seed"], epoch) + (() if single else (shard.shard,))).permutation(len(y))
         step, total = int(cfg["batch_size"]), 0.0
         t = done
         for at in range(0, len(y), step):

@@ -11,6 +11,7 @@ number of jobs does not grow with the rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from vellum.session import scratch_path
 
 COPIES = 1024  # identical rows that one task numbers
+PACKED = "shard long, numbers array<long>, bounds array<long>, x binary, y array<long>"
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -53,17 +55,88 @@ def write_shards(rows: DataFrame, n_batches: int, shard_batches: int, seed: int)
     return spark.read.parquet(path), path
 
 
-def one_round(shards: DataFrame, state: np.ndarray, local: Callable[[np.ndarray, dict], tuple]) -> tuple:
-    """(averaged state, summed extras): ``local(state, shard row) -> (state, weight, extras)`` runs in the
-    tasks on a copy of ``state``; a shard of weight 0 does not count in the average."""
+@dataclass
+class Shard:
+    """One shard as arrays: the rows of the batch ``numbers[i]`` are ``bounds[i]`` to ``bounds[i + 1]``."""
+
+    shard: int
+    numbers: np.ndarray
+    bounds: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+
+    def batches(self) -> dict[int, slice]:
+        """Rows of each batch by its number."""
+        return {int(n): slice(a, b) for n, a, b in zip(self.numbers, self.bounds[:-1], self.bounds[1:])}
+
+
+def list_bounds(col: pa.ListArray) -> np.ndarray:
+    """Where the items of each list lie in ``col.flatten()``."""
+    return np.concatenate([[0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def values_of(col: pa.Array) -> np.ndarray:
+    return np.array(col.to_pylist()) if col.null_count else col.to_numpy(zero_copy_only=False)
+
+
+def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.StructArray]]:
+    """``(shard, numbers, bounds, rows)`` of each row of a shard table, without Python objects per value."""
+    for i in range(batch.num_rows):
+        made = batch.column("batches").slice(i, 1).flatten()
+        rows = made.field("rows")
+        yield batch.column("shard")[i].as_py(), made.field("number").to_numpy(zero_copy_only=False), list_bounds(rows), rows.flatten()
+
+
+def shard_arrays(batch: pa.RecordBatch) -> Iterator[Shard]:
+    """The shards of a table whose rows are ``(x array<double>, y long, ...)``."""
+    for shard, numbers, bounds, rows in opened(batch):
+        x = rows.field("x")
+        flat = x.flatten().to_numpy(zero_copy_only=False)
+        if x.null_count or len(flat) % max(len(x), 1) or len(set(np.diff(list_bounds(x)).tolist())) > 1:
+            raise ValueError("vectors of one table must have one length")
+        yield Shard(shard, numbers, bounds, np.array(flat, np.float64).reshape(len(x), -1), values_of(rows.field("y")))
+
+
+def pack_shards(shards: DataFrame) -> tuple[DataFrame, str]:
+    """The shards with their vectors as bytes, and the path of that table: a round reads each shard as it is,
+    without a pass over its values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in shard_arrays(batch):
+                row = {"shard": s.shard, "numbers": s.numbers, "bounds": s.bounds, "x": s.x.tobytes(), "y": s.y.tolist()}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    schema = pa.schema([("shard", pa.int64()), ("numbers", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int64())),
+                        ("x", pa.binary()), ("y", pa.list_(pa.int64()))])
+    spark = shards.sparkSession
+    path = scratch_path(spark, "packed-shards")
+    shards.select(F.col("shard").cast("long").alias("shard"), "batches").mapInArrow(run, PACKED).write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def packed_shards(batch: pa.RecordBatch) -> Iterator[Shard]:
+    for i in range(batch.num_rows):
+        numbers, bounds, y = (batch.column(c).slice(i, 1).flatten() for c in ("numbers", "bounds", "y"))
+        x = np.frombuffer(memoryview(batch.column("x")[i].as_buffer()), np.float64)
+        yield Shard(batch.column("shard")[i].as_py(), values_of(numbers), values_of(bounds),
+                    x.reshape(len(y), -1), values_of(y))
+
+
+def one_round(shards: DataFrame, state: np.ndarray, local: Callable[[np.ndarray, Shard], tuple]) -> tuple:
+    """(averaged state, summed extras): ``local(state, shard) -> (state, weight, extras)`` runs in the
+    tasks on a copy of ``state``; a shard of weight 0 does not count in the average. ``shards`` is a table of
+    ``pack_shards``; a task sums its own shards and gives one vector."""
     shared = shards.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
-            for row in batch.to_pylist():
-                after, weight, extras = local(shared.value.copy(), row)
+            for shard in packed_shards(batch):
+                after, weight, extras = local(shared.value.copy(), shard)
                 made = np.concatenate([after * weight, [weight], extras])
-                yield pa.RecordBatch.from_arrays([pa.array([made.tolist()], pa.list_(pa.float64()))], names=["v"])
+                total = made if total is None else total + made
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(total)], pa.array(total))], names=["v"])
 
     total = (shards.mapInArrow(run, "v array<double>")
              .agg(Summarizer.sum(array_to_vector("v")).alias("v")).first()["v"].toArray())
