@@ -63,3 +63,42 @@ def test_shards_travel_as_arrays(spark):
 
     state, extras = RD.one_round(packed.coalesce(1), np.array([1.0, 2.0]), local)
     assert state.tolist() == [2.0, 3.0] and extras[1] == 150 and abs(extras[0] - sum(range(300)) / 7) < 1e-9
+
+
+def test_texts_of_a_batch_are_embedded_in_parts(monkeypatch):
+    import numpy as np
+
+    from vellum.operators import subwords as SW
+
+    split, vectors = SW.TextBuckets(512), SW.rule_vectors(np.arange(512), 8, 3)
+    texts = [None, "", "one two", "w" * 500] + [f"word{i} again {i % 5}" for i in range(700)]
+    col = pa.array(texts, pa.string())
+    want = SW.text_means([SW.TextBuckets(512)(t) for t in texts], vectors)
+    sizes, plain = [], SW.text_means
+    monkeypatch.setattr(SW, "text_means", lambda counts, v: sizes.append(len(counts)) or plain(counts, v))
+    assert (SW.column_means(col, split, vectors) == want).all()
+    assert max(sizes) <= SW.TEXTS and sum(sizes) == len(texts)
+    assert all(isinstance(v, np.ndarray) for v in split.memo.values())  # four bytes a bucket
+    assert "w" * 500 not in split.memo and "again" in split.memo
+
+
+def test_shards_of_texts_become_shards_of_buckets(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vellum.operators import rounds as RD
+    from vellum.operators import subwords as SW
+
+    rows = spark.range(90).select(F.when(F.col("id") % 9 > 0, F.concat(F.lit("text "), F.col("id") % 7)).alias("x"),
+                                  F.when(F.col("id") % 8 > 0, F.col("id") % 2).alias("y"))
+    dealt, _ = RD.write_shards(rows, 12, 5, 1)
+    made = {r["shard"]: r["batches"] for r in SW._with_buckets(dealt, 64).collect()}
+    split, old = SW.TextBuckets(64), {r["shard"]: r["batches"] for r in dealt.collect()}
+    assert len(made) == 3 and sorted(made) == sorted(old)
+    for shard, batches in old.items():
+        assert [b["number"] for b in batches] == [b["number"] for b in made[shard]]
+        for b, m in zip(batches, made[shard]):
+            assert [r["y"] for r in b["rows"]] == [r["y"] for r in m["rows"]]
+            for r, q in zip(b["rows"], m["rows"]):
+                at, n = split(r["x"])
+                assert np.array_equal(at, q["at"]) and np.array_equal(n, q["n"])

@@ -393,7 +393,7 @@ def _local_epoch(cfg: dict, done: int):
             rows = held.get(numbers[int(at)])
             gW, gb = np.zeros_like(W), np.zeros_like(b)
             if rows is not None:
-                X, y = shard.x[rows], shard.y[rows]
+                X, y = shard.x[rows], np.array(shard.y[rows].tolist())
                 loss, n, gW, gb = batch_gradient(X, y, W, b, cfg["loss"], cfg["margin"])
                 loss_sum, count, seen = loss_sum + loss, count + n, seen + len(X)
                 if n:

@@ -39,22 +39,23 @@ from vellum.operators.contrastive import (
     lr_at,
     projection_forward,
 )
-from vellum.operators.rounds import write_shards
+from vellum.operators.rounds import list_bounds, opened, values_of, write_shards
 from vellum.session import require_columns, scratch_path
 from vellum.sources import fs as FS
 
 WORD = re.compile(r"\w+")
 SIZES = (3, 4, 5)  # characters of the n-grams, word ends marked
-MEMO = 100_000  # words a task remembers
+MEMO, MEMO_WORD = 100_000, 64  # words a task remembers, and their letters at most
+TEXTS = 256  # texts that a task holds as bucket lists
 TABLE_BYTES = 512 << 20
 HEAD = -1  # the "bucket" of the dense head's row
 
 
-def word_buckets(word: str, buckets: int) -> list[int]:
+def word_buckets(word: str, buckets: int) -> np.ndarray:
     """The word's own bucket, then those of its n-grams."""
     marked = f"<{word}>"
     grams = [marked] + [marked[i: i + n] for n in SIZES for i in range(len(marked) - n + 1) if n < len(marked)]
-    return [zlib.crc32(g.encode()) % buckets for g in grams]
+    return np.array([zlib.crc32(g.encode()) % buckets for g in grams], np.int32)
 
 
 class TextBuckets:
@@ -62,18 +63,21 @@ class TextBuckets:
 
     def __init__(self, buckets: int) -> None:
         self.buckets = buckets
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, np.ndarray] = {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found: list[int] = []
+        found: list[np.ndarray] = []
         for word in WORD.findall((text or "").lower()):
             got = self.memo.get(word)
             if got is None:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                got = self.memo[word] = word_buckets(word, self.buckets)
-            found += got
-        return np.unique(np.array(found, np.int64), return_counts=True)
+                got = word_buckets(word, self.buckets)
+                if len(word) <= MEMO_WORD:
+                    if len(self.memo) >= MEMO:
+                        self.memo.clear()
+                    self.memo[word] = got
+            found.append(got)
+        at, n = np.unique(np.concatenate(found) if found else np.array([], np.int32), return_counts=True)
+        return at.astype(np.int64), n
 
 
 def rule_vectors(numbers: np.ndarray, dim: int, seed: int) -> np.ndarray:
@@ -96,6 +100,14 @@ def text_means(counts: list[tuple[np.ndarray, np.ndarray]], vectors: np.ndarray)
     return out
 
 
+def column_means(col: pa.Array, split: TextBuckets, vectors: np.ndarray) -> np.ndarray:
+    """``text_means`` of a column, ``TEXTS`` texts at a time."""
+    out = np.zeros((len(col), vectors.shape[1]))
+    for at in range(0, len(col), TEXTS):
+        out[at: at + TEXTS] = text_means([split(t) for t in col.slice(at, TEXTS).to_pylist()], vectors)
+    return out
+
+
 @dataclass
 class SubwordTable:
     """The token vectors as a fitted featurizer: trained buckets at ``path``, the others by rule."""
@@ -129,7 +141,7 @@ class SubwordTable:
         def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             split = TextBuckets(buckets)
             for col in batches:
-                made = text_means([split(t) for t in col.to_pylist()], shared.value)
+                made = column_means(col, split, shared.value)
                 flat = pa.array(made.ravel())
                 yield pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), flat)
 
@@ -242,18 +254,25 @@ SHARD = ("shard long, batches array<struct<number:bigint,rows:array<struct<y:big
 
 
 def _with_buckets(shards: DataFrame, buckets: int) -> DataFrame:
-    """Shards with every text replaced by its buckets and their counts."""
+    """Shards with every text replaced by its buckets and their counts; the lists of one shard are kept as
+    arrays, those of the other shards of an Arrow batch are not held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = TextBuckets(buckets)
         for batch in batches:
-            for row in batch.to_pylist():
-                for b in row["batches"]:
-                    made = []
-                    for r in b["rows"]:
-                        at, n = split(r["x"])
-                        made.append({"y": r["y"], "at": at.tolist(), "n": n.tolist()})
-                    b["rows"] = made
-                yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "batches": row["batches"]}], schema=schema)
+            for shard, numbers, bounds, rows in opened(batch):
+                texts, at, n = rows.field("x"), [], []
+                for k in range(0, len(texts), TEXTS):
+                    for t in texts.slice(k, TEXTS).to_pylist():
+                        found, times = split(t)
+                        at.append(found)
+                        n.append(times)
+                inner = np.concatenate([[0], np.cumsum([len(f) for f in at])])
+                made = pa.StructArray.from_arrays([rows.field("y"), _lists(inner, at), _lists(inner, n)],
+                                                  fields=list(schema.field("batches").type.value_type.field("rows").type.value_type))
+                of_batch = pa.StructArray.from_arrays([pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(
+                    pa.array(bounds, pa.int32()), made)], fields=list(schema.field("batches").type.value_type))
+                whole = pa.ListArray.from_arrays(pa.array([0, len(of_batch)], pa.int32()), of_batch)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), whole], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -261,6 +280,11 @@ def _with_buckets(shards: DataFrame, buckets: int) -> DataFrame:
     return shards.select(F.col("shard").cast("long").alias("shard"), "batches").mapInArrow(run, SHARD)
 
 
+def _lists(bounds: np.ndarray, parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.array([], np.int64)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int64()))
+
+
 def _needed(shards: DataFrame) -> DataFrame:
     """Distinct ``(shard, bucket)``."""
     rows = shards.select("shard", F.explode("batches").alias("b")).select("shard", F.explode("b.rows").alias("r"))
@@ -276,27 +300,33 @@ def _local_shard(shared, cfg: dict, epoch: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out.empty_table()
-        row = left.to_pylist()[0]
-        numbers = np.asarray(right.column("bucket").combine_chunks(), np.int64)
+        shard, batches, bounds, members = next(opened(left.combine_chunks().to_batches()[0]))
+        at_bounds, at_all = list_bounds(members.field("at")), members.field("at").flatten().to_numpy(zero_copy_only=False)
+        n_all, y_all = members.field("n").flatten().to_numpy(zero_copy_only=False), values_of(members.field("y"))
+        held = {int(b): range(i, j) for b, i, j in zip(batches, bounds[:-1], bounds[1:])}
+        numbers = right.column("bucket").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(numbers)
-        vecs, accs = right.column("vec").to_pylist(), right.column("acc").to_pylist()
         numbers = numbers[order]
         table, acc = rule_vectors(numbers, dim, seed), np.zeros(len(numbers))
-        for k, i in enumerate(order):
-            if vecs[i] is not None:
-                table[k], acc[k] = vecs[i], accs[i]
+        vec = right.column("vec").combine_chunks()
+        known = vec.is_valid().to_numpy(zero_copy_only=False)
+        if known.any():
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            table[place[known]] = vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            acc[place[known]] = right.column("acc").combine_chunks().drop_null().to_numpy(zero_copy_only=False)
         state = shared.value.copy()
         W, b, mW, mb, vW, vb = _parts(state, cfg["shape"])
-        held = {r["number"]: r["rows"] for r in row["batches"]}
-        mine = range(row["shard"], cfg["n_batches"], cfg["n_shards"])
-        name = (seed + 1, epoch) + ((row["shard"],) if cfg["n_shards"] > 1 else ())
+        mine = range(shard, cfg["n_batches"], cfg["n_shards"])
+        name = (seed + 1, epoch) + ((shard,) if cfg["n_shards"] > 1 else ())
         loss_sum, count, seen, done = 0.0, 0, 0, epoch * cfg["steps"]
         for k, at in enumerate(np.random.default_rng(name).permutation(len(mine))):
             rows = held.get(mine[int(at)], [])
             if not rows:
                 continue
-            parts = [(np.searchsorted(numbers, r["at"]), np.array(r["n"], np.float64)) for r in rows]
-            X, y = text_means(parts, table), np.array([r["y"] for r in rows])
+            lists = [slice(at_bounds[i], at_bounds[i + 1]) for i in rows]
+            parts = [(np.searchsorted(numbers, at_all[i]), n_all[i].astype(np.float64)) for i in lists]
+            X, y = text_means(parts, table), np.array(y_all[rows.start: rows.stop].tolist())
             z, nz, e = projection_forward(X, W, b)
             loss, n, Ge = embedding_gradient(e, y, cfg["loss"], cfg["margin"])
             seen += len(rows)
