@@ -102,3 +102,14 @@ def test_shards_of_texts_become_shards_of_buckets(spark):
             for r, q in zip(b["rows"], m["rows"]):
                 at, n = split(r["x"])
                 assert np.array_equal(at, q["at"]) and np.array_equal(n, q["n"])
+
+
+def test_feature_facts_build_the_datasets_once(spark, monkeypatch):
+    import __spark_entry__ as E
+    from vellum.plans import registry as R
+
+    made, build = [], R._datasets
+    monkeypatch.setattr(R, "_datasets", lambda *a: made.append(a) or build(*a))
+    got = E.queries()["e1_feature_facts"](spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1
+    assert {r["split"] for r in got} == {"train", "test"} and all(r["equal_texts_equal_vectors"] for r in got)

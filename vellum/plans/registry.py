@@ -922,10 +922,14 @@ def _both(tr, te):
     return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
 
 
+def _text_features(spark, sf_dir):
+    tr, te = _datasets(spark, sf_dir)
+    return _text_encoder(spark, sf_dir, tr).features(_both(tr, te).select(*_KEYS, "split", _TEXT))
+
+
 @register("e1_text_features")
 def e1_text_features(spark, sf_dir):
-    tr, te = _datasets(spark, sf_dir)
-    return _text_encoder(spark, sf_dir, tr).features(_both(tr, te).select(*_KEYS, "split", _TEXT)).drop(_TEXT)
+    return _text_features(spark, sf_dir).drop(_TEXT)
 
 
 _SPLIT_SQL = f"""
@@ -938,11 +942,10 @@ GROUP BY split"""
 
 @register("e1_feature_facts", _SPLIT_SQL.format(columns="32 AS least_dim, 32 AS most_dim, TRUE AS equal_texts_equal_vectors"))
 def e1_feature_facts(spark, sf_dir):
-    made = e1_text_features(spark, sf_dir)
-    tr, te = _datasets(spark, sf_dir)
-    texts = _both(tr, te).select(*_KEYS, "split", _TEXT)
-    both = made.join(texts, [*_KEYS, "split"])
-    same = both.groupBy(_TEXT).agg(F.countDistinct("features").alias("n")).agg((F.max("n") == 1).alias("equal_texts_equal_vectors"))
+    path = scratch_path(spark, "features")
+    _text_features(spark, sf_dir).write.parquet(path)  # features are read twice
+    made = spark.read.parquet(path)
+    same = made.groupBy(_TEXT).agg(F.countDistinct("features").alias("n")).agg((F.max("n") == 1).alias("equal_texts_equal_vectors"))
     sizes = made.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("features")).alias("least_dim"),
                                       F.max(F.size("features")).alias("most_dim"))
     return sizes.join(F.broadcast(same))  # one row
