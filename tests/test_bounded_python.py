@@ -113,3 +113,19 @@ def test_feature_facts_build_the_datasets_once(spark, monkeypatch):
     got = E.queries()["e1_feature_facts"](spark, "/root/testdata/sf0.001").collect()
     assert len(made) == 1
     assert {r["split"] for r in got} == {"train", "test"} and all(r["equal_texts_equal_vectors"] for r in got)
+
+
+def test_shard_tables_have_small_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from vellum.operators import rounds as RD
+
+    rows = spark.range(40000).select(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(3) + i).alias("x"),
+                                     (F.col("id") % 2).alias("y"))
+    dealt, _ = RD.write_shards(rows, 200, 10, 5)
+    _, path = RD.pack_shards(dealt.coalesce(1))
+    sizes = [f.metadata.num_row_groups for f in map(pq.ParquetFile, glob.glob(f"{path}/*.parquet"))]
+    assert sum(sizes) >= 2  # 20 MB of vectors

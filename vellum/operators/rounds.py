@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from vellum.session import scratch_path
 
 COPIES = 1024  # identical rows that one task numbers
+# Spark's reader holds up to 4,096 rows of a row group at once, and a shard is a large row: groups end after 8 MB,
+# checked at every row.
+GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 PACKED = "shard long, numbers array<long>, bounds array<long>, x binary, y array<long>"
 
 
@@ -51,7 +54,7 @@ def write_shards(rows: DataFrame, n_batches: int, shard_batches: int, seed: int)
             .select("shard", F.transform("b", lambda b: F.struct(b["_batch"].alias("number"), b["rows"].alias("rows")))
                     .alias("batches")))
     path = scratch_path(spark, "shards")
-    made.write.parquet(path)
+    made.write.options(**GROUPS).parquet(path)
     return spark.read.parquet(path), path
 
 
@@ -110,7 +113,7 @@ def pack_shards(shards: DataFrame) -> tuple[DataFrame, str]:
                         ("x", pa.binary()), ("y", pa.list_(pa.int64()))])
     spark = shards.sparkSession
     path = scratch_path(spark, "packed-shards")
-    shards.select(F.col("shard").cast("long").alias("shard"), "batches").mapInArrow(run, PACKED).write.parquet(path)
+    shards.select(F.col("shard").cast("long").alias("shard"), "batches").mapInArrow(run, PACKED).write.options(**GROUPS).parquet(path)
     return spark.read.parquet(path), path
 
 

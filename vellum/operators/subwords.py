@@ -39,7 +39,7 @@ from vellum.operators.contrastive import (
     lr_at,
     projection_forward,
 )
-from vellum.operators.rounds import list_bounds, opened, values_of, write_shards
+from vellum.operators.rounds import GROUPS, list_bounds, opened, values_of, write_shards
 from vellum.session import require_columns, scratch_path
 from vellum.sources import fs as FS
 
@@ -188,7 +188,7 @@ class JointEncoderFit:
         steps = -(-n_batches // n_shards)
         shards, path = write_shards(rows, n_batches, self.shard_batches, self.seed)
         work = scratch_path(spark, "subwords")
-        _with_buckets(shards, self.buckets).write.parquet(f"{work}/shards")
+        _with_buckets(shards, self.buckets).write.options(**GROUPS).parquet(f"{work}/shards")
         FS.delete(spark, path)
         shards = spark.read.parquet(f"{work}/shards")
         _needed(shards).write.parquet(f"{work}/need")
