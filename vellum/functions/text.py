@@ -63,15 +63,15 @@ def word_token_count(c) -> Column:
     return F.size(word_tokens(c)).cast("long")
 
 
-def word_truncate(c, max_tokens: int) -> Column:
+def word_truncate(c, max_tokens: int, count: Column | None = None) -> Column:
     """Null or '' -> ''; at most ``max_tokens`` tokens -> the text unchanged; else the first
-    ``max_tokens`` tokens joined by single spaces."""
+    ``max_tokens`` tokens joined by single spaces. ``count``: the text's tokens, where they are counted already."""
     if max_tokens < 0:
         raise ValueError("max_tokens must be >= 0")
     c = _col(c)
     toks = word_tokens(c)
     return (F.when(c.isNull() | (c == ""), F.lit(""))
-            .when(F.size(toks) <= max_tokens, c)
+            .when((F.size(toks) if count is None else count) <= max_tokens, c)
             .otherwise(F.array_join(F.slice(toks, 1, max_tokens) if max_tokens > 0
                                     else F.array().cast("array<string>"), " ")))
 

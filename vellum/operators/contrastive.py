@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -292,15 +294,12 @@ class ProjectionModel:
         bw = sc.broadcast((self.W.astype(np.float64), self.b.astype(np.float64), self.normalize))
         np_type = np.float32 if out_type == "float" else np.float64
 
-        @F.pandas_udf(f"array<{out_type}>")
-        def _project(col: pd.Series) -> pd.Series:
+        @F.arrow_udf(f"array<{out_type}>")
+        def _project(col: pa.Array) -> pa.Array:
             W, b, norm = bw.value
-            if len(col) == 0:
-                return pd.Series([], dtype=object)
-            X = _stack(col)
-            z, nz, e = projection_forward(X, W, b)
-            res = e if norm else z
-            return pd.Series(list(res.astype(np_type)))
+            z, nz, e = projection_forward(_rows_of(col, W.shape[1]), W, b)
+            made = (e if norm else z).astype(np_type)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
 
         src = F.col(features)
         if not _is_array(df, features):
@@ -324,6 +323,13 @@ class ProjectionModel:
                    meta.get("history", []), meta.get("normalize", True))
 
 
+def _rows_of(col: pa.ListArray, dims: int) -> np.ndarray:
+    """A column of vectors as one matrix; a null value is NaN, another length raises."""
+    if col.null_count or (len(col) and pc.min_max(pc.list_value_length(col)).as_py() != {"min": dims, "max": dims}):
+        raise ValueError(f"every feature vector must have {dims} values")
+    return np.asarray(pc.fill_null(col.flatten(), math.nan), np.float64).reshape(-1, dims)
+
+
 def _is_array(df: DataFrame, col: str) -> bool:
     from pyspark.sql.types import ArrayType
     return isinstance(df.schema[col].dataType, ArrayType)

@@ -345,8 +345,9 @@ def truncate_tokens(df: DataFrame, max_tokens: int | None, text: str = "concaten
     require_columns(df, text, what="dataset")
     max_tokens = (1 << 31) - 1 if max_tokens is None else max_tokens
     if tokenizer == "words":
-        return (df.withColumn(text, word_truncate(text, max_tokens))
-                .withColumn("token_count", word_token_count(text)))
+        # counted once: a longer text is cut to exactly ``max_tokens`` tokens
+        return (df.withColumn("_n", word_token_count(text)).withColumn(text, word_truncate(text, max_tokens, F.col("_n")))
+                .withColumn("token_count", F.least("_n", F.lit(max_tokens).cast("long"))).drop("_n"))
     r = bpe_truncate_and_count(text, max_tokens, tokenizer)
     return (df.withColumn("_tc", r)
             .withColumn(text, F.col("_tc.text"))

@@ -47,6 +47,7 @@ WORD = re.compile(r"\w+")
 SIZES = (3, 4, 5)  # characters of the n-grams, word ends marked
 MEMO, MEMO_WORD = 100_000, 64  # words a task remembers, and their letters at most
 TEXTS = 256  # texts that a task holds as bucket lists
+WORDS = 1 << 14  # words whose buckets are counted together
 TABLE_BYTES = 512 << 20
 HEAD = -1  # the "bucket" of the dense head's row
 
@@ -66,18 +67,43 @@ class TextBuckets:
         self.memo: dict[str, np.ndarray] = {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found: list[np.ndarray] = []
-        for word in WORD.findall((text or "").lower()):
-            got = self.memo.get(word)
-            if got is None:
-                got = word_buckets(word, self.buckets)
-                if len(word) <= MEMO_WORD:
-                    if len(self.memo) >= MEMO:
-                        self.memo.clear()
-                    self.memo[word] = got
-            found.append(got)
-        at, n = np.unique(np.concatenate(found) if found else np.array([], np.int32), return_counts=True)
-        return at.astype(np.int64), n
+        _, at, n = self.many([text])
+        return at, n
+
+    def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(bounds, buckets, counts)`` of several texts: those of text ``i`` lie from ``bounds[i]`` to
+        ``bounds[i + 1]``. Texts are counted together until they have ``WORDS`` words."""
+        parts, found, lengths = [], [], []
+        for text in texts:
+            before = len(found)
+            for word in WORD.findall((text or "").lower()):
+                got = self.memo.get(word)
+                if got is None:
+                    got = word_buckets(word, self.buckets)
+                    if len(word) <= MEMO_WORD:
+                        if len(self.memo) >= MEMO:
+                            self.memo.clear()
+                        self.memo[word] = got
+                found.append(got)
+            lengths.append(len(found) - before)
+            if len(found) >= WORDS:
+                parts.append(self._counted(found, lengths))
+                found, lengths = [], []
+        if lengths:
+            parts.append(self._counted(found, lengths))
+        sizes, at, n = (np.concatenate(c) if parts else np.array([], np.int64) for c in (zip(*parts) if parts else ((), (), ())))
+        return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), at, n
+
+    def _counted(self, found: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct buckets per text, those buckets in ascending order, and their counts."""
+        if not found:
+            return np.zeros(len(lengths), np.int64), np.array([], np.int64), np.array([], np.int64)
+        grams = np.fromiter(map(len, found), np.int64, len(found))
+        key = np.repeat(np.repeat(np.arange(len(lengths)) * self.buckets, lengths), grams)
+        key += np.concatenate(found)
+        key, n = np.unique(key, return_counts=True)
+        owner, at = np.divmod(key, self.buckets)
+        return np.bincount(owner, minlength=len(lengths)), at, n
 
 
 def rule_vectors(numbers: np.ndarray, dim: int, seed: int) -> np.ndarray:
@@ -104,7 +130,8 @@ def column_means(col: pa.Array, split: TextBuckets, vectors: np.ndarray) -> np.n
     """``text_means`` of a column, ``TEXTS`` texts at a time."""
     out = np.zeros((len(col), vectors.shape[1]))
     for at in range(0, len(col), TEXTS):
-        out[at: at + TEXTS] = text_means([split(t) for t in col.slice(at, TEXTS).to_pylist()], vectors)
+        bounds, found, n = split.many(col.slice(at, TEXTS).to_pylist())
+        out[at: at + TEXTS] = text_means([(found[i:j], n[i:j]) for i, j in zip(bounds[:-1], bounds[1:])], vectors)
     return out
 
 
@@ -135,15 +162,13 @@ class SubwordTable:
     def transform(self, df: DataFrame, text: str, out: str = "features") -> DataFrame:
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast(self.matrix(spark))
-        buckets = self.buckets
+        split = TextBuckets(self.buckets)  # a task's own copy, whose memo serves all its batches
 
+        # one array in, one out, like the projection's: Spark runs both in one Python worker
         @F.arrow_udf("array<double>")
-        def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            split = TextBuckets(buckets)
-            for col in batches:
-                made = column_means(col, split, shared.value)
-                flat = pa.array(made.ravel())
-                yield pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), flat)
+        def vectors(col: pa.Array) -> pa.Array:
+            made = column_means(col, split, shared.value)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
 
         return df.withColumn(out, vectors(F.col(text)))
 
@@ -260,13 +285,13 @@ def _with_buckets(shards: DataFrame, buckets: int) -> DataFrame:
         split = TextBuckets(buckets)
         for batch in batches:
             for shard, numbers, bounds, rows in opened(batch):
-                texts, at, n = rows.field("x"), [], []
+                texts, at, n, sizes = rows.field("x"), [], [], [np.zeros(1, np.int64)]
                 for k in range(0, len(texts), TEXTS):
-                    for t in texts.slice(k, TEXTS).to_pylist():
-                        found, times = split(t)
-                        at.append(found)
-                        n.append(times)
-                inner = np.concatenate([[0], np.cumsum([len(f) for f in at])])
+                    limits, found, times = split.many(texts.slice(k, TEXTS).to_pylist())
+                    at.append(found)
+                    n.append(times)
+                    sizes.append(np.diff(limits))
+                inner = np.cumsum(np.concatenate(sizes))
                 made = pa.StructArray.from_arrays([rows.field("y"), _lists(inner, at), _lists(inner, n)],
                                                   fields=list(schema.field("batches").type.value_type.field("rows").type.value_type))
                 of_batch = pa.StructArray.from_arrays([pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(
@@ -338,9 +363,8 @@ def _local_shard(shared, cfg: dict, epoch: int):
             Gx = Gu @ W
             touched, back = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
             grad = np.zeros((len(touched), dim))
-            share = np.concatenate([n_ / n_.sum() if len(n_) else n_ for _, n_ in parts])
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
-            np.add.at(grad, back, share[:, None] * Gx[owner])
+            for i, (of_text, (_, times)) in enumerate(zip(np.split(back, np.cumsum([len(p) for p, _ in parts])[:-1]), parts)):
+                grad[of_text] += (times / times.sum())[:, None] * Gx[i] if len(times) else 0.0  # a text has a bucket once
             acc[touched] += (grad * grad).mean(1)
             table[touched] -= cfg["table_lr"] * grad / (np.sqrt(acc[touched]) + 1e-8)[:, None]
             adamw_step(((W, Gu.T @ X, mW, vW), (b, Gu.sum(0), mb, vb)), done + k + 1,
