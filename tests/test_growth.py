@@ -63,3 +63,29 @@ def test_words_are_counted_once(spark):
         made = truncate_tokens(df, most, "t")
         assert [tuple(r) for r in made.collect()] == want and made.schema["token_count"].dataType.simpleString() == "bigint"
         assert _nodes(made, "regexp_extract_all") <= 2
+
+
+def test_adam_step_in_place():
+    from vellum.operators import network as NW
+
+    r = np.random.default_rng(5)
+    theta, m, v = r.normal(size=50), r.normal(size=50), r.random(50)
+    a, b, c = theta.copy(), m.copy(), v.copy()
+    adam = NW.Adam(a, b, c, 0.01, (0.9, 0.999), 1e-8)
+    for t in range(1, 6):
+        g = r.normal(size=50)
+        m, v = 0.9 * m + (1 - 0.9) * g, 0.999 * v + (1 - 0.999) * g * g
+        theta = theta - 0.01 * (np.sqrt(1 - 0.999**t) / (1 - 0.9**t)) * m / (np.sqrt(v) + 1e-8)
+        adam.step(g, t)
+        assert np.array_equal(a, theta) and np.array_equal(b, m) and np.array_equal(c, v)
+
+
+def test_packed_shards_are_dealt_to_all_cores(spark):
+    from vellum.operators import rounds as RD
+
+    rows = spark.range(640).select(F.array(F.col("id") / 7, F.lit(1.5)).alias("x"), (F.col("id") % 2).alias("y"))
+    dealt, _ = RD.write_shards(rows, 128, 2, 5)  # 64 shards
+    packed, path = RD.pack_shards(dealt.coalesce(1))
+    cores = spark.sparkContext.defaultParallelism
+    assert len(glob.glob(f"{path}/*.parquet")) >= min(cores, 64)
+    assert packed.select("shard").distinct().count() == packed.count() == 64

@@ -48,32 +48,66 @@ def init_theta(shapes: list[tuple[int, int]], seed: int) -> np.ndarray:
 
 def forward(x: np.ndarray, theta: np.ndarray, shapes: list) -> list[np.ndarray]:
     """Activations of every layer; the last one is the logit."""
+    return _activations(x, unflatten(theta, shapes))
+
+
+def _activations(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     acts = [x]
-    layers = unflatten(theta, shapes)
     for k, (w, b) in enumerate(layers):
-        z = acts[-1] @ w + b
-        acts.append(np.maximum(z, 0.0) if k + 1 < len(layers) else z)
+        z = acts[-1] @ w
+        z += b
+        acts.append(np.maximum(z, 0.0, out=z) if k + 1 < len(layers) else z)
     return acts
 
 
 def loss_and_gradient(x: np.ndarray, y: np.ndarray, theta: np.ndarray, shapes: list,
                       alpha: float) -> tuple[float, np.ndarray]:
     """Mean log loss plus ``alpha / 2n`` times the squared weights (not biases), and its gradient."""
+    grad = np.empty_like(theta)
+    return _backward(x, y, unflatten(theta, shapes), unflatten(grad, shapes), alpha), grad
+
+
+def _backward(x: np.ndarray, y: np.ndarray, layers: list, grads: list, alpha: float) -> float:
+    """``loss_and_gradient`` on the views of ``unflatten``; writes every value of ``grads``."""
     n = len(x)
-    acts = forward(x, theta, shapes)
+    acts = _activations(x, layers)
     logit = acts[-1][:, 0]
     loss = float(np.mean(np.logaddexp(0.0, logit) - y * logit))
-    grad = np.zeros_like(theta)
-    layers, grads = unflatten(theta, shapes), unflatten(grad, shapes)
     delta = ((1.0 / (1.0 + np.exp(-logit)) - y) / n)[:, None]
     for k in range(len(layers) - 1, -1, -1):
-        w = layers[k][0]
-        loss += 0.5 * alpha / n * float((w * w).sum())
-        grads[k][0][:] = acts[k].T @ delta + alpha / n * w
-        grads[k][1][:] = delta.sum(0)
+        w, (gw, gb) = layers[k][0], grads[k]
+        square = w * w
+        loss += 0.5 * alpha / n * float(square.sum())
+        np.matmul(acts[k].T, delta, out=gw)
+        gw += np.multiply(w, alpha / n, out=square)
+        delta.sum(0, out=gb)
         if k:
-            delta = (delta @ w.T) * (acts[k] > 0)
-    return loss, grad
+            live = acts[k] > 0
+            delta = delta @ w.T
+            delta *= live
+    return loss
+
+
+class Adam:
+    """Adam steps in place on ``theta`` and its moments, without a new array per operation."""
+
+    def __init__(self, theta: np.ndarray, m: np.ndarray, v: np.ndarray, rate: float, betas: tuple, eps: float):
+        self.theta, self.m, self.v, self.rate, self.betas, self.eps = theta, m, v, rate, betas, eps
+        self.a, self.b = np.empty_like(theta), np.empty_like(theta)
+
+    def step(self, g: np.ndarray, t: int) -> None:
+        (b1, b2), m, v, a, b = self.betas, self.m, self.v, self.a, self.b
+        m *= b1
+        m += np.multiply(g, 1 - b1, out=a)
+        v *= b2
+        np.multiply(g, 1 - b2, out=a)
+        a *= g
+        v += a
+        np.multiply(m, self.rate * (math.sqrt(1 - b2 ** t) / (1 - b1 ** t)), out=a)
+        np.sqrt(v, out=b)
+        b += self.eps
+        a /= b
+        self.theta -= a
 
 
 @dataclass
@@ -175,7 +209,6 @@ class PerceptronClassifier:
 def _epoch(cfg: dict, shapes: list, epoch: int, done: int, single: bool):
     """One shard's work of one epoch: score the set-aside rows, then Adam over its mini-batches. ``done``
     counts the steps before this epoch for the moments' bias correction."""
-    b1, b2 = cfg["betas"]
     size = sum(i * o + o for i, o in shapes)
 
     def local(state: np.ndarray, shard: Shard) -> tuple[np.ndarray, float, np.ndarray]:
@@ -194,16 +227,15 @@ def _epoch(cfg: dict, shapes: list, epoch: int, done: int, single: bool):
         order = np.random.default_rng((cfg["seed"], epoch) + (() if single else (shard.shard,))).permutation(len(y))
         step, total = int(cfg["batch_size"]), 0.0
         t = done
+        grad = np.empty_like(theta)
+        layers, grads = unflatten(theta, shapes), unflatten(grad, shapes)
+        adam = Adam(theta, m, v, cfg["learning_rate"], cfg["betas"], cfg["eps"])
         for at in range(0, len(y), step):
             pick = order[at: at + step]
-            loss, g = loss_and_gradient(x[pick], y[pick], theta, shapes, cfg["alpha"])
+            loss = _backward(x[pick], y[pick], layers, grads, cfg["alpha"])
             t += 1
             total += loss * len(pick)
-            m *= b1
-            m += (1 - b1) * g
-            v *= b2
-            v += (1 - b2) * g * g
-            theta -= cfg["learning_rate"] * (math.sqrt(1 - b2 ** t) / (1 - b1 ** t)) * m / (np.sqrt(v) + cfg["eps"])
+            adam.step(grad, t)
         return state, float(len(y)), np.array([right, float(aside.sum()), total, float(len(y)), float(t - done) * len(y)])
 
     return local

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from vellum.session import scratch_path
 
 COPIES = 1024  # identical rows that one task numbers
+FILES = 2  # files of packed shards per core
 # Spark's reader holds up to 4,096 rows of a row group at once, and a shard is a large row: groups end after 8 MB,
 # checked at every row.
 GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
@@ -102,7 +103,8 @@ def shard_arrays(batch: pa.RecordBatch) -> Iterator[Shard]:
 
 def pack_shards(shards: DataFrame) -> tuple[DataFrame, str]:
     """The shards with their vectors as bytes, and the path of that table: a round reads each shard as it is,
-    without a pass over its values."""
+    without a pass over its values. A round's work is in its steps, not its bytes, so shards are dealt evenly to
+    ``FILES`` files per core."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in shard_arrays(batch):
@@ -113,7 +115,8 @@ def pack_shards(shards: DataFrame) -> tuple[DataFrame, str]:
                         ("x", pa.binary()), ("y", pa.list_(pa.int64()))])
     spark = shards.sparkSession
     path = scratch_path(spark, "packed-shards")
-    shards.select(F.col("shard").cast("long").alias("shard"), "batches").mapInArrow(run, PACKED).write.options(**GROUPS).parquet(path)
+    packed = shards.select(F.col("shard").cast("long").alias("shard"), "batches").mapInArrow(run, PACKED)
+    packed.repartition(FILES * spark.sparkContext.defaultParallelism).write.options(**GROUPS).parquet(path)
     return spark.read.parquet(path), path
 
 
