@@ -89,3 +89,14 @@ def test_packed_shards_are_dealt_to_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     assert len(glob.glob(f"{path}/*.parquet")) >= min(cores, 64)
     assert packed.select("shard").distinct().count() == packed.count() == 64
+
+
+def test_quantile_marks_are_one_value(spark, monkeypatch):
+    from vellum.operators import boosting as BO
+
+    seen, plain = [], F.percentile_approx
+    monkeypatch.setattr(BO.F, "percentile_approx", lambda c, marks, n: seen.append(marks) or plain(c, marks, n))
+    df = spark.range(1, 101).select(F.array(F.col("id").cast("double"), F.lit(2.0)).alias("x"))
+    cuts = BO.quantile_cuts(df, "x", 2, 4)
+    assert [c.tolist() for c in cuts] == [[25.0, 50.0, 75.0], []]
+    assert not any(isinstance(m, list) for m in seen)

@@ -214,7 +214,8 @@ SPLIT = "node int, lead int, gain double, feature int, cut int, gl double, hl do
 
 def quantile_cuts(df: DataFrame, features: str, dims: int, max_bins: int = MAX_BINS) -> list[np.ndarray]:
     """At most ``max_bins`` - 1 cuts per feature from mergeable quantile sketches."""
-    marks = [k / max_bins for k in range(max_bins)]
+    # one foldable text: as literals of their own, the marks of all features take the driver seconds to plan
+    marks = F.split(F.lit(",".join(repr(k / max_bins) for k in range(max_bins))), ",").cast("array<double>")
     cuts: list[np.ndarray] = []
     for at in range(0, dims, COLUMNS_AT_ONCE):
         cols = [F.percentile_approx(F.when(~F.isnan(F.col(features)[i]), F.col(features)[i]), marks, 10000).alias(f"q{i}")
