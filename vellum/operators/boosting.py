@@ -5,7 +5,9 @@ into the shared folder. A tree grows level by level: every block sends its rows
 and adds their gradients and Hessians per (node, feature, bin); the sums are reduced by (node, group of
 features), where the best split of the group is found, so the driver sees one row per node and group and
 keeps the trees only. Between trees the margin is a stored column of the blocks: it is written anew every
-``MARGIN_EVERY`` trees, and the few trees since then are replayed in the pass that needs them.
+``MARGIN_EVERY`` trees, and the few trees since then are replayed in the pass that needs them. A training
+table of at most ``TASK_BINS`` bins is no work to deal out: one task reads its blocks and grows
+``TREES_AT_ONCE`` trees, the same ones, instead of one job per level.
 
 Objective per tree, with ``T(G) = sign(G) max(|G| - reg_alpha, 0)``: a leaf has the weight
 ``-T(G) / (H + reg_lambda)``, a split gains ``T(GL)^2/(HL+l) + T(GR)^2/(HR+l) - T(G)^2/(H+l)``; both sides
@@ -14,7 +16,7 @@ are pruned from the bottom. Gradients are rounded to multiples of 2**-24, so sum
 exact in any order and trees do not depend on how the rows are partitioned (row sampling does).
 
 Early stopping watches an exact AUC (``metrics.roc_auc``) of the validation rows after every tree. The
-margins of ``AUC_EVERY`` trees are staged in one pass and scored in one job; the trees past the stop are
+margins of ``AUC_EVERY`` trees (or of those grown at once) are staged in one pass and scored in one job; the trees past the stop are
 dropped, so the result is that of a check after each tree.
 """
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +44,8 @@ MAX_BINS = 256
 BLOCK_ROWS = 1 << 15
 MARGIN_EVERY = 16  # trees between two writings of the margin column
 AUC_EVERY = 16  # trees whose validation AUC is computed in one job
+TASK_BINS = 1 << 25  # rows times features (64 at least) up to which one task grows the trees
+TREES_AT_ONCE = 64  # trees that such a task grows
 FEATURE_GROUP = 16  # features whose best split is found together
 COLUMNS_AT_ONCE = 64  # features whose quantiles are sketched in one aggregate
 GRID = float(1 << 24)
@@ -119,6 +123,78 @@ class Tree:
         return self.value[self.nodes(bins)]
 
 
+def grown_tree(cfg: dict, splits: Callable[[Tree, list[int]], Iterable]) -> Tree:
+    """One tree, grown level by level. ``splits`` gives rows as in ``SPLIT`` for the open nodes of a tree."""
+    depth, rate = int(cfg["max_depth"]), float(cfg["learning_rate"])
+    a, lam = cfg["reg_alpha"], cfg["reg_lambda"]
+    tree = Tree.empty(depth)
+    gains, sums = np.full(len(tree.feature), -math.inf), {}
+    open_nodes = [1]
+    for _ in range(depth):
+        found: dict[int, tuple] = {}
+        for r in sorted(splits(tree, open_nodes), key=lambda r: r["lead"]):  # ties: the first feature
+            sums[r["node"]] = r["g"], r["h"]
+            if r["gain"] is not None and r["gain"] > found.get(r["node"], (1e-6,))[0]:
+                found[r["node"]] = (r["gain"], r["feature"], r["cut"], r["gl"], r["hl"])
+        open_nodes = []
+        for node in sorted(found):
+            gain, f, cut, gl, hl = found[node]
+            g, h = sums[node]
+            tree.feature[node], tree.cut[node], gains[node] = f, cut, gain
+            sums[2 * node], sums[2 * node + 1] = (gl, hl), (g - gl, h - hl)
+            open_nodes += [2 * node, 2 * node + 1]
+        if not open_nodes:
+            break
+    for node in range(len(tree.feature) // 2 - 1, 0, -1):  # pruned from the bottom
+        if tree.feature[node] >= 0 and tree.feature[2 * node] < 0 and tree.feature[2 * node + 1] < 0 \
+                and gains[node] < cfg["gamma"]:
+            tree.feature[node] = -1
+    for node, (g, h) in sums.items():
+        tree.value[node] = rate * leaf_weight(g, h, a, lam)
+    return tree
+
+
+class RowsOfNodes:
+    """The open nodes of one tree over rows held in memory. ``columns``: bins by feature; ``g, h`` belong to
+    ``rows``. Of two children the one with fewer rows is summed; the other one is the rest, which is exact."""
+
+    def __init__(self, columns: np.ndarray, rows: np.ndarray, use: np.ndarray, g: np.ndarray, h: np.ndarray,
+                 bins_n: int, cfg: dict):
+        self.columns = columns[use] if len(rows) == columns.shape[1] else np.stack([columns[f][rows] for f in use])
+        self.use, self.g, self.h, self.bins_n, self.cfg = use, g, h, bins_n, cfg
+        self.rows = {1: np.arange(len(rows))}
+        self.sums: dict[int, np.ndarray] = {}
+
+    def _summed(self, node: int) -> np.ndarray:
+        rows, out = self.rows[node], np.empty((2, len(self.use), self.bins_n))
+        g, h = self.g[rows], self.h[rows]
+        for j, column in enumerate(self.columns):
+            slot = column[rows].astype(np.intp)
+            out[0, j] = np.bincount(slot, g, self.bins_n)
+            out[1, j] = np.bincount(slot, h, self.bins_n)
+        return out
+
+    def _part(self, tree: Tree, node: int) -> None:
+        """The rows and sums of both children of ``node``."""
+        rows = self.rows.pop(node)
+        right = self.columns[np.searchsorted(self.use, tree.feature[node])][rows] > tree.cut[node]
+        self.rows[2 * node], self.rows[2 * node + 1] = rows[~right], rows[right]
+        few, many = sorted((2 * node, 2 * node + 1), key=lambda n: len(self.rows[n]))
+        self.sums[few] = self._summed(few)
+        self.sums[many] = self.sums.pop(node) - self.sums[few]
+
+    def splits(self, tree: Tree, nodes: list[int]) -> Iterator[dict]:
+        for node in nodes:
+            if node == 1:
+                self.sums[1] = self._summed(1)
+            elif node not in self.sums:
+                self._part(tree, node // 2)
+            G, H = self.sums[node]
+            gain, f, cut, gl, hl = best_split(G, H, self.cfg)
+            yield {"node": node, "lead": 0, "gain": gain if math.isfinite(gain) else None, "feature": int(self.use[f]),
+                   "cut": cut, "gl": gl, "hl": hl, "g": float(G[0].sum()), "h": float(H[0].sum())}
+
+
 def to_bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     """The bin of every value: the number of the feature's cuts that are not above it. NaN counts as
     smaller than every cut."""
@@ -325,9 +401,13 @@ class HistogramBooster:
         since = 0  # trees already in the stored margin
         best, best_at, tracked = -math.inf, 0, 0
         rounds = int(cfg["n_estimators"])
-        for t in range(rounds):
-            model.trees.append(self._grow(stored, model, since, t, dims))
-            done = t + 1
+        step = TREES_AT_ONCE if count[0]["n"] * max(dims, 64) <= TASK_BINS else 1
+        for t in range(0, rounds, step):
+            if step > 1:
+                model.trees += self._grow_at_once(stored, model, since, t, min(step, rounds - t))
+            else:
+                model.trees.append(self._grow(stored, model, since, t, dims))
+            done = len(model.trees)
             if patience and (done - tracked >= AUC_EVERY or done == rounds):
                 stop = False
                 for r, auc in self._aucs(stored, model, since, tracked):
@@ -360,36 +440,37 @@ class HistogramBooster:
         return math.log(pos / neg) if pos > 0 and neg > 0 else 0.0
 
     def _grow(self, stored: DataFrame, model: BoostedTrees, since: int, number: int, dims: int) -> Tree:
-        cfg = self.cfg
-        depth, rate = int(cfg["max_depth"]), float(cfg["learning_rate"])
-        a, lam = cfg["reg_alpha"], cfg["reg_lambda"]
-        tree = Tree.empty(depth)
-        use = drawn_features(self.seed, number, dims, float(cfg["colsample_bytree"]))
-        gains, sums = np.full(len(tree.feature), -math.inf), {}
-        open_nodes = [1]
-        for level in range(depth):
-            found: dict[int, tuple] = {}
-            rows = self._level(stored, model, since, number, tree, open_nodes, use, dims).collect()
-            for r in sorted(rows, key=lambda r: r["lead"]):  # ties: the first feature
-                sums[r["node"]] = r["g"], r["h"]
-                if r["gain"] is not None and r["gain"] > found.get(r["node"], (1e-6,))[0]:
-                    found[r["node"]] = (r["gain"], r["feature"], r["cut"], r["gl"], r["hl"])
-            open_nodes = []
-            for node in sorted(found):
-                gain, f, cut, gl, hl = found[node]
-                g, h = sums[node]
-                tree.feature[node], tree.cut[node], gains[node] = f, cut, gain
-                sums[2 * node], sums[2 * node + 1] = (gl, hl), (g - gl, h - hl)
-                open_nodes += [2 * node, 2 * node + 1]
-            if not open_nodes:
-                break
-        for node in range(len(tree.feature) // 2 - 1, 0, -1):  # pruned from the bottom
-            if tree.feature[node] >= 0 and tree.feature[2 * node] < 0 and tree.feature[2 * node + 1] < 0 \
-                    and gains[node] < cfg["gamma"]:
-                tree.feature[node] = -1
-        for node, (g, h) in sums.items():
-            tree.value[node] = rate * leaf_weight(g, h, a, lam)
-        return tree
+        use = drawn_features(self.seed, number, dims, float(self.cfg["colsample_bytree"]))
+        return grown_tree(self.cfg, lambda tree, nodes: self._level(stored, model, since, number, tree, nodes, use, dims).collect())
+
+    def _grow_at_once(self, stored: DataFrame, model: BoostedTrees, since: int, first: int, trees: int) -> list[Tree]:
+        """The trees that ``_grow`` gives one by one, grown by one task that holds all training rows."""
+        cfg, seed, base, dims, bins_n = self.cfg, self.seed, model.base, len(model.cuts), self.max_bins
+        late = model.trees[since:first]
+        share, pos = float(cfg["subsample"]), float(cfg["scale_pos_weight"])
+
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = [b for batch in batches for b in batch.to_pylist()]
+            bins, y, margin = (np.concatenate(z) for z in zip(*[unpack(b, dims, base, late) for b in blocks]))
+            names = [(b["block"], b["n"]) for b in blocks]
+            del blocks
+            columns = np.ascontiguousarray(bins.T)
+            for number in range(first, first + trees):
+                use = drawn_features(seed, number, dims, float(cfg["colsample_bytree"]))
+                rows = np.arange(len(y))
+                if share < 1.0:
+                    rows = rows[np.concatenate([row_draws(seed, number, b, n) for b, n in names]) < share]
+                g, h = gradients(margin[rows], y[rows], pos)
+                tree = grown_tree(cfg, RowsOfNodes(columns, rows, use, g, h, bins_n, cfg).splits)
+                margin += tree.values(bins)
+                yield pa.RecordBatch.from_pydict({
+                    "number": pa.array([number], pa.int32()), "feature": pa.array([tree.feature.tobytes()]),
+                    "cut": pa.array([tree.cut.tobytes()]), "value": pa.array([tree.value.tobytes()])})
+
+        made = (stored.filter("valid = 0").select("block", "n", "bins", "y", "margin").coalesce(1)
+                .mapInArrow(grow, "number int, feature binary, cut binary, value binary"))
+        return [Tree(np.frombuffer(r["feature"], np.int32), np.frombuffer(r["cut"], np.int32), np.frombuffer(r["value"]))
+                for r in sorted(made.collect(), key=lambda r: r["number"])]
 
     def _level(self, stored: DataFrame, model: BoostedTrees, since: int, number: int, tree: Tree,
                nodes: list[int], use: np.ndarray, dims: int) -> DataFrame:
