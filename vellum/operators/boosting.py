@@ -106,6 +106,13 @@ class Tree:
         n = 1 << (depth + 1)
         return cls(np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n))
 
+    @classmethod
+    def of(cls, t: dict) -> "Tree":
+        return cls(np.array(t["feature"], np.int32), np.array(t["cut"], np.int32), np.array(t["value"]))
+
+    def body(self) -> str:
+        return json.dumps({"feature": self.feature.tolist(), "cut": self.cut.tolist(), "value": self.value.tolist()})
+
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The node that each row of bins reaches."""
         at = np.ones(len(bins), np.int64)
@@ -123,6 +130,11 @@ class Tree:
         return self.value[self.nodes(bins)]
 
 
+def tree_rows(df: DataFrame) -> list[dict]:
+    """The bodies of ``(tree, body)`` rows by number; model-sized."""
+    return [json.loads(r["body"]) for r in sorted(df.collect(), key=lambda r: r["tree"])]
+
+
 def grown_tree(cfg: dict, splits: Callable[[Tree, list[int]], Iterable]) -> Tree:
     """One tree, grown level by level. ``splits`` gives rows as in ``SPLIT`` for the open nodes of a tree."""
     depth, rate = int(cfg["max_depth"]), float(cfg["learning_rate"])
@@ -269,16 +281,13 @@ class BoostedTrees:
     def save(self, spark: SparkSession, path: str) -> None:
         """One Parquet row per tree and one with the bins; never pickled."""
         rows = [(-1, json.dumps({"base": self.base, "info": self.info, "cuts": [c.tolist() for c in self.cuts]}))]
-        rows += [(i, json.dumps({"feature": t.feature.tolist(), "cut": t.cut.tolist(), "value": t.value.tolist()}))
-                 for i, t in enumerate(self.trees)]
+        rows += [(i, t.body()) for i, t in enumerate(self.trees)]
         spark.createDataFrame(rows, "tree int, body string").coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "BoostedTrees":
-        head, *trees = [json.loads(r["body"]) for r in spark.read.parquet(path).orderBy("tree").collect()]
-        return cls([np.array(c) for c in head["cuts"]], head["base"],
-                   [Tree(np.array(t["feature"], np.int32), np.array(t["cut"], np.int32), np.array(t["value"])) for t in trees],
-                   head["info"])
+        head, *trees = tree_rows(spark.read.parquet(path))
+        return cls([np.array(c) for c in head["cuts"]], head["base"], [Tree.of(t) for t in trees], head["info"])
 
 
 # ============================================================================================
@@ -463,14 +472,11 @@ class HistogramBooster:
                 g, h = gradients(margin[rows], y[rows], pos)
                 tree = grown_tree(cfg, RowsOfNodes(columns, rows, use, g, h, bins_n, cfg).splits)
                 margin += tree.values(bins)
-                yield pa.RecordBatch.from_pydict({
-                    "number": pa.array([number], pa.int32()), "feature": pa.array([tree.feature.tobytes()]),
-                    "cut": pa.array([tree.cut.tobytes()]), "value": pa.array([tree.value.tobytes()])})
+                yield pa.RecordBatch.from_pydict({"tree": pa.array([number], pa.int32()), "body": pa.array([tree.body()])})
 
         made = (stored.filter("valid = 0").select("block", "n", "bins", "y", "margin").coalesce(1)
-                .mapInArrow(grow, "number int, feature binary, cut binary, value binary"))
-        return [Tree(np.frombuffer(r["feature"], np.int32), np.frombuffer(r["cut"], np.int32), np.frombuffer(r["value"]))
-                for r in sorted(made.collect(), key=lambda r: r["number"])]
+                .mapInArrow(grow, "tree int, body string"))
+        return [Tree.of(t) for t in tree_rows(made)]
 
     def _level(self, stored: DataFrame, model: BoostedTrees, since: int, number: int, tree: Tree,
                nodes: list[int], use: np.ndarray, dims: int) -> DataFrame:
